@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import quality
+from ctxloom.llm import decontam, quality
 
 
 def queries():
     return {
+        "op1_decontamination": decontam.query,
         "op10_quality": quality.query,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op1_decontamination": decontam.ORACLE,
+    }
