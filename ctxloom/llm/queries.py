@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import decontam, quality
+from ctxloom.llm import decontam, html_extract, packing, quality
 
 
 def queries():
     return {
         "op1_decontamination": decontam.query,
+        "op8_packing": packing.query,
+        "op9_html": html_extract.query,
         "op10_quality": quality.query,
     }
 
