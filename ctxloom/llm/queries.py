@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import decontam, html_extract, packing, quality
+from ctxloom.llm import decontam, html_extract, line_dedup, packing, quality, url_filter
 
 
 def queries():
     return {
         "op1_decontamination": decontam.query,
+        "op4_url_filter": url_filter.query,
+        "op5_line_dedup": line_dedup.query,
         "op8_packing": packing.query,
         "op9_html": html_extract.query,
         "op10_quality": quality.query,
@@ -17,4 +19,5 @@ def queries():
 def oracle_sql():
     return {
         "op1_decontamination": decontam.ORACLE,
+        "op5_line_dedup": line_dedup.ORACLE,
     }
