@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import decontam, html_extract, line_dedup, packing, pii, quality, url_filter
+from ctxloom.llm import decontam, html_extract, line_dedup, near_dedup, packing, pii, quality, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_url_filter": url_filter.query,
         "op5_line_dedup": line_dedup.query,
         "op6_pii": pii.query,
+        "op7_near_dedup": near_dedup.query,
         "op8_packing": packing.query,
         "op9_html": html_extract.query,
         "op10_quality": quality.query,
