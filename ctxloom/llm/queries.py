@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import ann, decontam, html_extract, line_dedup, near_dedup, packing, pii, quality, url_filter
+from ctxloom.llm import ann, decontam, html_extract, line_dedup, near_dedup, packing, pii, quality, suffix_dedup, url_filter
 
 
 def queries():
     return {
         "op1_decontamination": decontam.query,
         "op2_ann": ann.query,
+        "op3_suffix_dedup": suffix_dedup.query,
         "op4_url_filter": url_filter.query,
         "op5_line_dedup": line_dedup.query,
         "op6_pii": pii.query,
