@@ -1,21 +1,57 @@
-"""The corpus pipeline: quality, line dedup, near dedup, decontamination, packing."""
+"""The corpus pipeline: quality, line dedup, near dedup, decontamination, packing.
 
-from ctxloom.llm import quality
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All but the last return the
+columns of ``documents``; the last returns the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxloom.llm import decontam, line_dedup, near_dedup, packing, quality
 from ctxloom.llm._common import materialize, table
 
 
-def _quality(spark, docs, sf_dir):
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine does not reject."""
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", _quality)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of line runs go. Documents that lose all their lines go too; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).where((F.col("_removed") == 0) | F.col("text").rlike(r"\S"))
+    columns = [F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: that of the least id."""
+    return near_dedup.dedup(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", keep_quality), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark), ("packing", pack),
+]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each result is written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: The first stage fits a model: SQL cannot express it. tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
