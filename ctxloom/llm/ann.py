@@ -2,8 +2,8 @@
 
 The tree is fitted on the driver from a bounded sample (``max_sample`` vectors) and sent to the tasks; every row is put in
 its leaf. A query descends the tree through a priority queue of branches by distance, and visits leaves, nearest first,
-as many as a calibration on the sample needs for the wanted recall. Rows and visits meet by leaf; leaves with many rows
-or visits are split on both sides, so no task holds more than a block of each. Distances are exact.
+as many as a calibration on the sample needs for the wanted recall. Rows and queries meet in buckets of leaves; large leaves
+are split among buckets, and buckets of many queries are repeated, so a task holds a block of each. Distances are exact.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ctxloom.llm._common import table
 
@@ -24,8 +23,8 @@ MAX_SAMPLE = 40_000
 BRANCHES = 16
 #: Sample vectors of a leaf, at most; more only where they are equal.
 LEAF_SIZE = 64
-#: Rows and visits of a leaf that meet in one task.
-ROW_BLOCK, VISIT_BLOCK = 20_000, 2_000
+#: Rows and queries of a bucket of leaves that meet in one task; and the least number of buckets.
+ROW_BLOCK, VISIT_BLOCK, LEAST_BUCKETS = 20_000, 2_000, 12
 
 
 @dataclass
@@ -146,6 +145,20 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, n_queries: int =
     return int(np.sort(place)[max(0, int(np.ceil(recall * len(place))) - 1)]) + 1
 
 
+def _deal(sizes: np.ndarray, buckets: int) -> list[list[int]]:
+    """The buckets of each leaf: the emptiest first, the largest leaves first; a leaf of several shares goes to several."""
+    share = max(1.0, sizes.sum() / buckets)
+    heap = [(0.0, b) for b in range(buckets)]
+    out: list[list[int]] = [[] for _ in sizes]
+    for leaf in np.argsort(-sizes, kind="stable"):
+        parts = min(buckets, max(1, int(np.ceil(sizes[leaf] / share))))
+        taken = [heapq.heappop(heap) for _ in range(parts)]
+        for filled, b in taken:
+            out[leaf].append(b)
+            heapq.heappush(heap, (filled + sizes[leaf] / parts, b))
+    return out
+
+
 def usable(column: Column, dims: int | None = None) -> Column:
     """True for vectors that take part: not null, no null or non-finite components, not zero (and of ``dims`` dimensions)."""
     finite = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -178,62 +191,72 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     sample = np.stack(taken[sizes == dims].to_list())
     tree = build(sample)
     visits = calibrate(tree, sample, k, recall)
-    # How many rows and visits each leaf will have, from the sample: what a leaf is split by.
+    # How many rows and visits each leaf will have, from the sample: leaves go to buckets of about equal rows, the largest
+    # first; one with more rows than a bucket should have is split among several.
     per_leaf = np.bincount(tree.assign(sample), minlength=tree.n_leaves) * (n / len(sample))
+    buckets = max(LEAST_BUCKETS, int(np.ceil(n / ROW_BLOCK)))
+    homes = _deal(per_leaf, buckets)
     probes = sample[:: max(1, len(sample) // 1000)]
-    per_visit = np.bincount(np.array([x for p in probes for x in tree.visit(p, visits)]), minlength=tree.n_leaves) * (n_asked / len(probes))
-    row_parts = np.maximum(1, np.ceil(per_leaf / ROW_BLOCK)).astype(np.int64)
-    visit_parts = np.maximum(1, np.ceil(per_visit / VISIT_BLOCK)).astype(np.int64)
-    sent = spark.sparkContext.broadcast((tree, row_parts, visit_parts))
+    reach = np.zeros(buckets)
+    for p in probes:
+        reach[sorted({h for leaf in tree.visit(p, visits) for h in homes[leaf]})] += n_asked / len(probes)
+    visit_parts = np.maximum(1, np.ceil(reach / VISIT_BLOCK)).astype(np.int64)
+    sent = spark.sparkContext.broadcast((tree, homes, visit_parts))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows by leaf and part, once for each part of the leaf's visits."""
-        tree, row_parts, visit_parts = sent.value
+        """Rows by bucket, once for each part of the bucket's queries."""
+        tree, homes, visit_parts = sent.value
         for b in batches:
             if not len(b):
                 continue
             x = np.stack(b["v"].to_list())
             leaf = tree.assign(x)
-            part = np.arange(len(b)) % row_parts[leaf]
-            times = visit_parts[leaf]
+            bucket = np.array([homes[k][i % len(homes[k])] for i, k in enumerate(leaf.tolist())], np.int64)
+            times = visit_parts[bucket]
             at = np.repeat(np.arange(len(b)), times)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({"leaf": leaf[at], "row_part": part[at], "visit_part": other, "vec_id": b["vec_id"].to_numpy()[at], "v": list(x[at])})
+            part = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            yield pd.DataFrame({"bucket": bucket[at], "part": part, "vec_id": b["vec_id"].to_numpy()[at], "v": list(x[at]), "leaves": [[k] for k in leaf[at].tolist()]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Queries by the leaves they visit, once for each part of the leaf's rows."""
-        tree, row_parts, visit_parts = sent.value
+        """Queries by bucket, with the leaves to visit there."""
+        tree, homes, visit_parts = sent.value
         for b in batches:
-            if not len(b):
-                continue
-            x = np.stack(b["v"].to_list())
-            for lo in range(0, len(x), 256):
-                found = [tree.visit(q, visits) for q in x[lo : lo + 256]]
-                at = np.repeat(np.arange(lo, lo + len(found)), [len(f) for f in found])
-                leaf = np.concatenate(found).astype(np.int64)
-                times = row_parts[leaf]
-                again = np.repeat(np.arange(len(at)), times)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                at, leaf = at[again], leaf[again]
-                ids = b["vec_id"].to_numpy()[at]
-                yield pd.DataFrame({"leaf": leaf, "row_part": other, "visit_part": ids // 100 % visit_parts[leaf], "vec_id": ids, "v": list(x[at])})
+            rows = []
+            for q, name in zip(b["v"], b["vec_id"], strict=True):
+                wanted: dict[int, list[int]] = {}
+                for leaf in tree.visit(np.asarray(q), visits):
+                    for home in homes[leaf]:
+                        wanted.setdefault(home, []).append(leaf)
+                rows += [(home, name // 100 % int(visit_parts[home]), name, q, leaves) for home, leaves in wanted.items()]
+            yield pd.DataFrame(rows, columns=["bucket", "part", "vec_id", "v", "leaves"])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, ids = np.stack(left["v"].to_list()), left["vec_id"].to_numpy()
-            for lo in range(0, len(right), 128):
-                part = right.iloc[lo : lo + 128]
-                q_ids = part["vec_id"].to_numpy()
-                at, found, score = _nearest(np.stack(part["v"].to_list()), q_ids, x, ids, k)
-                out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keyed = T.StructType([T.StructField(c, T.LongType()) for c in ("leaf", "row_part", "visit_part", "vec_id")] + [T.StructField("v", T.ArrayType(T.DoubleType()))])
+        none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        if not len(left) or not len(right):
+            return none
+        x, ids, leaf = np.stack(left["v"].to_list()), left["vec_id"].to_numpy(), left["leaves"].map(lambda v: v[0]).to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        x, ids, leaf = x[order], ids[order], leaf[order]
+        q, q_ids = np.stack(right["v"].to_list()), right["vec_id"].to_numpy()
+        asked: dict[int, list[int]] = {}
+        for i, leaves in enumerate(right["leaves"]):
+            for k in leaves:
+                asked.setdefault(int(k), []).append(i)
+        out = [none]
+        for k, who in asked.items():
+            lo, hi = np.searchsorted(leaf, k), np.searchsorted(leaf, k, "right")
+            for j in range(0, len(who) if hi > lo else 0, 128):
+                w = np.array(who[j : j + 128])
+                at, found, score = _nearest(q[w], q_ids[w], x[lo:hi], ids[lo:hi], k_nearest)
+                out.append(pd.DataFrame({"query_id": q_ids[w][at], "vec_id": found, "score": score}))
+        near = pd.concat(out).sort_values(["query_id", "score", "vec_id"], kind="stable")
+        return near[near.groupby("query_id").cumcount() < k_nearest]
+
+    k_nearest = k
+    keyed = "bucket long, part long, vec_id long, v array<double>, leaves array<long>"
     sized = lambda df: df.where(F.size("v") == dims)
-    keys = ["leaf", "row_part", "visit_part"]
-    placed = sized(rows).mapInPandas(place, keyed).groupBy(*keys)
-    probes_ = sized(asked).dropDuplicates(["vec_id"]).mapInPandas(probe, keyed).groupBy(*keys)
+    placed = sized(rows).mapInPandas(place, keyed).groupBy("bucket", "part")
+    probes_ = sized(asked).dropDuplicates(["vec_id"]).mapInPandas(probe, keyed).groupBy("bucket", "part")
     near = placed.cogroup(probes_).applyInPandas(meet, "query_id long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
