@@ -33,6 +33,14 @@ END_OF_TEXT = 2
 CACHE_WORDS = 1_000_000
 
 
+def _lower(text: str) -> str:
+    """Lower case where Python and the tokenizer surely agree: in texts of Latin-1 signs, which also have no decomposed ones."""
+    try:
+        return text.lower() if text.isascii() or text.encode("latin-1") else text
+    except UnicodeEncodeError:
+        return text
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -56,43 +64,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # by piece; when half of what may be kept is there, it becomes the old half
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, missing: list[str]) -> None:
-        """Encode the missing pieces, several hundred in a text. A piece that is letters, or letters and then other signs, is one
-        or two pre-tokens, and the last id of each ends a word, so the ids are cut by counting; other pieces go alone."""
-        plain = []
-        for w in missing:
-            found = self._PLAIN.fullmatch(w)
-            if found and (w.isascii() or w.lower().isalnum() or found[2]):
-                plain.append((w, 2 if found[2] else 1))
-            else:
-                self.kept[w] = self._whole(w).tobytes()
-        for lo in range(0, len(plain), 512):
-            part = plain[lo : lo + 512]
-            ids = np.array(self.tokenizer.encode(" ".join([w for w, _ in part]), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-            if len(ends) != sum(n for _, n in part):  # a letter that its lower case takes apart, say
-                self.kept.update((w, self._whole(w).tobytes()) for w, _ in part)
-                continue
-            cuts = ends[np.cumsum([n for _, n in part]) - 1].tolist()
-            raw = ids.tobytes()
-            self.kept.update((w, raw[a:b]) for (w, _), a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
+        """Encode the missing pieces, several hundred in a text.
+
+        A piece of letters is one pre-token, and the last id of each ends a word, so the ids are cut where words end. A piece
+        with a comma or full stop at its end is its word's ids and the sign's; other pieces are encoded one by one, or, with
+        more signs at the end, cut after their second word's end.
+        """
+        words = [w for w in missing if w.isalpha()]
+        rest = [w for w in missing if not w.isalpha()]
+        ended = [w for w in rest if w[-1] in ".," and w[:-1].isalpha()]
+        need = {w[:-1] for w in ended}.difference(self.kept)
+        words += need.difference(words)
+        for lo in range(0, len(words), 512):
+            self._cut(words[lo : lo + 512], 1)
+        signs = {c: self._whole(c).tobytes() for c in ".,"}
+        kept = self.kept
+        kept.update([(w, kept[w[:-1]] + signs[w[-1]]) for w in ended])
+        rest = [w for w in rest if w not in kept]
+        pairs = [w for w in rest if (found := self._PLAIN.fullmatch(w)) and found[2]]
+        for lo in range(0, len(pairs), 512):
+            self._cut(pairs[lo : lo + 512], 2)
+        kept.update([(w, self._whole(w).tobytes()) for w in rest if w not in kept])
+
+    def _cut(self, pieces: list[str], n: int) -> None:
+        """Encode pieces of ``n`` pre-tokens each at once; one by one where a letter that its lower case takes apart spoils the count."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+        if len(cuts) == n * len(pieces) and (n == 1 or all(map(str.isascii, pieces))) and self._latin(pieces):
+            cuts, raw = cuts[n - 1 :: n], ids.tobytes()
+            self.kept.update(zip(pieces, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        else:
+            self.kept.update([(w, self._whole(w).tobytes()) for w in pieces])
+
+    @staticmethod
+    def _latin(pieces: list[str]) -> bool:
+        try:
+            return bool("".join(pieces).encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if t is None else (t.lower() if t.isascii() else t).split() for t in texts]
+        split = [None if t is None else _lower(t).split() for t in texts]
         out = []
         wanted = set().union(*filter(None, split))
         if len(wanted) > CACHE_WORDS // 2:  # of one batch: text by text
             return [x for t in texts for x in self([t])] if len(texts) > 1 else [self._whole(texts[0])]
-        missing = list(wanted.difference(self.kept))
-        if len(self.kept) + len(missing) > CACHE_WORDS:
-            self.kept.clear()
-            missing = list(wanted)
-        if missing:
+        if len(self.kept) > CACHE_WORDS // 2:
+            self.kept, self.old = {}, self.kept
+        missing = wanted.difference(self.kept)
+        again = [w for w in missing if w in self.old]
+        self.kept.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        if missing := list(missing.difference(again)):
             self._learn(missing)
         for t, ws in zip(texts, split, strict=True):
             if ws and any(c in t for c in self._ODD):
