@@ -172,3 +172,35 @@ def jaccard_pairs(spark, d):
 @query()
 def hashed_embeddings(spark, d):
     return read(spark, d, "benchmark").select("item_id", X.hashed_embedding(F.col("text"), 64).alias("embedding"))
+
+
+@query()
+def query_preprocess(spark, d):
+    from ctxloom.operators.answering import preprocess
+
+    return preprocess(_QUESTIONS.frame(spark)).select("id", "parsed.*")
+
+
+@query()
+def query_graph(spark, d):
+    from ctxloom.operators.answering import query_graph as build
+
+    nodes, edges = build(_QUESTIONS.frame(spark).withColumnRenamed("id", "query_id"))
+    return nodes.join(edges.withColumnRenamed("source", "id"), ["query_id", "id"], "left")
+
+
+@query()
+def answer_prompts(spark, d):
+    from ctxloom.operators.answering import answer
+
+    t = _TEXTS.frame(spark)
+    nodes = t.select(F.lit("g").alias("graph_id"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "text")
+    return answer(nodes, spark.createDataFrame([("g", "What is due?")], ["graph_id", "query"]))
+
+
+@query()
+def trap_quota(spark, d):
+    from ctxloom.operators import answering as A
+
+    contracts = _TEXTS.frame(spark).select(F.concat(F.lit("contract_"), F.col("id").cast("string")).alias("name"), "text")
+    return A.annotation_entries(A.choose_by_quota(A.trap_contracts(contracts), contracts.where("false").select("name")))

@@ -155,3 +155,28 @@ def test_streaming_query(spark, tmp_path):
     index = I.Index(spark, str(tmp_path / "index"))
     index.start(spark.readStream.schema(I.EVENT).json(str(tmp_path / "in")), str(tmp_path / "cp"), once=True).awaitTermination(60)
     assert index.active().count() == 3
+
+
+def test_parse_of_model_output(spark):
+    from ctxloom.operators.answering import parse_response
+
+    rows = [('{"entities": ["a"], "intent": "definition"}',), ('Sure:\n```json\n{"subqueries": ["q"]}\n```',), ('x {"entities": []} y',), ("nothing",), (None,)]
+    got = [r.p for r in spark.createDataFrame(rows, "t string").select(parse_response(F.col("t")).alias("p")).collect()]
+    assert (got[0].entities, got[0].intent) == (["a"], "definition") and got[1].subqueries == ["q"] and got[2].intent == "factual" and got[3] is None and got[4] is None
+
+
+def test_retries_stop(spark):
+    from ctxloom.operators.answering import retrieve_with_retries
+
+    q = spark.createDataFrame([(1, "good"), (2, "bad")], "query_id long, text string")
+    retrieve = lambda df: df.select("query_id", F.lit(7).alias("id"), F.when(F.col("text").contains("good"), 0.9).otherwise(0.1).alias("score"), F.lit(1).alias("rank"))
+    got = {(r.query_id, r.attempt) for r in retrieve_with_retries(q, retrieve, lambda t: F.concat(t, F.lit("x"))).collect()}
+    assert got == {(1, 0), (2, 2)}
+
+
+def test_relations_and_prompts(spark):
+    from ctxloom.operators import answering as A
+
+    r = _one(spark, A.relations(F.col("q")), q="How is royalty linked with payment")
+    assert {(x.e1, x.relation, x.e2) for x in r} >= {("royalty", "linked", "payment")}
+    assert _one(spark, F.size(A.relations(F.col("q"))), q="Plain words") == 0
