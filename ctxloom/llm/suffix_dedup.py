@@ -1,7 +1,7 @@
 """Exact substring dedup with a sparse suffix array over all documents, at byte level.
 
-Every match of 50 bytes holds a common anchor: the 20-byte string with the least hash in it (of equals the first). So the
-suffixes that start at anchors are enough, one in about sixteen, and each 50-byte window belongs to one anchor.
+Every match of 50 bytes holds a common anchor: the 16-byte string with the least hash in it (of equals the first). So the
+suffixes that start at anchors are enough, one in about eighteen, and each 50-byte window belongs to one anchor.
 
 1. Anchors are counted by hash; those that occur in one document only can start no match and are dropped. The most
    frequent anchors are known from a sample, and need no counting.
@@ -23,14 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import count_rows, input_parts, materialize, table, utf8
+from ctxloom.llm._common import count_rows, discard, input_parts, materialize, table, utf8
 
 LENGTH = 50
-ANCHOR = 20
+ANCHOR = 16
 SPREAD = LENGTH - ANCHOR + 1
 _NULL = -(1 << 63)
 #: Bytes of text taken at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of text whose anchors are packed together for the count.
+PACK = 8 << 20
 #: Documents sampled for the splitters and the frequent anchors, about; an anchor is frequent in FREQUENT of them, and MANY at least.
 SAMPLE_DOCS, FREQUENT, MANY = 2_000, 0.004, 8
 
@@ -54,31 +56,32 @@ def anchor_runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(data) - LENGTH + 1
     if n <= 0:
         return none
-    # Hashes of 20 bytes at every place, from those of 1, 2, 4, 8 and 16.
-    h, power, parts = data.astype(np.uint64) + np.uint64(1), _P, {}
+    # Hashes of 16 bytes at every place, from those of 1, 2, 4 and 8.
+    grams, power = data.astype(np.uint64), _P
     for width in (1, 2, 4, 8):
-        h = h[:-width] * power + h[width:]
+        grams = grams[:-width] * power + grams[width:]
         power = power * power
-        parts[2 * width] = h
-    p4 = _P
-    for _ in range(2):
-        p4 = p4 * p4
-    grams = _mix(parts[16][:-4] * p4 + parts[4][16 : 16 + len(parts[16]) - 4])
+    grams *= _M1  # high bits decide, and every byte reaches them
     # The least in each window; places in the low bits make the first of equals win.
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
-    low = (grams & ~((np.uint64(1) << bits) - np.uint64(1))) | np.arange(len(grams), dtype=np.uint64)
-    for width in (1, 2, 4, 8):
+    mask = (np.uint64(1) << np.uint64(max(1, int(len(data)).bit_length()))) - np.uint64(1)
+    low = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
+    for width in (1, 2, 4, 8, 16):
         low = np.minimum(low[:-width], low[width:])
-    low = np.minimum(low[: len(low) - (SPREAD - 16)], low[SPREAD - 16 :])[:n]
-    place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = np.minimum(low[: len(low) - (SPREAD - 32)], low[SPREAD - 32 :])[:n] & mask
+    # Runs of one anchor, broken where documents end: windows that would cross an end are none.
     ends = np.cumsum(sizes)
-    doc = np.repeat(np.arange(len(sizes)), sizes)[:n]
-    inside = np.arange(n) + LENGTH <= ends[doc]
-    start = np.flatnonzero(inside & np.concatenate([[True], (place[1:] != place[:-1]) | ~inside[:-1] | (doc[1:] != doc[:-1])]))
-    last = inside.copy()
-    last[:-1] &= (place[1:] != place[:-1]) | ~inside[1:] | (doc[1:] != doc[:-1])
-    end = np.flatnonzero(last)
-    return doc[start], start, end - start + 1, place[start], grams[place[start]]
+    inside = np.ones(n + LENGTH, bool)
+    for e in ends.tolist():
+        inside[max(0, e - LENGTH + 1) : e] = False
+    inside = inside[:n]
+    breaks = np.empty(n + 1, bool)
+    breaks[0] = breaks[n] = True
+    np.not_equal(low[1:], low[:-1], out=breaks[1:n])
+    breaks[ends[ends < n]] = True
+    start = np.flatnonzero(breaks[:n] & inside)
+    stop = np.flatnonzero(inside & (breaks[1:] | ~np.append(inside[1:], False)))
+    place = low[start].astype(np.int64)
+    return np.searchsorted(ends, start, side="right"), start, stop - start + 1, place, _mix(grams[place])
 
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
@@ -99,7 +102,7 @@ def _arrays(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _prepare(docs: DataFrame) -> DataFrame:
     """doc (the id, as long; the least for null), copy (a hash of the text) and text: rows of one id and text are one document."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("copy"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.hash("text").alias("copy"), "text")
 
 
 def _shared_anchors(rows: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
@@ -109,30 +112,40 @@ def _shared_anchors(rows: DataFrame, parts: int, frequent: np.ndarray) -> DataFr
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, base = [], 0, 0
         for b, raw in _chunked(batches):
             doc, _, _, _, h = anchor_runs(*_arrays(raw))
             rare = ~_in(h, frequent)
-            doc, h = doc[rare], h[rare]
-            bucket = (h >> np.uint64(32)).astype(np.int64) % parts
-            order = np.lexsort([h, doc, bucket])
-            doc, h, bucket = doc[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), bucket[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
-            doc, h, bucket = doc[fresh], h[fresh], bucket[fresh]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.empty(0, np.int64)
-            rows = []
-            ids, copies = b["doc"].to_numpy(np.int64), b["copy"].to_numpy(np.int64)
-            for lo, hi in zip(cut, [*cut[1:], len(h)], strict=True):
-                used, local = np.unique(doc[lo:hi], return_inverse=True)
-                rows.append((int(bucket[lo]), ids[used].tobytes(), copies[used].tobytes(), np.bincount(local).astype(np.uint32).tobytes(), h[lo:hi].tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "ids", "copies", "counts", "hashes"])
+            held.append((doc[rare] + base, h[rare], b["doc"].to_numpy(np.int64), b["copy"].to_numpy(np.int32)))
+            base, size = base + len(b), size + sum(map(len, raw))
+            if size >= PACK:
+                yield pack(held)
+                held, size, base = [], 0, 0
+        if held:
+            yield pack(held)
+
+    def pack(held: list) -> pd.DataFrame:
+        """A row for each bucket: its documents, how many anchors each has, and these."""
+        doc, h, ids, copies = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (h >> np.uint64(32)).astype(np.int64) % parts
+        order = np.lexsort([h, doc, bucket])
+        doc, h, bucket = doc[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), bucket[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
+        doc, h, bucket = doc[fresh], h[fresh], bucket[fresh]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.empty(0, np.int64)
+        rows = []
+        for lo, hi in zip(cut, [*cut[1:], len(h)], strict=True):
+            used, counts = np.unique(doc[lo:hi], return_counts=True)
+            rows.append((int(bucket[lo]), ids[used].tobytes(), copies[used].tobytes(), counts.astype(np.uint32).tobytes(), h[lo:hi].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "ids", "copies", "counts", "hashes"])
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
         cat = lambda name, kind: np.frombuffer(b"".join(group[name]), kind)
         counts = cat("counts", np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(counts)), counts)
         h = cat("hashes", np.uint32)
-        ids, copies = cat("ids", np.int64), cat("copies", np.int64)
+        ids, copies = cat("ids", np.int64), cat("copies", np.int32)
         order = np.argsort(h, kind="stable")
         s, who = h[order], owner[order]
         first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
@@ -149,7 +162,7 @@ def _shared_anchors(rows: DataFrame, parts: int, frequent: np.ndarray) -> DataFr
         return pd.DataFrame({"doc": ids[who[edge]], "copy": copies[who[edge]], "anchors": found})
 
     packed = rows.mapInPandas(emit, "bucket int, ids binary, copies binary, counts binary, hashes binary")
-    kept = packed.repartition(parts, "bucket").groupBy("bucket").applyInPandas(keep, "doc long, copy long, anchors binary")
+    kept = packed.repartition(parts, "bucket").groupBy("bucket").applyInPandas(keep, "doc long, copy int, anchors binary")
     return kept.groupBy("doc", "copy").agg(F.collect_list("anchors").alias("anchors"))
 
 
@@ -188,7 +201,7 @@ def _sample(rows: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suffixes(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """(bucket, lead, h, doc, copy, start, n, bytes): the runs of windows of shared anchors, with their bytes."""
+    """(bucket, back, doc, copy, start, bytes): the runs of windows of shared anchors, with their bytes, and where in these the anchor is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, raw in _chunked(batches):
@@ -206,16 +219,20 @@ def _suffixes(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
             bucket = np.where(high > low, low + 1 + (h % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64), high)
             whole, begins = data.tobytes(), np.cumsum(sizes) - sizes
             yield pd.DataFrame({
-                "bucket": bucket.astype(np.int32), "lead": (lead ^ np.uint64(1 << 63)).view(np.int64), "h": h.view(np.int64),
-                "doc": b["doc"].to_numpy(np.int64)[doc], "copy": b["copy"].to_numpy(np.int64)[doc], "start": start - begins[doc], "n": n.astype(np.int32),
+                "bucket": bucket.astype(np.int32), "back": (place - start).astype(np.int16),
+                "doc": b["doc"].to_numpy(np.int64)[doc], "copy": b["copy"].to_numpy(np.int32)[doc], "start": (start - begins[doc]).astype(np.int32),
                 "bytes": [whole[s : s + k + LENGTH - 1] for s, k in zip(start.tolist(), n.tolist(), strict=True)],
             })
 
-    return joined.mapInPandas(run, "bucket int, lead long, h long, doc long, copy long, start long, n int, bytes binary")
+    return joined.mapInPandas(run, "bucket int, back short, doc long, copy int, start int, bytes binary")
 
 
 def _frequent(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc, copy, spans) of the windows of frequent anchors: their first documents are aggregated before the shuffle."""
+    """(doc, copy, spans) of the runs of windows of frequent anchors.
+
+    Runs with equal bytes are aggregated to their first document before the shuffle; only the distinct ones are taken apart
+    into windows; and each run then learns, by its bytes, the first document of each of its windows.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, raw in _chunked(batches):
@@ -223,21 +240,31 @@ def _frequent(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             doc, start, n, _, h = anchor_runs(data, sizes)
             hit = _in(h, frequent)
             doc, start, n = doc[hit], start[hit], n[hit]
-            at = np.repeat(np.arange(len(doc)), n)
-            first = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            whole, doc = data.tobytes(), doc[at]
+            whole = data.tobytes()
             yield pd.DataFrame({
-                "bytes": [whole[s : s + LENGTH] for s in first.tolist()], "doc": b["doc"].to_numpy(np.int64)[doc], "copy": b["copy"].to_numpy(np.int64)[doc],
-                "start": first - (np.cumsum(sizes) - sizes)[doc],
+                "bytes": [whole[s : s + k + LENGTH - 1] for s, k in zip(start.tolist(), n.tolist(), strict=True)], "doc": b["doc"].to_numpy(np.int64)[doc],
+                "copy": b["copy"].to_numpy(np.int32)[doc], "start": start - (np.cumsum(sizes) - sizes)[doc],
             })
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield _spans(*(b[c].to_numpy(np.int64) for c in ("doc", "copy", "start")))
-
-    windows = materialize(rows.mapInPandas(cut, "bytes binary, doc long, copy long, start long"))
-    first = windows.groupBy("bytes").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    return windows.join(first, "bytes").where("doc > first").select("doc", "copy", "start").mapInPandas(pack, _SPANS)
+            firsts = [np.asarray(x, np.int64) for x in b["firsts"]]
+            n = np.array([len(x) for x in firsts], np.int64)
+            at = np.repeat(np.arange(len(b)), n)
+            inner = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            doc, copy, start = (b[c].to_numpy(np.int64)[at] for c in ("doc", "copy", "start"))
+            hit = doc > np.concatenate([*firsts, np.empty(0, np.int64)])
+            yield _spans(doc[hit], copy[hit], (start + inner)[hit])
+
+    runs = materialize(rows.mapInPandas(cut, "bytes binary, doc long, copy int, start long"))
+    distinct = materialize(runs.groupBy("bytes").agg(F.min("doc").alias("first")))
+    window = distinct.select("bytes", "first", F.explode(F.sequence(F.lit(1), F.length("bytes") - LENGTH + 1)).alias("k")).withColumn("window", F.substring("bytes", F.col("k"), F.lit(LENGTH)))
+    least = window.groupBy("window").agg(F.min("first").alias("least"))
+    each = window.join(least, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("k", "least"))).alias("w"))
+    firsts = each.select("bytes", F.transform("w", lambda x: x["least"]).alias("firsts"))
+    out = materialize(runs.join(firsts, "bytes").mapInPandas(pack, _SPANS))
+    discard(runs, distinct)
+    return out
 
 
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +323,7 @@ def _spans(doc: np.ndarray, copy: np.ndarray, start: np.ndarray) -> pd.DataFrame
     return pd.DataFrame({"doc": d[edge], "copy": c[edge], "spans": [x.astype(np.int64).tobytes() for x in np.split(pairs, edge[1:])] if len(d) else []})
 
 
-_SPANS = "doc long, copy long, spans binary"
+_SPANS = "doc long, copy int, spans binary"
 #: Windows that a bucket sorts at once: groups of one anchor are never parted.
 SORT_WINDOWS = 400_000
 
@@ -305,13 +332,15 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     """The windows of a bucket that stand in a document before. Runs with equal bytes are settled as one."""
     if not len(group):
         return _spans(*(np.empty(0, np.int64),) * 3)
-    group = group.sort_values(["lead", "h", "bytes"], kind="stable")
-    anchor = group["h"].to_numpy()
-    doc, copy, start, n = (group[c].to_numpy(np.int64) for c in ("doc", "copy", "start", "n"))
-    raw = [bytes(x) for x in group["bytes"]]
+    named = [x[k : k + ANCHOR] + x for x, k in zip(group["bytes"], group["back"].tolist(), strict=True)]  # by the anchor, then the run
+    order = sorted(range(len(named)), key=named.__getitem__)
+    named = [named[i] for i in order]
+    names, raw = [x[:ANCHOR] for x in named], [x[ANCHOR:] for x in named]
+    anchor = np.cumsum(np.fromiter(map(bytes.__ne__, names, [names[0], *names[:-1]]), bool, len(names)))
+    doc, copy, start = (group[c].to_numpy(np.int64)[order] for c in ("doc", "copy", "start"))
+    n = np.array([len(x) - LENGTH + 1 for x in raw], np.int64)
     new = np.ones(len(raw), bool)
-    new[1:] = [x != y for x, y in zip(raw[1:], raw[:-1], strict=True)]
-    new[1:] |= anchor[1:] != anchor[:-1]
+    new[1:] = np.fromiter(map(bytes.__ne__, named[1:], named[:-1]), bool, len(raw) - 1)
     text = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     least = np.minimum.reduceat(doc, heads)
@@ -353,15 +382,31 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     return _spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
+def _whole_copies(rows: DataFrame) -> DataFrame:
+    """(doc, copy, n) of documents whose whole text, of n bytes, is that of a document of smaller id, and long enough to go."""
+    keyed = rows.select("doc", "copy", F.md5("text").alias("digest"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
+    first = keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    return keyed.join(first, "digest").where("doc > first").select("doc", "copy", "n").distinct()
+
+
 def covered(rows: DataFrame) -> DataFrame:
     """(doc, copy, spans): packed pairs of the byte ranges, of each document that has any, that stand in a document before."""
-    parts = input_parts(rows, 2)  # buckets follow the input, so that one stays within a task's memory
+    parts = input_parts(rows, 6)  # buckets follow the input, so that one stays within a task's memory
     splitters, frequent = _sample(rows, parts)
-    shared = materialize(_shared_anchors(rows, parts, frequent))
+    copies = materialize(_whole_copies(rows))
+    # Copies of whole documents are covered from end to end; what the others share with them stands in the first one too.
+    shared = materialize(_shared_anchors(rows, input_parts(rows), frequent).join(copies, ["doc", "copy"], "left_anti"))
     suffixes = _suffixes(rows.join(shared, ["doc", "copy"]), splitters)
-    resolved = suffixes.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_resolve, _SPANS)
+    resolved = materialize(suffixes.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_resolve, _SPANS))
+    discard(shared)
     if len(frequent):
         resolved = resolved.unionByName(_frequent(rows, frequent))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["doc", "copy"]].assign(spans=[np.array([0, n], np.int64).tobytes() for n in b["n"]])
+
+    resolved = resolved.unionByName(copies.mapInPandas(whole, _SPANS))
     return resolved.groupBy("doc", "copy").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -382,7 +427,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ids count as least; an empty table gives no rows.
     """
     rows = _prepare(docs)
-    # The shuffle of the texts to their anchors serves again here.
     joined = rows.join(covered(rows), ["doc", "copy"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
