@@ -247,23 +247,24 @@ def _frequent(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             })
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.arange(SPREAD, dtype=np.int64)
         for b in batches:
-            firsts = [np.asarray(x, np.int64) for x in b["firsts"]]
-            n = np.array([len(x) for x in firsts], np.int64)
-            at = np.repeat(np.arange(len(b)), n)
-            inner = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            at, inner = np.nonzero((b["mask"].to_numpy(np.int64)[:, None] >> bits) & 1)
             doc, copy, start = (b[c].to_numpy(np.int64)[at] for c in ("doc", "copy", "start"))
-            hit = doc > np.concatenate([*firsts, np.empty(0, np.int64)])
-            yield _spans(doc[hit], copy[hit], (start + inner)[hit])
+            yield _spans(doc, copy, start + inner)
 
     runs = materialize(rows.mapInPandas(cut, "bytes binary, doc long, copy int, start long"))
     distinct = materialize(runs.groupBy("bytes").agg(F.min("doc").alias("first")))
     window = distinct.select("bytes", "first", F.explode(F.sequence(F.lit(1), F.length("bytes") - LENGTH + 1)).alias("k")).withColumn("window", F.substring("bytes", F.col("k"), F.lit(LENGTH)))
     least = window.groupBy("window").agg(F.min("first").alias("least"))
     each = window.join(least, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("k", "least"))).alias("w"))
-    firsts = each.select("bytes", F.transform("w", lambda x: x["least"]).alias("firsts"))
-    out = materialize(runs.join(firsts, "bytes").mapInPandas(pack, _SPANS))
-    discard(runs, distinct)
+    # A written table, so that both sides of the join are shuffled for it and frequent bytes can be split among tasks.
+    firsts = materialize(each.select("bytes", F.transform("w", lambda x: x["least"]).alias("firsts")))
+    mask = F.expr("aggregate(transform(firsts, (f, i) -> if(f < doc, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
+    hit = runs.join(firsts, "bytes").select("doc", "copy", "start", mask.alias("mask")).where("mask != 0")
+    # A document's runs come together again, and leave as one row.
+    out = materialize(hit.repartition(input_parts(rows), "doc").sortWithinPartitions("doc", "copy").mapInPandas(pack, _SPANS))
+    discard(runs, distinct, firsts)
     return out
 
 
@@ -395,8 +396,8 @@ def covered(rows: DataFrame) -> DataFrame:
     splitters, frequent = _sample(rows, parts)
     copies = materialize(_whole_copies(rows))
     # Copies of whole documents are covered from end to end; what the others share with them stands in the first one too.
-    shared = materialize(_shared_anchors(rows, input_parts(rows), frequent).join(copies, ["doc", "copy"], "left_anti"))
-    suffixes = _suffixes(rows.join(shared, ["doc", "copy"]), splitters)
+    shared = materialize(_shared_anchors(rows, input_parts(rows), frequent))
+    suffixes = _suffixes(rows.join(shared.join(copies, ["doc", "copy"], "left_anti"), ["doc", "copy"]), splitters)
     resolved = materialize(suffixes.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_resolve, _SPANS))
     discard(shared)
     if len(frequent):
