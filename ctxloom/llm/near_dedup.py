@@ -200,7 +200,8 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): verified links between different texts, by content, that join all similar texts which share a band.
 
     In small buckets all pairs are verified. In larger ones each text is verified against one that leads, and what fails,
-    LEADERS times in all, against the next leader. What still fails goes through an exact join of its own: by prefixes.
+    LEADERS times in all, against the next leader. Two texts that passed the first leader are connected through it; so what failed it
+    goes through an exact join by prefixes, with all texts of its buckets, those that passed too.
     """
     reps = signed.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     members = materialize(_buckets(reps.select("content", F.explode("bands").alias("k"))))
@@ -210,7 +211,7 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("content", "doc_id", "text")
     texts = materialize(_first_of_content(texts))
     small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
-    found, pairs = [], _all_pairs(small)
+    met, found, pairs = large, [], _all_pairs(small)
     for k in range(LEADERS):
         # The text that shares its buckets with most others leads: of copies of one text, which may differ more from each other, mostly that text.
         shares = large.groupBy("content").agg(F.sum("n").alias("shares"))
@@ -220,21 +221,27 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         asked = led.select(F.least("a", "content").alias("a"), F.greatest("a", "content").alias("b"))
         found.append(materialize(_verified(materialize(pairs.unionByName(asked).distinct()), texts)))
         alike = found[-1].unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("b", "content")
-        rest = led.join(alike, ["a", "content"], "left_anti").select("k", "content")
-        large = materialize(_buckets(rest) if k + 1 < LEADERS else rest)
+        if k + 1 == LEADERS:
+            break
+        rest = materialize(led.join(alike, ["a", "content"], "left_anti").select("k", "content"))
+        failed = failed if k else rest
+        large = materialize(_buckets(rest))
         pairs = pairs.limit(0)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     # Only texts that no chain of links connects yet are paired.
     roots = components(out).withColumnRenamed("node", "content")
-    rest = texts.join(large.select("content").distinct(), "content", "left_semi").join(roots, "content", "left")
-    rest = materialize(rest.select("content", "text", F.coalesce("root", "content").alias("root")))
+    asking = failed.select("content").distinct().withColumn("asks", F.lit(True))
+    beside = met.join(failed.select("k").distinct(), "k", "left_semi").select("content").distinct()
+    rest = texts.join(beside, "content", "left_semi").join(roots, "content", "left").join(asking, "content", "left")
+    rest = materialize(rest.select("content", "text", F.coalesce("root", "content").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks")))
     return out.unionByName(_verified(materialize(_prefix_pairs(rest)), texts)).distinct()
 
 
 def _prefix_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b): a superset of the pairs of texts of similarity SIMILARITY or more that have different roots (content, text, root).
+    """(a, b): a superset of the pairs of texts of similarity SIMILARITY or more that have different roots and of which one asks
+    at least (content, text, root, asks).
 
     Cells are put in one order for all texts, rare ones first. Of two similar texts, of n and m >= n cells, the shorter has
     one of its first (n - ceil(2s/(1+s) n) + 1) cells among the first (m - ceil(s m) + 1) of the longer, for they share
@@ -265,7 +272,7 @@ def _prefix_pairs(texts: DataFrame) -> DataFrame:
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sent.value
         for b in batches:
-            t, names = list(b["text"]), list(zip(b["content"], b["root"], strict=True))
+            t, names = list(b["text"]), list(zip(b["content"], b["root"], b["asks"], strict=True))
             for lo, hi in _chunks(t):
                 owner, cell = cells(t[lo:hi])
                 order = np.lexsort([cell, counts[(cell >> np.uint64(20)).astype(np.int64) % ORDER], owner])
@@ -278,13 +285,16 @@ def _prefix_pairs(texts: DataFrame) -> DataFrame:
                 odd = np.bincount(owner * MARKS + (cell % np.uint64(MARKS)).astype(np.int64), minlength=(hi - lo) * MARKS).astype(np.uint8) & 1
                 marks = np.packbits(odd.reshape(hi - lo, MARKS), axis=1).view(np.int64)[owner[keep]]
                 mine = [names[lo + k] for k in owner[keep].tolist()]
-                yield pd.DataFrame({"cell": cell[keep].view(np.int64), "content": [x for x, _ in mine], "root": [x for _, x in mine], "n": m[keep].astype(np.int32), "first": first[keep], **{f"m{k}": marks[:, k] for k in range(MARKS // 64)}})
+                yield pd.DataFrame({"cell": cell[keep].view(np.int64), "content": [x for x, _, _ in mine], "root": [x for _, x, _ in mine], "asks": [x for _, _, x in mine], "n": m[keep].astype(np.int32), "first": first[keep], **{f"m{k}": marks[:, k] for k in range(MARKS // 64)}})
 
-    rows = materialize(texts.mapInPandas(prefix, "cell long, content binary, root binary, n int, first boolean, " + ", ".join(f"m{k} long" for k in range(MARKS // 64))))
-    short = rows.where("first").select("cell", F.col("content").alias("s"), F.col("root").alias("sr"), F.col("n").alias("sn"), *[F.col(f"m{k}").alias(f"s{k}") for k in range(MARKS // 64)])
+    rows = materialize(texts.mapInPandas(prefix, "cell long, content binary, root binary, asks boolean, n int, first boolean, " + ", ".join(f"m{k} long" for k in range(MARKS // 64))))
+    asker = rows.where("asks").select("cell", F.col("content").alias("s"), F.col("root").alias("sr"), F.col("n").alias("sn"), F.col("first").alias("sfirst"), *[F.col(f"m{k}").alias(f"s{k}") for k in range(MARKS // 64)])
     apart = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"s{k}"))) for k in range(MARKS // 64)), F.lit(0))
     near = apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("sn") + F.col("n")) + 1e-9
-    pairs = short.join(rows.drop("first"), "cell").where(near & (F.col("sr") != F.col("root")) & (F.col("sn") <= F.col("n")) & (F.col("sn") >= SIMILARITY * F.col("n") - 1e-9))
+    once = ~F.col("asks") | (F.col("s") < F.col("content"))
+    shorter = (F.col("sfirst") & (F.col("sn") <= F.col("n"))) | (F.col("first") & (F.col("n") <= F.col("sn")))
+    sized = F.least("sn", "n") >= SIMILARITY * F.greatest("sn", "n") - 1e-9
+    pairs = asker.join(rows, "cell").where(near & once & shorter & sized & (F.col("sr") != F.col("root")))
     return pairs.select(F.least("s", "content").alias("a"), F.greatest("s", "content").alias("b")).distinct()
 
 
@@ -343,7 +353,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and n_links (of its text, to different texts), for each row of ``docs``.
+    """doc_id and class_id (the least doc_id of its class), for each row of ``docs``.
 
     Documents are in a class if verified links, of weighted Jaccard similarity 0.8 or more over five-word shingles, or equal
     weighted sets, connect them. Texts without words, null ones too, are classes of their own; very long texts are taken
@@ -352,12 +362,11 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = materialize(signatures(docs))
     found = materialize(links(signed, docs))
     roots = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(degree, "node", "left")
+    known = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     rows = signed.select("doc_id", "content").join(known.withColumnRenamed("node", "content"), "content", "left")
-    rows = materialize(rows.select("doc_id", "content", F.coalesce("root", "content").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    rows = materialize(rows.select("doc_id", F.coalesce("root", "content").alias("root")))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id")).alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), "n_links")
+    return rows.join(least, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

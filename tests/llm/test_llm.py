@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ctxloom.llm import ann, decontam, html_extract, line_dedup, near_dedup, packing, pii, quality, suffix_dedup, url_filter
 from tests.conftest import SF
@@ -136,6 +137,16 @@ def test_near_dedup(spark):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_links_beside_leaders(spark):
+    """A chain in one large bucket: each text is like its neighbours only, so most links are beside the leaders."""
+    words = [f"c{k}" for k in range(300)]
+    docs = _docs(spark, [(k, " ".join(words[9 * k : 9 * k + 90])) for k in range(20)] + [(99, _prose(31, 90))])
+    signed = near_dedup.signatures(docs).withColumn("bands", F.array(F.lit(1).cast("long"))).cache()
+    name = {bytes(r.content): r.doc_id for r in signed.collect()}
+    roots = near_dedup.components(near_dedup.links(signed, docs)).collect()
+    assert {name[bytes(x)] for r in roots for x in (r.node, r.root)} == set(range(20)) and len({bytes(r.root) for r in roots}) == 1
+
+
 def test_dart_minhash_estimates_similarity():
     a = _prose(41, 400).split()
     for keep in (0.95, 0.8, 0.5):
