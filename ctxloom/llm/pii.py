@@ -1,10 +1,11 @@
 """Personal data: patterns, and information-theoretic sanitisation, in DataFrame operations only.
 
-Emails, IP addresses, card and phone numbers are found by pattern, with their places. They are the protected entities.
-Words that stand within a few words of an entity are its context. Over the corpus, a word discloses an entity to the
-degree of their pointwise mutual information, log2(p(entity | word) / p(entity)), with probabilities from document counts. A
-context word that occurs with the same entity in ``min_support`` documents at least, and of which at least ``generalise_at``
-of its documents hold it, is generalised; from ``remove_at`` on it is removed.
+Emails, IP addresses, card and phone numbers are found by pattern, with their places. They are the protected entities, each
+under two names: its own, and that of its group (the domain, or the number without its last part), which recurs where single
+entities do not. Over the corpus, a word discloses an entity to the degree of their pointwise mutual information,
+log2(p(entity | word) / p(entity)), with probabilities from document counts; a document's words are all that stand outside
+entities. A word that occurs with the same entity in ``min_support`` documents at least, and of which at least ``generalise_at`` of
+its documents hold it, is generalised wherever it stands; from ``remove_at`` on it is removed.
 """
 
 from __future__ import annotations
@@ -24,20 +25,18 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: Words that may disclose: letters, in any script.
 TERM = r"\p{L}{3,}"
-#: Words of context on each side of an entity, and the characters they are looked for in.
-CONTEXT_WORDS, CONTEXT_CHARS = 3, 80
 MIN_SUPPORT = 3
 #: Shares of a word's documents that hold the entity; and the least information in bits.
 GENERALISE_AT, REMOVE_AT, MIN_BITS = 0.5, 0.8, 3.0
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, match) of all matches, leftmost and not overlapping; in code points, ends exclusive.
 
     Between the pieces that ``split`` leaves stand the matches that ``regexp_extract_all`` gives, so places are sums of lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
+    pieces = F.split(text, F.lit(pattern), -1)
     pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
@@ -92,67 +91,97 @@ def find(docs: DataFrame) -> DataFrame:
     return found.where(" OR ".join(f"size({k}) > 0" for k in KINDS))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, _text, entity, term, start, end): words next to entities that are no part of one themselves."""
-    named = lambda kind: lambda m: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(m["match"])).alias("entity"), m["start"].alias("s"), m["end"].alias("e"))
-    every = F.concat(*[F.transform(k, named(k)) for k in KINDS])
-    one = found.select("doc_id", F.xxhash64("text").alias("_text"), "text", every.alias("all")).withColumn("x", F.explode("all"))
-    s, e, text = F.col("x.s"), F.col("x.e"), F.col("text")
-    first = F.greatest(s - CONTEXT_CHARS, F.lit(0))
-    before = matches(F.substring(text, first + 1, s - first), r"(?<!\p{L})" + TERM + r"(?!\p{L})")
-    after = matches(F.substring(text, e + 1, F.lit(CONTEXT_CHARS)), r"(?<!\p{L})" + TERM + r"(?!\p{L})")
-    moved = lambda array, by: F.transform(array, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["match"]).alias("term")))
-    near = F.concat(F.slice(moved(before, first), -CONTEXT_WORDS, CONTEXT_WORDS), F.slice(moved(after, e), 1, CONTEXT_WORDS))
-    near = F.when(F.size(before) < CONTEXT_WORDS, F.concat(moved(before, first), F.slice(moved(after, e), 1, CONTEXT_WORDS))).otherwise(near)
-    outside = F.filter(near, lambda t: ~F.exists("all", lambda m: (m["s"] < t["end"]) & (t["start"] < m["e"])))
-    return one.select("doc_id", "_text", F.col("x.entity").alias("entity"), F.inline(outside))
+def _names(kind: str, match: Column) -> Column:
+    """An entity's own name and that of its group."""
+    if kind == "email":
+        own = F.lower(match)
+        group = F.substring_index(own, "@", -1)
+    elif kind == "ip":
+        own = F.regexp_replace(match, r"(?<![0-9])0+(?=[0-9])", "")
+        group = F.substring_index(own, ".", 3)
+    else:
+        own = _digits(match)
+        group = F.substring(own, 1, 6) if kind == "card" else F.substring(own, F.lit(1), F.length(own) - 4)
+    return F.array(F.concat(F.lit(f"{kind}:"), own), F.concat(F.lit(f"{kind} group:"), group))
+
+
+def _words(text: Column) -> Column:
+    """The distinct words of a text, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+
+
+def _outside(text: Column) -> Column:
+    """The text with a space in place of each entity."""
+    spans = F.array_sort(F.concat(*[F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS]))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    piece = lambda acc, p: F.substring(text, acc["at"] + 1, F.greatest(p["start"] - acc["at"], F.lit(0)))
+    done = F.aggregate(spans, zero, lambda acc, p: F.struct(F.greatest(acc["at"], p["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc, p))).alias("out")))
+    return F.concat(F.array_join(done["out"], " "), F.lit(" "), F.substring(text, done["at"] + 1, F.length(text)))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_bits: float = MIN_BITS) -> DataFrame:
-    """(doc_id, _text, start, end, term, bits, action): the context words that disclose an entity beyond the thresholds.
+    """(term, bits, action): the words that disclose an entity beyond the thresholds, with the most that they disclose.
 
-    Counts are of documents, over the whole corpus: those of the entity, of the word, and of both together.
+    Counts are of documents, over the whole corpus: those of the entity, of the word, and of both together. Repeated rows are one document.
     """
-    contexts = materialize(_contexts(found))
-    document = F.struct("doc_id", "_text")
-    pairs = contexts.groupBy("entity", "term").agg(F.count_distinct(document).alias("both")).where(F.col("both") >= min_support)
-    seen = contexts.groupBy("entity").agg(F.count_distinct(document).alias("n_entity"))
-    pairs = materialize(pairs.join(seen, "entity"))
-    words = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    counts = counts.where(F.col("n_term") >= min_support).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    share = F.least(F.lit(1.0), F.col("both") / F.col("n_term"))
-    judged = (
+    named = lambda kind: lambda m: _names(kind, m["match"])
+    names = F.array_distinct(F.flatten(F.concat(*[F.transform(k, named(k)) for k in KINDS])))
+    words = materialize(found.select(names.alias("names"), _words(_outside(F.col("text"))).alias("words"), _words(F.col("text")).alias("every")))
+    named = words.select("words", F.explode("names").alias("entity"))
+    seen = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= min_support)
+    pairs = named.join(seen, "entity").select("entity", "n_entity", F.explode("words").alias("term"))
+    pairs = materialize(pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support))
+    # The words of all rows, less those of repeated rows, and less those that stand in entities only.
+    document = [F.col("doc_id"), F.xxhash64("text").alias("_text")]
+    rows = materialize(docs.groupBy(*document).agg(F.count(F.lit(1)).alias("n_rows")))
+    repeated = rows.where("n_rows > 1").withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
+    copies = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).dropDuplicates(["doc_id", "text"])
+    counted = docs.select(F.explode(_words(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    counted = counted.unionByName(copies.select(F.explode(_words(F.col("text"))).alias("term"), (1 - F.col("n_rows")).alias("n")))
+    counted = counted.unionByName(words.select(F.explode(F.array_except("every", "words")).alias("term"), F.lit(-1).cast("long").alias("n")))
+    counts = counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
+    return (
         pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row: the number of documents
-        .withColumn("share", share).withColumn("bits", F.log2(F.col("share") * F.col("n_docs") / F.col("n_entity")))
+        .withColumn("share", F.col("both") / F.col("n_term")).withColumn("bits", F.log2(F.col("share") * F.col("n_docs") / F.col("n_entity")))
         .where((F.col("share") >= generalise_at) & (F.col("bits") >= min_bits))
-        .select("entity", "term", "bits", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
+        .groupBy("term").agg(F.max("bits").alias("bits"), F.max(F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")).alias("action"))
     )
-    hits = contexts.join(judged, ["entity", "term"])
-    return hits.groupBy("doc_id", "_text", "start", "end").agg(F.first("term").alias("term"), F.max("bits").alias("bits"), F.max("action").alias("action"))
+
+
+def _places(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """(_id, _hash, terms): every place of the words ``judged``, in all documents that hold any."""
+    held = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.explode(_words(F.col("text"))).alias("term")).join(judged, "term")
+    held = held.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.collect_set(F.struct("term", F.struct("bits", "action").alias("judged"))).alias("held"))
+    texts = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).dropDuplicates(["doc_id", "_hash"])
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("held", lambda h: h["term"]), "|"), F.lit(r")(?!\p{L})"))
+    named = texts.select("_id", "_hash", F.map_from_entries("held").alias("held"), matches(F.col("text"), pattern).alias("m"))
+    placed = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["match"]).alias("term"), F.col("held")[F.lower(m["match"])].alias("judged"))
+    terms = F.filter(F.transform("m", placed), lambda t: t["judged"].isNotNull())
+    return named.select("_id", "_hash", F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["term"].alias("term"), t["judged"]["bits"].alias("bits"), t["judged"]["action"].alias("action"))).alias("terms"))
 
 
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
     """One row for each row of ``docs``: its columns but text, the entities of each kind, and ``terms``, an array of
-    (start, end, term, bits, action) of disclosing words.
+    (start, end, term, bits, action) of disclosing words outside entities.
 
     Null text is empty and holds nothing, as do empty texts; texts of any length are searched whole; repeated rows each
     give a row; columns called email, ip, card, phone or terms are replaced.
     """
     docs = docs.drop(*KINDS, "terms", "_text")
     found = materialize(find(docs.select("doc_id", "text")).dropDuplicates(["doc_id", "text"]))
-    terms = disclosures(docs, found, **thresholds)
-    listed = terms.groupBy("doc_id", "_text").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "bits", "action"))).alias("terms"))
-    key = found.select("doc_id", F.xxhash64("text").alias("_text"), *KINDS)
-    listed = listed.withColumnsRenamed({"doc_id": "_i", "_text": "_t"})
-    all_found = key.join(listed, key["doc_id"].eqNullSafe(listed["_i"]) & (key["_text"] == listed["_t"]), "left").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), *KINDS, "terms")
+    judged = materialize(disclosures(docs, found, **thresholds))
+    placed = materialize(_places(docs.select("doc_id", "text"), judged)).withColumnsRenamed({"_id": "_i", "_hash": "_t"})
+    all_found = found.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), *KINDS)
     own = docs.withColumn("_text", F.xxhash64("text")).drop("text")
     joined = own.join(all_found, own["doc_id"].eqNullSafe(all_found["_id"]) & (own["_text"] == all_found["_hash"]), "left")
+    joined = joined.join(placed, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left")
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    every = F.concat(*[F.coalesce(k, empty) for k in KINDS])
+    terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string,bits:double,action:string>>"))
     return joined.select(
         *[c for c in docs.columns if c != "text"], *[F.coalesce(k, empty).alias(k) for k in KINDS],
-        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string,bits:double,action:string>>")).alias("terms"),
+        F.filter(terms, lambda t: ~F.exists(every, lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"]))).alias("terms"),
     )
 
 

@@ -255,6 +255,19 @@ def test_pii_places(spark):
     assert pii.spans(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_pii_terms_of_whole_documents(spark):
+    """Each address comes once, its domain three times; the name stands far from it, and once without it."""
+    far = " plain words" * 60
+    texts = [(k, f"Zorblatt wrote.{far} Then u{k}@corp.example and zorblatt again") for k in (1, 2, 3)] + [(4, "only ZORBLATT here"), (5, "zorblatty is another word")]
+    texts += [(k, f"plain words then and wrote only again here {chr(97 + k % 26) * 3}") for k in range(20, 80)]
+    docs = _docs(spark, texts)
+    got = {r.doc_id: [(t["start"], t["end"]) for t in r.terms if t["term"] == "zorblatt"] for r in pii.spans(docs.unionByName(docs.where("doc_id = 4"))).collect()}
+    for i, t in texts:
+        assert got[i] == [m.span() for m in re.finditer(r"\bzorblatt\b", t.lower())], i
+    assert {t["term"] for r in pii.spans(docs).collect() for t in r.terms} == {"zorblatt"}
+    assert "zorblatt" not in {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[4].lower()
+
+
 def test_packing_round_trip(spark):
     path = packing._default_tokenizer()
     texts = TEXTS + [(400, "a<|endoftext|>b \x1c c"), (401, "İx ΣΑΣ é́")]
