@@ -101,7 +101,8 @@ def weight_search(spark, d):
 
 @query()
 def answer_metrics(spark, d):
+    """Each assistant turn with the user turn that it follows; a system turn between them, or further assistant turns, change nothing."""
     c = read(spark, d, "conversations")
-    asked = c.where("turn = 0").select("conv_id", F.col("text").alias("q"))
-    both = c.where("turn = 1").join(asked, "conv_id")
-    return both.select("conv_id", E.answer_completeness(F.col("text"), F.col("q")).alias("completeness"), E.lexical_relevance(F.col("text"), F.col("q")).alias("lexical_relevance"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    both = c.withColumn("q", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)).where("role = 'assistant' AND q IS NOT NULL")
+    return both.select("conv_id", "turn", E.answer_completeness(F.col("text"), F.col("q")).alias("completeness"), E.lexical_relevance(F.col("text"), F.col("q")).alias("lexical_relevance"))

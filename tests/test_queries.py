@@ -54,3 +54,10 @@ def test_top_k_plan_is_limited_by_group(spark):
 def test_scan_reads_only_what_it_needs(spark):
     plan = plans.QUERIES["pricing_summary"](spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_orderkey" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_answer_metrics_pairs_every_answer(spark, tmp_path):
+    rows = [(1, 0, "system", "rules"), (1, 1, "user", "alpha?"), (1, 2, "assistant", "alpha"), (1, 3, "user", "beta?"), (1, 4, "assistant", "beta"), (2, 0, "assistant", "hello"), (2, 1, "user", "gamma?"), (2, 2, "assistant", "nothing")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.lexical_relevance for r in plans.QUERIES["answer_metrics"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 2), (1, 4), (2, 2)} and got[1, 2] == got[1, 4] > got[2, 2]
