@@ -39,18 +39,55 @@ def asked(n):
     return n.where("pos = 0").select("graph_id", F.col("text").alias("query"), F.col("embedding").alias("vector"))
 
 
+def subqueries(n):
+    """Three for each graph: the vectors of its first nodes."""
+    return n.where("pos < 3").select("graph_id", F.col("pos").alias("subquery_id"), F.col("embedding").alias("vector"))
+
+
+def references(n):
+    """A reference from each graph's first node to the fifth chunk of its document."""
+    return n.where("pos = 0").select(F.col("id").alias("a"), F.regexp_replace("id", "_000$", "_004").alias("b"))
+
+
 @query(f"WITH {_NODES}, {_PAIRS}, {_EDGES} SELECT graph_id, source, target, round(weight, 6) AS weight FROM edges")
 def edge_weights(spark, d):
     """Without texts: source, similarity and adjacency; entities are in ``edge_weights_full``."""
     return G.build_edges(nodes(spark, d, texts=False)).select("graph_id", "source", "target", F.round("weight", 6).alias("weight"))
 
 
-@query()
-def edge_weights_full(spark, d):
+def full_edges(spark, d, n, references=None):
     from ctxloom.operators.retrieval import document_frequency
 
     idf = document_frequency(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return G.build_edges(nodes(spark, d), idf=idf)
+    return G.build_edges(n, references, idf=idf)
+
+
+@query()
+def edge_weights_full(spark, d):
+    return full_edges(spark, d, nodes(spark, d))
+
+
+@query()
+def node_degree_full(spark, d):
+    n = nodes(spark, d)
+    return G.degrees(n, full_edges(spark, d, n))
+
+
+@query()
+def graph_connectivity_full(spark, d):
+    n = nodes(spark, d)
+    return G.connectivity(n, full_edges(spark, d, n))
+
+
+@query()
+def connected_nodes_full(spark, d):
+    return G.connected_nodes(full_edges(spark, d, nodes(spark, d)))
+
+
+@query()
+def css_features_full(spark, d):
+    n = nodes(spark, d)
+    return S.features(n, full_edges(spark, d, n), asked(n), subqueries(n))
 
 
 @query(f"WITH {_NODES}, {_PAIRS}, {_EDGES}, e AS (SELECT graph_id, source AS id FROM edges UNION ALL SELECT graph_id, target FROM edges) SELECT n.graph_id, n.id, count(e.id) AS degree FROM nodes n LEFT JOIN e ON n.graph_id = e.graph_id AND n.id = e.id GROUP BY ALL")
@@ -153,6 +190,13 @@ def prune_graph(spark, d):
     return G.prune(n, none, asked(n).select("graph_id", F.col("vector").alias("query"))).select("graph_id", "id")
 
 
+@query()
+def prune_graph_full(spark, d):
+    """With the graphs' edges and the nodes that subqueries need."""
+    n = nodes(spark, d)
+    return G.prune(n, full_edges(spark, d, n, references(n)), asked(n).select("graph_id", F.col("vector").alias("query")), G.critical_nodes(n, subqueries(n))).select("graph_id", "id")
+
+
 @query()
 def expand_graph(spark, d):
     n = nodes(spark, d, texts=False)

@@ -61,3 +61,23 @@ def test_answer_metrics_pairs_every_answer(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): r.lexical_relevance for r in plans.QUERIES["answer_metrics"](spark, str(tmp_path)).collect()}
     assert set(got) == {(1, 2), (1, 4), (2, 2)} and got[1, 2] == got[1, 4] > got[2, 2]
+
+
+def test_full_graph_queries_count_all_edges(spark):
+    edges = plans.QUERIES["edge_weights_full"](spark, SF).collect()
+    run = lambda name: plans.QUERIES[name](spark, SF).collect()
+    assert any("entity_overlap" in r.relation for r in edges)
+    degree, linked, weight = {}, set(), {}
+    for r in edges:
+        weight[r.graph_id] = weight.get(r.graph_id, 0) + r.weight
+        for a, b in ((r.source, r.target), (r.target, r.source)):
+            degree[r.graph_id, a] = degree.get((r.graph_id, a), 0) + 1
+            linked |= {(r.graph_id, a, b)} if r.weight >= 0.3 else set()
+    got = run("node_degree_full")
+    size = {g: sum(r.graph_id == g for r in got) for g in {r.graph_id for r in got}}
+    want = {g: min(1, weight.get(g, 0) / (n * (n - 1) / 2)) if n > 1 else 1 for g, n in size.items()}
+    assert {(r.graph_id, r.id): r.degree for r in got if r.degree} == degree
+    assert {tuple(r) for r in run("connected_nodes_full")} == linked
+    assert {r.graph_id: r.connectivity for r in run("graph_connectivity_full")} == pytest.approx(want)
+    assert {r.graph_id: r.graph_connectivity for r in run("css_features_full")} == pytest.approx(want)
+    assert len(run("prune_graph_full")) == sum(n - (n > 3) for n in size.values())
