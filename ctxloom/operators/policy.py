@@ -24,11 +24,12 @@ class Policy:
     expand_below: int = 8
     compress_at: float = 0.6
     least_gain: float = 0.03
+    steps_before_least_gain: int = 3
     low_confidence: float = 0.30
 
 
-def candidates(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy) -> DataFrame:
-    """Nodes with a column action: each graph as each action would leave it. Large graphs are not expanded."""
+def candidates(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy, subqueries: DataFrame | None = None) -> DataFrame:
+    """Nodes with a column action: each graph as each action would leave it. Large graphs are not expanded; what a subquery needs counts for pruning."""
     vectors = queries.select("graph_id", F.col("vector").alias("query"))
     edges = G.build_edges(nodes, references)
     size = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < policy.expand_below)
@@ -36,7 +37,7 @@ def candidates(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queri
     merged = G.compress(nodes, policy.compress_at).withColumnRenamed("text", "_text")
     options = {
         "expand": G.expand(small, edges, corpus, references, vectors.join(size, "graph_id", "left_semi"), policy.expand_k),
-        "prune": G.prune(nodes, edges, vectors),
+        "prune": G.prune(nodes, edges, vectors, None if subqueries is None else G.critical_nodes(nodes, subqueries)),
         "compress": nodes.join(merged, ["graph_id", "id"]).withColumn("text", F.col("_text")).select(*nodes.columns),
         "stop": nodes,
     }
@@ -47,31 +48,42 @@ def candidates(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queri
     return out
 
 
-def step(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
-    """The nodes after each graph's best action, and (graph_id, action, css). Of equal scores the first action wins."""
-    options = candidates(nodes, corpus, references, queries, policy)
+def step(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy, subqueries: DataFrame | None = None, write=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """The nodes after each graph's best action, and (graph_id, action, css, gain over the graph as it was). Of equal scores the
+    first action wins. ``subqueries`` are (graph_id, subquery_id, vector)."""
+    options = write(candidates(nodes, corpus, references, queries, policy, subqueries))
     keyed = options.withColumn("graph_id", F.concat_ws("#", "graph_id", "order"))
-    asked = queries.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(len(ACTIONS) - 1)))).withColumn("graph_id", F.concat_ws("#", "graph_id", "order")).drop("order")
+    each = lambda df: df.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(len(ACTIONS) - 1)))).withColumn("graph_id", F.concat_ws("#", "graph_id", "order")).drop("order")
+    asked, parts = each(queries), None if subqueries is None else each(subqueries)
     plain = keyed.drop("action", "order")
-    scored = S.features(plain, G.build_edges(plain, references), asked).withColumn("css", S.score())
+    scored = S.features(plain, G.build_edges(plain, references), asked, parts).withColumn("css", S.score())
     present = options.select("graph_id", "order", "action").distinct()
     scored = scored.select(F.element_at(F.split("graph_id", "#"), -1).cast("int").alias("order"), F.regexp_replace("graph_id", "#[0-9]+$", "").alias("graph_id"), "css").join(present, ["graph_id", "order"])
+    scored = scored.withColumn("gain", F.col("css") - F.max(F.when(F.col("action") == "stop", F.col("css"))).over(Window.partitionBy("graph_id")))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.round("css", 12).desc(), "order"))).where("r = 1").drop("r")
-    return options.join(best.select("graph_id", "order"), ["graph_id", "order"], "left_semi").select(*nodes.columns), best.select("graph_id", "action", "css")
+    best = write(best.select("graph_id", "order", "action", "css", "gain"))
+    return options.join(best.select("graph_id", "order"), ["graph_id", "order"], "left_semi").select(*nodes.columns), best.select("graph_id", "action", "css", "gain")
 
 
-def optimise(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy | None = None, write=None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, trace) after at most ``steps`` steps: trace is (graph_id, step, action, css, low_confidence). A graph whose best
-    action is stop stays as it is. ``write`` cuts the lineage of a step (a table in the shared folder)."""
+def optimise(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy | None = None, write=None, subqueries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, trace) after at most ``steps`` steps: trace is (graph_id, action, css, gain, step, low_confidence). A graph ends
+    when its best action is stop, or when a step after the first ``steps_before_least_gain`` gains less than ``least_gain``; it
+    keeps what that step made. ``write`` cuts the lineage of a step (a table in the shared folder)."""
     policy = policy or Policy()
     write = write or (lambda df: df.checkpoint())
-    nodes, trace = nodes.withColumn("graph_id", F.col("graph_id").cast("string")), None
-    queries = queries.withColumn("graph_id", F.col("graph_id").cast("string"))
+    own = lambda df: df.withColumn("graph_id", F.col("graph_id").cast("string"))
+    nodes, queries, subqueries, trace, ended = own(nodes), own(queries), None if subqueries is None else own(subqueries), None, None
     for k in range(policy.steps):
-        moved, chosen = step(nodes, corpus, references, queries, policy)
-        chosen = write(chosen.withColumns({"step": F.lit(k), "low_confidence": F.col("css") < policy.low_confidence}))
-        nodes = write(moved)
+        moved, chosen = step(nodes, corpus, references, queries, policy, subqueries, write)
+        chosen = chosen.withColumns({"step": F.lit(k), "low_confidence": F.col("css") < policy.low_confidence})
         trace = chosen if trace is None else trace.unionByName(chosen)
-        if not chosen.where("action != 'stop'").limit(1).count():
+        over = F.col("action") == "stop"
+        if k >= policy.steps_before_least_gain:
+            over = over | (F.col("gain") < policy.least_gain)
+        going = chosen.where(~over).select("graph_id")
+        done = moved.join(going, "graph_id", "left_anti").select(*nodes.columns)
+        ended = done if ended is None else ended.unionByName(done)
+        nodes, queries = moved.join(going, "graph_id", "left_semi").select(*nodes.columns), queries.join(going, "graph_id", "left_semi")
+        if not going.limit(1).count():
             break
-    return nodes, trace
+    return (nodes if ended is None else ended.unionByName(nodes)), trace

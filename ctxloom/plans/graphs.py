@@ -3,6 +3,9 @@ the same numbers. Graphs are of GRAPH vectors each, so pair joins stay linear in
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ctxloom.operators import graph as G
@@ -212,11 +215,15 @@ def compress_groups(spark, d):
 
 @query()
 def greedy_policy(spark, d):
-    n = nodes(spark, d)
-    few = n.where("pos < 4")
-    references = n.where("pos = 0").select(F.col("id").alias("a"), F.regexp_replace("id", "_000$", "_004").alias("b"))
-    _, chosen = P.step(few, n.drop("graph_id", "pos"), references, asked(few), P.Policy())
-    return chosen
+    """The whole search over whole graphs: what each graph does in each step."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ctxloom-")
+
+    def write(df):
+        df.write.parquet(path := f"{shared.rstrip('/')}/{uuid.uuid4().hex}")
+        return spark.read.schema(df.schema).parquet(path)
+
+    n = write(nodes(spark, d))
+    return P.optimise(n, n.drop("graph_id", "pos"), references(n), asked(n), P.Policy(), write, subqueries(n))[1]
 
 
 @query()

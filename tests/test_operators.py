@@ -94,6 +94,26 @@ def test_score_is_monotone_in_relevance(spark):
     assert got == sorted(got) and all(0 < x < 1 for x in got)
 
 
+def test_policy_ends_on_least_gain_and_passes_subqueries(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    n = _graph(spark, 4)
+    q = spark.createDataFrame([("g", "alpha beta", [1.0, 1.0, 0.0])], "graph_id string, query string, vector array<double>")
+    sub = spark.createDataFrame([("g", 0, [1.0, 0.0, 0.0])], "graph_id string, subquery_id int, vector array<double>")
+    refs = spark.createDataFrame([], "a string, b string")
+    args = n, n.drop("graph_id", "pos"), refs, q
+    plain, given = (P.step(*args, P.Policy(), s)[1].first().css for s in (None, sub))
+    assert plain != given
+    seen = []
+
+    def always_moves(nodes, *rest):
+        seen.append(nodes.count())
+        return nodes, spark.createDataFrame([("g", "prune", 0.5, 0.04 if len(seen) < 2 else 0.01)], "graph_id string, action string, css double, gain double")
+
+    monkeypatch.setattr(P, "step", always_moves)
+    nodes, trace = P.optimise(*args, subqueries=sub)
+    assert len(seen) == 4 and trace.count() == 4 and nodes.count() == 4
+
+
 def test_policy_stops(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     n = _graph(spark, 4)
