@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -41,6 +42,11 @@ def _lower(text: str) -> str:
         return text
 
 
+def _plain(word: str) -> bool:
+    """Whether a word of letters is letters still, lower-cased and composed: a mark that comes off would go to the sign after it."""
+    return word.isascii() or unicodedata.normalize("NFC", word.lower()).isalpha()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -79,7 +85,7 @@ class Encoder:
         """
         words = [w for w in missing if w.isalpha()]
         rest = [w for w in missing if not w.isalpha()]
-        ended = [w for w in rest if w[-1] in ".," and w[:-1].isalpha()]
+        ended = [w for w in rest if w[-1] in ".," and w[:-1].isalpha() and _plain(w[:-1])]
         need = {w[:-1] for w in ended}.difference(self.kept)
         words += need.difference(words)
         for lo in range(0, len(words), 512):
