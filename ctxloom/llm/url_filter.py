@@ -18,9 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Fixed values: (action, rule). A rule is a host, with all its subdomains, and the beginning of a path.
-RULES = (
-    ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
-)
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 #: Labelled URLs, by hand.
 ALLOWED = """
