@@ -51,12 +51,13 @@ def recursive_split(text: str, size: int = 500, overlap: int = 100, separators:
     return [p for p in (x.strip() for x in out) if p]
 
 
-def splitter(size: int, overlap: int):
-    """``recursive_split`` as an Arrow UDF: the packing of pieces depends on their order, which column functions do not express well."""
+def splitter(size: int, overlap: int, largest: int):
+    """``recursive_split`` of each of an array's texts as an Arrow UDF: the packing of pieces depends on their order, which column
+    functions do not express well. Texts of at most ``largest`` characters stay whole."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_split(t or "", size, overlap))
+    @F.pandas_udf("array<array<string>>")
+    def split(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda parts: None if parts is None else [[t] if len(t) <= largest else recursive_split(t, size, overlap) for t in parts])
 
     return split
 
@@ -65,20 +66,19 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 100, l
     """id, text, source_doc_id, source_title, chunk_index, section_id and section_heading of the chunks of (id, title, text).
 
     The text is the title and the text below it. Sections over ``largest`` are split again, each piece under its section's
-    heading; texts without sections are split by size.
+    heading; texts without sections are split by size. One map over the rows: a repeated row gives its chunks again.
     """
-    split = splitter(size, overlap)
     full = documents.select("id", "title", F.concat_ws("\n", "title", "text").alias("full")).withColumn("parts", sections(F.col("full")))
-    # One row for each section, or for a text without any.
-    one = full.select("id", "title", F.posexplode(F.coalesce("parts", F.array("full"))).alias("part", "body"), F.col("parts").isNotNull().alias("sectioned"))
-    heading = F.when(F.col("sectioned"), strip(F.substring(F.element_at(F.split("body", "\n"), 1), 1, 100)))
-    one = one.withColumns({"section_heading": heading, "section_id": F.when(F.col("sectioned"), section_id(heading))})
-    whole = F.col("sectioned") & (F.length("body") <= largest)
-    pieces = one.withColumn("pieces", F.when(whole, F.array("body")).otherwise(split("body")))
-    pieces = pieces.withColumn("pieces", F.when(F.col("sectioned") & ~whole, F.transform("pieces", lambda p: F.concat(F.lit("["), F.col("section_heading"), F.lit("]\n"), p))).otherwise(F.col("pieces")))
-    grouped = pieces.groupBy("id", "title").agg(F.array_sort(F.collect_list(F.struct("part", "pieces", "section_id", "section_heading"))).alias("all"))
-    flat = F.flatten(F.transform("all", lambda x: F.transform(x["pieces"], lambda p: F.struct(p.alias("text"), x["section_id"].alias("section_id"), x["section_heading"].alias("section_heading")))))
-    out = grouped.select("id", "title", F.posexplode(flat).alias("chunk_index", "c"))
+    cut = full.select("id", "title", "parts", splitter(size, overlap, largest)("parts").alias("cut"), splitter(size, overlap, 0)(F.when(F.col("parts").isNull(), F.array("full"))).alias("plain"))
+    heading = lambda body: strip(F.substring(F.element_at(F.split(body, "\n"), 1), 1, 100))
+
+    def section(body: Column, pieces: Column) -> Column:
+        named = F.when(F.length(body) <= largest, pieces).otherwise(F.transform(pieces, lambda p: F.concat(F.lit("["), heading(body), F.lit("]\n"), p)))
+        return F.transform(named, lambda p: F.struct(p.alias("text"), section_id(heading(body)).alias("section_id"), heading(body).alias("section_heading")))
+
+    sectioned = F.flatten(F.zip_with("parts", "cut", section))
+    plain = F.transform(F.flatten("plain"), lambda p: F.struct(p.alias("text"), F.lit(None).cast("string").alias("section_id"), F.lit(None).cast("string").alias("section_heading")))
+    out = cut.select("id", "title", F.posexplode(F.coalesce(sectioned, plain)).alias("chunk_index", "c"))
     return out.select(
         F.format_string("%s_chunk_%03d", "id", "chunk_index").alias("id"), "c.text", F.col("id").alias("source_doc_id"), F.col("title").alias("source_title"), "chunk_index", "c.section_id", "c.section_heading"
     )

@@ -178,9 +178,20 @@ def query_entities(query: Column) -> Column:
     return F.array_distinct(F.concat(references, compounds, query_nouns(query)))
 
 
+def relations(query: Column) -> Column:
+    """Array of (e1, relation, e2): for each pair of the query's first six entities the first relation word of the query, in the order of the word list."""
+    low = F.lower(query)
+    word = F.get(F.filter(F.array(*map(F.lit, sorted(V.RELATION_WORDS))), lambda w: F.contains(low, w)), F.lit(0))
+    e = F.filter(F.slice(query_entities(query), 1, 6), lambda x: F.contains(low, F.lower(x)))
+    pairs = F.flatten(F.transform(e, lambda x, i: F.transform(F.slice(e, i + 2, 6), lambda y: F.struct(x.alias("e1"), word.alias("relation"), y.alias("e2")))))
+    return F.when(word.isNotNull(), pairs).otherwise(F.array().cast("array<struct<e1:string,relation:string,e2:string>>"))
+
+
 def subqueries(query: Column) -> Column:
-    """A question for each of the first five entities, and the query itself."""
-    return F.array_append(F.transform(F.slice(query_entities(query), 1, 5), lambda e: F.concat(F.lit("What is "), e, F.lit("?"))), query)
+    """A question for each of the first five entities and of the first three relations, and the query itself."""
+    named = F.transform(F.slice(query_entities(query), 1, 5), lambda e: F.concat(F.lit("What is "), e, F.lit("?")))
+    linked = F.transform(F.slice(relations(query), 1, 3), lambda r: F.concat(F.lit("How is "), r["e1"], F.lit(" "), r["relation"], F.lit(" to "), r["e2"], F.lit("?")))
+    return F.concat(named, linked, F.when(strip(query) != "", F.array(strip(query))).otherwise(F.array().cast("array<string>")))
 
 
 def contradiction_flags(text: Column) -> Column:

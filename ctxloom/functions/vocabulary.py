@@ -42,20 +42,29 @@ QUALIFIERS = (
 )
 OVERRIDE_PATTERNS = (r"\bnotwithstanding\b", r"\bexcept\s+as\b", r"\bsubject\s+to\b", r"\bprovided\s+however\b", r"\bunless\s+otherwise\b")
 
+# What a contract says on each trap.
+OVERRIDE_SENTENCE = r"(?is)([^.]{0,80}(?:notwithstanding|except as|subject to)[^.]{0,200}\.)"
+CLAUSE_SECTION = r"[Ss]ection\s+\d+(?:\.\d+)*(?:\([a-z]\))?"
+PLACEHOLDER_TERMS = ("[***]", "including", "1", "to the extent")
+DEFINITION_SENTENCES = (('"', r'"\s+(?:means|shall\s+mean)\s+([^.]{0,300}\.)'), (r"(?iU)\b", r"\b\s+(?:means|shall\s+mean)\s+([^.]{0,300}\.)"))
+SCATTERED_SECTION = r"(?iU)\b(?:Section|Article)\s+(\d+(?:\.\d+)*(?:\([a-z]\))?)"
+
 # The vocabulary of queries.
 YES_NO_STARTS = ("does ", "is ", "are ", "can ", "will ")
 COMPOUND_TERMS = (
     "non-compete", "non-disclosure", "non-solicitation", "non-exclusive", "intellectual property", "good faith", "best efforts", "force majeure", "governing law",
     "confidentiality agreement", "material breach", "termination rights", "indemnification clause", "liability cap",
 )
-QUERY_STOPWORDS = tuple(
-    "the and or of to a an in is are for on with by from this that these those it its be been being have has had do does did will would could should may might must shall can not no yes"
-    " what which who whom how when where why if then so than too very just also more most some any all each every both few many much such own same other"
-    " explain describe tell show give provide list define discuss analyze compare contrast identify find get make help need want know understand"
-    " connection relationship thing things way ways type types kind kinds form forms part parts example examples case cases use uses time times information details data stuff item items"
-    " common main major minor different various certain specific general overall key important relevant"
-    " their your our my his her them us outlined stated described mentioned specified".split()
-)
+QUERY_STOPWORDS = (
+    "the", "and", "or", "of", "to", "a", "an", "in", "is", "are", "for", "on", "with", "by", "from", "this", "that", "these", "those", "it", "its", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "not", "no", "yes", "what", "which", "who",
+    "whom", "how", "when", "where", "why", "if", "then", "so", "than", "too", "very", "just", "also", "more", "most", "some", "any", "all", "each", "every", "both",
+    "few", "many", "much", "such", "own", "same", "other", "explain", "describe", "tell", "show", "give", "provide", "list", "define", "discuss", "analyze", "compare",
+    "contrast", "identify", "find", "get", "make", "help", "need", "want", "know", "understand", "connection", "relationship", "thing", "things", "way", "ways", "type",
+    "types", "kind", "kinds", "form", "forms", "part", "parts", "example", "examples", "case", "cases", "use", "uses", "time", "times", "information", "details", "data",
+    "stuff", "item", "items", "common", "main", "major", "minor", "different", "various", "certain", "specific", "general", "overall", "key", "important", "relevant",
+    "their", "your", "our", "my", "his", "her", "them", "us", "outlined", "stated", "described", "mentioned", "specified",
+)
 RELATION_WORDS = (
     "associated", "linked", "related", "connected", "correlated", "affects", "causes", "leads", "influences", "impacts", "higher", "lower", "increased", "decreased", "between",
 )

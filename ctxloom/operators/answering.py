@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
 from ctxloom.functions import vocabulary as V
+from ctxloom.functions.text import relations
 
 PARSED = "entities array<string>, domain_terms array<string>, subqueries array<string>, intent string, clause_types array<string>"
 
@@ -50,15 +51,6 @@ def preprocess(queries: DataFrame, model: Generator | None = None) -> DataFrame:
     return keyed.join(once.select("_key", parsed.alias("parsed")), "_key").drop("_key")
 
 
-def relations(query: Column) -> Column:
-    """Array of (e1, relation, e2): for each pair of the query's first six entities the first relation word of the query, in the order of the word list."""
-    low = F.lower(query)
-    word = F.get(F.filter(F.array(*map(F.lit, sorted(V.RELATION_WORDS))), lambda w: F.contains(low, w)), F.lit(0))
-    e = F.filter(F.slice(T.query_entities(query), 1, 6), lambda x: F.contains(low, F.lower(x)))
-    pairs = F.flatten(F.transform(e, lambda x, i: F.transform(F.slice(e, i + 2, 6), lambda y: F.struct(x.alias("e1"), word.alias("relation"), y.alias("e2")))))
-    return F.when(word.isNotNull(), pairs).otherwise(F.array().cast("array<struct<e1:string,relation:string,e2:string>>"))
-
-
 def query_graph(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (query_id, id, text) named query_<entity>, and edges (query_id, source, target, relation) of (query_id, query)."""
     name = lambda e: F.concat(F.lit("query_"), F.regexp_replace(F.lower(e), " ", "_"))
@@ -120,18 +112,57 @@ def trap_contracts(contracts: DataFrame, first: int = 1, last: int = 200) -> Dat
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_score"), "name"))).where(F.col("rank").between(first, last))
 
 
-def choose_by_quota(ranked: DataFrame, used: DataFrame, quota: int = 16) -> DataFrame:
-    """(name, trap_type): for each trap the ``quota`` contracts with most of it that are not used, each contract for the trap it has most of."""
-    traps = F.array(*[F.struct(F.col(f"trap_{t}_count").alias("n"), F.lit(t.upper()).alias("trap_type")) for t in "abc"])
-    best = ranked.join(used.select("name"), "name", "left_anti").withColumn("best", F.array_max(F.filter(traps, lambda x: x["n"] > 0))).where("best IS NOT NULL")
-    w = Window.partitionBy("best.trap_type").orderBy(F.desc("best.n"), "name")
-    return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= quota).select("name", F.col("best.trap_type").alias("trap_type"))
+#: By what the contracts of each trap are ranked.
+TRAP_RANKS = (("A", "trap_a_count"), ("B", "trap_b_count"), ("C", "trap_c_sections"))
+
+
+def choose_by_quota(ranked: DataFrame, used: DataFrame, quota: int = 16, first: int = 1, last: int = 50) -> DataFrame:
+    """(name, trap_type): trap by trap, of the contracts ranked from ``first`` to ``last`` by how much they have of it, the ``quota``
+    best that are neither used nor chosen for a trap before."""
+    taken, out = used.select("name"), None
+    for trap, count in TRAP_RANKS:
+        best = ranked.orderBy(F.desc(count), "name").limit(last).withColumn("r", F.row_number().over(Window.orderBy(F.desc(count), "name")))
+        free = best.where(F.col("r") >= first).join(taken, "name", "left_anti").orderBy("r").limit(quota).select("name", F.lit(trap).alias("trap_type"))
+        out = free if out is None else out.unionByName(free)
+        taken = taken.unionByName(free.select("name"))
+    return out
+
+
+def override_clause(text: Column) -> Column:
+    """The first sentence with an override phrase: a struct of snippet and section; null without one."""
+    found = F.regexp_replace(F.regexp_extract(text, V.OVERRIDE_SENTENCE, 1), "\n", " ")
+    snippet = F.substring(T.strip(found), 1, 400)
+    section = F.regexp_extract(snippet, V.CLAUSE_SECTION, 0)
+    return F.when(found != "", F.struct(snippet.alias("snippet"), F.when(section == "", "relevant section").otherwise(section).alias("section")))
+
+
+def definition_clause(text: Column) -> Column:
+    """The first defined term that is no placeholder (of the first two): a struct of term and definition; null without one."""
+    terms = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)" + V.LOOSE_DEFINITION_PATTERN), 1))
+    one, two = F.get(terms, F.lit(0)), F.get(terms, F.lit(1))
+    term = F.when(one.isin(*V.PLACEHOLDER_TERMS), two).otherwise(one)
+    quoted = F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
+    says = [F.regexp_extract(text, F.concat(F.lit(a), quoted, F.lit(b)), 1) for a, b in V.DEFINITION_SENTENCES]
+    found = F.coalesce(*[F.nullif(F.substring(T.strip(F.regexp_replace(s, "\n", " ")), 1, 350), F.lit("")) for s in says], F.lit("Defined in the Agreement."))
+    return F.when(term.isNotNull(), F.struct(term.alias("term"), found.alias("definition")))
+
+
+def scattered_sections(text: Column) -> Column:
+    """The first five section numbers, each once; null for fewer than three."""
+    found = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(V.SCATTERED_SECTION), 1)), 1, 5)
+    return F.when(F.size(found) >= 3, found)
+
+
+def _evidence(text: Column, trap: Column) -> Column:
+    a, b, c = override_clause(text), definition_clause(text), scattered_sections(text)
+    return F.when(trap == "A", F.concat(a["snippet"], F.lit(" ["), a["section"], F.lit("]"))).when(trap == "B", F.concat(b["term"], F.lit(": "), b["definition"])).otherwise(F.array_join(c, ", "))
 
 
 def annotation_entries(chosen: DataFrame) -> DataFrame:
-    """Annotation rows from (name, trap_type), with placeholders for what a person has to fill in."""
+    """Annotation rows from (name, trap_type), with placeholders for what a person has to fill in; with a column ``text``, also what the contract says."""
     asks = F.create_map(*[F.lit(x) for x in ("A", "Which exception overrides the general rule?", "B", "What does the defined term cover?", "C", "List all sections that bear on this obligation.")])
     return chosen.select(
         F.concat_ws("_", F.lower("trap_type"), T.short_id(F.col("name"))).alias("id"), F.col("name").alias("contract_file"), asks[F.col("trap_type")].alias("query"), "trap_type",
         F.when(F.col("trap_type") == "C", "hard").otherwise("medium").alias("difficulty"), F.lit("REPLACE with the answer").alias("ground_truth_answer"),
+        *([_evidence(F.col("text"), F.col("trap_type")).alias("evidence")] if "text" in chosen.columns else []),
     )

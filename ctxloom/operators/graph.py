@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
+from ctxloom.operators.retrieval import pairs_of
 
 
 def node_pairs(nodes: DataFrame, block: str = "graph_id") -> DataFrame:
@@ -19,12 +20,13 @@ def node_pairs(nodes: DataFrame, block: str = "graph_id") -> DataFrame:
 
 
 def shared_entity_part(a: Column, b: Column, idf: Column | None = None) -> Column:
-    """The shared entities' share of the greatest expected overlap: by idf sums where an idf map is given, else by count."""
+    """The shared entities' share of the greatest expected overlap: by idf sums where an idf map is given (EDGE_SHARED_ENTITIES
+    times the greatest idf of a shared one is a full overlap), else by count."""
     shared = F.array_intersect(a, b)
     if idf is None:
         return F.least(F.size(shared) / V.EDGE_SHARED_ENTITIES, F.lit(1.0))
     values = F.transform(shared, lambda e: F.coalesce(F.try_element_at(idf, e), F.lit(0.0)))
-    top = F.greatest(F.coalesce(F.array_max(F.map_values(idf)), F.lit(0.0)) * V.EDGE_SHARED_ENTITIES, F.lit(1.0))
+    top = F.greatest(F.coalesce(F.array_max(values), F.lit(0.0)) * V.EDGE_SHARED_ENTITIES, F.lit(1.0))
     return F.least(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / top, F.lit(1.0))
 
 
@@ -32,8 +34,8 @@ def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: fl
     """Weighted edges between the nodes of each graph.
 
     A weight sums cross-reference (pairs (a, b) of ids in ``references``, in either direction), shared entities, same base
-    document, similarity above a threshold, and adjacency of chunks, half across sections. Edges under ``least`` are
-    dropped, weights are cut at 1. ``idf`` (term, idf) is broadcast as one map of the terms that the nodes have.
+    document, similarity above a threshold, and adjacency of chunks, half of it where both sections are known and differ.
+    Edges under ``least`` are dropped, weights are cut at 1. Of ``idf`` (term, idf) each node gets its own terms.
     """
     known = nodes.withColumn("entities", T.entities(F.col("text")))
     if idf is not None:
@@ -52,7 +54,7 @@ def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: fl
     same = a["base"] == b["base"]
     near = same & (F.abs(a["chunk"] - b["chunk"]) == 1)
     sim = X.cosine(X.double(a["embedding"]), X.double(b["embedding"]))
-    sections = a["section"].eqNullSafe(b["section"])
+    sections = F.coalesce(F.nullif(a["section"], F.lit("")) == F.nullif(b["section"], F.lit("")), F.lit(True))
     overlap = shared_entity_part(a["entities"], b["entities"], a["idf"] if idf is not None else None)
     parts = {
         "cross_ref": F.when(xref, V.EDGE_WEIGHTS["cross_ref"]),
@@ -86,10 +88,11 @@ def cross_references(chunks: DataFrame) -> DataFrame:
     named = chunks.where("section IS NOT NULL").select(F.col("id").alias("b"), F.lower("section").alias("section"))
     by_section = refs.join(named, "section").where("id != b").select(F.col("id").alias("a"), "b", F.lit("section_ref").alias("type"))
     defined = chunks.select(F.col("id").alias("b"), F.explode(T.defined_terms(F.col("text"))).alias("term"))
-    # A use is found through its first word, so the join has an equi key.
-    uses = chunks.select("id", F.lower("text").alias("low"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word"))
+    # A use is found through its first word, so the join has an equi key; texts come back only for those that have it.
+    uses = chunks.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word"))
     first = F.element_at(F.split("term", r"[^\p{L}\p{N}]+"), 1)
-    by_term = uses.join(defined.withColumn("word", first), "word").where("id != b AND contains(low, term)").select(F.col("id").alias("a"), "b", F.lit("defined_term").alias("type"))
+    likely = uses.join(defined.withColumn("word", first), "word").where("id != b").select("id", "b", "term").distinct()
+    by_term = likely.join(chunks.select("id", F.lower("text").alias("low")), "id").where("contains(low, term)").select(F.col("id").alias("a"), "b", F.lit("defined_term").alias("type"))
     return by_section.unionByName(by_term).distinct()
 
 
@@ -118,12 +121,20 @@ def expand(nodes: DataFrame, edges: DataFrame, corpus: DataFrame, references: Da
     """Nodes with up to k of the corpus added to each graph: those referred to, then those nearest to the query.
 
     ``corpus`` has the nodes' columns without graph_id and pos; ``queries`` are (graph_id, query). Referred nodes have
-    confidence 0.85, others 0.9 of their similarity.
+    confidence 0.85, others 0.9 of their similarity. Edges of the graph that are cross-references lead to the same ids as
+    ``references`` do.
     """
+    linked = edges.where(F.col("relation").contains("cross_ref")).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    references = references.select("a", "b").unionByName(linked)
     both = references.select("a", "b").unionByName(references.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    referred = nodes.select("graph_id", F.col("id").alias("a")).join(both, "a").select("graph_id", F.col("b").alias("id")).distinct().withColumns({"priority": F.lit(0), "score": F.lit(0.85)})
-    scored = corpus.select("id", "embedding").join(F.broadcast(queries), F.lit(True)).select("graph_id", "id", (X.cosine(X.double(F.col("embedding")), X.double(F.col("query"))) * 0.9).alias("score"))
-    found = referred.unionByName(scored.select("graph_id", "id", F.lit(1).alias("priority"), "score")).join(nodes.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
+    there = nodes.select("graph_id", "id")
+    referred = nodes.select("graph_id", F.col("id").alias("a")).join(both, "a").select("graph_id", F.col("b").alias("id")).distinct()
+    referred = referred.join(corpus.select("id"), "id", "left_semi").join(there, ["graph_id", "id"], "left_anti").select("graph_id", "id", F.lit(0).alias("priority"), F.lit(0.85).alias("score"))
+    # Only graphs that references do not fill are compared with the corpus.
+    full = referred.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    lacking = queries.select("graph_id", "query").join(full, "graph_id", "left_anti")
+    scored = pairs_of(lacking, corpus.select("id", "embedding")).select("graph_id", "id", F.lit(1).alias("priority"), (X.cosine(X.double(F.col("embedding")), X.double(F.col("query"))) * 0.9).alias("score"))
+    found = referred.unionByName(scored.join(there, ["graph_id", "id"], "left_anti"))
     best = found.groupBy("graph_id", "id").agg(F.min(F.struct("priority", (-F.col("score")).alias("minus"))).alias("s"))
     w = Window.partitionBy("graph_id").orderBy("s", "id")
     best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)

@@ -48,9 +48,9 @@ def max_similarity(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def document_frequency(documents: DataFrame) -> DataFrame:
-    """term, df and idf = ln(N / df), over (id, text)."""
+    """term, df and idf = ln(N / df), over (id, text); terms are candidate entities, capitalised phrases among them."""
     n = documents.agg(F.count(F.lit(1)).alias("n"))
-    df = documents.select(F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = documents.select(F.explode(T.entities(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))  # n is one row
 
 

@@ -30,10 +30,11 @@ def capped_pairs(nodes: DataFrame) -> DataFrame:
 def subquery_coverage(nodes: DataFrame, subqueries: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """graph_id and subquery_coverage: 0.7 (0.6 mean best similarity + 0.4 share of distinct best nodes) + 0.3 share of entities found.
 
-    ``subqueries`` are (graph_id, subquery_id, vector); ``entities`` (graph_id, entities array), 0.5 where there are none.
+    ``subqueries`` are (graph_id, subquery_id, vector); ``entities`` (graph_id, entities array), 0.5 where there are none. A subquery
+    to which no node is similar has no best node.
     """
     scored = nodes.join(subqueries, "graph_id").select("graph_id", "subquery_id", "id", "pos", X.cosine(X.double(F.col("embedding")), X.double(F.col("vector"))).alias("s"))
-    best = scored.groupBy("graph_id", "subquery_id").agg(F.greatest(F.lit(0.0), F.max("s")).alias("top"), F.max_by("id", F.struct("s", -F.col("pos"))).alias("best"))
+    best = scored.groupBy("graph_id", "subquery_id").agg(F.greatest(F.lit(0.0), F.max("s")).alias("top"), F.when(F.max("s") > 0, F.max_by("id", F.struct("s", -F.col("pos")))).alias("best"))
     mean = best.groupBy("graph_id").agg((0.6 * F.avg("top") + 0.4 * F.count_distinct("best") / F.count(F.lit(1))).alias("part"))
     if entities is None:
         return mean.select("graph_id", (0.7 * F.col("part") + 0.15).alias("subquery_coverage"))

@@ -99,10 +99,17 @@ def weight_search(spark, d):
     return E.search_weights(f, {"length": (0.0, 2.0), "lower": (0.0, 4.0)}, trials=8)
 
 
-@query()
+_TOKENS = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda x: lower(x)))"
+
+
+@query(
+    "WITH t AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM conversations), "
+    f"a AS (SELECT *, {_TOKENS.format('q')} AS asked, {_TOKENS.format('text')} AS own FROM t WHERE role = 'assistant' AND q IS NOT NULL) "
+    "SELECT conv_id, turn, round(least(1, len(regexp_extract_all(text, '[A-Za-z]+')) / greatest(len(regexp_extract_all(q, '[A-Za-z]+')) * 3, 20)), 6) AS completeness, round(CASE WHEN len(asked) = 0 THEN 0 ELSE len(list_intersect(asked, own)) / len(asked) END, 6) AS lexical_relevance FROM a"
+)
 def answer_metrics(spark, d):
     """Each assistant turn with the user turn that it follows; a system turn between them, or further assistant turns, change nothing."""
     c = read(spark, d, "conversations")
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     both = c.withColumn("q", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)).where("role = 'assistant' AND q IS NOT NULL")
-    return both.select("conv_id", "turn", E.answer_completeness(F.col("text"), F.col("q")).alias("completeness"), E.lexical_relevance(F.col("text"), F.col("q")).alias("lexical_relevance"))
+    return both.select("conv_id", "turn", F.round(E.answer_completeness(F.col("text"), F.col("q")), 6).alias("completeness"), F.round(E.lexical_relevance(F.col("text"), F.col("q")), 6).alias("lexical_relevance"))

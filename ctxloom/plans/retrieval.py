@@ -13,6 +13,11 @@ from ctxloom.plans.registry import query, read, values
 _STOP = ", ".join(f"'{w}'" for w in V.COMMON_WORDS)
 #: Portable words of ASCII letters between Unicode word boundaries, for DuckDB, whose own \b knows ASCII only.
 TERMS_SQL = rf"list_filter(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}'))), lambda w: w NOT IN ({_STOP}))"
+#: Capitalised phrases of ASCII words; signs are doubled first, so that one can end a phrase and another begin the next.
+PHRASES_SQL = (
+    r"list_transform(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_\s])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?:$|[^\p{L}\p{N}_])', 1), lambda x: lower(x))"
+)
+ENTITIES_SQL = f"list_distinct(list_concat({PHRASES_SQL}, {TERMS_SQL}))"
 _SIM = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))"
 _QUERIES = "SELECT * FROM embeddings WHERE vec_id % 20 = 0"
 
@@ -66,21 +71,21 @@ def retrieval_precision_recall(spark, d):
     return R.retrieval_quality(found, relevant).select("query_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query(f"WITH t AS (SELECT unnest({TERMS_SQL}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(min(n) / count(*)), 6) AS idf FROM t, n GROUP BY term")
+@query(f"WITH t AS (SELECT unnest({ENTITIES_SQL}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(min(n) / count(*)), 6) AS idf FROM t, n GROUP BY term")
 def doc_frequency_idf(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return R.document_frequency(docs).withColumn("idf", F.round("idf", 6))
 
 
 @query(
-    f"WITH t AS (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents) "
+    f"WITH t AS (SELECT doc_id, unnest({ENTITIES_SQL}) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents) "
     "SELECT doc_id, term, round(ln(n / df), 6) AS idf, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS rank FROM t JOIN f USING (term), n QUALIFY rank <= 3"
 )
 def distinctive_terms(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     from pyspark.sql import Window
 
-    own = docs.select(F.col("id").alias("doc_id"), F.explode(T.terms(F.col("text"))).alias("term")).join(R.document_frequency(docs), "term")
+    own = docs.select(F.col("id").alias("doc_id"), F.explode(T.entities(F.col("text"))).alias("term")).join(R.document_frequency(docs), "term")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "term"))
     return own.withColumn("rank", rank).where("rank <= 3").select("doc_id", "term", F.round("idf", 6).alias("idf"), "rank")
 
