@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a dataset directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset (tests), and gets a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ctxloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,15 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once, and read it back.
 
-    Lost executors then cost a re-read, never a recomputation of what came before.
+    Lost executors then cost a re-read, never a recomputation of what came before. What was shuffled on the way is not needed
+    any more, and Spark deletes it at the end of the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    # What was shuffled on the way is not needed any more: Spark's cleaner deletes it once the JVM has collected its handles.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -54,6 +61,17 @@ def input_parts(df: DataFrame, per_part: int = 1) -> int:
     return max(n, df.rdd.getNumPartitions() * per_part)
 
 
+def set_aside(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` as the columns ``own`` and one struct ``rest`` of all others, so that no name of theirs can clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*others, F.lit(0).alias("_")).alias("rest") if not others else F.struct(*others).alias("rest"))
+
+
+def put_back(columns: list[str], **own: Column) -> list[Column]:
+    """The columns of the table that was set aside, in their order; those in ``own`` as given."""
+    return [own[c].alias(c) if c in own else F.col("rest").getField(c).alias(c) for c in columns]
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import materialize, table, utf8
+from ctxloom.llm._common import input_parts, materialize, put_back, set_aside, table, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -136,7 +136,7 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, content (128 bits of the weighted set; null for texts without words) and bands (hashes, each with its number)."""
+    """doc_id, hash (of the text), content (128 bits of the weighted set; null for texts without words) and bands (hashes, each with its number)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,15 +157,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sums[filled, 1] = np.add.reduceat(mix(cell ^ _M1), edges)
                 content = [s.tobytes() if f else None for s, f in zip(sums, filled, strict=True)]
                 bands = [list(r) if f else [] for r, f in zip(key.view(np.int64), filled, strict=True)]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "content": content, "bands": bands})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "hash": b["hash"].iloc[lo:hi].array, "content": content, "bands": bands})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, content binary, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInPandas(run, f"doc_id {kind}, hash long, content binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose texts are similar enough. Each a with up to GROUP of its b's goes to one place."""
-    groups = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / GROUP) + 1).alias("n"))
+    groups = materialize(pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / GROUP) + 1).alias("n")))
     member = (
         pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("n")))
         .join(texts.withColumnRenamed("content", "b"), "b").select("a", "salt", "b", "text")
@@ -192,8 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         found.append((a[i], bytes(other[i])))
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInPandas(run, "a binary, b binary")
+    return rows.repartition(input_parts(texts), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInPandas(run, "a binary, b binary")
 
 
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -203,33 +202,37 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     LEADERS times in all, against the next leader. Two texts that passed the first leader are connected through it; so what failed it
     goes through an exact join by prefixes, with all texts of its buckets, those that passed too.
     """
-    reps = signed.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    reps = signed.where("content IS NOT NULL").groupBy("content").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("bands").alias("bands"))
     members = materialize(_buckets(reps.select("content", F.explode("bands").alias("k"))))
-    wanted = members.select("content").distinct().join(reps.select("content", "doc_id"), "content")
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    # Rows of one id with different texts: each text is signed again, so that content and text belong together.
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("content", "doc_id", "text")
-    texts = materialize(_first_of_content(texts))
+    # A content stands for one row's id and text, so rows of one id with different texts are told apart.
+    wanted = members.select("content").distinct().join(reps.select("content", F.col("own.doc_id").alias("id"), F.col("own.hash").alias("own")), "content")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("own"))).select("content", "text")
+    texts = materialize(texts.dropDuplicates(["content"]))
     small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
-    met, found, pairs = large, [], _all_pairs(small)
+    met, found, pairs, failed = large, [], _all_pairs(small), None
     for k in range(LEADERS):
+        if large.isEmpty():
+            break
         # The text that shares its buckets with most others leads: of copies of one text, which may differ more from each other, mostly that text.
         shares = large.groupBy("content").agg(F.sum("n").alias("shares"))
         ranked = large.select("k", "content").join(shares, "content")
-        first = ranked.groupBy("k").agg(F.max(F.struct("shares", "content")).alias("top")).select("k", F.col("top.content").alias("a"))
+        first = materialize(ranked.groupBy("k").agg(F.max(F.struct("shares", "content")).alias("top")).select("k", F.col("top.content").alias("a")))
         led = materialize(large.select("k", "content").join(first, "k").where("content != a"))
         asked = led.select(F.least("a", "content").alias("a"), F.greatest("a", "content").alias("b"))
-        found.append(materialize(_verified(materialize(pairs.unionByName(asked).distinct()), texts)))
+        found.append(materialize(_verified(materialize((asked if k else pairs.unionByName(asked)).distinct()), texts)))
         alike = found[-1].unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("b", "content")
         if k + 1 == LEADERS:
             break
         rest = materialize(led.join(alike, ["a", "content"], "left_anti").select("k", "content"))
-        failed = failed if k else rest
+        failed = failed or rest
         large = materialize(_buckets(rest))
-        pairs = pairs.limit(0)
+    if not found:  # no large bucket
+        return _verified(materialize(pairs.distinct()), texts)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
+    if failed.isEmpty():
+        return out.distinct()
     # Only texts that no chain of links connects yet are paired.
     roots = components(out).withColumnRenamed("node", "content")
     asking = failed.select("content").distinct().withColumn("asks", F.lit(True))
@@ -311,36 +314,15 @@ def _all_pairs(small: DataFrame) -> DataFrame:
     return listed.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def _first_of_content(texts: DataFrame) -> DataFrame:
-    """One row for each content. Ids are mostly unique, and then there is nothing to choose; else the text that has the content."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(ok=True)[["content", "text", "ok"]] if not len(b) else b[["content", "text"]].assign(ok=_content_is(list(b["text"]), list(b["content"])))
-
-    checked = texts.select("content", "text").mapInPandas(run, "content binary, text string, ok boolean").where("ok")
-    return checked.select("content", "text").dropDuplicates(["content"])
-
-
-def _content_is(texts: list[str | None], contents: list[bytes]) -> list[bool]:
-    out = []
-    for lo, hi in _chunks(texts):
-        owner, cell = cells(texts[lo:hi])
-        cut = np.searchsorted(owner, np.arange(hi - lo + 1))
-        for i in range(lo, hi):
-            mine = cell[cut[i - lo] : cut[i - lo + 1]]
-            out.append(np.array([mix(mine + _M2).sum(dtype=np.uint64), mix(mine ^ _M1).sum(dtype=np.uint64)], np.uint64).tobytes() == bytes(contents[i]))
-    return out
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of (a, b), by alternating large and small stars; the root is the least node."""
     edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
-        # Large star: a node's greater neighbours are linked to the least of its neighbourhood.
+    while not edges.isEmpty():
+        # Large star: a node's greater neighbours are linked to the least of its neighbourhood. What is joined back is written
+        # first, so that a node of very many edges can be split among tasks.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its lesser neighbours are linked to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -348,31 +330,49 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.distinct())
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         before = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, root (null for texts without words) and least, the first (doc_id, hash) of the class."""
+    signed = materialize(signatures(docs))
+    roots = components(materialize(links(signed, docs)))
+    known = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "content"))
+    rows = signed.select("doc_id", "hash", "content").join(known, "content", "left")
+    rows = materialize(rows.select("doc_id", "hash", F.coalesce("root", "content").alias("root")))
+    # Written, so that a class of very many members can be split among tasks when it is joined back.
+    least = materialize(rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("least")))
+    return rows.join(least, "root", "left")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class), for each row of ``docs``.
 
     Documents are in a class if verified links, of weighted Jaccard similarity 0.8 or more over five-word shingles, or equal
-    weighted sets, connect them. Texts without words, null ones too, are classes of their own; very long texts are taken
-    whole; repeated rows share a class; null ids are allowed and count as least.
+    weighted sets (told by 128 bits), connect them. Texts without words, null ones too, are classes of their own; very long
+    texts are taken whole; repeated rows share a class; rows of one id and different texts are different documents; null ids
+    are allowed and count as least; an empty table gives no rows; further columns, whatever their names, are not read.
     """
-    signed = materialize(signatures(docs))
-    found = materialize(links(signed, docs))
-    roots = components(found)
-    known = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    rows = signed.select("doc_id", "content").join(known.withColumnRenamed("node", "content"), "content", "left")
-    rows = materialize(rows.select("doc_id", F.coalesce("root", "content").alias("root")))
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id")).alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"))
+    rows = _classes(docs)
+    return rows.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are not the first of their class; columns as they were."""
-    drop = classes(docs).where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]), "left_anti")
+    """``docs`` with one row of each class, that of the least id (of equal ids: of the least hash of the text; of equal rows one of them).
+
+    Rows whose texts have no words all stay. Nulls, empty and long texts, repeated rows and empty tables are as in ``classes``; columns
+    of any name pass through.
+    """
+    own = F.struct("doc_id", "hash")
+    judged = _classes(docs).groupBy("doc_id", "hash").agg(F.max(F.col("root").isNotNull()).alias("worded"), F.max(F.coalesce(F.col("least").eqNullSafe(own), F.lit(True)) | F.col("root").isNull()).alias("stays"))
+    judged = materialize(judged.where("stays").select(F.col("doc_id").alias("id"), F.col("hash").alias("own"), "worded"))
+    rows = set_aside(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    kept = rows.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")))
+    nth = F.row_number().over(Window.partitionBy("id", "own").orderBy("own"))
+    kept = kept.withColumn("nth", nth).where((F.col("nth") == 1) | ~F.col("worded"))
+    return kept.select(*put_back(docs.columns, doc_id=F.col("doc_id"), text=F.col("text")))
 
 
 def query(spark, sf_dir):
