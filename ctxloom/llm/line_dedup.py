@@ -1,10 +1,11 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 The lines of a document that are not blank are hashed. In each window of ``min_lines`` consecutive lines the least hash is
-the window's fingerprint, so two equal runs of that many lines always share one; a line of ``min_words`` words or more is
-a window by itself. Fingerprints found in one place only are dropped; the windows of the others are joined with the first
-place where the same lines stand. As neighbouring windows overlap, a match extends both ways as far as the lines agree,
-and all but the first of the repeated runs are deleted.
+selected as a fingerprint, so two equal runs of that many lines always share one; a line of ``min_words`` words or more is a
+window by itself. A selected line is one row, however many windows chose it. Fingerprints found in one place only are dropped;
+those of the others are extended both ways, to the windows around them, and each window is joined with the first place where
+the same lines stand. As neighbouring windows overlap, a match reaches as far as the lines agree, and all but the first of the
+repeated runs are deleted. Lines are compared by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -12,74 +13,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import materialize, table
+from ctxloom.llm._common import discard, materialize, put_back, set_aside, table
 
 MIN_LINES = 2
 MIN_WORDS = 50
 
 
-def _windows(lines: Column, at: Column, h1: Column, h2: Column, min_lines: int, min_words: int) -> Column:
-    """Array of (at: line numbers, fp: fingerprint, fp_at: its line, k1 and k2: 128 bits of the lines' contents)."""
+def _selected(lines: Column, at: Column, h1: Column, h2: Column, min_lines: int, min_words: int) -> Column:
+    """Array of (fp: fingerprint, fp_at: its line, windows: those that selected it), a window being (at: line numbers, k1 and k2: 128 bits of the lines' contents)."""
 
     def window(k: Column, n: int) -> Column:
-        part = F.slice(h1, k, n)
-        fp = F.array_min(part)
-        return F.struct(
-            F.slice(at, k, n).alias("at"), fp.alias("fp"), F.element_at(at, (k + F.array_position(part, fp) - 1).cast("int")).alias("fp_at"),
-            F.xxhash64(part).alias("k1"), F.xxhash64(F.slice(h2, k, n)).alias("k2"),
-        )
+        part, other = F.slice(h1, k, n), F.slice(h2, k, n)
+        least = F.element_at(at, (k + F.array_position(part, F.array_min(part)) - 1).cast("int"))
+        return F.struct(F.slice(at, k, n).alias("at"), least.alias("fp_at"), F.xxhash64(part).alias("k1"), F.xxhash64(other).alias("k2"))
 
     n = F.size(at)
-    runs = F.when(n >= min_lines, F.transform(F.sequence(F.lit(1), n - min_lines + 1), lambda k: window(k, min_lines)))
+    none = F.array().cast(_WINDOWS)
+    runs = F.coalesce(F.when(n >= min_lines, F.transform(F.sequence(F.lit(1), n - min_lines + 1), lambda k: window(k, min_lines))), none)
     spaces = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    long = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda k: spaces(F.get(lines, F.element_at(at, k))) >= min_words - 1))
-    singles = F.transform(long, lambda k: window(k, 1))
-    return F.concat(F.coalesce(runs, F.array().cast(_WINDOW)), F.coalesce(singles, F.array().cast(_WINDOW)))
+    long = lambda k: spaces(F.get(lines, F.get(at, k - 1))) >= min_words - 1
 
+    def select(k: Column) -> Column:
+        """The k-th line: of the windows that hold it, those in which it is the least."""
+        around = F.slice(runs, F.greatest(k - (min_lines - 1), F.lit(1)), F.least(k, F.lit(min_lines)))
+        mine = F.filter(around, lambda w: w["fp_at"] == F.get(at, k - 1))
+        return F.struct(F.get(h1, k - 1).alias("fp"), F.get(at, k - 1).alias("fp_at"), F.concat(mine, F.when(long(k), F.array(window(k, 1))).otherwise(none)).alias("windows"))
 
-_WINDOW = "array<struct<at:array<int>,fp:bigint,fp_at:int,k1:bigint,k2:bigint>>"
+    every = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), select))
+    return F.filter(every, lambda line: F.size(line["windows"]) > 0)
+
+
+_WINDOWS = "array<struct<at:array<int>,fp_at:int,k1:bigint,k2:bigint>>"
 
 
 def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _text, removed): for each document with any, the numbers of its deleted lines; _text is a hash of its text."""
-    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_text"), F.split("text", "\n", -1).alias("lines"))
+    """(doc_id, hash, removed): for each document with any, the numbers of its deleted lines; hash is that of its text."""
+    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.split("text", "\n", -1).alias("lines"))
     lined = lined.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.get("lines", i)) != ""))
     hashed = lined.select(
-        "doc_id", "_text", "lines", "at", F.transform("at", lambda i: F.xxhash64(F.get("lines", i))).alias("h1"), F.transform("at", lambda i: F.xxhash64(F.lit(7), F.get("lines", i))).alias("h2")
+        "doc_id", "hash", "lines", "at", F.transform("at", lambda i: F.xxhash64(F.get("lines", i))).alias("h1"), F.transform("at", lambda i: F.xxhash64(F.lit(7), F.get("lines", i))).alias("h2")
     )
-    windows = materialize(
-        hashed.select("doc_id", "_text", F.inline(_windows(F.col("lines"), F.col("at"), F.col("h1"), F.col("h2"), min_lines, min_words)))
+    prints = materialize(
+        hashed.select("doc_id", "hash", F.inline(_selected(F.col("lines"), F.col("at"), F.col("h1"), F.col("h2"), min_lines, min_words)))
     )
-    place = F.struct("doc_id", "_text", "fp_at")
-    shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp")
-    found = materialize(windows.join(shared, "fp", "left_semi").drop("fp", "fp_at"))
-    here = F.struct("doc_id", "_text", F.get("at", F.lit(0)).alias("start"))
-    first = found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # What is joined back is written first: then both sides are shuffled for the join, and a frequent key can be split among tasks.
+    place = F.struct("doc_id", "hash", "fp_at")
+    shared = materialize(prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp"))
+    found = materialize(prints.join(shared, "fp", "left_semi").select("doc_id", "hash", F.inline("windows")).drop("fp_at"))
+    here = F.struct("doc_id", "hash", F.get("at", F.lit(0)).alias("start"))
+    first = materialize(found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     later = found.join(first, ["k1", "k2"]).where(here != F.col("first"))
     # A second row of the same id and text stands in the same place: such rows are one document, and all of them stay.
-    return later.select("doc_id", "_text", F.explode("at").alias("line")).groupBy("doc_id", "_text").agg(F.collect_set("line").alias("removed"))
+    out = materialize(later.select("doc_id", "hash", F.explode("at").alias("line")).groupBy("doc_id", "hash").agg(F.collect_set("line").alias("removed")))
+    discard(prints, shared, found, first)
+    return out
+
+
+def _cut(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """doc_id, text (without its repeated runs), rest (all other columns), lines and removed (their numbers before, and deleted)."""
+    gone = removed_lines(docs.select("doc_id", "text"), min_lines, min_words).withColumnRenamed("doc_id", "id")
+    own = set_aside(docs, "doc_id", "text")
+    joined = own.join(gone, F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    lines = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return joined.select("doc_id", text.alias("text"), "rest", counts[0].alias("lines"), counts[1].alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated runs deleted from ``text``; adds ``_lines`` and ``_removed``, the numbers of lines before and deleted.
 
     A line is deleted if it lies in a run of at least ``min_lines`` lines, or is a line of ``min_words`` words or more, that
-    stands earlier: in a document of smaller id, or further up. Blank lines are no part of runs and always stay; lines are
-    compared exactly. Null text stays null with 0 lines; an empty text is one blank line; rows that share id and text count
-    as one document; rows with null ids come first. Other columns pass through (``_text``, ``_lines``, ``_removed`` and
-    ``removed`` are this operator's names and are replaced).
+    stands earlier: in a document of smaller id, or further up. Blank lines (empty or of spaces) are no part of runs and always
+    stay. Null text stays null with 0 lines; an empty text is one blank line; very long texts are taken whole; rows that share
+    id and text count as one document; rows with null ids come first; an empty table stays empty. Other columns, whatever their
+    names, pass through, but for ``_lines`` and ``_removed``, which are replaced.
     """
-    docs = docs.drop("_text", "_lines", "_removed", "removed")
-    gone = removed_lines(docs, min_lines, min_words).withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
-    own = docs.withColumn("_text", F.xxhash64("text"))
-    joined = own.join(gone, own["_text"].eqNullSafe(gone["_hash"]) & own["doc_id"].eqNullSafe(gone["_id"]), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("_removed"),
-    )
+    columns = [c for c in docs.columns if c not in ("_lines", "_removed")]
+    out = _cut(docs, min_lines, min_words)
+    return out.select(*put_back(columns, doc_id=F.col("doc_id"), text=F.col("text")), F.col("lines").alias("_lines"), F.col("removed").alias("_removed"))
+
+
+def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the repeated runs deleted, as ``dedup_lines`` does; all columns are kept, and there are no more.
+
+    Documents that lose all their lines go; a column ``n_chars`` is set to the new length where the text has changed.
+    """
+    out = _cut(docs, min_lines, min_words).where(F.col("removed").eqNullSafe(0) | F.col("text").rlike(r"\S"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        own["n_chars"] = F.when(F.col("removed") > 0, F.length("text").cast(kind)).otherwise(F.col("rest").getField("n_chars"))
+    return out.select(*put_back(docs.columns, **own))
 
 
 def query(spark, sf_dir):
