@@ -7,7 +7,6 @@ columns of ``documents``; the last returns the pieces of packed sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ctxloom.llm import decontam, line_dedup, near_dedup, packing, quality
 from ctxloom.llm._common import materialize, table
@@ -20,9 +19,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of line runs go. Documents that lose all their lines go too; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where((F.col("_removed") == 0) | F.col("text").rlike(r"\S"))
-    columns = [F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    return line_dedup.without_repeated_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
