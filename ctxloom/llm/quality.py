@@ -36,6 +36,8 @@ STATS = {
 }
 N_STATS = len(STATS) * (BINS + 1)
 N_FEATURES = N_STATS + (1 << WORD_BITS)
+#: Features of documents that are scored at once.
+AT_ONCE = 100_000
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 1
@@ -144,22 +146,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000) -> Fac
     """Fit on at most ``max_train_rows`` labelled documents outside the held-out fold, the first by a hash of the id.
 
     Rows with a null label are ignored; of repeated labels of one document the mean counts, of repeated documents the
-    first text. lang, source and doc_id are no features.
+    text with the least hash. lang, source and doc_id are no features; of further columns none but n_chars is read. A
+    document's features are hashed, so what comes to the driver is bounded, whatever the texts' length.
     """
     picked = (
         labels.where(~held_out() & F.col("quality").isNotNull())
-        .groupBy("doc_id").agg(F.avg("quality").alias("_label"))
+        .groupBy("doc_id").agg(F.avg("quality").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     )
-    schema = "doc_id string, label double, idx array<int>, val array<float>"
+    schema = "doc_id string, hash long, label double, idx array<int>, val array<float>"
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [features(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "label": b["_label"], "idx": [x[0] for x in got], "val": [x[1] for x in got]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "hash": b["hash"], "label": b["label"], "idx": [x[0] for x in got], "val": [x[1] for x in got]})
 
-    rows = docs.select("doc_id", "text", _n_chars(docs)).join(F.broadcast(picked), "doc_id").mapInPandas(featurise, schema).toPandas()
-    rows = rows.sort_values(["doc_id", "label"], kind="stable").drop_duplicates("doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), _n_chars(docs)).join(F.broadcast(picked), "doc_id").mapInPandas(featurise, schema).toPandas()
+    rows = rows.sort_values(["doc_id", "hash"], kind="stable").drop_duplicates("doc_id")
     return fit([(np.asarray(i, np.int32), np.asarray(v, np.float32)) for i, v in zip(rows["idx"], rows["val"], strict=True)], (rows["label"].to_numpy(float) >= 0.5).astype(np.float32))
 
 
@@ -167,11 +170,31 @@ def _n_chars(docs: DataFrame) -> Column:
     return (F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("n_chars")
 
 
+def _scores(fm: FactorisationMachine, rows: pd.DataFrame) -> np.ndarray:
+    """The scores of a batch, some AT_ONCE features at a time."""
+    out, held, size = [np.empty(0)], [], 0
+    n_chars = rows["n_chars"] if "n_chars" in rows else [None] * len(rows)
+
+    def flush() -> None:
+        starts = np.concatenate([[0], np.cumsum([len(x[0]) for x in held])[:-1]])
+        out.append(fm.score(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), starts))
+
+    for text, n in zip(rows["text"], n_chars, strict=True):
+        held.append(features(text, n))
+        size += len(held[-1][0])
+        if size >= AT_ONCE:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return np.concatenate(out)
+
+
 def score_documents(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``: the probability that a document is of label 1.
 
     Null text counts as empty; empty and very long texts get a score like any other; rows are kept as they are, repeated
-    ones too; further columns pass through, but one called ``name`` is replaced.
+    ones too; an empty table stays empty; further columns pass through, but one called ``name`` is replaced.
     """
     docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
@@ -179,22 +202,23 @@ def score_documents(docs: DataFrame, model: FactorisationMachine, name: str = "s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fm = FactorisationMachine(*sent.value)
         for b in batches:
-            n_chars = b["n_chars"] if "n_chars" in b else [None] * len(b)
-            got = [features(t, n) for t, n in zip(b["text"], n_chars, strict=True)]
-            if got:
-                starts = np.concatenate([[0], np.cumsum([len(x[0]) for x in got])[:-1]])
-                b[name] = fm.score(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), starts)
-            else:
-                b[name] = np.empty(0)
+            b[name] = _scores(fm, b)
             yield b
 
     return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train_rows: int = 6000) -> DataFrame:
-    """The documents whose score reaches ``threshold``, with their own columns."""
+    """The documents whose score reaches ``threshold``, with their own columns, whatever their names; texts as in ``score_documents``."""
     model = train(docs, labels, max_train_rows)
-    return score_documents(docs, model, "_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fm = FactorisationMachine(*sent.value)
+        for b in batches:
+            yield b[_scores(fm, b) >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)
 
 
 def query(spark, sf_dir):
