@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
 Each task tokenises its documents, shard by shard, into word numbers of the benchmark's vocabulary, sorts the suffixes of
-the shard into a suffix array, and finds every test suffix in it by binary search. Runs of consecutive hits give the
-longest verbatim matches and their places. Documents are read once and never shuffled; what is sent to the tasks is the
-benchmark, in blocks of a bounded number of words, with one pass over the documents for each block.
+the shard that begin like a test suffix (by their first two words) into a suffix array, and finds every test suffix, as far as
+its first ten words, in it by binary search. Runs of hit words give the longest verbatim matches and their places. Documents are
+never shuffled; what is sent to the tasks is the benchmark, in blocks of a bounded number of words: one block at a time, with a
+pass over the documents for each.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.llm._common import materialize, utf8
@@ -160,8 +162,7 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
         yield block
 
 
-def _search(docs: DataFrame, block: list[tuple[object, str | None]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+def _search(docs: DataFrame, sent: Broadcast) -> DataFrame:
     keep = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,33 +190,35 @@ def _search(docs: DataFrame, block: list[tuple[object, str | None]]) -> DataFram
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: its id, n_words, n_hit, items (ids as strings, sorted), longest_match (words of the
-    longest hit run), longest_at (the word it begins at; -1 without one) and runs (all hit runs, as word offsets).
+    longest run of hit words), longest_at (the word it begins at; -1 without one) and runs (all of them, as word offsets).
 
     A word is hit if it lies in any occurrence of a window of 10 consecutive words of an item; an item of fewer words, but
-    not of none, is one window. Null or empty text has no words; null items, and items without words, match nothing;
-    repeated rows each give a row; an empty benchmark hits nothing.
+    not of none, is one window. Null or empty text has no words; very long texts are searched whole; null items, and items
+    without words, match nothing; repeated rows each give a row; an empty benchmark hits nothing; further columns, whatever
+    their names, are not read.
     """
     docs = docs.select(doc_id, "text")
-    outs = [_search(docs, block) for block in blocks(benchmark)] or [_search(docs, [])]
-    if len(outs) == 1:
-        return outs[0]
-    # Several blocks: each document's runs are united; a row number keeps repeated rows apart.
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    parts = [_search(numbered, block) for block in blocks(benchmark)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = union.groupBy("_row").agg(
-        F.first(doc_id).alias(doc_id), F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
-    )
-    start = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
-    step = lambda acc, r: F.when(
-        r["start"] <= F.element_at(acc, -1)["end"],
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], r["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(r)))
-    merged = merged.withColumn("runs", F.slice(F.aggregate("runs", F.array(start), step), 2, 2**31 - 1))
+    send = docs.sparkSession.sparkContext.broadcast
+    todo = blocks(benchmark)
+    block, following = next(todo, []), next(todo, None)
+    if following is None:
+        return _search(docs, send(block))
+    # Several blocks: what each finds is written before the next is sent; a row number keeps repeated rows apart.
+    numbered = materialize(docs.select(doc_id, "text", F.monotonically_increasing_id().alias("row")))
+    union = None
+    while block:
+        sent = send(block)
+        found = materialize(_search(numbered, sent))
+        sent.destroy()
+        union = found if union is None else union.unionByName(found)
+        block, following = following, next(todo, None)
+    so_far = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    runs = union.select("row", F.inline("runs")).withColumn("apart", (F.col("start") > F.coalesce(F.max("end").over(so_far), F.lit(-1))).cast("int"))
+    runs = runs.withColumn("run", F.sum("apart").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    merged = union.groupBy("row").agg(
+        F.first(doc_id).alias(doc_id), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    ).join(runs, "row", "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<start:bigint,end:bigint>>")))
     length = F.transform("runs", lambda r: r["end"] - r["start"])
     best = F.array_max(F.transform("runs", lambda r: F.struct((r["end"] - r["start"]).alias("n"), (-r["start"]).alias("at"))))
     return merged.select(
@@ -225,21 +228,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a word hit, all columns as they were.
+    """The documents without a word hit, all columns as they were, whatever their names.
 
-    The search runs as part of the same map as the filter, so no join back to the documents is needed; with several
-    benchmark blocks, a document must pass each of them in turn.
+    Nulls, empty and very long texts, repeated rows and empty tables are as in ``contamination``. The search runs as part of the
+    same map as the filter, so no join back to the documents is needed; of several benchmark blocks, each sees what the ones
+    before have left.
     """
-    names = docs.columns
-    out = docs
-    for block in blocks(benchmark):
-        out = _clean(out, block)
-    return out.select(*names)
-
-
-def _clean(docs: DataFrame, block: list[tuple[object, str | None]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
+    send = docs.sparkSession.sparkContext.broadcast
+    todo = blocks(benchmark)
+    block, following = next(todo, []), next(todo, None)
+    while following is not None:
+        sent = send(block)
+        docs = materialize(_clean(docs, sent))
+        sent.destroy()
+        block, following = following, next(todo, None)
+    return _clean(docs, send(block))
+
+
+def _clean(docs: DataFrame, sent: Broadcast) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tests = test_set(sent.value)
         number = tests.vocabulary.get
