@@ -172,7 +172,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     ``recall`` is reached on the sample, where neighbours are farther than among all rows. Vectors that are null, zero, or
     hold null or non-finite components take no part, nor do rows without an id, or of another number of dimensions than
     most of the sample. A query's own id is no candidate; rows that repeat an id or vector are candidates each; of queries
-    that repeat an id one counts. An empty table gives no rows, fewer candidates than k all of them.
+    that repeat an id the one with the least vector counts. An empty table gives no rows, fewer candidates than k all of
+    them; further columns, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -256,7 +257,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     keyed = "bucket long, part long, vec_id long, v array<double>, leaves array<long>"
     sized = lambda df: df.where(F.size("v") == dims)
     placed = sized(rows).mapInPandas(place, keyed).groupBy("bucket", "part")
-    probes_ = sized(asked).dropDuplicates(["vec_id"]).mapInPandas(probe, keyed).groupBy("bucket", "part")
+    probes_ = sized(asked).groupBy("vec_id").agg(F.min("v").alias("v")).mapInPandas(probe, keyed).groupBy("bucket", "part")
     near = placed.cogroup(probes_).applyInPandas(meet, "query_id long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
