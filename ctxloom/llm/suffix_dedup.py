@@ -10,7 +10,8 @@ suffixes that start at anchors are enough, one in about eighteen, and each 50-by
 3. A task sorts the windows of its bucket by multikey quicksort, eight bytes a key, and compares neighbours; what is equal
    to the window before belongs to one string, whose first document keeps it. A window's copies share its anchor, so they
    meet in one bucket, and the comparison across a bucket's boundary can find nothing. The windows of frequent anchors go
-   another way: the first document of each is aggregated before the shuffle, and joined back.
+   another way: equal runs are packed before the shuffle, and the first document of each window is joined back. Whole
+   copies of a text are told by its SHA-256.
 4. The covered bytes of each document are united and cut out.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ PACK = 8 << 20
 #: Documents sampled for the splitters and the frequent anchors, about; an anchor is frequent in FREQUENT of them, and MANY at least.
 SAMPLE_DOCS, FREQUENT, MANY = 2_000, 0.004, 8
 
+_TOP = np.uint64(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 np.seterr(over="ignore")  # hashes wrap
@@ -62,8 +65,9 @@ def anchor_runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
         grams = grams[:-width] * power + grams[width:]
         power = power * power
     grams *= _M1  # high bits decide, and every byte reaches them
-    # The least in each window; places in the low bits make the first of equals win.
-    mask = (np.uint64(1) << np.uint64(max(1, int(len(data)).bit_length()))) - np.uint64(1)
+    # The least in each window; places in the low bits make the first of equals win. Their number is fixed, so that what
+    # counts as equal, and with it a window's anchor, depends on nothing but the window's bytes.
+    mask = np.uint64(0xFFFFFFFF)
     low = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     for width in (1, 2, 4, 8, 16):
         low = np.minimum(low[:-width], low[width:])
@@ -105,65 +109,94 @@ def _prepare(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.hash("text").alias("copy"), "text")
 
 
+def _packs(batches: Iterator[pd.DataFrame], take) -> Iterator[pd.DataFrame]:
+    """``take(chunk, rows, texts)`` for every PACK bytes of text or so; the chunk's number holds the task's."""
+    chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for b, raw in _chunked(batches):
+        held.append((b, raw))
+        size += sum(map(len, raw))
+        if size >= PACK:
+            yield take(chunk, held)
+            chunk, held, size = chunk + 1, [], 0
+    if held:
+        yield take(chunk, held)
+
+
+def _cat(values: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind)
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin to differ from the row before."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
 def _shared_anchors(rows: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
     """(doc, copy, anchors): for each document the hashes, in 32 bits, of its anchors that other documents may have too.
 
-    Hashes go to buckets as packed arrays, one row for each bucket and chunk, so that an anchor costs a few bytes.
+    Hashes go to buckets as packed arrays, a row for each bucket and chunk of documents, and come back to their chunk the
+    same way: an anchor costs a few bytes, and rows are not made for each document and bucket.
     """
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, base = [], 0, 0
-        for b, raw in _chunked(batches):
-            doc, _, _, _, h = anchor_runs(*_arrays(raw))
-            rare = ~_in(h, frequent)
-            held.append((doc[rare] + base, h[rare], b["doc"].to_numpy(np.int64), b["copy"].to_numpy(np.int32)))
-            base, size = base + len(b), size + sum(map(len, raw))
-            if size >= PACK:
-                yield pack(held)
-                held, size, base = [], 0, 0
-        if held:
-            yield pack(held)
-
-    def pack(held: list) -> pd.DataFrame:
+    def pack(chunk: int, held: list) -> pd.DataFrame:
         """A row for each bucket: its documents, how many anchors each has, and these."""
-        doc, h, ids, copies = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, h, base = [], [], 0
+        for b, raw in held:
+            d, _, _, _, x = anchor_runs(*_arrays(raw))
+            rare = ~_in(x, frequent)
+            doc, h, base = [*doc, d[rare] + base], [*h, x[rare]], base + len(b)
+        doc, h = np.concatenate(doc), np.concatenate(h)
+        ids, copies = (np.concatenate([b[c].to_numpy(t) for b, _ in held]) for c, t in (("doc", np.int64), ("copy", np.int32)))
         bucket = (h >> np.uint64(32)).astype(np.int64) % parts
         order = np.lexsort([h, doc, bucket])
         doc, h, bucket = doc[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), bucket[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
+        fresh = _edges(h, doc, bucket)
         doc, h, bucket = doc[fresh], h[fresh], bucket[fresh]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.empty(0, np.int64)
-        rows = []
+        cut = _edges(bucket)
+        found = []
         for lo, hi in zip(cut, [*cut[1:], len(h)], strict=True):
             used, counts = np.unique(doc[lo:hi], return_counts=True)
-            rows.append((int(bucket[lo]), ids[used].tobytes(), copies[used].tobytes(), counts.astype(np.uint32).tobytes(), h[lo:hi].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "ids", "copies", "counts", "hashes"])
+            found.append((int(bucket[lo]), chunk, ids[used].tobytes(), copies[used].tobytes(), counts.astype(np.uint32).tobytes(), h[lo:hi].tobytes()))
+        return pd.DataFrame(found, columns=["bucket", "chunk", "ids", "copies", "counts", "hashes"])
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
-        cat = lambda name, kind: np.frombuffer(b"".join(group[name]), kind)
-        counts = cat("counts", np.uint32).astype(np.int64)
+        """Of a bucket, chunk by chunk, the anchors that stand in several documents."""
+        counts = _cat(group["counts"], np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(counts)), counts)
-        h = cat("hashes", np.uint32)
-        ids, copies = cat("ids", np.int64), cat("copies", np.int32)
+        h, ids, copies = _cat(group["hashes"], np.uint32), _cat(group["ids"], np.int64), _cat(group["copies"], np.int32)
         order = np.argsort(h, kind="stable")
         s, who = h[order], owner[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-        group_of = np.cumsum(first) - 1
-        head = who[np.flatnonzero(first)][group_of] if len(s) else who
-        other = (ids[who] != ids[head]) | (copies[who] != copies[head])
-        several = np.zeros(int(first.sum()), bool)
-        several[group_of[other]] = True
-        hit = order[several[group_of]] if len(s) else order
-        hit.sort()
-        who = owner[hit]
-        edge = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(hit) else np.empty(0, np.int64)
-        found = [h[x].tobytes() for x in np.split(hit, edge[1:])] if len(hit) else []
-        return pd.DataFrame({"doc": ids[who[edge]], "copy": copies[who[edge]], "anchors": found})
-
-    packed = rows.mapInPandas(emit, "bucket int, ids binary, copies binary, counts binary, hashes binary")
-    kept = packed.repartition(parts, "bucket").groupBy("bucket").applyInPandas(keep, "doc long, copy int, anchors binary")
-    return kept.groupBy("doc", "copy").agg(F.collect_list("anchors").alias("anchors"))
+        heads = _edges(s)
+        group_of = np.repeat(np.arange(len(heads)), np.diff([*heads, len(s)]))
+        head = who[heads][group_of]
+        several = np.zeros(len(heads), bool)
+        several[group_of[(ids[who] != ids[head]) | (copies[who] != copies[head])]] = True
+        hit = np.sort(order[several[group_of]])
+        found, lo = [], 0
+        for chunk, n in zip(group["chunk"], np.cumsum([len(x) // 4 for x in group["hashes"]]), strict=True):
+            hi = int(np.searchsorted(hit, n))
+            if hi > lo:
+                used, left = np.unique(owner[hit[lo:hi]], return_counts=True)
+                found.append((chunk, ids[used].tobytes(), copies[used].tobytes(), left.astype(np.uint32).tobytes(), h[hit[lo:hi]].tobytes()))
+            lo = hi
+        return pd.DataFrame(found, columns=["chunk", "ids", "copies", "counts", "hashes"])
+
+    def unite(group: pd.DataFrame) -> pd.DataFrame:
+        """A row for each document of a chunk."""
+        counts = _cat(group["counts"], np.uint32).astype(np.int64)
+        ids, copies = (np.repeat(_cat(group[c], t), counts) for c, t in (("ids", np.int64), ("copies", np.int32)))
+        order = np.lexsort([copies, ids])
+        ids, copies, h = ids[order], copies[order], _cat(group["hashes"], np.uint32)[order]
+        at = _edges(ids, copies)
+        return pd.DataFrame({"doc": ids[at], "copy": copies[at], "anchors": [x.tobytes() for x in np.split(h, at[1:])] if len(at) else []})
+
+    sent = "ids binary, copies binary, counts binary, hashes binary"
+    packed = rows.mapInPandas(lambda batches: _packs(batches, pack), f"bucket int, chunk long, {sent}")
+    kept = packed.repartition(parts, "bucket").groupBy("bucket").applyInPandas(keep, f"chunk long, {sent}")
+    united = kept.repartition(parts, "chunk").groupBy("chunk").applyInPandas(unite, "doc long, copy int, anchors binary")
+    return united.groupBy("doc", "copy").agg(F.collect_list("anchors").alias("anchors"))  # rows of one id and text may be in several chunks
 
 
 def _in(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -178,26 +211,26 @@ def _lead(data: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _sample(rows: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(splitters, frequent): leading strings that part the anchors evenly, repeated where one fills several ranges; and the
-    hashes of anchors in many documents, sorted. Both from a bounded sample of documents."""
+    hashes of anchors in many documents, sorted. Both from a sample of documents, whose anchors stay with the executors:
+    only the quantiles and the frequent anchors come to the driver, which are SAMPLE_DOCS / MANY times a document's at most."""
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, raw in _chunked(batches):
             data, sizes = _arrays(raw)
             doc, _, _, place, h = anchor_runs(data, sizes)
-            both = pd.DataFrame({"doc": doc, "h": h.view(np.int64), "lead": _lead(data, place).view(np.int64) if len(doc) else doc})
-            yield both.drop_duplicates(["doc", "h"])[["h", "lead"]]
+            lead = _lead(data, place) ^ _TOP if len(doc) else np.empty(0, np.uint64)  # of the same order as signed numbers
+            yield pd.DataFrame({"doc": doc, "h": h.view(np.int64), "lead": lead.view(np.int64)}).drop_duplicates(["doc", "h"])[["h", "lead"]]
 
     n = count_rows(rows)
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc", "copy"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE_DOCS)
-    got = picked.mapInPandas(anchors, "h long, lead long").toPandas()
-    if not len(got):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    counts = got["h"].value_counts()
-    often = counts.index[counts >= max(MANY, FREQUENT * share * n)].to_numpy(np.int64)
-    leads = np.sort(got.loc[~got["h"].isin(often), "lead"].to_numpy(np.int64).view(np.uint64))
-    cuts = leads[np.linspace(0, len(leads) - 1, parts + 1).astype(int)[1:-1]] if len(leads) else np.empty(0, np.uint64)
-    return cuts, np.sort(often.view(np.uint64))
+    picked = rows.where(F.pmod(F.xxhash64("doc", "copy"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    got = materialize(picked.mapInPandas(anchors, "h long, lead long"))
+    often = got.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(MANY, FREQUENT * share * n)).select("h")
+    often = np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))
+    rare = got.mapInPandas(lambda batches: (b[~_in(b["h"].to_numpy(np.int64).view(np.uint64), often)][["lead"]] for b in batches), "lead long")
+    cuts = rare.agg(F.percentile_approx("lead", [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
+    discard(got)
+    return np.array(cuts or [], np.int64).view(np.uint64) ^ _TOP, often
 
 
 def _suffixes(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
@@ -227,44 +260,63 @@ def _suffixes(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
     return joined.mapInPandas(run, "bucket int, back short, doc long, copy int, start int, bytes binary")
 
 
+_PLACE = np.dtype([("doc", "<i8"), ("copy", "<i4"), ("start", "<i8")])
+_HIT = np.dtype([*_PLACE.descr, ("mask", "<i8")])
+
+
 def _frequent(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(doc, copy, spans) of the runs of windows of frequent anchors.
 
-    Runs with equal bytes are aggregated to their first document before the shuffle; only the distinct ones are taken apart
-    into windows; and each run then learns, by its bytes, the first document of each of its windows.
+    Runs with equal bytes are one row for each chunk of documents, with all their places there; only the distinct ones are
+    taken apart into windows. Each chunk's run then learns, by its bytes, the first document of each of its windows, and
+    goes back to its chunk. So rows count distinct runs and chunks, not places.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, raw in _chunked(batches):
+    def cut(chunk: int, held: list) -> pd.DataFrame:
+        found: dict[bytes, list[tuple[int, int, int]]] = {}
+        for b, raw in held:
             data, sizes = _arrays(raw)
             doc, start, n, _, h = anchor_runs(data, sizes)
             hit = _in(h, frequent)
             doc, start, n = doc[hit], start[hit], n[hit]
-            whole = data.tobytes()
-            yield pd.DataFrame({
-                "bytes": [whole[s : s + k + LENGTH - 1] for s, k in zip(start.tolist(), n.tolist(), strict=True)], "doc": b["doc"].to_numpy(np.int64)[doc],
-                "copy": b["copy"].to_numpy(np.int32)[doc], "start": start - (np.cumsum(sizes) - sizes)[doc],
-            })
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.arange(SPREAD, dtype=np.int64)
+            whole, inside = data.tobytes(), start - (np.cumsum(sizes) - sizes)[doc]
+            ids, copies = b["doc"].to_numpy(np.int64)[doc], b["copy"].to_numpy(np.int32)[doc]
+            for s, k, *place in zip(start.tolist(), n.tolist(), ids.tolist(), copies.tolist(), inside.tolist(), strict=True):
+                found.setdefault(whole[s : s + k + LENGTH - 1], []).append(tuple(place))
+        places = [np.array(p, _PLACE) for p in found.values()]
+        return pd.DataFrame({"bytes": list(found), "chunk": chunk, "first": [int(p["doc"].min()) for p in places], "places": [p.tobytes() for p in places]})
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.int64(1) << np.arange(SPREAD, dtype=np.int64)
         for b in batches:
-            at, inner = np.nonzero((b["mask"].to_numpy(np.int64)[:, None] >> bits) & 1)
-            doc, copy, start = (b[c].to_numpy(np.int64)[at] for c in ("doc", "copy", "start"))
-            yield _spans(doc, copy, start + inner)
-
-    runs = materialize(rows.mapInPandas(cut, "bytes binary, doc long, copy int, start long"))
-    distinct = materialize(runs.groupBy("bytes").agg(F.min("doc").alias("first")))
+            hits = []
+            for chunk, places, firsts in zip(b["chunk"], b["places"], b["firsts"], strict=True):
+                p, least = np.frombuffer(places, _PLACE), np.asarray(firsts, np.int64)
+                mask = ((least[None, :] < p["doc"][:, None]) * bits[: len(least)]).sum(1)
+                out = np.empty(int((mask != 0).sum()), _HIT)
+                for c in _PLACE.names:
+                    out[c] = p[c][mask != 0]
+                out["mask"] = mask[mask != 0]
+                if len(out):
+                    hits.append((chunk, out.tobytes()))
+            yield pd.DataFrame(hits, columns=["chunk", "hits"])
+
+    def unite(group: pd.DataFrame) -> pd.DataFrame:
+        hit = _cat(group["hits"], _HIT)
+        at, inner = np.nonzero((hit["mask"][:, None] >> np.arange(SPREAD, dtype=np.int64)) & 1)
+        return _spans(hit["doc"][at], hit["copy"][at], hit["start"][at] + inner)
+
+    parts = input_parts(rows)
+    runs = materialize(rows.mapInPandas(lambda batches: _packs(batches, cut), "bytes binary, chunk long, first long, places binary"))
+    distinct = materialize(runs.groupBy("bytes").agg(F.min("first").alias("first")))
     window = distinct.select("bytes", "first", F.explode(F.sequence(F.lit(1), F.length("bytes") - LENGTH + 1)).alias("k")).withColumn("window", F.substring("bytes", F.col("k"), F.lit(LENGTH)))
-    least = window.groupBy("window").agg(F.min("first").alias("least"))
-    each = window.join(least, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("k", "least"))).alias("w"))
-    # A written table, so that both sides of the join are shuffled for it and frequent bytes can be split among tasks.
+    # Written tables, so that both sides of the joins are shuffled for them and a frequent key can be split among tasks.
+    least = materialize(window.groupBy("window").agg(F.min("first").alias("least")))
+    each = window.select("bytes", "k", "window").join(least, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("k", "least"))).alias("w"))
     firsts = materialize(each.select("bytes", F.transform("w", lambda x: x["least"]).alias("firsts")))
-    mask = F.expr("aggregate(transform(firsts, (f, i) -> if(f < doc, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
-    hit = runs.join(firsts, "bytes").select("doc", "copy", "start", mask.alias("mask")).where("mask != 0")
-    # A document's runs come together again, and leave as one row.
-    out = materialize(hit.repartition(input_parts(rows), "doc").sortWithinPartitions("doc", "copy").mapInPandas(pack, _SPANS))
-    discard(runs, distinct, firsts)
+    hits = runs.join(firsts, "bytes").select("chunk", "places", "firsts").mapInPandas(match, "chunk long, hits binary")
+    out = materialize(hits.repartition(parts, "chunk").groupBy("chunk").applyInPandas(unite, _SPANS))
+    discard(runs, distinct, least, firsts)
     return out
 
 
@@ -272,6 +324,7 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, equal): the order of byte rows, and whether a row equals the one before it.
 
     Multikey quicksort with eight bytes as a sign: rows are sorted by the first sign, and only runs of equal signs by the next.
+    Runs whose rows are equal to their ends need no more sorting.
     """
     n, width = rows.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
@@ -280,36 +333,28 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys[:, 0], kind="stable")
     first = keys[order, 0]
     equal = np.concatenate([[False], first[1:] == first[:-1]]) if n else np.empty(0, bool)
+    at = np.arange(n)  # places in runs that are still to be sorted
     for k in range(1, keys.shape[1]):
-        tied = equal.copy()
-        tied[:-1] |= equal[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
+        tied = equal[at]
+        tied[:-1] |= equal[at[1:]] & (at[1:] == at[:-1] + 1)
+        at = at[tied]
+        head = ~equal[at]
+        heads = np.flatnonzero(head)
+        rest = keys[order[at], k:]
+        differs = np.zeros(len(at), bool)
+        differs[1:] = (rest[1:] != rest[:-1]).any(1) & ~head[1:]
+        if not differs.any():
             break
-        run = np.cumsum(~equal)[at]
-        sub = order[at]
-        by = np.lexsort([keys[sub, k], run])
-        order[at] = sub[by]
-        value, group = keys[order[at], k], run
-        same = np.zeros(len(at), bool)
-        same[1:] = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
-        equal[at] = same
+        run = np.cumsum(head) - 1
+        mixed = np.logical_or.reduceat(differs, heads)[run]
+        at, run, rest = at[mixed], run[mixed], rest[mixed, 0]
+        by = np.lexsort([rest, run])
+        order[at] = order[at][by]
+        rest = rest[by]
+        equal[at] = np.concatenate([[False], (run[1:] == run[:-1]) & (rest[1:] == rest[:-1])])
     return order, equal
 
 
-def _later(doc: np.ndarray, copy: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """True for rows of bytes that also stand in a document of smaller id (of equal ids: of a smaller hash of the text)."""
-    order, equal = multikey_sort(rows)
-    out = np.zeros(len(rows), bool)
-    if not len(rows):
-        return out
-    run = np.cumsum(~equal) - 1
-    edges = np.flatnonzero(~equal)
-    least = np.minimum.reduceat(doc[order], edges)
-    out[order] = doc[order] > least[run]
-    return out
-
-
 def _spans(doc: np.ndarray, copy: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     """Hit windows as one row for each document, with packed (start, end) pairs of their union."""
     order = np.lexsort([start, copy, doc])
@@ -329,64 +374,63 @@ _SPANS = "doc long, copy int, spans binary"
 SORT_WINDOWS = 400_000
 
 
+def _padded(raw: pd.Series, back: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs as byte rows: their anchor, their bytes, filled up with zeros, and their size (for bytes that are zero themselves)."""
+    flat, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes
+    width = -(-int(sizes.max()) // 8) * 8
+    rows = np.zeros((len(sizes), ANCHOR + width + 8), np.uint8)
+    inside = np.arange(width) < sizes[:, None]
+    rows[:, ANCHOR : ANCHOR + width][inside] = flat
+    rows[:, :ANCHOR] = flat[(begins + back)[:, None] + np.arange(ANCHOR)]
+    rows[:, -1] = sizes
+    return rows
+
+
 def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     """The windows of a bucket that stand in a document before. Runs with equal bytes are settled as one."""
     if not len(group):
         return _spans(*(np.empty(0, np.int64),) * 3)
-    named = [x[k : k + ANCHOR] + x for x, k in zip(group["bytes"], group["back"].tolist(), strict=True)]  # by the anchor, then the run
-    order = sorted(range(len(named)), key=named.__getitem__)
-    named = [named[i] for i in order]
-    names, raw = [x[:ANCHOR] for x in named], [x[ANCHOR:] for x in named]
-    anchor = np.cumsum(np.fromiter(map(bytes.__ne__, names, [names[0], *names[:-1]]), bool, len(names)))
+    sizes = np.fromiter(map(len, group["bytes"]), np.int64, len(group))
+    rows = _padded(group["bytes"], group["back"].to_numpy(np.int64), sizes)
+    order, equal = multikey_sort(rows)  # by the anchor, then the run
     doc, copy, start = (group[c].to_numpy(np.int64)[order] for c in ("doc", "copy", "start"))
-    n = np.array([len(x) - LENGTH + 1 for x in raw], np.int64)
-    new = np.ones(len(raw), bool)
-    new[1:] = np.fromiter(map(bytes.__ne__, named[1:], named[:-1]), bool, len(raw) - 1)
-    text = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    least = np.minimum.reduceat(doc, heads)
-    anchor_of = anchor[heads]
-    first = [np.full(int(k), m) for k, m in zip(n[heads], least, strict=True)]
-    edges = np.flatnonzero(np.concatenate([[True], anchor_of[1:] != anchor_of[:-1], [True]]))
+    n = sizes[order] - LENGTH + 1
+    text, heads = np.cumsum(~equal) - 1, np.flatnonzero(~equal)
+    least, texts, counts = np.minimum.reduceat(doc, heads), rows[order[heads]], n[heads]
+    begin = np.cumsum(counts) - counts
+    first = np.repeat(least, counts)  # of each window of each text
+    edges = np.append(_edges(*texts[:, :ANCHOR].copy().view(np.uint64).T), len(heads))
+    several = np.flatnonzero(np.diff(edges) > 1)  # anchors of several texts: only there windows of different runs can be equal
+    windows = np.add.reduceat(counts, edges[:-1])[several]
+    flat = np.lib.stride_tricks.sliding_window_view(texts.reshape(-1), LENGTH)
     lo = 0
-    while lo < len(edges) - 1:  # several anchors at once, as many as fit
-        hi = lo + 1
-        total = int(n[heads[edges[lo] : edges[hi]]].sum())
-        while hi < len(edges) - 1 and total + (more := int(n[heads[edges[hi] : edges[hi + 1]]].sum())) <= SORT_WINDOWS:
-            total, hi = total + more, hi + 1
-        runs = np.arange(edges[lo], edges[hi])
-        if edges[hi] - edges[lo] > hi - lo:  # some anchor has several texts
-            counts = n[heads[runs]]
-            owner = np.repeat(runs, counts)
-            blob = np.frombuffer(b"".join(raw[heads[r]] for r in runs), np.uint8)
-            begin = np.cumsum([len(raw[heads[r]]) for r in runs]) - [len(raw[heads[r]]) for r in runs]
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = begin[owner - runs[0]] + inner
-            rows = np.lib.stride_tricks.sliding_window_view(blob, LENGTH)[at]
-            order, equal = multikey_sort(rows)
-            run = np.cumsum(~equal) - 1
-            best = np.minimum.reduceat(least[owner[order]], np.flatnonzero(~equal))
-            value = np.empty(len(owner), np.int64)
-            value[order] = best[run]
-            for r, part in zip(runs, np.split(value, np.cumsum(counts)[:-1]), strict=True):
-                first[r] = part
+    while lo < len(several):  # several anchors at once, as many as fit
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(windows[lo:]), SORT_WINDOWS, "right")) + lo)
+        runs = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in several[lo:hi]])
+        owner = np.repeat(runs, counts[runs])
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts[runs]) - counts[runs], counts[runs])
+        by, same = multikey_sort(flat[owner * texts.shape[1] + ANCHOR + inner])
+        best = np.minimum.reduceat(least[owner[by]], np.flatnonzero(~same))
+        first[(begin[owner] + inner)[by]] = best[np.cumsum(~same) - 1]
         lo = hi
-    flat = np.concatenate(first)
-    begin = np.cumsum(n[heads]) - n[heads]
     out = []
-    for lo in range(0, len(raw), 50_000):
-        part = np.arange(lo, min(lo + 50_000, len(raw)))
+    for lo in range(0, len(doc), 50_000):
+        part = np.arange(lo, min(lo + 50_000, len(doc)))
         owner = np.repeat(part, n[part])
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-        hit = doc[owner] > flat[begin[text[owner]] + inner]
+        hit = doc[owner] > first[begin[text[owner]] + inner]
         out.append((doc[owner[hit]], copy[owner[hit]], (start[owner] + inner)[hit]))
     return _spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def _whole_copies(rows: DataFrame) -> DataFrame:
-    """(doc, copy, n) of documents whose whole text, of n bytes, is that of a document of smaller id, and long enough to go."""
-    keyed = rows.select("doc", "copy", F.md5("text").alias("digest"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
-    first = keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    """(doc, copy, n) of documents whose whole text, of n bytes, is that of a document of smaller id, and long enough to go.
+
+    Texts are told apart by SHA-256. The first documents are a written table: the join shuffles both sides for itself, and a
+    text with very many copies can be split among tasks.
+    """
+    keyed = rows.select("doc", "copy", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
+    first = materialize(keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
     return keyed.join(first, "digest").where("doc > first").select("doc", "copy", "n").distinct()
 
 
@@ -425,7 +469,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string that covers it also starts in a document of smaller doc_id. Null text is empty; texts
     under 50 bytes lose nothing; very long ones are taken whole; documents with one id keep what only they share; null
-    ids count as least; an empty table gives no rows.
+    ids count as least; an empty table gives no rows; further columns, whatever their names, are not read.
     """
     rows = _prepare(docs)
     joined = rows.join(covered(rows), ["doc", "copy"], "left")
