@@ -19,52 +19,50 @@ MIN_LINES = 2
 MIN_WORDS = 50
 
 
-def _selected(lines: Column, at: Column, h1: Column, h2: Column, min_lines: int, min_words: int) -> Column:
-    """Array of (fp: fingerprint, fp_at: its line, windows: those that selected it), a window being (at: line numbers, k1 and k2: 128 bits of the lines' contents)."""
-
-    def window(k: Column, n: int) -> Column:
-        part, other = F.slice(h1, k, n), F.slice(h2, k, n)
-        least = F.element_at(at, (k + F.array_position(part, F.array_min(part)) - 1).cast("int"))
-        return F.struct(F.slice(at, k, n).alias("at"), least.alias("fp_at"), F.xxhash64(part).alias("k1"), F.xxhash64(other).alias("k2"))
-
-    n = F.size(at)
-    none = F.array().cast(_WINDOWS)
-    runs = F.coalesce(F.when(n >= min_lines, F.transform(F.sequence(F.lit(1), n - min_lines + 1), lambda k: window(k, min_lines))), none)
+def _selected(lines: Column, h1: Column, h2: Column, min_lines: int, min_words: int) -> Column:
+    """Array of (fp: fingerprint, n: the number of its line, start: the number of the first window that selected it, keys: 128 bits
+    of each of these windows, own: 128 bits of the line if it is long enough to be a window). Numbers count lines that are not blank."""
+    n = F.size(h1)
+    key = lambda k, width: F.array(F.xxhash64(F.slice(h1, k + 1, width)), F.xxhash64(F.slice(h2, k + 1, width)))
+    least = lambda k: k + F.array_position(F.slice(h1, k + 1, min_lines), F.array_min(F.slice(h1, k + 1, min_lines))) - 1
     spaces = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    long = lambda k: spaces(F.get(lines, F.get(at, k - 1))) >= min_words - 1
 
-    def select(k: Column) -> Column:
-        """The k-th line: of the windows that hold it, those in which it is the least."""
-        around = F.slice(runs, F.greatest(k - (min_lines - 1), F.lit(1)), F.least(k, F.lit(min_lines)))
-        mine = F.filter(around, lambda w: w["fp_at"] == F.get(at, k - 1))
-        return F.struct(F.get(h1, k - 1).alias("fp"), F.get(at, k - 1).alias("fp_at"), F.concat(mine, F.when(long(k), F.array(window(k, 1))).otherwise(none)).alias("windows"))
+    def select(line: Column, k: Column) -> Column:
+        lo, hi = F.greatest(k - (min_lines - 1), F.lit(0)), F.least(k, n - min_lines)
+        around = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        mine = F.filter(around, lambda w: least(w) == k)  # they follow each other
+        long = spaces(line) >= min_words - 1
+        return F.struct(F.get(h1, k).alias("fp"), k.alias("n"), F.get(mine, F.lit(0)).alias("start"), F.flatten(F.transform(mine, lambda w: key(w, min_lines))).alias("keys"), F.when(long, key(k, 1)).alias("own"))
 
-    every = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), select))
-    return F.filter(every, lambda line: F.size(line["windows"]) > 0)
+    return F.filter(F.transform(lines, select), lambda x: (F.size(x["keys"]) > 0) | x["own"].isNotNull())
 
 
-_WINDOWS = "array<struct<at:array<int>,fp_at:int,k1:bigint,k2:bigint>>"
+def _lines(text: Column) -> Column:
+    """The lines that are not blank."""
+    return F.filter(F.split(text, "\n", -1), lambda line: F.trim(line) != "")
 
 
 def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, hash, removed): for each document with any, the numbers of its deleted lines; hash is that of its text."""
-    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.split("text", "\n", -1).alias("lines"))
-    lined = lined.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.get("lines", i)) != ""))
-    hashed = lined.select(
-        "doc_id", "hash", "lines", "at", F.transform("at", lambda i: F.xxhash64(F.get("lines", i))).alias("h1"), F.transform("at", lambda i: F.xxhash64(F.lit(7), F.get("lines", i))).alias("h2")
-    )
-    prints = materialize(
-        hashed.select("doc_id", "hash", F.inline(_selected(F.col("lines"), F.col("at"), F.col("h1"), F.col("h2"), min_lines, min_words)))
-    )
+    """(doc_id, hash, removed): for each document with any, the numbers of its deleted lines among those that are not blank; hash is that of its text."""
+    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.col("text")).alias("lines"))
+    hashed = lined.select("doc_id", "hash", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h1"), F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)).alias("h2"))
+    prints = materialize(hashed.select("doc_id", "hash", F.inline(_selected(F.col("lines"), F.col("h1"), F.col("h2"), min_lines, min_words))))
     # What is joined back is written first: then both sides are shuffled for the join, and a frequent key can be split among tasks.
-    place = F.struct("doc_id", "hash", "fp_at")
+    place = F.struct("doc_id", "hash", "n")
     shared = materialize(prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp"))
-    found = materialize(prints.join(shared, "fp", "left_semi").select("doc_id", "hash", F.inline("windows")).drop("fp_at"))
-    here = F.struct("doc_id", "hash", F.get("at", F.lit(0)).alias("start"))
+    kept = prints.join(shared, "fp", "left_semi")
+    # The match extends from the fingerprint to the windows around it.
+    both = F.transform(F.sequence(F.lit(0), (F.size("keys") / 2 - 1).cast("int")), lambda k: F.struct((F.col("start") + k).cast("int").alias("start"), F.lit(min_lines).alias("width"), F.get("keys", (2 * k).cast("int")).alias("k1"), F.get("keys", (2 * k + 1).cast("int")).alias("k2")))
+    own = F.array(F.struct(F.col("n").alias("start"), F.lit(1).alias("width"), F.get("own", F.lit(0)).alias("k1"), F.get("own", F.lit(1)).alias("k2")))
+    none = F.array().cast("array<struct<start:int,width:int,k1:bigint,k2:bigint>>")
+    windows = F.concat(F.when(F.size("keys") > 0, both).otherwise(none), F.when(F.col("own").isNotNull(), own).otherwise(none))
+    found = materialize(kept.select("doc_id", "hash", F.inline(windows)))
+    here = F.struct("doc_id", "hash", "start")
     first = materialize(found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     later = found.join(first, ["k1", "k2"]).where(here != F.col("first"))
     # A second row of the same id and text stands in the same place: such rows are one document, and all of them stay.
-    out = materialize(later.select("doc_id", "hash", F.explode("at").alias("line")).groupBy("doc_id", "hash").agg(F.collect_set("line").alias("removed")))
+    gone = later.select("doc_id", "hash", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("line"))
+    out = materialize(gone.groupBy("doc_id", "hash").agg(F.collect_set("line").alias("removed")))
     discard(prints, shared, found, first)
     return out
 
@@ -75,7 +73,8 @@ def _cut(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     own = set_aside(docs, "doc_id", "text")
     joined = own.join(gone, F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("removed", lambda k: F.get(at, k)))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), F.coalesce(F.size("removed"), F.lit(0)).cast("long")
     return joined.select("doc_id", text.alias("text"), "rest", counts[0].alias("lines"), counts[1].alias("removed"))
