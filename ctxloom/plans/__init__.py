@@ -1,6 +1,6 @@
 """The queries over the driver tables, by name, with their DuckDB SQL."""
 
-from ctxloom.plans import documents, evaluation, graphs, relational, retrieval  # noqa: F401  they register themselves
+from ctxloom.plans import documents, evaluation, graphs, ingestion, relational, retrieval  # noqa: F401  they register themselves
 from ctxloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

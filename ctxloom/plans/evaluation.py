@@ -61,22 +61,6 @@ def ingest_counters(spark, d):
     return read(spark, d, "events").groupBy(F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("documents"))
 
 
-_EVENTS = values("e", ("seq", "op", "doc_id", "text"), [
-    (1, "create", "t1", "Customer reports 3 failed logins on 01/02/2024 after the new release went out to 250 users; refund of $40.00 promised within 5 days."),
-    (2, "create", "t2", "Thanks!"), (3, "update", "t1", "The login fault of 01/02/2024 was traced to one server of 12; the fix went live within 3 hours and 250 users were told."),
-    (4, "delete", "t9", None), (5, "create", "t3", "Invoice 4471 for $1,250.00 is 30 days late, and the account will be closed after 45 days unless payment arrives by 03/01/2024."),
-])
-
-
-@query()
-def ingest_batch(spark, d):
-    from ctxloom.streaming import ingest as I
-
-    events = spark.createDataFrame([tuple(r) for r in _EVENTS.rows], I.EVENT)
-    current = spark.createDataFrame([], I.CURRENT)
-    return I.apply_events(events, current, gated=True)[1]
-
-
 _LEDGER = values("l", ("system", "model", "phase", "tokens"), [("v3", "gpt-4", "initial", 1000), ("v3", "gpt-4", "run", 250), ("v3", "gpt-4", "run", 351), ("rag", "local", "run", 90)])
 
 

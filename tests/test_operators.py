@@ -168,6 +168,32 @@ def test_gate_rejects_copies(spark, tmp_path):
     assert got == {("a", "added"), ("b", "rejected"), ("c", "rejected"), ("a", "updated")}
 
 
+def test_index_goes_on_after_a_restart(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for k in range(13):  # each time a new Index on the same folder, over a compaction
+        index = I.Index(spark, path)
+        index.ingest(spark.createDataFrame([(k, "create", f"d{k}", f"text of document number {k}"), (100 + k, "update", "d0", f"version {k} of the first")], I.EVENT), k)
+        index.ingest(spark.createDataFrame([(k, "create", "never", "the same batch again")], I.EVENT), k)
+    index = I.Index(spark, path)
+    rows = {r.doc_id: (r.version, r.text) for r in index.active().collect()}
+    assert index.batch == 12 and len(rows) == 13 and rows["d0"] == (14, "version 12 of the first") and rows["d12"][0] == 1
+    assert index.history("d0").count() == 14 and {r.action: r.n for r in index.stats().collect()} == {"added": 13, "updated": 13}
+
+
+def test_queries_of_the_index(spark, tmp_path):
+    index = I.Index(spark, str(tmp_path / "index"), gated=True, threshold=0.35)
+    index.load(spark.createDataFrame([("a", "rent is due on the first of the month"), ("b", "the garden has roses and tulips"), ("c", "when rent rises by 3% a year")], "doc_id string, text string"))
+    hits = index.query("when is the rent due", 2).collect()
+    assert [r.id for r in hits] == ["a", "c"] and 0 < hits[0].css < 1 and hits[0].score > hits[1].score
+    for k in range(25):
+        index.spark.createDataFrame([(2 + k, "when is the rent due")], "n long, text string").write.mode("append").parquet(f"{index.path}/queries")
+    assert index.recent_queries().count() == 20
+    # What recent queries ask for passes the gate, and what is beside it does not.
+    events = [(1, "create", "x", "when is the rent due in this year of ours for us"), (2, "create", "y", "some plain words on quite another matter, nothing to see here")]
+    index.ingest(spark.createDataFrame(events, I.EVENT), 1)
+    assert {r.doc_id: r.action for r in index.results().where("doc_id in ('x', 'y')").collect()} == {"x": "added", "y": "rejected"}
+
+
 def test_streaming_query(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"seq": k, "op": "create", "doc_id": f"d{k}", "text": f"text number {k}"} for k in range(3)]
