@@ -13,18 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import materialize, table
+from ctxloom.llm._common import count_rows, materialize, put_back, set_aside, table
 
-#: The patterns, with possessive repeats and a lookbehind that skip starts which cannot match any more.
+#: The patterns, with possessive repeats and a lookbehind that skip starts which cannot match any more. Runs of
+#: digits are whole runs: those of under 13 or over 19 digits are no cards, and are passed over here.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-#: Words that may disclose: letters, in any script.
-TERM = r"\p{L}{3,}"
+_MATCHES = "array<struct<start:int,end:int,match:string>>"
+#: Matches whose places are summed at once.
+BLOCK = 64
+#: Disclosing words (and signs of theirs) that are sent to all tasks; more of them are joined by a shuffle.
+SENT_TERMS, SENT_SIGNS = 100_000, 4_000_000
 MIN_SUPPORT = 3
 #: Shares of a word's documents that hold the entity; and the least information in bits.
 GENERALISE_AT, REMOVE_AT, MIN_BITS = 0.5, 0.8, 3.0
@@ -34,6 +38,7 @@ def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, match) of all matches, leftmost and not overlapping; in code points, ends exclusive.
 
     Between the pieces that ``split`` leaves stand the matches that ``regexp_extract_all`` gives, so places are sums of lengths.
+    They are summed in blocks of BLOCK matches, and then over the blocks: a growing array is copied at each step of a fold.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     pieces = F.split(text, F.lit(pattern), -1)
@@ -45,7 +50,14 @@ def matches(text: Column, pattern: str | Column) -> Column:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))).alias("out"))
 
-    return F.aggregate(pairs, zero, step)["out"]
+    def add(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: F.struct((acc["at"] + x["start"]).alias("start"), (acc["at"] + x["end"]).alias("end"), x["match"].alias("match")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda k: F.aggregate(F.slice(pairs, k * BLOCK + 1, BLOCK), zero, step))
+    every = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MATCHES}>").alias("out")), add)
+    return F.when(F.size(found) > 0, F.flatten(every["out"])).otherwise(F.array().cast(_MATCHES))
 
 
 def _digits(match: Column) -> Column:
@@ -122,43 +134,68 @@ def _outside(text: Column) -> Column:
 def disclosures(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_bits: float = MIN_BITS) -> DataFrame:
     """(term, bits, action): the words that disclose an entity beyond the thresholds, with the most that they disclose.
 
-    Counts are of documents, over the whole corpus: those of the entity, of the word, and of both together. Repeated rows are one document.
+    Counts are of documents, over the whole corpus: those of the entity, of the word, and of both together. Each row is a document.
     """
     named = lambda kind: lambda m: _names(kind, m["match"])
     names = F.array_distinct(F.flatten(F.concat(*[F.transform(k, named(k)) for k in KINDS])))
-    words = materialize(found.select(names.alias("names"), _words(_outside(F.col("text"))).alias("words"), _words(F.col("text")).alias("every")))
-    named = words.select("words", F.explode("names").alias("entity"))
+    words = materialize(found.select(F.monotonically_increasing_id().alias("k"), names.alias("names"), _words(_outside(F.col("text"))).alias("words"), _words(F.col("text")).alias("every")))
+    named = words.select("k", F.explode("names").alias("entity"))
     seen = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= min_support)
-    pairs = named.join(seen, "entity").select("entity", "n_entity", F.explode("words").alias("term"))
-    pairs = materialize(pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support))
-    # The words of all rows, less those of repeated rows, and less those that stand in entities only.
-    document = [F.col("doc_id"), F.xxhash64("text").alias("_text")]
-    rows = materialize(docs.groupBy(*document).agg(F.count(F.lit(1)).alias("n_rows")))
-    repeated = rows.where("n_rows > 1").withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
-    copies = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).dropDuplicates(["doc_id", "text"])
+    named = materialize(named.join(seen, "entity"))
+    # The words of all rows, less those that stand in entities only.
     counted = docs.select(F.explode(_words(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("n"))
-    counted = counted.unionByName(copies.select(F.explode(_words(F.col("text"))).alias("term"), (1 - F.col("n_rows")).alias("n")))
     counted = counted.unionByName(words.select(F.explode(F.array_except("every", "words")).alias("term"), F.lit(-1).cast("long").alias("n")))
-    counts = counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = counted.groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= min_support)
+    # A word of more than n_entity / generalise_at documents cannot disclose an entity of n_entity: it is not paired with it.
+    within = F.col("n_term") * generalise_at <= F.col("n_entity") + 1e-9
+    most = named.groupBy("k").agg(F.max("n_entity").alias("n_entity"))
+    own = words.select("k", "words").join(most, "k").select("k", "n_entity", F.explode("words").alias("term")).join(counts, "term").where(within).select("k", "term", "n_term")
+    pairs = own.join(named, "k").where(within).groupBy("entity", "n_entity", "term", "n_term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
     return (
-        pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row: the number of documents
-        .withColumn("share", F.col("both") / F.col("n_term")).withColumn("bits", F.log2(F.col("share") * F.col("n_docs") / F.col("n_entity")))
+        pairs.withColumn("share", F.col("both") / F.col("n_term")).withColumn("bits", F.log2(F.col("share") * count_rows(docs) / F.col("n_entity")))
         .where((F.col("share") >= generalise_at) & (F.col("bits") >= min_bits))
         .groupBy("term").agg(F.max("bits").alias("bits"), F.max(F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")).alias("action"))
     )
 
 
 def _places(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """(_id, _hash, terms): every place of the words ``judged``, in all documents that hold any."""
-    held = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.explode(_words(F.col("text"))).alias("term")).join(judged, "term")
-    held = held.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.collect_set(F.struct("term", F.struct("bits", "action").alias("judged"))).alias("held"))
-    texts = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).dropDuplicates(["doc_id", "_hash"])
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("held", lambda h: h["term"]), "|"), F.lit(r")(?!\p{L})"))
-    named = texts.select("_id", "_hash", F.map_from_entries("held").alias("held"), matches(F.col("text"), pattern).alias("m"))
-    placed = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["match"]).alias("term"), F.col("held")[F.lower(m["match"])].alias("judged"))
-    terms = F.filter(F.transform("m", placed), lambda t: t["judged"].isNotNull())
-    return named.select("_id", "_hash", F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["term"].alias("term"), t["judged"]["bits"].alias("bits"), t["judged"]["action"].alias("action"))).alias("terms"))
+    """(doc_id, hash, terms): every place of the words ``judged``, in all documents that hold any.
+
+    Few words go to the texts, where they stand. Where there are more, the words of the texts go to them, and what is found back to the texts.
+    """
+    terms, signs = judged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    bounded = lambda word: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), word, F.lit(r")(?!\p{L})"))
+    worded = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.explode(_words(F.col("text"))).alias("term"))
+    if terms <= SENT_TERMS and signs <= SENT_SIGNS:
+        placed = worded.join(F.broadcast(judged), "term").select("doc_id", "hash", "bits", "action", F.explode(matches(F.col("text"), bounded(F.col("term")))).alias("m"))
+    else:
+        held = worded.drop("text").join(judged, "term").groupBy("doc_id", "hash").agg(F.collect_set(F.struct("term", F.struct("bits", "action").alias("judged"))).alias("held"))
+        held = held.withColumnsRenamed({"doc_id": "id", "hash": "own"})
+        texts = docs.join(held, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("own"))).select("doc_id", F.col("own").alias("hash"), "text", F.map_from_entries("held").alias("held"))
+        found = texts.select("doc_id", "hash", "held", F.explode(matches(F.col("text"), bounded(F.array_join(F.map_keys("held"), "|")))).alias("m")).withColumn("judged", F.col("held")[F.lower("m.match")])
+        placed = found.where("judged IS NOT NULL").select("doc_id", "hash", "judged.bits", "judged.action", "m")
+    # Rows that share id and text have the same places.
+    return placed.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set(F.struct("m.start", "m.end", F.lower("m.match").alias("term"), "bits", "action"))).alias("terms"))
+
+
+def _all_spans(docs: DataFrame, **thresholds) -> DataFrame:
+    """(id, hash, email, ip, card, phone, terms) of the documents (doc_id, text) that hold any; one row for an id and text."""
+    found = materialize(find(docs))
+    judged = materialize(disclosures(docs, found, **thresholds))
+    placed = _places(docs, judged).withColumnsRenamed({"doc_id": "id", "hash": "own"})
+    own = found.select("doc_id", F.xxhash64("text").alias("hash"), *KINDS).dropDuplicates(["doc_id", "hash"])
+    both = own.join(placed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")), "full")
+    entities = [F.coalesce(k, F.array().cast(_MATCHES)).alias(k) for k in KINDS]
+    terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string,bits:double,action:string>>")).alias("terms")
+    both = both.select(F.when(F.col("hash").isNull(), F.col("id")).otherwise(F.col("doc_id")).alias("id"), F.coalesce("hash", "own").alias("hash"), *entities, terms)
+    inside = lambda t: F.exists(F.concat(*KINDS), lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"]))
+    return materialize(both.withColumn("terms", F.filter("terms", lambda t: ~inside(t))))
+
+
+def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, hash and more) with the spans of each row."""
+    joined = docs.join(found.withColumnRenamed("hash", "own"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")), "left")
+    return joined.select(*docs.columns, *[F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in (*KINDS, "terms")])
 
 
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
@@ -166,31 +203,22 @@ def spans(docs: DataFrame, **thresholds) -> DataFrame:
     (start, end, term, bits, action) of disclosing words outside entities.
 
     Null text is empty and holds nothing, as do empty texts; texts of any length are searched whole; repeated rows each
-    give a row; columns called email, ip, card, phone or terms are replaced.
+    give a row, and each count; of an empty table there are none. Columns called email, ip, card, phone or terms are
+    replaced; all others, whatever their names, pass through.
     """
-    docs = docs.drop(*KINDS, "terms", "_text")
-    found = materialize(find(docs.select("doc_id", "text")).dropDuplicates(["doc_id", "text"]))
-    judged = materialize(disclosures(docs, found, **thresholds))
-    placed = materialize(_places(docs.select("doc_id", "text"), judged)).withColumnsRenamed({"_id": "_i", "_hash": "_t"})
-    all_found = found.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), *KINDS)
-    own = docs.withColumn("_text", F.xxhash64("text")).drop("text")
-    joined = own.join(all_found, own["doc_id"].eqNullSafe(all_found["_id"]) & (own["_text"] == all_found["_hash"]), "left")
-    joined = joined.join(placed, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left")
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    every = F.concat(*[F.coalesce(k, empty) for k in KINDS])
-    terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string,bits:double,action:string>>"))
-    return joined.select(
-        *[c for c in docs.columns if c != "text"], *[F.coalesce(k, empty).alias(k) for k in KINDS],
-        F.filter(terms, lambda t: ~F.exists(every, lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"]))).alias("terms"),
-    )
+    columns = [c for c in docs.columns if c not in ("text", *KINDS, "terms")]
+    found = _all_spans(docs.select("doc_id", "text"), **thresholds)
+    own = set_aside(docs.withColumn("text", F.xxhash64("text")), "doc_id", "text").withColumnRenamed("text", "hash")
+    return _with_spans(own, found).select(*put_back(columns, doc_id=F.col("doc_id")), *KINDS, "terms")
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with entities replaced by their kind in brackets, removed words by nothing and generalised ones by [TERM].
 
-    Of overlapping spans the first one, and of those the longest, is replaced.
+    Of overlapping spans the first one, and of those the longest, is replaced. Nulls, empty and long texts and repeated rows
+    are as in ``spans``; rows of one id and different texts each lose what their own text holds; all columns pass through.
     """
-    found = spans(docs, **thresholds).select("doc_id", *KINDS, "terms").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
+    found = _all_spans(docs.select("doc_id", "text"), **thresholds)
     bracketed = lambda kind: lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("minus_end"), F.lit(f"[{kind.upper()}]").alias("by"))
     parts = F.concat(
         *[F.transform(k, bracketed(k)) for k in KINDS],
@@ -200,10 +228,10 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     step = lambda acc, p: F.when(p["start"] < acc["at"], acc).otherwise(
         F.struct((-p["minus_end"]).alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, p["start"] - acc["at"]), p["by"])).alias("out"))
     )
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left")
+    joined = _with_spans(set_aside(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), found)
     done = F.aggregate(F.array_sort(parts), zero, step)
     text = F.when(F.size(parts) > 0, F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*put_back(docs.columns, doc_id=F.col("doc_id"), text=text))
 
 
 def _listed(kind: str, array: Column) -> Column:
