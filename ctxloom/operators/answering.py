@@ -142,7 +142,7 @@ def definition_clause(text: Column) -> Column:
     one, two = F.get(terms, F.lit(0)), F.get(terms, F.lit(1))
     term = F.when(one.isin(*V.PLACEHOLDER_TERMS), two).otherwise(one)
     quoted = F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
-    says = [F.regexp_extract(text, F.concat(F.lit(a), quoted, F.lit(b)), 1) for a, b in V.DEFINITION_SENTENCES]
+    says = [F.call_function("regexp_extract", text, F.concat(F.lit(a), quoted, F.lit(b)), F.lit(1)) for a, b in V.DEFINITION_SENTENCES]
     found = F.coalesce(*[F.nullif(F.substring(T.strip(F.regexp_replace(s, "\n", " ")), 1, 350), F.lit("")) for s in says], F.lit("Defined in the Agreement."))
     return F.when(term.isNotNull(), F.struct(term.alias("term"), found.alias("definition")))
 

@@ -14,6 +14,8 @@ from ctxloom.functions import vector as X
 
 # Two-sided 95% t criticals, by the least degrees of freedom that they hold for.
 T_CRITICAL = ((120, 1.96), (60, 2.00), (30, 2.04), (20, 2.086), (10, 2.228), (5, 2.571), (0, 2.776))
+# Two-sided 99% t criticals, likewise.
+T_CRITICAL_99 = ((120, 2.576), (30, 2.750), (0, 3.250))
 # Prices in dollars for a thousand tokens, by model.
 PRICES = {"gpt-4": 0.03, "gpt-4-turbo": 0.01, "gpt-3.5-turbo": 0.0015, "gemini-1.5-flash": 0.000075, "gemini-1.5-pro": 0.00125, "gemini-2.0-flash": 0.0001, "local": 0.0}
 
@@ -35,12 +37,72 @@ def faithfulness(answers: DataFrame, dims: int = 256) -> DataFrame:
     return sentences.groupBy("id").agg(F.avg(F.greatest(F.lit(0.0), X.dot(X.hashed_embedding(F.col("s"), dims), F.col("c")))).alias("faithfulness"))
 
 
+def relevance(a: Column, b: Column, dims: int = 256) -> Column:
+    """Similarity of two texts, between 0 and 1: of a query and its answer, or its context; 0 where one is empty."""
+    both = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
+    return F.when(both, T.clamp(X.cosine(X.hashed_embedding(a, dims), X.hashed_embedding(b, dims)))).otherwise(0.0)
+
+
+def token_use(context: Column, answer: Column) -> Column:
+    """Tokens of the answer over those of the context; 0 without context."""
+    n = T.token_count(context)
+    return F.when(n == 0, 0.0).otherwise(T.token_count(answer) / n)
+
+
+def all_metrics(results: DataFrame, dims: int = 256) -> DataFrame:
+    """Every offline metric of (id, query, answer, context, units), as one row for each: relevance, context_relevance, completeness,
+    lexical_relevance, token_use, answer_tokens, context_tokens, unit coverage, and faithfulness (0 without sentences)."""
+    q, a, c = F.col("query"), F.coalesce("answer", F.lit("")), F.coalesce("context", F.lit(""))
+    own = results.select(
+        "id", relevance(q, a, dims).alias("relevance"), relevance(q, c, dims).alias("context_relevance"), answer_completeness(a, q).alias("completeness"), lexical_relevance(a, q).alias("lexical_relevance"),
+        token_use(c, a).alias("token_use"), T.token_count(a).cast("double").alias("answer_tokens"), T.token_count(c).cast("double").alias("context_tokens"),
+    )
+    units = unit_coverage(results.select("id", a.alias("answer"), F.coalesce("units", F.array().cast("array<string>")).alias("units")))
+    grounded = faithfulness(results.select("id", a.alias("answer"), c.alias("context")), dims)
+    rows = own.join(units.select("id", F.col("coverage").alias("unit_coverage")), "id").join(grounded, "id", "left")
+    return rows.withColumn("faithfulness", F.coalesce("faithfulness", F.lit(0.0)))
+
+
+def metric_means(results: DataFrame, metrics: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """metric, trap_type ("all" for the whole), n, mean_a, mean_b and delta over rows without an error: ``results`` are (trap_type,
+    error, and two maps of metrics); a metric that a map lacks is 0."""
+    rows = results.where("error IS NULL").select("trap_type", F.explode(F.array(*map(F.lit, metrics))).alias("metric"), a, b)
+    value = lambda m: F.coalesce(F.try_element_at(F.col(m), F.col("metric")), F.lit(0.0))
+    long = rows.select("metric", F.explode(F.array(F.lit("all"), F.col("trap_type"))).alias("trap_type"), value(a).alias("a"), value(b).alias("b")).where("trap_type IS NOT NULL")
+    return long.groupBy("metric", "trap_type").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), (F.avg("a") - F.avg("b")).alias("delta"))
+
+
+def interval(pairs: DataFrame, *by: str, confidence: float = 0.95) -> DataFrame:
+    """mean_diff, ci_low and ci_high of the differences of (a, b) in each group, at 0.95 or 0.99, by the step tables."""
+    table = T_CRITICAL if confidence == 0.95 else T_CRITICAL_99
+    d = F.col("a") - F.col("b")
+    out = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_diff"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"))
+    critical = reduce(lambda acc, x: acc.when(F.col("n") - 1 >= x[0], x[1]), table[1:], F.when(F.col("n") - 1 >= table[0][0], table[0][1]))
+    half = critical * F.col("sd") / F.sqrt("n")
+    return out.select(*by, "n", "mean_diff", (F.col("mean_diff") - half).alias("ci_low"), (F.col("mean_diff") + half).alias("ci_high"))
+
+
+def latex_table(tests: DataFrame) -> str:
+    """A LaTeX table of (metric, mean_a, mean_b, t, p_value, cohens_d, significant): one row a metric, significant p in bold."""
+    def line(r) -> str:
+        p = "--" if r["p_value"] is None else f"{r['p_value']:.4f}"
+        p = rf"\textbf{{{p}}}" if r["significant"] else p
+        t, d = ("--" if r[c] is None else f"{r[c]:.3f}" for c in ("t", "cohens_d"))
+        name = r["metric"].replace("_", r"\_")
+        return rf"{name} & {r['mean_a']:.3f} & {r['mean_b']:.3f} & {r['mean_a'] - r['mean_b']:+.3f} & {t} & {p} & {d} \\"
+
+    rows = sorted(tests.collect(), key=lambda r: r["metric"])  # a row for each metric
+    head = [r"\begin{table}[h]", r"\centering", r"\begin{tabular}{lcccccc}", r"\toprule", r"Metric & A & B & $\Delta$ & $t$ & $p$ & Cohen's $d$ \\", r"\midrule"]
+    return "\n".join([*head, *map(line, rows), r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+
+
 def unit_coverage(annotations: DataFrame) -> DataFrame:
     """id, covered, total and coverage of the information units (id, answer, units array) that the answer holds; 1 without units."""
     hit = F.size(F.filter("units", lambda u: T.unit_covered(F.col("answer"), u)))
     return annotations.select("id", hit.alias("covered"), F.size("units").alias("total"), F.when(F.size("units") == 0, 1.0).otherwise(hit / F.size("units")).alias("coverage"))
 
 
+# Published: the continued fraction of the incomplete beta function, evaluated by Lentz's method (Numerical Recipes, 6.4).
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function, by Lentz's method."""
     tiny, c, d = 1e-30, 1.0, 1 - (a + b) * x / (a + 1)
@@ -165,6 +227,13 @@ def cost_report(ledger: DataFrame, queries: int) -> DataFrame:
     return out.withColumns({"mean_run_tokens": mean, "projected_tokens": total, "projected_cost": total / 1000 * F.try_element_at(price, F.col("model"))})
 
 
+def cost_comparison(ledger: DataFrame, queries: int = 10) -> DataFrame:
+    """The cost report of each system, the cheapest first, and how many times the cheapest one's projected tokens it needs."""
+    out = cost_report(ledger, queries)
+    least = out.agg(F.min("projected_tokens").alias("least"))
+    return out.join(F.broadcast(least), F.lit(True)).withColumn("times_least", F.col("projected_tokens") / F.col("least")).drop("least").orderBy("projected_tokens", "system")  # least is one row
+
+
 def search_weights(features: DataFrame, ranges: dict[str, tuple[float, float]], trials: int = 20, seed: int = 7) -> DataFrame:
     """trial, its weights and the mean reward over rows of (reward target, features): one row for each random trial.
 

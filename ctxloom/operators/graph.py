@@ -160,6 +160,29 @@ def prune(nodes: DataFrame, edges: DataFrame, queries: DataFrame, critical: Data
     return nodes.join(ranked.where("r = 1 AND n > 3").select("graph_id", "id"), ["graph_id", "id"], "left_anti").select(*nodes.columns)
 
 
+def edge_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges with the texts of their two ends, empty where an end has no node."""
+    named = lambda end: nodes.select("graph_id", F.col("id").alias(end), F.col("text").alias(f"{end}_text"))
+    rows = edges.join(named("source"), ["graph_id", "source"], "left").join(named("target"), ["graph_id", "target"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source_text", "target_text")})
+
+
+def contradiction_score(nodes: DataFrame, edges: DataFrame, scorer=X.contradiction) -> DataFrame:
+    """graph_id and the mean over its edges of their weight times what ``scorer`` says of the two texts; 0 without edges."""
+    rows = edge_texts(nodes, edges)
+    both = (F.col("source_text") != "") & (F.col("target_text") != "")
+    each = rows.groupBy("graph_id").agg(F.avg(F.when(both, scorer(F.col("source_text"), F.col("target_text")) * F.col("weight")).otherwise(0.0)).alias("score"))
+    return nodes.select("graph_id").distinct().join(each, "graph_id", "left").select("graph_id", F.coalesce("score", F.lit(0.0)).alias("contradiction"))
+
+
+def semantic_score(nodes: DataFrame, queries: DataFrame, scorer=X.entailment) -> DataFrame:
+    """graph_id and how far the graph's texts, in order, entail the query (graph_id, query); 0.5 where there is no text or query."""
+    texts = nodes.where("text != ''").groupBy("graph_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("premise"))
+    rows = queries.select("graph_id", "query").join(texts, "graph_id", "left")
+    known = (F.coalesce("premise", F.lit("")) != "") & (F.coalesce("query", F.lit("")) != "")
+    return rows.select("graph_id", F.when(known, scorer(F.col("premise"), F.col("query"))).otherwise(0.5).alias("semantic"))
+
+
 def critical_nodes(nodes: DataFrame, subqueries: DataFrame, least: float = 0.35) -> DataFrame:
     """graph_id and id of the best node of each subquery (graph_id, subquery_id, vector) from ``least`` on, and of its second best if that reaches 0.8 of the best."""
     scored = nodes.join(subqueries, "graph_id").select("graph_id", "subquery_id", "id", "pos", X.cosine(X.double(F.col("embedding")), X.double(F.col("vector"))).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ctxloom.functions import chunk as C
 from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
+from ctxloom.functions import vocabulary as V
 from ctxloom.operators.retrieval import pairs_of
 from ctxloom.plans.registry import query, read, values
 
@@ -65,13 +66,21 @@ _CONTRACT = (
     "ARTICLE II. Term and how the agreement may be ended early\nNotwithstanding the foregoing, either side may end this agreement subject to Section 1.1 after 12 months.\n"
     "ARTICLE III. Limits of what each side may owe the other\nIn no event shall damages exceed $10,000.50 except as provided in Exhibit A, unless otherwise agreed on 01/02/2024.\n"
 )
-_TEXTS = values("t", ("id", "text"), [
+_TEXTS = values("lit", ("id", "text"), [
     (1, 'Subject to Section 4.1, the Supplier shall pay $5,000.00 within 45 days. "Net Revenue" means gross sales less returns, excluding taxes.'),
     (2, "The lease runs 3 years from 12/31/2020, unless otherwise agreed. See Exhibit B and Article IV; the Tenant Company pays 4.5% more each year."),
     (3, "Thanks!"), (4, "Plain words only, with nothing that is specific at all in them, twenty words long or more so that the bonus counts here too."),
 ])
 
 
+#: The literal texts, which have what contracts have, and all documents.
+_T_SQL = f"{_TEXTS.sql}, t AS (SELECT * FROM lit UNION ALL SELECT doc_id + 1000, text FROM documents)"
+
+
+def _texts(spark, d):
+    return _TEXTS.frame(spark).unionByName(read(spark, d, "documents").select((F.col("doc_id") + 1000).alias("id"), "text"))
+
+
 def _count(pattern: str, most: int, weight: int) -> str:
     return f"least({most}, len(regexp_extract_all(text, '{pattern}'))) * {weight}"
 
@@ -79,34 +88,67 @@ def _count(pattern: str, most: int, weight: int) -> str:
 _SIGNALS = " + ".join([_count(r"\b\d+(?:\.\d+)?%?\b", 5, 1), _count(r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\w+ \d{1,2},? \d{4})\b", 3, 2), _count(r"\$[\d,]+(?:\.\d{2})?", 3, 2), _count(r"(?i)\b\d+\s*(?:days?|months?|years?|weeks?|hours?)\b", 3, 2)])
 
 
-@query(f"WITH {_TEXTS.sql}, n AS (SELECT *, len(string_split_regex(trim(text), '\\s+')) AS w FROM t) SELECT id, CASE WHEN length(text) < 10 THEN 0.0 ELSE least(1.0, ({_SIGNALS} + CASE WHEN w >= 20 THEN 2 WHEN w >= 10 THEN 1 ELSE 0 END) / 8) END AS specificity FROM n")
+@query(f"WITH {_T_SQL}, n AS (SELECT *, len(string_split_regex(trim(text), '\\s+')) AS w FROM t) SELECT id, CASE WHEN length(text) < 10 THEN 0.0 ELSE least(1.0, ({_SIGNALS} + CASE WHEN w >= 20 THEN 2 WHEN w >= 10 THEN 1 ELSE 0 END) / 8) END AS specificity FROM n")
 def specificity(spark, d):
-    return _TEXTS.frame(spark).select("id", T.specificity(F.col("text")).alias("specificity"))
+    return _texts(spark, d).select("id", T.specificity(F.col("text")).alias("specificity"))
+
 
+_REFS = " || ".join(f"regexp_extract_all(text, '(?i){p}')" for p in V.REFERENCE_PATTERNS)
 
-@query(rf"WITH {_TEXTS.sql}, r AS (SELECT id, unnest(regexp_extract_all(lower(text), 'section\s+\d+(?:\.\d+)*') || regexp_extract_all(lower(text), 'exhibit\s+[a-z]') || regexp_extract_all(lower(text), 'article\s+[ivxlc]+') || regexp_extract_all(lower(text), 'subject to\s+section\s+[\d]+(?:\.\d+)*') || regexp_extract_all(lower(text), 'see\s+exhibit\s+[a-z]')) AS ref FROM t) SELECT DISTINCT id, ref FROM r")
+
+@query(f"WITH {_T_SQL}, r AS (SELECT id, lower(unnest({_REFS})) AS ref FROM t) SELECT DISTINCT id, ref FROM r")
 def section_references(spark, d):
-    return _TEXTS.frame(spark).select("id", F.explode(T.section_references(F.col("text"))).alias("ref"))
+    return _texts(spark, d).select("id", F.explode(T.section_references(F.col("text"))).alias("ref"))
 
 
-@query(f"WITH {_TEXTS.sql} SELECT id, unnest(list_transform(regexp_extract_all(text, '\"([^\"]{{3,50}})\"\\s+(?:means|shall mean)', 1), lambda x: lower(x))) AS term FROM t")
+@query(f"WITH {_T_SQL} SELECT id, unnest(list_transform(regexp_extract_all(text, '\"([^\"]{{3,50}})\"\\s+(?:means|shall mean)', 1), lambda x: lower(x))) AS term FROM t")
 def defined_terms(spark, d):
-    return _TEXTS.frame(spark).select("id", F.explode(T.defined_terms(F.col("text"))).alias("term"))
+    return _texts(spark, d).select("id", F.explode(T.defined_terms(F.col("text"))).alias("term"))
 
 
 @query()
 def contradiction_flags(spark, d):
-    return _TEXTS.frame(spark).select("id", F.inline(T.contradiction_flags(F.col("text"))))
+    return _texts(spark, d).select("id", F.inline(T.contradiction_flags(F.col("text"))))
 
 
-@query(rf"WITH {_TEXTS.sql} SELECT id, CAST(len(regexp_extract_all(lower(text), '\b(?:subject\s+to|unless\s+otherwise|notwithstanding|except\s+as|provided\s+however)\b')) AS INT) AS trap_a_count FROM t")
+@query(rf"WITH {_T_SQL} SELECT id, CAST(len(regexp_extract_all(lower(text), '\b(?:subject\s+to|unless\s+otherwise|notwithstanding|except\s+as|provided\s+however)\b')) AS INT) AS trap_a_count FROM t")
 def override_counts(spark, d):
-    return _TEXTS.frame(spark).select("id", T.trap_scores(F.col("text"))["trap_a_count"].alias("trap_a_count"))
+    return _texts(spark, d).select("id", T.trap_scores(F.col("text"))["trap_a_count"].alias("trap_a_count"))
 
 
-@query()
+_SCAN = (
+    f"WITH {_T_SQL}, a AS (SELECT id, text, lower(text) AS low, " + " + ".join(f"len(regexp_extract_all(lower(text), '{p}'))" for p in V.OVERRIDE_PATTERNS) + " AS a, "
+    + r"""least(len(list_distinct(regexp_extract_all(text, '(?i)"([^"]+)"\s+(?:means|shall\s+mean)', 1))), 15) AS defined, len(regexp_extract_all(lower(text), '\b(?:article\s+1|section\s+1\.\d+)')) AS openings, """
+    r"len(list_distinct(regexp_extract_all(lower(text), '\bsection\s+\d+(?:\.\d+)*(?:\([a-z]\))?'))) AS sections FROM t), "
+    "b AS (SELECT *, CASE WHEN openings > 5 AND defined < openings THEN greatest(defined, least(openings, 30)) ELSE defined END AS b, least(sections // 3, 20) AS c FROM a) "
+    "SELECT id, CAST(a AS INT) AS trap_a_count, CAST(b AS INT) AS trap_b_count, CAST(c AS INT) AS trap_c_count, CAST(sections AS INT) AS trap_c_sections, CAST(a * 2 + b * 1.5 + c AS DOUBLE) AS total_score FROM b"
+)
+
+
+@query(_SCAN)
 def trap_scan(spark, d):
-    return _TEXTS.frame(spark).select("id", *[c.alias(n) for n, c in T.trap_scores(F.col("text")).items()])
+    return _texts(spark, d).select("id", *[c.alias(n) for n, c in T.trap_scores(F.col("text")).items()])
+
+
+@query(
+    rf"WITH {_T_SQL}, c AS (SELECT id, substring(trim(replace(regexp_extract(text, '(?is)([^.]{{0,80}}(?:notwithstanding|except as|subject to)[^.]{{0,200}}\.)', 1), chr(10), ' ')), 1, 400) AS snippet, "
+    r"list_distinct(regexp_extract_all(text, '(?i)\b(?:Section|Article)\s+(\d+(?:\.\d+)*(?:\([a-z]\))?)', 1)) AS numbers FROM t) "
+    r"SELECT id, nullif(snippet, '') AS snippet, CASE WHEN snippet <> '' THEN coalesce(nullif(regexp_extract(snippet, '[Ss]ection\s+\d+(?:\.\d+)*(?:\([a-z]\))?'), ''), 'relevant section') END AS section, len(numbers) >= 3 AS scattered FROM c"
+)
+def trap_content(spark, d):
+    """What each text says that overrides something, and whether it refers to three sections or more."""
+    from ctxloom.operators import answering as A
+
+    c = A.override_clause(F.col("text"))
+    return _texts(spark, d).select("id", c["snippet"].alias("snippet"), c["section"].alias("section"), A.scattered_sections(F.col("text")).isNotNull().alias("scattered"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Net Revenue', 'gross sales less returns, excluding taxes.'), (2, NULL, NULL), (3, NULL, NULL), (4, NULL, NULL)) t(id, term, definition)")
+def trap_definitions(spark, d):
+    from ctxloom.operators import answering as A
+
+    c = A.definition_clause(F.col("text"))
+    return _TEXTS.frame(spark).select(F.col("id").cast("int").alias("id"), c["term"].alias("term"), c["definition"].alias("definition"))
 
 
 @query()

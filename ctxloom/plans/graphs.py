@@ -314,7 +314,7 @@ def greedy_policy(spark, d):
     return P.optimise(n, n.drop("graph_id", "pos"), references(n), asked(n), P.Policy(), write, subqueries(n))[1]
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 'b', 'section_ref'), ('b', 'a', 'section_ref'), ('c', 'a', 'section_ref'), ('c', 'a', 'defined_term')) t(a, b, type)")
 def cross_references(spark, d):
     rows = [
         ("a", 'The cap is set out in Section 12. "Service Fee" means the yearly price.', "1"), ("b", "Either side may end this subject to Section 1.", "12"), ("c", "The service fee is due as described in Section 1.", "2"), ("d", "Nothing here.", None),
@@ -322,9 +322,10 @@ def cross_references(spark, d):
     return G.cross_references(spark.createDataFrame(rows, "id string, text string, section string"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, 'a', 0, 0.9, 'query_match'), (1, 'b', 1, 0.8, 'query_match'), (1, 'd', 2, 0.54, 'entity_match'), (2, 'c', 0, 0.7, 'query_match'), (2, 'e', 1, 1.0, 'entity_match')) t(graph_id, id, pos, confidence, route)")
 def initial_graph(spark, d):
     q = spark.createDataFrame([(1,), (2,)], "graph_id long")
     hits = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.8, 2), (2, "c", 0.7, 1)], "graph_id long, id string, score double, rank int")
     terms = spark.createDataFrame([(1, 1, "a", 0.95, 1), (1, 1, "d", 0.6, 2), (2, 1, "e", 1.4, 1)], "graph_id long, term_rank int, id string, score double, rank int")
-    return G.initial_graph(q, terms, hits)
+    out = G.initial_graph(q, terms, hits)
+    return out.select(F.col("graph_id").cast("int").alias("graph_id"), "id", F.col("pos").cast("int").alias("pos"), F.round("confidence", 9).alias("confidence"), "route")

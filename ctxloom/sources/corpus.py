@@ -70,6 +70,85 @@ def validate_annotations(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.count_if(c).alias(n) for n, c in checks.items()]).select(F.explode(F.create_map(*[x for n in checks for x in (F.lit(n), F.col(n))])).alias("issue", "n"))
 
 
+def by_trap(rows: DataFrame, trap_type: str) -> DataFrame:
+    return rows.where(F.col("trap_type") == trap_type)
+
+
+def by_contract(rows: DataFrame, contract_file: str) -> DataFrame:
+    return rows.where(F.col("contract_file") == contract_file)
+
+
+def grouped_by_contract(rows: DataFrame) -> DataFrame:
+    """contract_file, n and ids: the annotations of each file, in order of their ids."""
+    return rows.groupBy("contract_file").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def evaluation_queries(rows: DataFrame, difficulty: str | None = None, category: str | None = None) -> DataFrame:
+    """Questions (query, category, difficulty, ...) of a difficulty and a category, where these are given."""
+    for name, value in (("difficulty", difficulty), ("category", category)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows
+
+
+def categories(rows: DataFrame) -> DataFrame:
+    """The distinct categories."""
+    return rows.select("category").distinct()
+
+
+def write_annotations(rows: DataFrame, path: str) -> None:
+    """Annotations as JSON lines, partitioned by trap type."""
+    rows.write.mode("overwrite").partitionBy("trap_type").json(path)
+
+
+def set_active(documents: DataFrame, name: str = "active_corpus") -> None:
+    """Make a corpus the session's active one: a view, not a global."""
+    documents.createOrReplaceTempView(name)
+
+
+def active(spark: SparkSession, default: DataFrame | None = None, name: str = "active_corpus") -> DataFrame:
+    """The active corpus, else the default."""
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
+    if default is None:
+        raise ValueError("no corpus is active")
+    return default
+
+
+def clear_active(spark: SparkSession, name: str = "active_corpus") -> None:
+    spark.catalog.dropTempView(name)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a flat file of ``key: value`` lines; comments, blank lines and quotes around values are left out."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"(^|\s)#.*$", "").alias("line"))
+    rows = lines.select(strip(F.substring_index("line", ":", 1)).alias("key"), strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value")).where("line LIKE '%:%' AND key != ''")
+    return rows.select("key", F.regexp_replace("value", r"^(['\"])(.*)\1$", "$2").alias("value"))
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """(section, name, value) of a JSON file of sections of numbers, such as weights."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,double>>").alias("m"))
+    return rows.select(F.explode("m").alias("section", "v")).select("section", F.explode("v").alias("name", "value"))
+
+
+def write_parameters(rows: DataFrame, path: str) -> None:
+    """The same, from (section, name, value): one file of a bounded size."""
+    by_section = rows.groupBy("section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("v"))
+    whole = by_section.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "v"))))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_trap_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Contracts of a scan: name, the three counts and the total score, a JSON array of objects."""
+    schema = "name string, path string, trap_a_count int, trap_b_count int, trap_c_count int, trap_c_sections int, total_score double"
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def write_trap_scan(scan: DataFrame, path: str, most: int = 200) -> None:
+    """The ``most`` contracts of the greatest total score; the ranking is the feature."""
+    scan.orderBy(F.desc("total_score"), "name").limit(most).coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph file; nodes that repeat an id are dropped but for the first."""
     g = spark.read.schema(GRAPH).json(path, multiLine=True)
