@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -72,6 +72,17 @@ def put_back(columns: list[str], **own: Column) -> list[Column]:
     return [own[c].alias(c) if c in own else F.col("rest").getField(c).alias(c) for c in columns]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns, each worked out once a row: neighbouring projections are merged by the optimizer, and an array that
+    a lambda looks into would then be made anew for each element. A generator of one row lies between them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, although ``use`` looks at it several times, or for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

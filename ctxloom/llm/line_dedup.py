@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import discard, materialize, put_back, set_aside, table
+from ctxloom.llm._common import discard, materialize, once, put_back, set_aside, table
 
 MIN_LINES = 2
 MIN_WORDS = 50
@@ -44,8 +44,8 @@ def _lines(text: Column) -> Column:
 
 def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, hash, removed): for each document with any, the numbers of its deleted lines among those that are not blank; hash is that of its text."""
-    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.col("text")).alias("lines"))
-    hashed = lined.select("doc_id", "hash", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h1"), F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)).alias("h2"))
+    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    hashed = once(once(lined, lines=_lines(F.col("text"))).drop("text"), h1=F.transform("lines", lambda x: F.xxhash64(x)), h2=F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)))
     prints = materialize(hashed.select("doc_id", "hash", F.inline(_selected(F.col("lines"), F.col("h1"), F.col("h2"), min_lines, min_words))))
     # What is joined back is written first: then both sides are shuffled for the join, and a frequent key can be split among tasks.
     place = F.struct("doc_id", "hash", "n")
@@ -72,12 +72,14 @@ def _cut(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     gone = removed_lines(docs.select("doc_id", "text"), min_lines, min_words).withColumnRenamed("doc_id", "id")
     own = set_aside(docs, "doc_id", "text")
     joined = own.join(gone, F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    lines = F.split("text", "\n", -1)
-    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("removed", lambda k: F.get(at, k)))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), F.coalesce(F.size("removed"), F.lit(0)).cast("long")
-    return joined.select("doc_id", text.alias("text"), "rest", counts[0].alias("lines"), counts[1].alias("removed"))
+    # Arrays that are looked into line by line are made once.
+    cut = once(joined.select("doc_id", "text", "rest", "removed"), parts=F.split("text", "\n", -1))
+    numbers = F.when(F.col("removed").isNotNull(), F.sequence(F.lit(0), F.size("parts") - 1))
+    cut = once(cut, at=F.filter(numbers, lambda i: F.trim(F.get("parts", i)) != ""))
+    cut = once(cut, left=F.array_except(numbers, F.transform("removed", lambda k: F.get("at", k))))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("parts", i)), "\n"))
+    counts = F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long"), F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return cut.select("doc_id", text.alias("text"), "rest", counts[0].alias("lines"), counts[1].alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
