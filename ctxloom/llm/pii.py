@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import count_rows, materialize, put_back, set_aside, table
+from ctxloom.llm._common import bound, count_rows, materialize, put_back, set_aside, table
 
 #: The patterns, with possessive repeats and a lookbehind that skip starts which cannot match any more. Runs of
 #: digits are whole runs: those of under 13 or over 19 digits are no cards, and are passed over here.
@@ -40,10 +40,7 @@ def matches(text: Column, pattern: str | Column) -> Column:
     Between the pieces that ``split`` leaves stand the matches that ``regexp_extract_all`` gives, so places are sums of lengths.
     They are summed in blocks of BLOCK matches, and then over the blocks: a growing array is copied at each step of a fold.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, F.lit(pattern), -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCHES).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -54,10 +51,17 @@ def matches(text: Column, pattern: str | Column) -> Column:
         moved = F.transform(block["out"], lambda x: F.struct((acc["at"] + x["start"]).alias("start"), (acc["at"] + x["end"]).alias("end"), x["match"].alias("match")))
         return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
-    blocks = F.transform(numbers, lambda k: F.aggregate(F.slice(pairs, k * BLOCK + 1, BLOCK), zero, step))
-    every = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MATCHES}>").alias("out")), add)
-    return F.when(F.size(found) > 0, F.flatten(every["out"])).otherwise(F.array().cast(_MATCHES))
+    def placed(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda k: F.aggregate(F.slice(pairs, k * BLOCK + 1, BLOCK), zero, step))
+        every = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MATCHES}>").alias("out")), add)
+        return F.when(F.size(pairs) > 0, F.flatten(every["out"])).otherwise(F.array().cast(_MATCHES))
+
+    def gaps(found: Column) -> Column:
+        pieces = F.slice(F.split(text, F.lit(pattern), -1), 1, F.size(found))
+        return F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: bound(gaps(found), placed))
 
 
 def _digits(match: Column) -> Column:
