@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from ctxloom.functions import vector as X
 
 #: Rows of a side that may be sent to all executors; beyond it, both sides are shuffled by blocks.
 SENT_ROWS = 10_000
+#: Numbers in the vectors of such a side.
+SENT_NUMBERS = 8_000_000
 BLOCKS = 16
 
 
@@ -28,13 +34,53 @@ def pairs_of(left: DataFrame, right: DataFrame, left_rows: int | None = None) ->
     return blocks.join(dealt, "_block").drop("_block")
 
 
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """Vectors as rows of ``width``: a product over the shorter length, so short ones are filled up with zeros and long ones cut."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        out[k, : min(width, len(v))] = v[:width]
+    return out
+
+
+def _near(queries: DataFrame, corpus: DataFrame, k: int, own: bool) -> DataFrame | None:
+    """(query_id, id, score): of each batch of the corpus the k best rows of each query, by one matrix product; without rows of the
+    query's own id unless ``own``. None if the queries are too many to be sent."""
+    size = queries.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("query")), F.lit(0)).alias("width")).first()
+    if size["n"] > SENT_ROWS or size["n"] * size["width"] > SENT_NUMBERS:
+        return None
+    asked = queries.where("query IS NOT NULL").select("query_id", X.double(F.col("query")).alias("query")).toPandas()  # checked above
+    q, names = _matrix(asked["query"], size["width"]), asked["query_id"].to_numpy()
+    sent = queries.sparkSession.sparkContext.broadcast((q, names))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, names = sent.value
+        for b in batches:
+            x, ids = _matrix(b["vector"], q.shape[1]), b["id"].to_numpy()
+            for lo in range(0, len(q), 256):
+                part = slice(lo, lo + 256)
+                scores = q[part] @ x.T
+                if not own:
+                    scores[names[part][:, None] == ids[None]] = -np.inf
+                worst = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                # A margin beyond rounding; what is in it is multiplied once more, pair by pair, so that equal vectors score alike.
+                at, row = np.nonzero(np.isfinite(scores) & (scores >= (worst - 1e-9 * (1 + np.abs(worst)))[:, None]))
+                yield pd.DataFrame({"query_id": names[part][at], "id": ids[row], "score": (q[part][at] * x[row]).sum(1)})
+
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query_id"), (corpus, "id"))]
+    return corpus.where("vector IS NOT NULL").select("id", X.double(F.col("vector")).alias("vector")).mapInPandas(best, f"{kinds[0]}, {kinds[1]}, score double")
+
+
 def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude: DataFrame | None = None) -> DataFrame:
     """query_id, id, score and rank of the k nearest rows by inner product; ties to the smaller id.
 
-    ``queries`` are (query_id, query), ``corpus`` (id, vector); pairs (query_id, id) in ``exclude`` are no candidates, and
-    are taken out before the ranking, so that k rows remain if there are so many.
+    ``queries`` are (query_id, query), ``corpus`` (id, vector); null vectors take no part; pairs (query_id, id) in ``exclude`` are
+    no candidates, and are taken out before the ranking, so that k rows remain if there are so many. A counted set of queries goes
+    to the corpus, which is read once; more of them meet it in blocks.
     """
-    scored = pairs_of(queries, corpus).select("query_id", "id", X.dot(X.double(F.col("query")), X.double(F.col("vector"))).alias("score"))
+    scored = _near(queries, corpus, k, True) if exclude is None else None
+    if scored is None:
+        pairs = pairs_of(queries.where("query IS NOT NULL"), corpus.where("vector IS NOT NULL"))
+        scored = pairs.select("query_id", "id", X.dot(X.double(F.col("query")), X.double(F.col("vector"))).alias("score"))
     if exclude is not None:
         scored = scored.join(exclude.select("query_id", "id"), ["query_id", "id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -43,7 +89,9 @@ def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude: Data
 
 def max_similarity(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id and the greatest similarity to any other row of the corpus, 0 at least."""
-    scored = pairs_of(candidates, corpus).where("query_id != id").select("query_id", X.dot(X.double(F.col("query")), X.double(F.col("vector"))).alias("score"))
+    scored = _near(candidates, corpus, 1, False)
+    if scored is None:
+        scored = pairs_of(candidates, corpus).where("query_id != id").select("query_id", X.dot(X.double(F.col("query")), X.double(F.col("vector"))).alias("score"))
     return scored.groupBy("query_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("max_similarity"))
 
 
@@ -62,39 +110,38 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5,
     """
     tokens = documents.select("id", T.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_length"))
-    tf = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # Document frequencies of all terms, for their mean; only the queries' terms are counted by document.
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # totals is one row
     mean = idf.agg(F.avg("raw").alias("mean"))
     asked = queries.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    idf = idf.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
+    terms = asked.select("term").distinct()
+    idf = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean))  # one row
     idf = idf.select("term", "avg_length", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
+    wanted = F.broadcast(terms) if terms.limit(SENT_ROWS + 1).count() <= SENT_ROWS else terms
+    tf = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     scored = tf.join(idf, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round(F.col("score"), 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(sparse: DataFrame, dense: DataFrame, alpha: float = 0.5, rrf_k: int = 60, k: int = 5) -> DataFrame:
-    """Weighted reciprocal rank fusion of two rankings (query_id, id, rank from 1); what one list lacks gets nothing from it.
-
-    A rank counts from 0 in the sum: weight / (rrf_k + rank - 1).
-    """
+def compare_alphas(sparse: DataFrame, dense: DataFrame, alphas: tuple[float, ...] = (0.0, 0.5, 1.0), rrf_k: int = 60, k: int = 5) -> DataFrame:
+    """The fused rankings for several weights, with a column alpha; the two rankings are joined once."""
     a, b = (r.select("query_id", "id", F.col("rank").alias(n)) for r, n in ((sparse, "sparse_rank"), (dense, "dense_rank")))
-    both = a.join(b, ["query_id", "id"], "full")
+    both = a.join(b, ["query_id", "id"], "full").withColumn("alpha", F.explode(F.array(*[F.lit(float(x)) for x in alphas])))
     part = lambda weight, c: F.coalesce(weight / (rrf_k + F.col(c) - 1), F.lit(0.0))
-    scored = both.withColumn("rrf_score", part(F.lit(1 - alpha), "sparse_rank") + part(F.lit(alpha), "dense_rank"))
-    w = Window.partitionBy("query_id").orderBy(F.round(F.col("rrf_score"), 9).desc(), "id")
+    scored = both.withColumn("rrf_score", part(1 - F.col("alpha"), "sparse_rank") + part(F.col("alpha"), "dense_rank"))
+    w = Window.partitionBy("alpha", "query_id").orderBy(F.round(F.col("rrf_score"), 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def compare_alphas(sparse: DataFrame, dense: DataFrame, alphas: tuple[float, ...] = (0.0, 0.5, 1.0), k: int = 5) -> DataFrame:
-    """The fused rankings for several weights, with a column alpha."""
-    out = None
-    for a in alphas:
-        one = fuse(sparse, dense, a, k=k).withColumn("alpha", F.lit(a))
-        out = one if out is None else out.unionByName(one)
-    return out
+def fuse(sparse: DataFrame, dense: DataFrame, alpha: float = 0.5, rrf_k: int = 60, k: int = 5) -> DataFrame:
+    """Weighted reciprocal rank fusion of two rankings (query_id, id, rank from 1); what one list lacks gets nothing from it.
+
+    A rank counts from 0 in the sum: weight / (rrf_k + rank - 1).
+    """
+    return compare_alphas(sparse, dense, (alpha,), rrf_k, k).drop("alpha")
 
 
 def cooccurrence(documents: DataFrame) -> DataFrame:
