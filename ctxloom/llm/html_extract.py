@@ -1,13 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Features of a block are its words and link density,
-those of its neighbours, and what the markup around it says (an article, or a menu, footer, form, advert ...). A CART
-tree, trained here on a small labelled table, tells content from the rest. One map over the pages, no shuffle.
+those of its neighbours, and what the markup around it hints at (an article, or a menu, footer, form, advert ...). A CART
+tree tells content from the rest. It is trained here on a small labelled table: the blocks of pages that are made up by rule, with
+and without markup that helps, and with names that mislead. One map over the pages, no shuffle.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,18 +49,28 @@ class Block:
     text: str
     words: int
     linked: int
-    boiler: bool
+    boiler: float  # 1 for a tag or a whole name of boilerplate, 0.5 for a part of a name
     main: bool
     heading: bool
 
 
+def _hints(attributes: str) -> tuple[float, bool]:
+    """What the class, id and role names of a tag hint at: boilerplate, and main text."""
+    names = {w for v in _NAMES.findall(attributes) for w in v.strip("\"'").lower().split()}
+    parts = {w for n in names for w in _PART.findall(n)}
+    comment = bool(parts & COMMENT_NAMES)
+    about = bool(parts & MAIN_NAMES) and not comment
+    boiler = 0.0 if about else 1.0 if comment or names & BOILER_NAMES else 0.5 if parts & BOILER_NAMES else 0.0
+    return boiler, about
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's non-empty text blocks in order: white space is one space, character references are decoded."""
     if not page:
         return []
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boiler, main: those of the ancestors count too
+    stack: list[tuple[str, float, bool]] = []  # tag, boiler, main: those of the ancestors count too
     link = heading = False
 
     def close() -> None:
@@ -65,7 +78,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
-                boiler, main = stack[-1][1:] if stack else (False, False)
+                boiler, main = stack[-1][1:] if stack else (0.0, False)
                 out.append(Block(text, text.count(" ") + 1, sum(len(p.split()) for p, linked in parts if linked), boiler, main, heading))
             parts = []
 
@@ -106,37 +119,92 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
             if tag in MAIN_TAGS:  # menus and heads that were never closed hold no article
-                while stack and stack[-1][0] in ("nav", "head", "header", "footer", "ul", "li") and stack[-1][1]:
+                while stack and stack[-1][0] in ("nav", "head", "header", "footer", "ul", "li") and stack[-1][1] == 1.0:
                     stack.pop()
-            names = {w.lower() for v in _NAMES.findall(attributes) for w in _PART.findall(v)} if attributes else set()
-            about = bool(names & MAIN_NAMES) and not names & COMMENT_NAMES
-            boiler, main = stack[-1][1:] if stack else (False, False)
-            stack.append((tag, boiler or tag in BOILER_TAGS or bool(names & BOILER_NAMES) and not about, main or tag in MAIN_TAGS or about))
+            hint, about = _hints(attributes) if attributes else (0.0, False)
+            boiler, main = stack[-1][1:] if stack else (0.0, False)
+            stack.append((tag, max(boiler, 1.0 if tag in BOILER_TAGS else hint), main or tag in MAIN_TAGS or about))
     close()
     return out
 
 
 FEATURES = ("words", "link density", "previous words", "previous link density", "next words", "next link density", "boiler", "main", "page has main", "heading", "cue")
-#: Labelled blocks, by hand. FEATURES in their order, then 1 for content.
-LABELLED = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 0, 0), (1, 1.0, 2, 1.0, 8, 0.0, 1, 0, 1, 0, 0, 0), (3, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
-    (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0, 0), (12, 0.0, 1, 1.0, 10, 0.0, 1, 0, 1, 0, 0, 0), (30, 0.0, 2, 1.0, 40, 0.0, 1, 0, 1, 0, 0, 0), (60, 0.1, 5, 0.0, 30, 0.0, 1, 0, 0, 0, 0, 0),
-    (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0, 1, 0), (9, 0.2, 90, 0.0, 0, 0.0, 1, 0, 0, 0, 1, 0), (6, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 0), (10, 0.3, 20, 0.0, 3, 1.0, 0, 0, 0, 0, 1, 0),
-    (5, 0.8, 30, 0.0, 4, 0.9, 0, 0, 0, 0, 0, 0), (12, 0.7, 6, 0.8, 9, 0.9, 0, 0, 0, 0, 0, 0), (20, 0.9, 10, 0.9, 12, 1.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0, 0), (6, 0.0, 4, 0.0, 2, 1.0, 1, 1, 1, 0, 0, 0), (25, 0.0, 30, 0.0, 28, 0.0, 1, 1, 1, 0, 0, 0),
-    (18, 0.0, 60, 0.0, 22, 0.0, 1, 1, 1, 0, 0, 0), (3, 1.0, 50, 0.0, 2, 1.0, 1, 1, 1, 0, 0, 0), (7, 0.0, 12, 0.0, 15, 0.0, 1, 1, 1, 1, 0, 0), (40, 0.0, 10, 0.0, 50, 0.0, 0, 0, 1, 0, 0, 0),
-    (15, 0.0, 30, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 0), (4, 0.0, 9, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 0), (9, 0.9, 9, 0.8, 3, 1.0, 0, 0, 1, 0, 0, 0), (70, 0.0, 10, 0.0, 0, 0.0, 0, 0, 1, 0, 1, 0),
-    (9, 0.0, 10, 0.0, 9, 0.0, 0, 1, 1, 1, 0, 1), (5, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1, 0, 1), (1, 0.0, 3, 1.0, 40, 0.0, 0, 1, 1, 1, 0, 1), (50, 0.0, 9, 0.0, 40, 0.0, 0, 1, 1, 0, 0, 1),
-    (3, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 0, 0, 1), (1, 0.0, 50, 0.0, 9, 0.0, 0, 1, 1, 0, 0, 1), (2, 0.0, 40, 0.0, 12, 0.1, 0, 1, 1, 0, 0, 1), (80, 0.2, 60, 0.0, 70, 0.1, 0, 1, 1, 0, 0, 1),
-    (12, 0.5, 60, 0.0, 70, 0.1, 0, 1, 1, 0, 0, 1), (6, 0.0, 80, 0.0, 10, 0.0, 0, 1, 1, 0, 1, 1), (30, 0.0, 80, 0.0, 14, 0.0, 0, 1, 1, 0, 1, 1), (200, 0.0, 7, 0.0, 14, 0.0, 0, 1, 1, 0, 0, 1),
-    (20, 0.0, 30, 0.0, 3, 1.0, 0, 1, 1, 0, 0, 1), (4, 0.0, 30, 0.0, 5, 0.6, 0, 1, 1, 0, 0, 1), (60, 0.0, 9, 0.0, 12, 1.0, 0, 1, 1, 0, 1, 1), (8, 0.0, 9, 1.0, 12, 1.0, 0, 1, 1, 0, 0, 1),
-    (3, 0.7, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 80, 0.0, 0, 0, 0, 0, 0, 0), (6, 0.8, 50, 0.0, 20, 0.0, 0, 0, 0, 0, 0, 0), (9, 0.6, 3, 0.9, 30, 0.0, 0, 0, 0, 0, 0, 0),
-    (40, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (28, 0.1, 50, 0.0, 6, 0.8, 0, 0, 0, 0, 0, 1), (5, 0.0, 4, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 1),
-    (2, 1.0, 30, 0.0, 20, 0.0, 0, 1, 1, 0, 0, 1), (5, 1.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1),
-    (45, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 1), (25, 0.1, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1), (90, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1),
-    (6, 0.0, 30, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (4, 0.0, 70, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 1), (60, 0.2, 50, 0.0, 8, 0.0, 0, 0, 0, 0, 1, 1),
-    (35, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 10, 0.0, 0, 0, 0, 0, 0, 1),
-)
+#: Names of boilerplate and of main text in made-up pages, and some that mislead.
+_SAID = {
+    "menu": ("nav", "menu", "navbar", "site-nav", "breadcrumb", "main-menu"), "foot": ("footer", "site-footer", "foot", "copyright"), "side": ("sidebar", "related", "widget", "right-rail", "side"),
+    "ad": ("ad", "advert", "sponsored", "promo", "ad-slot"), "notice": ("cookie-banner", "notice", "consent", "newsletter", "signup-box"), "talk": ("comments", "comment-list", "replies", "comment"),
+    "text": ("content", "post", "entry-content", "article-body", "main", "story"), "plain": ("wrap", "box", "c1", "inner", "sharing-economy", "search-results-2019", "footnotes"),
+}
+
+
+def made_up_page(seed: int) -> tuple[str, set[str]]:
+    """A page and the texts of its content blocks. A third has tags that say what is what, a third has names, a third has neither."""
+    r = random.Random(seed)
+    style = ("tags", "names", "bare")[seed % 3]
+    word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(2, 9)))
+    words = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi)))
+    link = lambda lo, hi: f'<a href="/{word()}">{words(lo, hi)}</a>'
+    content: set[str] = set()
+
+    def keep(tag: str, text: str, inner: str | None = None) -> str:
+        content.add(" ".join(text.split()))
+        return f"<{tag}>{inner or text}</{tag}>"
+
+    def around(kind: str, tag: str, body: str) -> str:
+        if style == "tags" and kind not in ("talk", "ad", "notice", "plain"):
+            return f"<{tag}>{body}</{tag}>"
+        name = r.choice(_SAID[kind]) if style != "bare" or kind == "plain" and r.random() < 0.5 else None
+        return f'<div class="{name}">{body}</div>' if name else f"<div>{body}</div>"
+
+    def paragraph() -> str:
+        first, last = words(4, r.choice((20, 60, 150))), words(3, r.choice((20, 60)))
+        if r.random() < 0.3:
+            anchor = words(1, 3)
+            return keep("p", f"{first} {anchor} {last}.", f'{first} <a href="#">{anchor}</a> {last}.')
+        return keep("p", f"{first}, {last}.") if r.random() < 0.8 else keep("p", words(1, 6) + ".")
+
+    def passage() -> str:
+        return f'<div class="{r.choice(_SAID["plain"])}">{paragraph()}</div>' if said and r.random() < 0.15 else paragraph()
+
+    said = style != "bare"  # texts that only their markup can tell from content are for pages with markup
+    if seed % 10 == 9:  # nothing but a few words
+        return "<html><body>" + "".join(keep("p", words(2, 9) + ".") for _ in range(r.randint(1, 2))) + "</body></html>", content
+    top = around("menu", "nav", "<ul>" + "".join(f"<li>{link(1, 2)}</li>" for _ in range(r.randint(3, 9))) + "</ul>")
+    if r.random() < 0.5:
+        top += around("menu", "header", f"<div>{link(1, 3)}</div><div>{words(1, 4) if style != 'bare' else link(1, 4)}</div>")
+    if r.random() < 0.6:
+        top += around("ad", "aside", f"<p>{link(3, 9)}</p>" + (f"<p>{words(3, r.choice((25, 90)))}</p>" if said else ""))
+    if said and r.random() < 0.5:
+        top += around("notice", "aside", f"<p>{words(10, r.choice((30, 120)))} {link(1, 2)}</p><button>{words(1, 2)}</button>")
+    body = (keep("h1", words(2, 10)) if r.random() < 0.6 else "") + "".join(
+        keep("h2", words(1, 7)) if r.random() < 0.2 else "<ul>" + "".join(keep("li", words(2, 14)) for _ in range(3)) + "</ul>" if r.random() < 0.1 else passage() for _ in range(r.randint(1, 12))
+    )
+    if said and r.random() < 0.4:
+        body += around("ad", "aside", f"<p>{words(3, r.choice((20, 90)))}</p>")
+    if said and r.random() < 0.5:
+        body += around("side", "aside", f"<h3>{words(1, 2)}</h3>" + "".join(f"<p>{link(3, 9)}</p>" for _ in range(3)))
+    unnamed = style == "bare" or r.random() < 0.3
+    main = around("plain", "div", body) if unnamed else f"<article>{body}</article>" if style == "tags" else around("text", "div", body)
+    after = ""
+    if r.random() < 0.5:
+        after += around("side", "aside", "".join(f"<div>{link(2, 9)}</div>" for _ in range(r.randint(2, 6))) + (f"<p>{words(10, r.choice((30, 120)))}</p>" if said else ""))
+    if said and r.random() < 0.5:
+        after += around("talk", "div", "".join(f"<div><b>{words(1, 2)}</b><p>{words(5, r.choice((60, 250)))}</p></div>" for _ in range(r.randint(1, 4))))
+    if said and r.random() < 0.3:
+        after += f"<form><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button></form>"
+    end = r.choice(("&copy; ", "Copyright ", "(c) ", "")) + words(2, r.choice((12, 80))) + r.choice((" all rights reserved", "", f" {link(1, 3)}"))
+    foot = around("foot", "footer", f"<p>{end}</p>" if said else f"<p>&copy; {link(2, 5)}</p><p>{link(1, 3)}</p>")
+    return f"<html><head><title>{words(2, 6)}</title></head><body>{top}{main}{after}{foot}</body></html>", content
+
+
+def labelled(pages: range = range(600)) -> list[tuple]:
+    """The labelled table: the features of each block of made-up pages, and 1 for content."""
+    out = []
+    for seed in pages:
+        page, content = made_up_page(seed)
+        found = blocks(page)
+        out += [(*row, float(b.text in content)) for b, row in zip(found, features(found), strict=True)]
+    return out
 
 
 @dataclass
@@ -173,9 +241,11 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
     return Node(best[1], best[2], grow(x[side], y[side], depth - 1, least), grow(x[~side], y[~side], depth - 1, least), p)
 
 
-def train(rows=LABELLED) -> Node:
-    table = np.array(rows, float)
-    return grow(table[:, :-1], table[:, -1])
+@functools.cache
+def train(pages: range = range(600)) -> Node:
+    """The tree of the labelled table of made-up pages."""
+    table = np.array(labelled(pages), float)
+    return grow(table[:, :-1], table[:, -1], depth=9, least=6)
 
 
 def decide(tree: Node, row: tuple) -> bool:
@@ -184,13 +254,15 @@ def decide(tree: Node, row: tuple) -> bool:
     return tree.value >= 0.5
 
 
-def classify(found: list[Block], tree: Node) -> list[bool]:
-    has_main = any(b.main and not b.boiler for b in found)
+def features(found: list[Block]) -> list[tuple]:
+    """FEATURES of the blocks of a page."""
+    has_main = any(b.main and b.boiler < 1 for b in found)
     shape = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
-    return [
-        decide(tree, (*shape[k + 1], *shape[k], *shape[k + 2], b.boiler, b.main, has_main, b.heading, _CUE.search(b.text) is not None))
-        for k, b in enumerate(found)
-    ]
+    return [(*shape[k + 1], *shape[k], *shape[k + 2], b.boiler, b.main, has_main, b.heading, _CUE.search(b.text) is not None) for k, b in enumerate(found)]
+
+
+def classify(found: list[Block], tree: Node) -> list[bool]:
+    return [decide(tree, row) for row in features(found)]
 
 
 def main_text(page: str | None, tree: Node) -> str:
