@@ -48,9 +48,10 @@ def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     hashed = once(once(lined, lines=_lines(F.col("text"))).drop("text"), h1=F.transform("lines", lambda x: F.xxhash64(x)), h2=F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)))
     prints = materialize(hashed.select("doc_id", "hash", F.inline(_selected(F.col("lines"), F.col("h1"), F.col("h2"), min_lines, min_words))))
     # What is joined back is written first: then both sides are shuffled for the join, and a frequent key can be split among tasks.
+    # The joins are alike at every size: a side that is small enough to be sent today grows with the input.
     place = F.struct("doc_id", "hash", "n")
     shared = materialize(prints.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp"))
-    kept = prints.join(shared, "fp", "left_semi")
+    kept = prints.join(shared.hint("merge"), "fp", "left_semi")
     # The match extends from the fingerprint to the windows around it.
     both = F.transform(F.sequence(F.lit(0), (F.size("keys") / 2 - 1).cast("int")), lambda k: F.struct((F.col("start") + k).cast("int").alias("start"), F.lit(min_lines).alias("width"), F.get("keys", (2 * k).cast("int")).alias("k1"), F.get("keys", (2 * k + 1).cast("int")).alias("k2")))
     own = F.array(F.struct(F.col("n").alias("start"), F.lit(1).alias("width"), F.get("own", F.lit(0)).alias("k1"), F.get("own", F.lit(1)).alias("k2")))
@@ -59,7 +60,7 @@ def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     found = materialize(kept.select("doc_id", "hash", F.inline(windows)))
     here = F.struct("doc_id", "hash", "start")
     first = materialize(found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    later = found.join(first, ["k1", "k2"]).where(here != F.col("first"))
+    later = found.join(first.hint("merge"), ["k1", "k2"]).where(here != F.col("first"))
     # A second row of the same id and text stands in the same place: such rows are one document, and all of them stay.
     gone = later.select("doc_id", "hash", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("line"))
     out = materialize(gone.groupBy("doc_id", "hash").agg(F.collect_set("line").alias("removed")))
@@ -71,7 +72,7 @@ def _cut(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     """doc_id, text (without its repeated runs), rest (all other columns), lines and removed (their numbers before, and deleted)."""
     gone = removed_lines(docs.select("doc_id", "text"), min_lines, min_words).withColumnRenamed("doc_id", "id")
     own = set_aside(docs, "doc_id", "text")
-    joined = own.join(gone, F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    joined = own.join(gone.hint("merge"), F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     # Arrays that are looked into line by line are made once.
     cut = once(joined.select("doc_id", "text", "rest", "removed"), parts=F.split("text", "\n", -1))
     numbers = F.when(F.col("removed").isNotNull(), F.sequence(F.lit(0), F.size("parts") - 1))
