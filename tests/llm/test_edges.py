@@ -156,3 +156,23 @@ def test_vectors_with_other_columns_and_repeated_queries(spark):
     first = _sorted(ann.search(vectors, queries), columns)
     assert first == _sorted(ann.search(_clash(vectors.repartition(3), columns).withColumn("v", F.lit(1)), _clash(queries.repartition(2))), columns)
     assert len(first) == 60
+
+
+def test_hosts_paths_and_rules_against_sql(spark):
+    import duckdb
+
+    rules = ", ".join(f"('{a}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for a, r in url_filter.RULES)
+    sql = f"""
+    WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE '' END AS h, CASE WHEN contains(url, '://') THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM '{SF[:-5]}0.1/pages.parquet'),
+    p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u), r(action, rh, rp, rule) AS (VALUES {rules}),
+    m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM p, r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+    SELECT page_id, host, path, rule, action FROM p LEFT JOIN m USING (page_id)"""
+    want = {r[0]: r[1:] for r in duckdb.connect().execute(sql).fetchall()}
+    got = {r.page_id: r for r in url_filter.query(spark, f"{SF[:-5]}0.1").collect()}
+    assert set(got) == set(want) and sum(w[2] is not None for w in want.values()) > 100
+    for k, (host, path, rule, action) in want.items():
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule) and got[k].verdict == (action or got[k].verdict)
+    model = url_filter.train()
+    for r in (r for r in got.values() if r.rule is None):
+        assert r.verdict == ("block" if r.score >= 0.5 else "allow")
+    assert len(model.trees) == 40
