@@ -133,8 +133,9 @@ def read_parameters(spark: SparkSession, path: str) -> DataFrame:
 
 def write_parameters(rows: DataFrame, path: str) -> None:
     """The same, from (section, name, value): one file of a bounded size."""
-    by_section = rows.groupBy("section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("v"))
-    whole = by_section.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "v"))))).alias("value"))
+    by_section = rows.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("v"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("section", "v"))), lambda x: F.struct(x["section"], F.map_from_entries(x["v"])))
+    whole = by_section.agg(F.to_json(F.map_from_entries(listed)).alias("value"))
     whole.coalesce(1).write.mode("overwrite").text(path)
 
 
