@@ -17,10 +17,8 @@ def double(v: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    """The inner product, over the shorter length."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x * y)
-    return F.aggregate(same, F.lit(0.0), lambda s, x: s + x)
+    """The inner product, over the shorter length; null components count as 0."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(v: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 
+#: Ranges of sizes that are ranked apart from each other.
+RANK_RANGES = 64
 # Two-sided 95% t criticals, by the least degrees of freedom that they hold for.
 T_CRITICAL = ((120, 1.96), (60, 2.00), (30, 2.04), (20, 2.086), (10, 2.228), (5, 2.571), (0, 2.776))
 # Two-sided 99% t criticals, likewise.
@@ -173,11 +175,17 @@ def wilcoxon(pairs: DataFrame, *by: str) -> DataFrame:
     """Signed-rank statistic of (a, b) in each group: n of differences other than 0, W+ and W-, w (the lesser), z by the normal
     approximation without corrections. Ties share their mean rank."""
     d = pairs.select(*by, (F.col("a") - F.col("b")).alias("d")).where(F.abs("d") > 1e-10).withColumn("size", F.round(F.abs("d"), 10))
-    keys = [F.lit(0).alias("_g"), *map(F.col, by)]
-    d = d.select(*keys, "d", "size")
+    cuts = d.agg(F.percentile_approx("size", [k / RANK_RANGES for k in range(1, RANK_RANGES)], 20 * RANK_RANGES)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("size"))) if cuts else F.lit(0)
+    d = d.select(F.lit(0).alias("_g"), *map(F.col, by), "d", "size", part.alias("_part"))
     names = ["_g", *by]
-    rank = F.rank().over(Window.partitionBy(*names).orderBy("size")) + (F.count(F.lit(1)).over(Window.partitionBy(*names, "size")) - 1) / 2
-    out = d.withColumn("rank", rank).groupBy(*names).agg(
+    # Ranks within ranges of sizes, on top of how many lie in the ranges below: no group is ranked by one task.
+    below = d.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("n")).withColumn("below", F.sum("n").over(Window.partitionBy(*names).orderBy("_part")) - F.col("n"))
+    rank = F.rank().over(Window.partitionBy(*names, "_part").orderBy("size")) + (F.count(F.lit(1)).over(Window.partitionBy(*names, "_part", "size")) - 1) / 2
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in (*names, "_part")])
+    ranked = d.withColumn("rank", rank).join(below.select(*[F.col(c).alias(f"_own_{c}") for c in (*names, "_part")], "below"), same)
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("below"))
+    out = ranked.groupBy(*names).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus")
     )
     n = F.col("n")

@@ -202,15 +202,16 @@ def compress(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
         import re
 
         kept: list[list] = []
-        for _, row in group.sort_values("id").iterrows():
-            own = {w.lower() for w in re.findall("[A-Za-z]+", row["text"] or "")}
+        ordered = group.sort_values("id")
+        for name, text in zip(ordered["id"], ordered["text"], strict=True):
+            own = {w.lower() for w in re.findall("[A-Za-z]+", text or "")}
             for k in kept:
                 union = own | k[2]
                 if not union or len(own & k[2]) / len(union) >= threshold:
-                    k[1], k[2] = f"{k[1]} {row['text']}", union
+                    k[1], k[2] = f"{k[1]} {text}", union
                     break
             else:
-                kept.append([row["id"], row["text"], own])
+                kept.append([name, text, own])
         return group.iloc[: len(kept)].assign(id=[k[0] for k in kept], text=[k[1] for k in kept])[["graph_id", "id", "text"]]
 
     kind = nodes.schema
