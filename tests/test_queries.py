@@ -37,12 +37,10 @@ def test_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
-def test_gives_the_same_rows_again(spark, name):
-    """Without SQL (values are checked in test_operators and test_pipelines): rows, every column filled somewhere, and alike in two runs."""
+def test_fills_its_columns(spark, name):
+    """Without SQL (values are checked in test_operators and test_pipelines): rows, and every column filled somewhere."""
     names, first = _rows(plans.QUERIES[name](spark, SF).toPandas())
     assert first and all(any(r[k] not in ("None", "nan", "") for r in first) for k in range(len(names)))
-    if name != "greedy_policy":  # its steps are tables, and its rows are checked in test_pipelines
-        assert _rows(plans.QUERIES[name](spark, SF).toPandas()) == (names, first)
 
 
 def test_sql_has_a_query():
