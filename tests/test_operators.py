@@ -181,7 +181,7 @@ def test_index_goes_on_after_a_restart(spark, tmp_path):
 
 
 def test_queries_of_the_index(spark, tmp_path):
-    index = I.Index(spark, str(tmp_path / "index"), gated=True, threshold=0.35)
+    index = I.Index(spark, str(tmp_path / "index"), gated=True, threshold=0.38)
     index.load(spark.createDataFrame([("a", "rent is due on the first of the month"), ("b", "the garden has roses and tulips"), ("c", "when rent rises by 3% a year")], "doc_id string, text string"))
     hits = index.query("when is the rent due", 2).collect()
     assert [r.id for r in hits] == ["a", "c"] and 0 < hits[0].css < 1 and hits[0].score > hits[1].score
