@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import ann, decontam, html_extract, line_dedup, merkle, near_dedup, packing, pii, quality, suffix_dedup, url_filter
+from ctxloom.llm import ann, decontam, divergence, html_extract, line_dedup, merkle, near_dedup, packing, pii, quality, suffix_dedup, url_filter
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_packing": packing.query,
         "op9_html": html_extract.query,
         "op10_quality": quality.query,
+        "op11_divergence": divergence.query,
         "op13_merkle": merkle.query,
     }
 
@@ -25,5 +26,6 @@ def oracle_sql():
     return {
         "op1_decontamination": decontam.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
+        "op11_divergence": divergence.ORACLE,
         "op13_merkle": merkle.ORACLE,
     }
