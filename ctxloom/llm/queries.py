@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import ann, decontam, divergence, html_extract, line_dedup, merkle, near_dedup, packing, pii, quality, suffix_dedup, url_filter
+from ctxloom.llm import ann, decontam, divergence, html_extract, kneser_ney, line_dedup, merkle, near_dedup, packing, pii, quality, suffix_dedup, url_filter
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_html": html_extract.query,
         "op10_quality": quality.query,
         "op11_divergence": divergence.query,
+        "op12_lm_scores": kneser_ney.query,
         "op13_merkle": merkle.query,
     }
 
