@@ -123,15 +123,20 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("part", part).join(counts, ["tree", "part"]).withColumn("rank", F.col("seq") + F.col("shift")).drop("seq", "part", "shift")
 
 
-def _pack(key: tuple, group: pa.Table) -> pa.Table:
-    group = group.sort_by("rank")
-    leaves, n = group["leaf"].to_pylist(), group["n"][0].as_py()
-    top = tree_top(leaves.__getitem__, len(leaves), min(BLOCK_LEVELS, levels_of(n)))
-    ids, changed = group["doc_id"].to_pylist(), group["changed"].to_pylist()
-    names = ("tree", "block", "n", "digest", "doc_ids", "leaves", "changed")
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()))
-    row = (key[0].as_py(), key[1].as_py(), n, top, ids, leaves, changed)
-    return pa.table([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+def _pack(levels: int):
+    """A block as a row, with the digest at its top."""
+
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        leaves, n = group["leaf"].to_pylist(), group["n"][0].as_py()
+        top = tree_top(leaves.__getitem__, len(leaves), min(levels, levels_of(n)))
+        ids, changed = group["doc_id"].to_pylist(), group["changed"].to_pylist()
+        names = ("tree", "block", "n", "digest", "doc_ids", "leaves", "changed")
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()))
+        row = (key[0].as_py(), key[1].as_py(), n, top, ids, leaves, changed)
+        return pa.table([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+
+    return pack
 
 
 def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,14 +171,14 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tops, first.select("tree", "idx").join(above, ["tree", "idx"], "left").select("tree", "idx", F.coalesce("path", none).alias("path"))
 
 
-def packed_blocks(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def packed_blocks(docs: DataFrame, tampered: Column | None = None, levels: int = BLOCK_LEVELS) -> DataFrame:
     """The leaves of ``docs`` in aligned blocks, a row each, with what stands above: path, subroot, root."""
     seen = F.lit(None).cast("string") if tampered is None else tampered
     rows = docs.select("doc_id", leaf(*map(F.col, FIELDS)).alias("leaf"), F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("")).alias("tree"), seen.alias("changed"))
     placed = ranked(rows, "doc_id", "leaf", "changed")
-    placed = placed.withColumn("block", F.floor(F.col("rank") / ARITY**BLOCK_LEVELS))
-    blocks = materialize(placed.groupBy("tree", "block").applyInArrow(_pack, _PACKED))
-    tops, paths = climb(blocks.select("tree", F.col("block").alias("idx"), "digest", F.ceil(F.col("n") / ARITY**BLOCK_LEVELS).alias("n")))
+    placed = placed.withColumn("block", F.floor(F.col("rank") / ARITY**levels))
+    blocks = materialize(placed.groupBy("tree", "block").applyInArrow(_pack(levels), _PACKED))
+    tops, paths = climb(blocks.select("tree", F.col("block").alias("idx"), "digest", F.ceil(F.col("n") / ARITY**levels).alias("n")))
     sources = materialize(tops.withColumnRenamed("top", "digest"))
     # The sources are the nodes of one further tree, by their order.
     order = ranked(sources.select(F.col("tree").alias("source"), F.lit("").alias("tree"), "digest"), "source")
@@ -185,12 +190,11 @@ def packed_blocks(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     return blocks.join(ways, ["tree", "block"])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Iterator[list[tuple[str, str]]]]]:
+def _rows(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[dict, Iterator[list[tuple[str, str]]]]]:
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            levels = min(BLOCK_LEVELS, levels_of(row["n"]))
-            yield row, traverse(row["leaves"].__getitem__, len(row["leaves"]), levels)
+            yield row, traverse(row["leaves"].__getitem__, len(row["leaves"]), min(levels, levels_of(row["n"])))
 
 
 def fold(node: str, path: list[tuple[str, str]]) -> str:
@@ -199,32 +203,39 @@ def fold(node: str, path: list[tuple[str, str]]) -> str:
     return node
 
 
-def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row, ways in _rows(batches):
-        upper = [(p["before"], p["after"]) for p in row["path"]]
-        beside = "".join(b + a for b, a in upper)
-        known: dict[str, str] = {}  # what the tops of the block fold to
-        proofs, folded = [], []
-        for own, changed, path in zip(row["leaves"], row["changed"], ways, strict=True):
-            proofs.append(digest([*(b + a for b, a in path), beside]))
-            top = fold(own if changed is None else changed, path)
-            if top not in known:
-                known = {**known, top: fold(top, upper)} if len(known) < ARITY else {top: fold(top, upper)}
-            folded.append(known[top])
-        n, root = len(proofs), row["root"]
-        columns = (row["doc_ids"], row["leaves"], [row["subroot"]] * n, [root] * n, proofs, folded, [f == root for f in folded])
-        kinds = (pa.int64(), *(pa.string(),) * 5, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _MANIFEST.split(", ")])
-
-
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _manifest(levels: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, ways in _rows(batches, levels):
+            upper = [(p["before"], p["after"]) for p in row["path"]]
+            beside = "".join(b + a for b, a in upper)
+            known: dict[str, str] = {}  # what the tops of the block fold to
+            proofs, folded = [], []
+            for own, changed, path in zip(row["leaves"], row["changed"], ways, strict=True):
+                proofs.append(digest([*(b + a for b, a in path), beside]))
+                top = fold(own if changed is None else changed, path)
+                if top not in known:
+                    known = {**known, top: fold(top, upper)} if len(known) < ARITY else {top: fold(top, upper)}
+                folded.append(known[top])
+            n, root = len(proofs), row["root"]
+            columns = (row["doc_ids"], row["leaves"], [row["subroot"]] * n, [root] * n, proofs, folded, [f == root for f in folded])
+            kinds = (pa.int64(), *(pa.string(),) * 5, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _MANIFEST.split(", ")])
+
+    return rows
+
+
+def _paths(levels: int):
     kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
-    for row, ways in _rows(batches):
-        paths = [[{"before": b, "after": a} for b, a in path] + row["path"] for path in ways]
-        yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["leaves"]), pa.array(paths, kind)], names=["doc_id", "leaf", "path"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, ways in _rows(batches, levels):
+            paths = [[{"before": b, "after": a} for b, a in path] + row["path"] for path in ways]
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["leaves"]), pa.array(paths, kind)], names=["doc_id", "leaf", "path"])
+
+    return rows
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = BLOCK_LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row of ``docs`` (FIELDS; other columns play no part).
 
     ``tampered`` is the leaf of a row as it was received, null where nothing was changed: it is folded with the siblings of the
@@ -232,12 +243,12 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     source are the first tree, those of a null doc_id the first leaves; rows of one id go by their leaves, and repeated rows are
     leaves each; texts of any length are hashed whole; of an empty table there are no rows, and no root.
     """
-    return packed_blocks(docs, tampered).mapInArrow(_manifest, _MANIFEST)
+    return packed_blocks(docs, tampered, levels).mapInArrow(_manifest(levels), _MANIFEST)
 
 
-def authentication_paths(docs: DataFrame) -> DataFrame:
+def authentication_paths(docs: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
     """doc_id, leaf, path of each row: by level up to the root, what stands before and after the node in its run. Cases as in ``manifest``."""
-    return packed_blocks(docs).mapInArrow(_paths, f"doc_id long, leaf string, path {_PATH}")
+    return packed_blocks(docs, levels=levels).mapInArrow(_paths(levels), f"doc_id long, leaf string, path {_PATH}")
 
 
 def query(spark, sf_dir):
@@ -268,7 +279,7 @@ def _oracle(levels: int = 5, source_levels: int = 3) -> str:
 p{k + 1} AS (SELECT p.* EXCLUDE (proof, folded), CASE WHEN r.nodes IS NULL THEN proof ELSE proof || {first} || {rest} END AS proof,
   CASE WHEN r.nodes IS NULL THEN folded ELSE sha256({first} || folded || {rest}) END AS folded FROM {before} p LEFT JOIN {joined}),"""
 
-    sql = f"""WITH d AS (SELECT doc_id, '+' || source AS s0, {own('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {own(lower)} END AS changed FROM documents),
+    sql = f"""WITH d AS (SELECT doc_id, '+' || source AS s0, {own('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {own(lower)} END AS changed FROM documents),
 e AS (SELECT doc_id, coalesce(s0, '') AS s, leaf, changed, row_number() OVER (PARTITION BY coalesce(s0, '') ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY coalesce(s0, '')) AS n FROM d),
 t0 AS (SELECT s, i AS idx, leaf AS digest, n FROM e),"""
     sql += "".join(tree("t", "s", k) for k in range(levels)) + f"""
