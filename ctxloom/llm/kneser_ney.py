@@ -1,11 +1,14 @@
 """Language-model scores: an interpolated trigram model with modified Kneser-Ney discounts, counted by Spark and kept as sorted hash arrays.
 
-Three rounds of counting, each a shuffle of packed integer arrays by hash shard, where a group holds what follows from a bounded
-number of tokens: words; trigrams by their first two words, so that a context's total and numbers of singletons are whole in its
-shard; and from the distinct trigrams, the pairs by the distinct words before them. A last, small round adds up what each word has as
-an ending and as a context. Each shard writes its part of the model to the shared folder: a sorted array of 64-bit hashes, and beside
-it codes of the counts that belong to them. Workers map these files into memory and look up the grams of many documents at once, in
-the order of the hashes. Every count is kept, so the model grows with the corpus.
+Rounds of counting, each a shuffle of packed integer arrays by hash shard, where a shard holds what follows from a bounded number of
+tokens: words; trigrams; and of the distinct trigrams of a shard, by pair, the words that stand before it, and what it has as a
+context. So no key is whole in one place before it was counted in many. Last, what each word has as an ending and as a context is
+added up in groups of FAN shards. Words are numbered by the order of magnitude of their counts, which keeps packed numbers short.
+
+Each shard writes its part of the model to the shared folder: sorted arrays of hashes, and beside them codes of the counts that belong
+to them. A hash goes by its shard, its bucket in it (from the upper bits) and 32 further bits, which are what is stored. Workers map
+these files into memory and look up the grams of many documents at once, in the order of the hashes. Every count is kept, so the
+model grows with the corpus.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from ctxloom.llm._common import discard, input_parts, materialize, shared_dir, table
 
 #: Training tokens of a shard; words of a block; tokens that a task counts, or scores, at once.
-SHARD_TOKENS, BLOCK, COUNTED, SCORED = 3_000_000, 1_000_000, 4_000_000, 1_000_000
+SHARD_TOKENS, BLOCK, COUNTED, SCORED = 3_000_000, 250_000, 2_000_000, 1_000_000
+#: Packed parts that are added up at once; bits of a shard's hashes that name a bucket; orders of magnitude of counts.
+FAN, BUCKET, MAGNITUDES = 256, 16, 48
 #: A token of its own: no word holds white space.
 END = b"\n"
 #: Discounts for counts of 1, 2 and more, where the counts of counts give none.
@@ -58,14 +63,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a hash: ascending with it."""
-    return (((h >> _WORD) * np.uint64(shards)) >> _WORD).astype(np.int64)
+    """The shard of a hash, ascending with it: what h * shards has beyond 64 bits."""
+    n = np.uint64(shards)
+    return (((h >> _WORD) * n + (((h & _LOW) * n) >> _WORD)) >> _WORD).astype(np.int64)
 
 
 def gram(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(mixed(pair) + (word.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
 
 
+def cells(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes in one shard, their bucket and the 32 bits that follow: both together ascend with the hash."""
+    within = h * np.uint64(shards)  # the 64 bits below the shard
+    return (within >> np.uint64(64 - BUCKET)).astype(np.int64), ((within >> np.uint64(32 - BUCKET)) & _LOW).astype(np.uint32)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers, the first of them ascending: by byte planes, compressed."""
     n = len(columns[0])
@@ -88,25 +100,39 @@ def merged(blobs: list[bytes], k: int) -> list[np.ndarray]:
     return [np.concatenate([np.empty(0, np.uint64), *(p[j] for p in parts)]) for j in range(k)]
 
 
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal keys."""
+    differs = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        differs |= k[1:] != k[:-1]
+    cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), len(keys[0])]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(keys[0]) else []
+
+
 def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, and the sums of each column."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    return key[begins], *(np.add.reduceat(c[order].astype(np.int64), begins) if len(key) else np.empty(0, np.int64) for c in columns)
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key)
+        key, columns = key[order], [c[order] for c in columns]
+    if not len(key):
+        return key, *(np.empty(0, np.int64) for _ in columns)
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[begins], *(np.add.reduceat(c.astype(np.int64), begins) for c in columns)
 
 
 def encode(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, table): of each row the number of its values in a table of the distinct rows."""
-    code, room = np.zeros(len(columns[0]), np.int64), 1
-    for c in columns:
-        top = int(c.max(initial=0)) + 1
-        if room * top >= 2**62:
-            code, c = np.unique(code, return_inverse=True)[1], np.unique(c, return_inverse=True)[1]
-            room, top = int(code.max()) + 1, int(c.max()) + 1
-        code, room = code * top + c, room * top
-    _, first, code = np.unique(code, return_index=True, return_inverse=True)
-    return code.astype(np.min_scalar_type(max(len(first) - 1, 0))), np.stack([np.asarray(c, np.int64)[first] for c in columns], 1)
+    """(codes, table): of each row the number of its values in a table of the distinct rows. Most rows are of small numbers, and go by a table of those."""
+    small = np.logical_and.reduce([c < 8 for c in columns])
+    packed = sum(np.where(small, c, 0).astype(np.int64) << 3 * k for k, c in enumerate(columns))
+    there = np.flatnonzero(np.bincount(packed[small], minlength=1))
+    number = np.zeros(int(there[-1]) + 1 if len(there) else 1, np.int64)
+    number[there] = np.arange(len(there))
+    large = np.flatnonzero(~small)
+    more, which = np.unique(np.stack([np.asarray(c, np.int64)[large] for c in columns], 1), axis=0, return_inverse=True)
+    code = number[packed]
+    code[large] = len(there) + which.reshape(-1)
+    values = np.concatenate([np.stack([there >> 3 * k & 7 for k in range(len(columns))], 1), more])
+    return code.astype(np.min_scalar_type(max(len(values) - 1, 0))), values
 
 
 def _write(path: str, array: np.ndarray) -> None:
@@ -121,57 +147,82 @@ def _mapped(path: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
 
-def _store(folder: str, name: str, keys: np.ndarray, *columns: np.ndarray) -> None:
-    order = np.argsort(keys)
-    codes, values = encode(*(c[order] for c in columns))
-    for part, array in (("keys", keys[order]), ("codes", codes), ("table", values)):
-        _write(f"{folder}/{name}.{part}.npy", array)
-
-
-def look_up(folder: str, level: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
-    """(keys, width): the counts of each key, zeros where it is not in the model. One mapped shard after the other, keys ascending."""
-    out = np.zeros((len(keys), width), np.int64)
-    order = np.lexsort((keys, shard))
-    shard = shard[order]
-    begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.empty(0, np.int64)
-    for lo, hi in zip(begins, np.append(begins[1:], len(shard)), strict=True):
+def _store(folder: str, level: str, shard: int, shards: int, h: np.ndarray, *columns: np.ndarray) -> None:
+    if (h[1:] < h[:-1]).any():
+        order = np.argsort(h)
+        h, columns = h[order], [c[order] for c in columns]
+    bucket, keys = cells(h, shards)
+    codes, values = encode(*columns)
+    begins = np.searchsorted(bucket, np.arange(2**BUCKET + 1)).astype(np.uint32)
+    for part, array in (("begins", begins), ("keys", keys), ("codes", codes), ("table", values)):
+        _write(f"{folder}/{level}-{shard}.{part}.npy", array)
+
+
+def ascending(h: np.ndarray) -> np.ndarray:
+    """The places of hashes in their order, by as many of the upper bits as leave room for a place: enough for shards and for near reads."""
+    bits = np.uint64(max(1, (len(h) - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def look_up(folder: str, level: str, shards: int, h: np.ndarray, width: int) -> np.ndarray:
+    """(hashes, width): the counts of each hash, zeros where it is not in the model. One mapped shard after the other, hashes ascending;
+    all of a shard are searched at once, each between the bounds of its bucket."""
+    out = np.zeros((len(h), width), np.int64)
+    order = ascending(h)
+    shard = shard_of(h[order], shards)
+    for lo, hi in _runs(shard):
         name = f"{folder}/{level}-{shard[lo]}"
-        have = _mapped(f"{name}.keys.npy")
-        if have is None or not len(have):
+        keys = _mapped(f"{name}.keys.npy")
+        if keys is None or not len(keys):
             continue
         rows = order[lo:hi]
-        at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
-        found = have[at] == keys[rows]
+        bucket, key = cells(h[rows], shards)
+        begins = _mapped(f"{name}.begins.npy")
+        first, last = begins[bucket].astype(np.int64), begins[bucket + 1].astype(np.int64)
+        end = last.copy()
+        while (open_ := first < last).any():
+            middle = (first + last) >> 1
+            less = open_ & (keys[np.minimum(middle, len(keys) - 1)] < key)
+            first, last = np.where(less, middle + 1, first), np.where(less, last, np.where(open_, middle, last))
+        at = np.minimum(first, len(keys) - 1)
+        found = (first < end) & (keys[at] == key)
         out[rows[found]] = np.load(f"{name}.table.npy")[_mapped(f"{name}.codes.npy")[at[found]]]
     return out
 
 
 class Vocabulary:
-    """The words of training documents: numbers by the order of their hashes, and counts."""
+    """The words of training documents: numbers by the magnitude of their counts, then by hash; and counts."""
 
     def __init__(self, folder: str):
         self.folder = folder
-        self.begins = np.load(f"{folder}/words.npy")
+        self.begins = np.load(f"{folder}/words.npy")  # (MAGNITUDES, shards)
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, counts); -1 and 0 for a word that is not there."""
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        shard = shard_of(h, len(self.begins) - 1)
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         order = np.argsort(h)
-        cuts = np.searchsorted(shard[order], np.arange(len(self.begins)))
-        for s in np.unique(shard):
-            keys = _mapped(f"{self.folder}/word-{s}.keys.npy")
+        shard = shard_of(h[order], self.begins.shape[1])
+        for lo, hi in _runs(shard):
+            name, s = f"{self.folder}/word-{shard[lo]}", shard[lo]
+            keys = _mapped(f"{name}.keys.npy")
             if keys is None or not len(keys):
                 continue
-            rows = order[cuts[s] : cuts[s + 1]]
+            rows = order[lo:hi]
             at = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
             found = keys[at] == h[rows]
-            ids[rows[found]] = self.begins[s] + at[found]
-            counts[rows[found]] = _mapped(f"{self.folder}/word-{s}.counts.npy")[at[found]]
+            at, rows = at[found], rows[found]
+            counts[rows] = _mapped(f"{name}.counts.npy")[at]
+            ids[rows] = self.begins[magnitude(counts[rows]), s] + _mapped(f"{name}.ranks.npy")[at]
         return ids, counts
 
 
+def magnitude(n: np.ndarray) -> np.ndarray:
+    """0 for the largest counts, MAGNITUDES - 1 for a count of 1."""
+    return MAGNITUDES - np.maximum(np.minimum(np.frexp(n)[1], MAGNITUDES), 1)
+
+
 def _slices(texts: Iterator[bytes], size: int) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
     """(distinct tokens, of each document the numbers of its tokens), for about ``size`` tokens at a time."""
     words, docs, held = Numbers(), [], 0
@@ -199,10 +250,9 @@ def _blob_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _dealt(kind: str, shard: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     """Rows of packed columns, one for each shard; the order of what comes is kept within it."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 2**16 else shard, kind="stable")
     shard, columns = shard[order], [c[order] for c in columns]
-    begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
-    return [(int(shard[lo]), kind, pack(*(c[lo:hi] for c in columns)), None) for lo, hi in zip(begins, [*begins[1:], len(shard)], strict=True)]
+    return [(int(shard[lo]), kind, pack(*(c[lo:hi] for c in columns)), None) for lo, hi in _runs(shard)]
 
 
 def _count_words(shards: int):
@@ -220,9 +270,12 @@ def _merge_words(folder: str):
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         s = key[0].as_py()
         h, n = summed(*merged(group["blob"].to_pylist(), 2))
-        _write(f"{folder}/word-{s}.keys.npy", h)
-        _write(f"{folder}/word-{s}.counts.npy", n)
-        return pa.Table.from_batches([_blob_rows([(s, "size", None, [len(h), int(n.sum())])])])
+        size, ranks = magnitude(n), np.empty(len(n), np.uint32)
+        for k in np.unique(size):
+            ranks[size == k] = np.arange((size == k).sum())
+        for part, array in (("keys", h), ("counts", n), ("ranks", ranks)):
+            _write(f"{folder}/word-{s}.{part}.npy", array)
+        return pa.Table.from_batches([_blob_rows([(s, "size", None, [int(n.sum()), *np.bincount(size, minlength=MAGNITUDES).tolist()])])])
 
     return merge
 
@@ -233,20 +286,35 @@ def padded(docs: list[np.ndarray], ids: np.ndarray, begin: int) -> np.ndarray:
     return np.concatenate([x for d in docs for x in (lead, ids[d])])
 
 
+def _grams(x: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
+    """(first, second, third, n) of the distinct trigrams of ``x``, ascending; numbers go up to ``begin``."""
+    x, bits = x.astype(np.uint64), np.uint64(begin.bit_length())
+    own = np.flatnonzero(x[2:] != begin)
+    u, v, w = x[own], x[own + 1], x[own + 2]
+    if 3 * bits <= 64:
+        key = np.sort((u << (bits + bits)) | (v << bits) | w)
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n, key, low = np.diff(np.append(begins, len(key))), key[begins], (np.uint64(1) << bits) - np.uint64(1)
+        return key >> (bits + bits), (key >> bits) & low, key & low, n
+    order = np.lexsort((w, v, u))
+    u, v, w = u[order], v[order], w[order]
+    begins = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+    return u[begins], v[begins], w[begins], np.diff(np.append(begins, len(w)))
+
+
 def _count_grams(folder: str, shards: int, begin: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder)
         for words, docs in _slices(_texts(batches), COUNTED):
-            x = padded(docs, vocabulary.find(words)[0], begin).astype(np.uint64)
-            pair, w = (x[:-2] << _WORD) | x[1:-1], x[2:]
-            own = w != begin
-            pair, w = pair[own], w[own]
-            order = np.lexsort((w, pair))
-            pair, w = pair[order], w[order]
-            begins = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (w[1:] != w[:-1])))
-            n = np.diff(np.append(begins, len(w)))
-            pair, w = pair[begins], w[begins]
-            yield _blob_rows(_dealt("grams", shard_of(mixed(pair), shards), pair, w, n))
+            ids = vocabulary.find(words)[0]
+            order = np.argsort(ids)
+            place = np.empty(len(ids), np.int64)
+            place[order] = np.arange(len(ids))
+            *own, n = _grams(padded(docs, place, len(ids)), len(ids))
+            names = np.append(ids[order], begin).astype(np.uint64)
+            u, v, w = (names[x] for x in own)
+            pair = (u << _WORD) | v
+            yield _blob_rows(_dealt("grams", shard_of(gram(pair, w), shards), pair, w, n))
 
     return count
 
@@ -256,67 +324,87 @@ def _steps(n: np.ndarray) -> list[int]:
 
 
 def _merge_grams(folder: str, shards: int):
-    """Of a shard of contexts: its trigrams into the model, its contexts on to the pairs, and for each pair within the trigrams the distinct words before it."""
+    """Of a shard of trigrams: themselves into the model; on to their pairs what these have in them as a context, and the distinct words before them."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         s = key[0].as_py()
         pair, w, n = merged(group["blob"].to_pylist(), 3)
-        order = np.lexsort((w, pair))
-        pair, w, n = pair[order], w[order], n[order]
-        begins = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (w[1:] != w[:-1])))
-        c = np.add.reduceat(n.astype(np.int64), begins)
-        pair, w = pair[begins], w[begins]
-        _store(folder, f"three-{s}", gram(pair, w), c)
-        context, total, n1, n2, n3 = summed(pair, c, c == 1, c == 2, c >= 3)
+        h = gram(pair, w)
+        order = np.argsort(h)
+        h = h[order]
+        begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        c = np.add.reduceat(n[order].astype(np.int64), begins)
+        h, pair, w = h[begins], pair[order[begins]], w[order[begins]]
+        _store(folder, "three", s, shards, h, c)
+        context, *values = summed(pair, c, c == 1, c == 2, c >= 3)
         ends, before = np.unique((pair & _LOW) << _WORD | w, return_counts=True)
-        rows = [(s, "counts", None, _steps(c)), (s, "contexts", pack(context, total, n1, n2, n3), None), *_dealt("pairs", shard_of(mixed(ends), shards), ends, before)]
+        rows = [(s, "counts", None, _steps(c)), *_dealt("contexts", shard_of(mixed(context), shards), context, *values), *_dealt("pairs", shard_of(mixed(ends), shards), ends, before)]
         return pa.Table.from_batches([_blob_rows(rows)])
 
     return merge
 
 
-def _merge_pairs(folder: str):
+def _aligned(keys: np.ndarray, *parts: tuple[np.ndarray, list[np.ndarray]]) -> list[np.ndarray]:
+    """The columns of each part, over all ``keys``: zeros where the part has no such key."""
+    out = []
+    for own, columns in parts:
+        at = np.searchsorted(keys, own)
+        for c in columns:
+            out.append(np.zeros(len(keys), np.int64))
+            out[-1][at] = c
+    return out
+
+
+def _merge_pairs(folder: str, shards: int):
     """Of a shard of pairs: what they have as endings and as contexts into the model; what words have in them on to the words."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         s = key[0].as_py()
         kinds, blobs = group["kind"].to_pylist(), group["blob"].to_pylist()
-        of = lambda kind, k: merged([b for b, x in zip(blobs, kinds, strict=True) if x == kind], k)
-        pair, a = summed(*of("pairs", 2))
+        of = lambda kind, k: summed(*merged([b for b, x in zip(blobs, kinds, strict=True) if x == kind], k))
+        pair, a = of("pairs", 2)
         context, *rest = of("contexts", 5)
-        order = np.argsort(context)
         keys = np.union1d(pair, context)
-        columns = [np.zeros(len(keys), np.int64) for _ in range(5)]
-        columns[0][np.searchsorted(keys, pair)] = a
-        for c, values in zip(columns[1:], rest, strict=True):
-            c[np.searchsorted(keys, context[order])] = values[order]
-        _store(folder, f"two-{s}", mixed(keys), *columns)
+        _store(folder, "two", s, shards, mixed(keys), *_aligned(keys, (pair, [a]), (context, rest)))
         ends, types = np.unique(pair & _LOW, return_counts=True)
-        first, total, n1, n2, n3 = summed(pair >> _WORD, a, a == 1, a == 2, a >= 3)
+        first, *values = summed(pair >> _WORD, a, a == 1, a == 2, a >= 3)
         ids = np.union1d(ends, first)
-        own = [np.zeros(len(ids), np.int64) for _ in range(5)]
-        own[0][np.searchsorted(ids, ends)] = types
-        for c, values in zip(own[1:], (total, n1, n2, n3), strict=True):
-            c[np.searchsorted(ids, first)] = values
-        rows = [(s, "counts", None, _steps(a)), *_dealt("words", (ids // np.uint64(BLOCK)).astype(np.int64), ids, *own)]
+        own = _aligned(ids, (ends, [types]), (first, values))
+        rows = [(s, "counts", None, _steps(a)), *((b, f"{s // FAN}", blob, None) for b, _, blob, _ in _dealt("words", (ids // np.uint64(BLOCK)).astype(np.int64), ids, *own))]
         return pa.Table.from_batches([_blob_rows(rows)])
 
     return merge
 
 
+def _ends_of(block: int, blobs: list[bytes]) -> list[np.ndarray]:
+    """What the words of a block have as endings and as contexts, by number: added up one packed part after the other."""
+    dense = [np.zeros(BLOCK, np.int64) for _ in range(5)]
+    for blob in blobs:
+        ids, *columns = unpack(blob, 6)
+        at = (ids - np.uint64(block * BLOCK)).astype(np.int64)
+        for d, c in zip(dense, columns, strict=True):
+            d[at] += c.astype(np.int64)
+    return dense
+
+
+def _add_ends(key: tuple, group: pa.Table) -> pa.Table:
+    """FAN packed parts of a block as one."""
+    block, part = key[0].as_py(), int(key[1].as_py())
+    dense = _ends_of(block, group["blob"].to_pylist())
+    there = np.flatnonzero(np.logical_or.reduce([d > 0 for d in dense]))
+    return pa.Table.from_batches([_blob_rows([(block, f"{part // FAN}", pack(there.astype(np.uint64) + np.uint64(block * BLOCK), *(d[there] for d in dense)), None)])])
+
+
 def _merge_ends(folder: str):
-    """Of a block of words: what they have as endings and as contexts, by number."""
+    """Of a block of words: what they have as endings and as contexts."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        ids, *columns = summed(*merged(group["blob"].to_pylist(), 6))
-        dense = [np.zeros(BLOCK, np.int64) for _ in columns]
-        for d, c in zip(dense, columns, strict=True):
-            d[(ids % np.uint64(BLOCK)).astype(np.int64)] = c
+        dense = _ends_of(block, group["blob"].to_pylist())
         codes, values = encode(*dense)
         _write(f"{folder}/one-{block}.codes.npy", codes)
         _write(f"{folder}/one-{block}.table.npy", values)
-        a = columns[0]
+        a = dense[0]
         return pa.Table.from_batches([_blob_rows([(block, "counts", None, [*_steps(a), int((a >= 3).sum()), int(a.sum())])])])
 
     return merge
@@ -354,15 +442,19 @@ def fit(docs: DataFrame) -> str:
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = input_parts(docs)
     sizes = materialize(texts.mapInArrow(_count_words(parts), _BLOBS).groupBy("shard").applyInArrow(_merge_words(folder), _BLOBS))
-    size = dict(sizes.select("shard", F.get("counts", F.lit(0))).collect())  # a row a shard
-    words, n = _added(sizes, 2)
+    at = {r[0]: r[1][1:] for r in sizes.select("shard", "counts").collect()}  # a row a shard
+    size = np.array([at.get(s, [0] * MAGNITUDES) for s in range(parts)]).T.reshape(-1)
+    words, n = int(size.sum()), _added(sizes, 1)[0]
     if words >= 2**32 - 1:
         raise ValueError("a model numbers its words by 32 bits")
-    np.save(f"{folder}/words.npy", np.cumsum([0] + [size.get(s, 0) for s in range(parts)]))
+    np.save(f"{folder}/words.npy", (np.cumsum(size) - size).reshape(MAGNITUDES, parts))
     shards = max(1, -(-n // SHARD_TOKENS))
     grams = materialize(texts.mapInArrow(_count_grams(folder, shards, words), _BLOBS).groupBy("shard").applyInArrow(_merge_grams(folder, shards), _BLOBS))
-    pairs = materialize(grams.where("kind != 'counts'").groupBy("shard").applyInArrow(_merge_pairs(folder), _BLOBS))
-    ends = materialize(pairs.where("kind != 'counts'").groupBy("shard").applyInArrow(_merge_ends(folder), _BLOBS))
+    pairs = materialize(grams.where("kind != 'counts'").groupBy("shard").applyInArrow(_merge_pairs(folder, shards), _BLOBS))
+    ends, parted = pairs.where("kind != 'counts'"), -(-shards // FAN)
+    while parted > 1:
+        ends, parted = ends.groupBy("shard", "kind").applyInArrow(_add_ends, _BLOBS), -(-parted // FAN)
+    ends = materialize(ends.groupBy("shard").applyInArrow(_merge_ends(folder), _BLOBS))
     one = _added(ends, 6)
     model = {"tokens": n, "words": words, "shards": shards, "discounts": [discounts(*one[:4]), discounts(*_added(pairs, 4)), discounts(*_added(grams, 4))], "ends": [one[0], one[1], one[4], one[5]]}
     with open(f"{folder}/model.json", "w") as f:
@@ -394,34 +486,33 @@ class Model:
         d = self.discounts[order - 1]
         return np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
 
-    def log10(self, x: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each number of ``x`` that is no begin (-1: unknown), after the two before it."""
-        own = np.flatnonzero(x[2:] != self.words) + 2
-        distinct, at = np.unique(x, return_inverse=True)
-        ones = np.zeros((len(distinct), 5), np.int64)
-        for block in np.unique(distinct[distinct >= 0] // BLOCK):
-            if (codes := _mapped(f"{self.folder}/one-{block}.codes.npy")) is not None:
-                rows = np.flatnonzero((distinct >= 0) & (distinct // BLOCK == block))
-                ones[rows] = np.load(f"{self.folder}/one-{block}.table.npy")[codes[distinct[rows] % BLOCK]]
+    def log10(self, docs: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token of documents in turn, after the two before it. Documents are given by numbers of
+        words, whose numbers in the model are ``ids`` (-1: unknown)."""
+        begin = len(ids)
+        x, ids = padded(docs, np.arange(begin), begin), np.append(ids, self.words)
+        own = np.flatnonzero(x[2:] != begin) + 2
+        ones = np.zeros((len(ids), 5), np.int64)
+        block = np.where(ids >= 0, ids // BLOCK, -1)
+        for b in np.unique(block[block >= 0]):
+            if (codes := _mapped(f"{self.folder}/one-{b}.codes.npy")) is not None:
+                rows = np.flatnonzero(block == b)
+                ones[rows] = np.load(f"{self.folder}/one-{b}.table.npy")[codes[ids[rows] % BLOCK]]
         p1 = self.less(1, ones[:, 0]) / max(self.total, 1) + self.uniform
         left2, total2 = self.left(2, *ones[:, 1:].T), ones[:, 1]
         # Pairs: each is an ending here, and the context of the next token.
-        known = (x[:-1] >= 0) & (x[1:] >= 0)
-        y = np.where(x >= 0, x, 0).astype(np.uint64)
-        pair = np.where(known, (y[:-1] << _WORD) | y[1:], 0)
-        pairs, of = np.unique(pair, return_inverse=True)
-        h = mixed(pairs)
-        twos = look_up(self.folder, "two", shard_of(h, self.shards), h, 5)
-        v, w, ending, context = at[own - 1], at[own], own - 1, own - 2
-        ends = np.where(known[ending], twos[of[ending], 0], 0)
-        p2 = np.where(total2[v] > 0, self.less(2, ends) / np.maximum(total2[v], 1) + left2[v] * p1[w], p1[w])
-        total3 = np.where(known[context], twos[of[context], 1], 0)
-        left3 = self.left(3, *twos[:, 1:].T)[of[context]]
-        seen = np.flatnonzero((total3 > 0) & (ends > 0))  # a trigram of the model ends with a pair of the model
+        known = (ids >= 0)[x]
+        y = np.maximum(ids, 0).astype(np.uint64)[x]
+        pair, known = (y[:-1] << _WORD) | y[1:], known[:-1] & known[1:]
+        twos = np.zeros((len(pair), 5), np.int64)
+        twos[known] = look_up(self.folder, "two", self.shards, mixed(pair[known]), 5)
+        v, w, ending, context = x[own - 1], x[own], twos[own - 1], twos[own - 2]
+        p2 = np.where(total2[v] > 0, self.less(2, ending[:, 0]) / np.maximum(total2[v], 1) + left2[v] * p1[w], p1[w])
+        total3 = context[:, 1]
+        seen = np.flatnonzero((total3 > 0) & (ending[:, 0] > 0))  # a trigram of the model ends with a pair of the model
         count = np.zeros(len(own), np.int64)
-        uv = pair[context[seen]]
-        count[seen] = look_up(self.folder, "three", shard_of(mixed(uv), self.shards), gram(uv, y[own[seen]]), 1)[:, 0]
-        return np.log10(np.where(total3 > 0, self.less(3, count) / np.maximum(total3, 1) + left3 * p2, p2))
+        count[seen] = look_up(self.folder, "three", self.shards, gram(pair[own[seen] - 2], y[own[seen]]), 1)[:, 0]
+        return np.log10(np.where(total3 > 0, self.less(3, count) / np.maximum(total3, 1) + self.left(3, *context[:, 1:].T) * p2, p2))
 
 
 def _score(folder: str):
@@ -443,7 +534,7 @@ def _score(folder: str):
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             flat = np.concatenate(docs)
             base = np.log10((counts + 1) / (model.tokens + model.words + 1))[flat]
-            logs = model.log10(padded(docs, ids, model.words))
+            logs = model.log10(docs, ids)
             done, heads[:] = heads[: len(docs)], heads[len(docs) :]
             total = np.add.reduceat(logs, begins)
             columns = ([d for d, _ in done], [h for _, h in done], lengths, np.add.reduceat((counts > 0)[flat].astype(np.int64), begins), np.full(len(docs), model.tokens), np.add.reduceat(base, begins), total, 10.0 ** np.minimum(-total / lengths, 300.0))
