@@ -2,7 +2,8 @@
 
 Each task tokenises its documents, shard by shard, into word numbers of the benchmark's vocabulary, sorts the suffixes of
 the shard that begin like a test suffix (by their first two words) into a suffix array, and finds every test suffix, as far as
-its first ten words, in it by binary search. Runs of hit words give the longest verbatim matches and their places. Documents are
+its first ten words, in it by binary search. From there a match is followed word by word through the sorted suffixes of the test
+items, whose interval narrows until no item goes on: that gives the longest verbatim match, its item and both places. Documents are
 never shuffled; what is sent to the tasks is the benchmark, in blocks of a bounded number of words: one block at a time, with a
 pass over the documents for each.
 """
@@ -49,6 +50,11 @@ class TestSet:
     lengths: np.ndarray
     owners: list[list[str]]  # of each window: the items that have it
     pairs: np.ndarray  # sorted codes of the windows' first two words; a one-word window's word, with 0
+    stream: np.ndarray  # all items' words, a -1 after each
+    order: np.ndarray  # the places of the stream by the suffixes that begin there
+    bounds: np.ndarray  # (windows, 2): the suffixes in that order that begin with the window
+    names: list[str]  # of the items, sorted
+    origin: np.ndarray  # (stream, 2): of each place the number of its item, and its offset there
     __test__ = False
 
 
@@ -61,12 +67,37 @@ def test_set(items: list[tuple[object, str | None]], width: int = WINDOW) -> Tes
         for at in range(max(1, len(ids) - width + 1)) if ids else ():
             owners.setdefault(tuple(ids[at : at + width]), set()).add(str(item_id))
     rows = sorted(owners)
+    stream, origin, names = _stream(items, vocabulary)
+    order = suffix_order(stream)
     windows = np.full((len(rows), width), -1, np.int64)
     for k, row in enumerate(rows):
         windows[k, : len(row)] = row
     lengths = np.array([len(r) for r in rows], np.int64)
     pairs = np.unique(np.array([(r[0] << 32) | (r[1] if len(r) > 1 else 0) for r in rows], np.int64))
-    return TestSet(vocabulary, windows, lengths, [sorted(owners[r]) for r in rows], pairs)
+    padded = np.concatenate([stream, np.full(width, -1, np.int64)])
+    bounds = np.stack([_bound(padded, order, windows, lengths, upper) for upper in (False, True)], 1)
+    return TestSet(vocabulary, windows, lengths, [sorted(owners[r]) for r in rows], pairs, stream, order, bounds, names, origin)
+
+
+def _stream(items: list[tuple[object, str | None]], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    names = sorted({str(i) for i, _ in items})
+    number = {n: k for k, n in enumerate(names)}
+    parts, origin = [], []
+    for item_id, text in items:
+        ids = [vocabulary[w] for w in words(text)]
+        parts.append(np.array([*ids, -1], np.int64))
+        origin.append(np.stack([np.full(len(ids) + 1, number[str(item_id)]), np.arange(len(ids) + 1)], 1))
+    return np.concatenate([*parts, np.empty(0, np.int64)]), np.concatenate([*origin, np.empty((0, 2), np.int64)]), names
+
+
+def suffix_order(tokens: np.ndarray) -> np.ndarray:
+    """All suffixes of ``tokens``, sorted: by ranks of prefixes that double in length until all differ."""
+    n, k = len(tokens), 1
+    rank = np.unique(tokens, return_inverse=True)[1] if n else np.empty(0, np.int64)
+    while n and k < n and rank.max() < n - 1:
+        after = np.concatenate([rank[k:] + 1, np.zeros(min(k, n), np.int64)])
+        rank, k = np.unique(rank * (n + 1) + after, return_inverse=True)[1], 2 * k
+    return np.argsort(rank, kind="stable")
 
 
 def suffix_array(tokens: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -111,18 +142,49 @@ def search_shard(tokens: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.nda
     return at, which
 
 
-def _found(shard: list[np.ndarray], tests: TestSet) -> list[tuple[int, list[str], int, int, list[tuple[int, int]]]]:
-    """Of each document of a shard: words hit, items, longest match in words, where it begins, and the hit runs (start, end)."""
+def follow(tokens: np.ndarray, at: np.ndarray, bounds: np.ndarray, depth: int, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, bounds): how many words from each place ``at`` on stand so in an item, and the suffixes that have them all. The first
+    ``depth`` words and their ``bounds`` are known. A word further at each turn, for all places that still match."""
+    length, bounds = np.full(len(at), depth), bounds.copy()
+    live = np.arange(len(at))
+    while len(live):
+        want = tokens[at[live] + depth]
+        narrowed = []
+        for upper in (False, True):
+            lo, hi = bounds[live].T.copy()
+            while (open_ := lo < hi).any():
+                middle = (lo + hi) >> 1
+                place = tests.order[np.minimum(middle, len(tests.order) - 1)] + depth
+                got = tests.stream[np.minimum(place, len(tests.stream) - 1)]
+                right = open_ & ((got <= want) if upper else (got < want))
+                lo, hi = np.where(right, middle + 1, lo), np.where(open_ & ~right, middle, hi)
+            narrowed.append(lo)
+        on = narrowed[0] < narrowed[1]
+        live, depth = live[on], depth + 1
+        bounds[live], length[live] = np.stack(narrowed, 1)[on], depth
+    return length, bounds
+
+
+#: Of a document: words hit, items, longest match in words, where it begins, its item and the word it begins at there, and the hit runs (start, end).
+Found = tuple[int, list[str], int, int, str | None, int, list[tuple[int, int]]]
+
+
+def _found(shard: list[np.ndarray], tests: TestSet) -> list[Found]:
+    """What each document of a shard holds of the items."""
     sizes = np.array([len(x) for x in shard], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + WINDOW)[:-1]])
     tokens = np.zeros(int((sizes + WINDOW).sum()), np.int64)
     for b, ids in zip(begins, shard, strict=True):
         tokens[b : b + len(ids)] = ids
     at, which = search_shard(tokens, tests) if len(tests.windows) else (np.empty(0, np.int64),) * 2
-    out = [(0, [], 0, -1, [])] * len(shard)
+    out: list[Found] = [(0, [], 0, -1, None, -1, [])] * len(shard)
     order = np.lexsort([which, at])
     at, which = at[order], which[order]
     doc = np.searchsorted(begins, at, side="right") - 1
+    # A whole window may go on; an item of fewer words is over.
+    length, bounds = tests.lengths[which].copy(), tests.bounds[which]
+    whole = np.flatnonzero(length == WINDOW)
+    length[whole], bounds[whole] = follow(tokens, at[whole], bounds[whole], WINDOW, tests)
     for lo, hi in zip(*_groups(doc), strict=True):
         d, runs = int(doc[lo]), []
         items: set[str] = set()
@@ -135,8 +197,13 @@ def _found(shard: list[np.ndarray], tests: TestSet) -> list[tuple[int, list[str]
                 runs[-1][1] = max(runs[-1][1], e)
             else:
                 runs.append([s, e])
-        longest = max(runs, key=lambda r: (r[1] - r[0], -r[0]))
-        out[d] = (sum(e - s for s, e in runs), sorted(items), longest[1] - longest[0], longest[0], [(s, e) for s, e in runs])
+        best = lo + int(np.lexsort([starts, -length[lo:hi]])[0])
+        if length[best] < WINDOW:
+            item, offset = tests.owners[which[best]][0], 0
+        else:
+            item, offset = min(map(tuple, tests.origin[tests.order[bounds[best, 0] : bounds[best, 1]]].tolist()))
+            item = tests.names[item]
+        out[d] = (sum(e - s for s, e in runs), sorted(items), int(length[best]), int(at[best] - begins[d]), item, offset, [(s, e) for s, e in runs])
     return out
 
 
@@ -146,7 +213,7 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])) if len(keys) else (edges, edges)
 
 
-_SCHEMA = "n_words long, n_hit long, items array<string>, longest_match long, longest_at long, runs array<struct<start:long,end:long>>"
+_SCHEMA = "n_words long, n_hit long, items array<string>, longest_match long, longest_at long, longest_item string, longest_item_at long, runs array<struct<start:long,end:long>>"
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
@@ -181,7 +248,7 @@ def _search(docs: DataFrame, sent: Broadcast) -> DataFrame:
             done += _found(shard, tests) if shard else []
             out = b[[f.name for f in keep]].copy()
             out["n_words"] = totals
-            for k, name in enumerate(("n_hit", "items", "longest_match", "longest_at", "runs")):
+            for k, name in enumerate(("n_hit", "items", "longest_match", "longest_at", "longest_item", "longest_item_at", "runs")):
                 out[name] = [x[k] for x in done]
             yield out
 
@@ -190,7 +257,9 @@ def _search(docs: DataFrame, sent: Broadcast) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: its id, n_words, n_hit, items (ids as strings, sorted), longest_match (words of the
-    longest run of hit words), longest_at (the word it begins at; -1 without one) and runs (all of them, as word offsets).
+    longest run that stands so in one item, from a window on), longest_at (the word it begins at; -1 without one), longest_item and
+    longest_item_at (the item, and the word there), and runs (all runs of hit words, of whatever items, as word offsets). Of matches
+    of one length the first in the document counts, and of its items the least id as a string, then the first place.
 
     A word is hit if it lies in any occurrence of a window of 10 consecutive words of an item; an item of fewer words, but
     not of none, is one window. Null or empty text has no words; very long texts are searched whole; null items, and items
@@ -218,12 +287,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id")
     runs = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
     merged = union.groupBy("row").agg(
         F.first(doc_id).alias(doc_id), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.min(F.when(F.col("longest_match") > 0, F.struct((-F.col("longest_match")).alias("n"), F.col("longest_at").alias("at"), F.col("longest_item").alias("item"), F.col("longest_item_at").alias("item_at")))).alias("best"),
     ).join(runs, "row", "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<start:bigint,end:bigint>>")))
     length = F.transform("runs", lambda r: r["end"] - r["start"])
-    best = F.array_max(F.transform("runs", lambda r: F.struct((r["end"] - r["start"]).alias("n"), (-r["start"]).alias("at"))))
+    best = F.col("best")
     return merged.select(
         doc_id, "n_words", F.aggregate(length, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"), "items",
-        F.coalesce(best["n"], F.lit(0)).alias("longest_match"), F.coalesce(-best["at"], F.lit(-1)).alias("longest_at"), "runs",
+        F.coalesce(-best["n"], F.lit(0)).alias("longest_match"), F.coalesce(best["at"], F.lit(-1)).alias("longest_at"), best["item"].alias("longest_item"), F.coalesce(best["item_at"], F.lit(-1)).alias("longest_item_at"), "runs",
     )
 
 
@@ -271,24 +341,26 @@ def query(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "longest_at",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "longest_at", "longest_item", "longest_item_at",
     )
 
 
-#: DuckDB over whole tables: windows of the items join the windows of the documents.
+#: DuckDB over whole tables: windows of the items join the windows of the documents; windows of one item that follow each other in both are one match.
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-i AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS k FROM b WHERE len(w) > 0)),
+i AS (SELECT item_id, k AS j, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS k FROM b WHERE len(w) > 0)),
 n AS (SELECT DISTINCT n FROM i),
 p AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, n WHERE len(w) >= n),
 g AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM p),
-h AS (SELECT g.r, g.n, g.k, i.item_id FROM g JOIN i ON g.n = i.n AND g.g = i.g),
+h AS (SELECT g.r, g.n, g.k, i.item_id, i.j FROM g JOIN i ON g.n = i.n AND g.g = i.g),
 x AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS q FROM (SELECT DISTINCT r, n, k FROM h)) GROUP BY r),
-run AS (SELECT r, q, q - row_number() OVER (PARTITION BY r ORDER BY q) AS grp FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS q FROM h)),
-y AS (SELECT r, max(m) AS longest_match, arg_max(s, (m, -s)) AS longest_at FROM (SELECT r, grp, count(*) AS m, min(q) - 1 AS s FROM run GROUP BY r, grp) GROUP BY r),
+run AS (SELECT r, CAST(item_id AS VARCHAR) AS item, n, k, j, k - row_number() OVER (PARTITION BY r, item_id, n, k - j ORDER BY k) AS grp FROM h),
+m AS (SELECT r, item, count(*) + n - 1 AS m, min(k) - 1 AS place, min(j) - 1 AS item_at FROM run GROUP BY r, item, n, k - j, grp),
+y AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r ORDER BY m DESC, place, item, item_at) = 1),
 z AS (SELECT r, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS t FROM h) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(x.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(z.n_items, 0) AS BIGINT) AS n_items,
-sha256(coalesce(z.items, '')) AS items_sha256, coalesce(x.n_hit, 0) > 0 AS contaminated, CAST(coalesce(y.longest_match, 0) AS BIGINT) AS longest_match, CAST(coalesce(y.longest_at, -1) AS BIGINT) AS longest_at
+sha256(coalesce(z.items, '')) AS items_sha256, coalesce(x.n_hit, 0) > 0 AS contaminated, CAST(coalesce(y.m, 0) AS BIGINT) AS longest_match, CAST(coalesce(y.place, -1) AS BIGINT) AS longest_at,
+y.item AS longest_item, CAST(coalesce(y.item_at, -1) AS BIGINT) AS longest_item_at
 FROM d LEFT JOIN x USING (r) LEFT JOIN y USING (r) LEFT JOIN z USING (r)
 """

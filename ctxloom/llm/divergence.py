@@ -1,11 +1,11 @@
 """Source divergence audit: how far the terms of each source lie from those of every other source of its language, by integer-dictionary encoding.
 
 Each task numbers the words of its documents and counts them as integers, by group and by document; only these counts are shuffled.
-The terms of a language that enough documents hold are then dealt by range and cut into chunks: slices of the sorted dictionary, of
-so many terms that a dense vector for each source fits. In a chunk, the ids of terms are their places in its sorted array, found by
-binary search, and a source's vector is a bincount of ids. As ids keep the UTF-8 order, vectors of all sources line up, absent terms
-are zeros, and ties go by id. Sums over a chunk are added up by pair; of terms, a chunk gives its best by source, and these are ranked.
-All arithmetic is in integers.
+The terms of a language that enough documents hold are then dealt by range and numbered in their order; the numbers are cut into
+chunks, slices of the sorted dictionary of so many terms that a dense vector for each source fits. In a chunk, the ids of terms are
+their places in its sorted array, found by binary search, and a source's vector is a bincount of ids. As ids keep the UTF-8 order,
+vectors of all sources line up, absent terms are zeros, and ties go by id. Sums over a chunk are added up by pair; of terms, a chunk
+gives its best by source, and these are ranked. All arithmetic is in integers.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from ctxloom.llm._common import input_parts, materialize, table
 MIN_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
-#: Words that a task counts at once.
-COUNTED = 4_000_000
+#: Words that a task counts at once, and rows that it hands on at once.
+COUNTED, HANDED = 1_000_000, 50_000
 #: Numbers of the dense vectors of a chunk, over all sources of the language.
 DENSE = 1_000_000
 
@@ -49,11 +49,10 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of a task's documents, and a row with an empty term for every group seen."""
-    words, groups, ids, owner, held = Numbers(), Numbers(), [], [], 0
+def _count_words(size: int):
+    """(lang, source, term, n, docs) of a task's documents, ``size`` words at a time, and a row with an empty term for every group seen."""
 
-    def counted() -> pa.RecordBatch:
+    def counted(words: Numbers, groups: Numbers, ids: list[np.ndarray], owner: list[int]) -> pa.RecordBatch:
         word = np.concatenate([*ids, np.empty(0, np.int64)])
         lengths, by_doc, width = np.array([len(x) for x in ids], np.int64), np.array(owner, np.int64), len(words)
         doc = np.repeat(np.arange(len(ids)), lengths)
@@ -67,22 +66,29 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, sources = (pa.array([g[k] for g in names], pa.string()).take(pa.array(group)) for k in (0, 1))
         return pa.RecordBatch.from_arrays([langs, sources, spelt.take(pa.array(which)), pa.array(np.concatenate([n, none])), pa.array(np.concatenate([docs, none]))], names=["lang", "source", "term", "n", "docs"])
 
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-            found = terms(text.as_py())
-            ids.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
-            owner.append(groups[lang, source])
-            held += len(found)
-            if held >= COUNTED:
-                yield counted()
-                words, groups, ids, owner, held = Numbers(), Numbers(), [], [], 0
-    if ids:
-        yield counted()
+    def handed(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield from (rows.slice(k, HANDED) for k in range(0, len(rows), HANDED))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, groups, ids, owner, held = Numbers(), Numbers(), [], [], 0
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
+                found = terms(text.as_py())
+                ids.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                owner.append(groups[lang, source])
+                held += len(found)
+                if held >= size:
+                    yield from handed(counted(words, groups, ids, owner))
+                    words, groups, ids, owner, held = Numbers(), Numbers(), [], [], 0
+        if ids:
+            yield from handed(counted(words, groups, ids, owner))
+
+    return count
 
 
-def _dictionary(width: int, min_docs: int):
-    """Over rows sorted by language and term: those of kept terms, with the chunk of the sorted dictionary they lie in; ``first`` marks a row a term."""
+def _dictionary(min_docs: int):
+    """Over rows sorted by language and term: those of kept terms, with the partition and the number of the term in it; ``first`` marks a row a term."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, numbered, rest = TaskContext.get().partitionId(), 0, None
@@ -98,9 +104,8 @@ def _dictionary(width: int, min_docs: int):
             first = np.zeros(len(rows), bool)
             first[begins] = True
             stay = pa.array(np.flatnonzero(np.repeat(keep, sizes)))
-            chunk = np.repeat((part << 32) + place // width, sizes)
-            out = rows.select(["lang", "source", "term", "n"]).append_column("chunk", pa.array(chunk)).append_column("first", pa.array(first))
-            return out.take(stay)
+            out = rows.select(["lang", "source", "term", "n"]).append_column("part", pa.array(np.full(len(rows), part))).append_column("place", pa.array(np.repeat(place, sizes)))
+            return out.append_column("first", pa.array(first)).take(stay)
 
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -171,7 +176,7 @@ def _compare(top: int):
     return compare
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, counted: int = COUNTED) -> DataFrame:
     """lang, source, part, item, value, rank. Part ``pair``: how far each other source of the language lies from the source, over
     all kept terms; part ``term``: the ``top`` terms by which the source exceeds its language.
 
@@ -181,12 +186,18 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     are no rows. Other columns, whatever their names, play no part.
     """
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    seen = read.mapInArrow(_count_words, "lang string, source string, term string, n long, docs long")
+    seen = read.mapInArrow(_count_words(counted), "lang string, source string, term string, n long, docs long")
     counts = materialize(seen.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     groups = counts.where("term = ''").select("lang", "source")
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     dealt = counts.where("term != ''").repartitionByRange(input_parts(counts), "lang", "term").sortWithinPartitions("lang", "term")
-    kept = materialize(dealt.mapInArrow(_dictionary(max(1, DENSE // most), min_docs), "lang string, source string, term string, n long, chunk long, first boolean"))
+    placed = materialize(dealt.mapInArrow(_dictionary(min_docs), "lang string, source string, term string, n long, part long, place long, first boolean"))
+    # The id of a term in its language: its number in the partition, after all terms of the partitions before.
+    slices = placed.where("first").groupBy("lang", "part").agg(F.count(F.lit(1)).alias("terms"), F.min("place").alias("least"))
+    before = F.coalesce(F.sum("terms").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.select("lang", "part", (before - F.col("least")).alias("shift"))
+    chunk = F.floor((F.col("place") + F.col("shift")) / max(1, DENSE // most))
+    kept = materialize(placed.join(slices, ["lang", "part"]).select("lang", "source", "term", "n", chunk.alias("chunk"), "first"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     sizes = kept.where("first").groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = materialize(groups.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["n", "v"]))

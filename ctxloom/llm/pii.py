@@ -1,11 +1,12 @@
 """Personal data: patterns, and information-theoretic sanitisation, in DataFrame operations only.
 
 Emails, IP addresses, card and phone numbers are found by pattern, with their places. They are the protected entities, each
-under two names: its own, and that of its group (the domain, or the number without its last part), which recurs where single
-entities do not. Over the corpus, a word discloses an entity to the degree of their pointwise mutual information,
-log2(p(entity | word) / p(entity)), with probabilities from document counts; a document's words are all that stand outside
-entities. A word that occurs with the same entity in ``min_support`` documents at least, and of which at least ``generalise_at`` of
-its documents hold it, is generalised wherever it stands; from ``remove_at`` on it is removed.
+under three names: its own, that of its group (the domain, or the number without its last part), and that of its kind; groups and
+kinds recur where single entities do not. Over the corpus, a word discloses an entity to the degree of their pointwise mutual
+information, log2(p(entity | word) / p(entity)), with probabilities from counts of different texts, so that copies count once;
+p(entity | word) is smoothed towards p(entity), as a word of few texts says less. A text's words are all that stand outside entities.
+A word that occurs with the same entity in ``min_support`` texts at least is generalised wherever it stands if that probability
+reaches ``generalise_at`` and the information ``min_bits``; from ``remove_at`` on it is removed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import bound, count_rows, materialize, put_back, set_aside, table
+from ctxloom.llm._common import bound, materialize, put_back, set_aside, table
 
 #: The patterns, with possessive repeats and a lookbehind that skip starts which cannot match any more. Runs of
 #: digits are whole runs: those of under 13 or over 19 digits are no cards, and are passed over here.
@@ -29,9 +30,9 @@ _MATCHES = "array<struct<start:int,end:int,match:string>>"
 BLOCK = 64
 #: Disclosing words (and signs of theirs) that are sent to all tasks; more of them are joined by a shuffle.
 SENT_TERMS, SENT_SIGNS = 100_000, 4_000_000
-MIN_SUPPORT = 3
-#: Shares of a word's documents that hold the entity; and the least information in bits.
-GENERALISE_AT, REMOVE_AT, MIN_BITS = 0.5, 0.8, 3.0
+MIN_SUPPORT = 2
+#: Smoothed shares of a word's texts that hold the entity; the least information in bits; texts that the smoothing weighs.
+GENERALISE_AT, REMOVE_AT, MIN_BITS, PRIOR = 0.5, 0.8, 3.0, 0.5
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -108,7 +109,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _names(kind: str, match: Column) -> Column:
-    """An entity's own name and that of its group."""
+    """An entity's own name, that of its group, and that of its kind."""
     if kind == "email":
         own = F.lower(match)
         group = F.substring_index(own, "@", -1)
@@ -118,7 +119,7 @@ def _names(kind: str, match: Column) -> Column:
     else:
         own = _digits(match)
         group = F.substring(own, 1, 6) if kind == "card" else F.substring(own, F.lit(1), F.length(own) - 4)
-    return F.array(F.concat(F.lit(f"{kind}:"), own), F.concat(F.lit(f"{kind} group:"), group))
+    return F.array(F.concat(F.lit(f"{kind}:"), own), F.concat(F.lit(f"{kind} group:"), group), F.lit(f"{kind} kind"))
 
 
 def _words(text: Column) -> Column:
@@ -135,28 +136,35 @@ def _outside(text: Column) -> Column:
     return F.concat(F.array_join(done["out"], " "), F.lit(" "), F.substring(text, done["at"] + 1, F.length(text)))
 
 
+def _different(docs: DataFrame) -> DataFrame:
+    """One row for each different text, by 128 bits of hashes."""
+    return docs.where("text IS NOT NULL").withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(7), F.col("text"))}).dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")
+
+
 def disclosures(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_bits: float = MIN_BITS) -> DataFrame:
     """(term, bits, action): the words that disclose an entity beyond the thresholds, with the most that they disclose.
 
-    Counts are of documents, over the whole corpus: those of the entity, of the word, and of both together. Each row is a document.
+    Counts are of different texts, over the whole corpus: those of the entity, of the word, and of both together.
     """
     named = lambda kind: lambda m: _names(kind, m["match"])
     names = F.array_distinct(F.flatten(F.concat(*[F.transform(k, named(k)) for k in KINDS])))
-    words = materialize(found.select(F.monotonically_increasing_id().alias("k"), names.alias("names"), _words(_outside(F.col("text"))).alias("words"), _words(F.col("text")).alias("every")))
+    words = materialize(_different(found).select(F.monotonically_increasing_id().alias("k"), names.alias("names"), _words(_outside(F.col("text"))).alias("words"), _words(F.col("text")).alias("every")))
     named = words.select("k", F.explode("names").alias("entity"))
     seen = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= min_support)
     named = materialize(named.join(seen, "entity"))
-    # The words of all rows, less those that stand in entities only.
-    counted = docs.select(F.explode(_words(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    # The words of all texts, less those that stand in entities only; the empty word stands for the text itself.
+    counted = _different(docs.select("text")).select(F.explode(F.concat(F.array(F.lit("")), _words(F.col("text")))).alias("term"), F.lit(1).cast("long").alias("n"))
     counted = counted.unionByName(words.select(F.explode(F.array_except("every", "words")).alias("term"), F.lit(-1).cast("long").alias("n")))
-    counts = counted.groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= min_support)
-    # A word of more than n_entity / generalise_at documents cannot disclose an entity of n_entity: it is not paired with it.
-    within = F.col("n_term") * generalise_at <= F.col("n_entity") + 1e-9
+    counts = materialize(counted.groupBy("term").agg(F.sum("n").alias("n_term")).where((F.col("n_term") >= min_support) | (F.col("term") == "")))
+    texts = counts.where("term = ''").agg(F.coalesce(F.max("n_term"), F.lit(0))).first()[0]
+    share = lambda both: (both + PRIOR * F.col("n_entity") / max(texts, 1)) / (F.col("n_term") + PRIOR)
+    # What a word could reach if the entity stood in as many of its texts as it can: a word that falls short is not paired.
+    within = share(F.least("n_term", "n_entity")) >= generalise_at - 1e-9
     most = named.groupBy("k").agg(F.max("n_entity").alias("n_entity"))
-    own = words.select("k", "words").join(most, "k").select("k", "n_entity", F.explode("words").alias("term")).join(counts, "term").where(within).select("k", "term", "n_term")
+    own = words.select("k", "words").join(most, "k").select("k", "n_entity", F.explode("words").alias("term")).join(counts.where("term != ''"), "term").where(within).select("k", "term", "n_term")
     pairs = own.join(named, "k").where(within).groupBy("entity", "n_entity", "term", "n_term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
     return (
-        pairs.withColumn("share", F.col("both") / F.col("n_term")).withColumn("bits", F.log2(F.col("share") * count_rows(docs) / F.col("n_entity")))
+        pairs.withColumn("share", share(F.col("both"))).withColumn("bits", F.log2(F.col("share") * texts / F.col("n_entity")))
         .where((F.col("share") >= generalise_at) & (F.col("bits") >= min_bits))
         .groupBy("term").agg(F.max("bits").alias("bits"), F.max(F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")).alias("action"))
     )

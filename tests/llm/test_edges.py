@@ -132,7 +132,7 @@ def test_many_matches_keep_their_places(spark):
 def test_many_disclosing_words_go_by_a_shuffle(spark, monkeypatch):
     far = " plain words" * 20
     texts = [(k, f"Zorblatt wrote.{far} Then u{k}@corp.example and zorblatt, quixel again") for k in (1, 2, 3)] + [(4, "only ZORBLATT here")]
-    texts += [(k, f"plain words then and wrote only again here {chr(97 + k % 26) * 3}") for k in range(20, 80)]
+    texts += [(k, f"plain words then and wrote only again here {chr(97 + k % 26) * 3}{chr(97 + k // 26)}") for k in range(20, 80)]
     docs = _docs(spark, texts)
     sent = _sorted(pii.spans(docs), ("doc_id", "terms"))
     monkeypatch.setattr(pii, "SENT_TERMS", 0)

@@ -65,6 +65,41 @@ def test_decontamination(spark, monkeypatch, block_words):
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+def _brute_longest(text, items):
+    """(words, place, item, place there) of the longest run that stands so in one item and holds a window of it."""
+    w, best = decontam.words(text), (0, -1, None, -1)
+    for name, t in items:
+        v = decontam.words(t)
+        least = min(10, len(v))
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n >= least and (len(v) >= 10 or q == 0):
+                    best = min(best, (-n, p, str(name), q)) if best[0] else (-n, p, str(name), q)
+    return (-best[0], *best[1:])
+
+
+@pytest.mark.parametrize("block_words", [400_000, 15])
+def test_longest_matches(spark, block_words, monkeypatch):
+    """Matches of two items that touch are two; a match goes on as long as one item does, wherever its first words stand besides."""
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (block_words,))
+    a, b = _prose(301, 14).split(), _prose(302, 12).split()
+    items = [(1, " ".join(a[:10])), (2, " ".join(b[:10])), (3, " ".join(a[2:14] + b[:11])), (10, " ".join(a[:12] + ["odd"] + b)), (4, "few words"), (5, "same " * 12), (6, "same " * 12), (7, None), (8, "")]
+    texts = [(1, " ".join(a[:10] + b[:10])), (2, " ".join(a + b)), (3, " ".join(["x", *a[:12], "y"])), (4, "here few words and FEW words"), (5, "same " * 30), (6, " ".join(b + ["z"] + a)), (7, None), (8, "nothing at all"), (9, " ".join(a[1:10]))]
+    got = {r.doc_id: (r.longest_match, r.longest_at, r.longest_item, r.longest_item_at) for r in decontam.contamination(_docs(spark, texts), spark.createDataFrame(items, BENCH)).collect()}
+    assert got == {i: _brute_longest(t, items) for i, t in texts}
+    assert got[1] == (10, 0, "1", 0) and got[5] == (12, 0, "5", 0) and got[4] == (2, 1, "4", 0)
+
+
+def test_suffixes_are_in_order():
+    r = random.Random(6)
+    for n in (0, 1, 2, 50, 200):
+        tokens = [r.randrange(3) for _ in range(n)]
+        assert decontam.suffix_order(np.array(tokens, np.int64)).tolist() == sorted(range(n), key=lambda k: tokens[k:])
+
+
 def _brute_lines(texts):
     """Deleted line numbers of (id, text) in order of ids, None first."""
     seen, out = set(), {}
@@ -261,7 +296,7 @@ def test_pii_terms_of_whole_documents(spark):
     """Each address comes once, its domain three times; the name stands far from it, and once without it."""
     far = " plain words" * 60
     texts = [(k, f"Zorblatt wrote.{far} Then u{k}@corp.example and zorblatt again") for k in (1, 2, 3)] + [(4, "only ZORBLATT here"), (5, "zorblatty is another word")]
-    texts += [(k, f"plain words then and wrote only again here {chr(97 + k % 26) * 3}") for k in range(20, 80)]
+    texts += [(k, f"plain words then and wrote only again here {chr(97 + k % 26) * 3}{chr(97 + k // 26)}") for k in range(20, 80)]
     docs = _docs(spark, texts)
     got = {r.doc_id: [(t["start"], t["end"]) for t in r.terms if t["term"] == "zorblatt"] for r in pii.spans(docs.unionByName(docs.where("doc_id = 4"))).collect()}
     for i, t in texts:
@@ -270,6 +305,46 @@ def test_pii_terms_of_whole_documents(spark):
     assert "zorblatt" not in {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[4].lower()
 
 
+def _brute_disclosures(texts):
+    """{word: (bits, action)} from sets of different texts."""
+    texts = sorted({t for t in texts if t is not None})
+    entity, word = {}, {}
+    for i, t in enumerate(texts):
+        bare = list(t)
+        for kind, p in pii.PATTERNS.items():
+            for m in re.finditer(p.replace(r"|\G", ""), t):
+                d = re.sub("[^0-9]", "", m[0])
+                if not (kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 13 <= len(d) <= 19 and _luhn(d) or kind == "phone" and 9 <= len(d) <= 15):
+                    continue
+                own = m[0].lower() if kind == "email" else re.sub(r"(?<![0-9])0+(?=[0-9])", "", m[0]) if kind == "ip" else d
+                group = own.split("@")[-1] if kind == "email" else own.rpartition(".")[0] if kind == "ip" else own[:6] if kind == "card" else own[:-4]
+                for name in (f"{kind}:{own}", f"{kind} group:{group}", kind):
+                    entity.setdefault(name, set()).add(i)
+                bare[m.start() : m.end()] = [" "] * (m.end() - m.start())
+        for w in {w for w in re.split(r"[\W\d_]+", "".join(bare).lower()) if len(w) >= 3}:
+            word.setdefault(w, set()).add(i)
+    out = {}
+    for name, e in entity.items():
+        for w in {w for w, s in word.items() if len(s & e) >= 2}:
+            share = (len(word[w] & e) + pii.PRIOR * len(e) / len(texts)) / (len(word[w]) + pii.PRIOR)
+            bits = float(np.log2(share * len(texts) / len(e)))
+            if share >= pii.GENERALISE_AT and bits >= pii.MIN_BITS:
+                old = out.get(w, (0.0, "generalise"))
+                out[w] = (max(old[0], bits), max(old[1], "remove" if share >= pii.REMOVE_AT else "generalise"))
+    return out
+
+
+def test_disclosing_words_of_the_table(spark):
+    """Counts, smoothed shares and information over the driver's documents, against sets; copies count once."""
+    docs = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text")
+    want = _brute_disclosures([r.text for r in docs.collect()])
+    for rows in (docs, docs.unionByName(docs.where("doc_id % 3 = 0")).repartition(5)):
+        got = {r.term: (r.bits, r.action) for r in pii.disclosures(rows, pii.find(rows)).collect()}
+        assert set(got) == set(want) and len(want) >= 20
+        for w, (bits, action) in want.items():
+            assert got[w][1] == action and got[w][0] == pytest.approx(bits, rel=1e-9)
+
+
 def test_packing_round_trip(spark):
     path = packing._default_tokenizer()
     texts = TEXTS + [(400, "a<|endoftext|>b \x1c c"), (401, "İx ΣΑΣ é́")]
