@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -78,6 +79,18 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def map_in_pandas(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` for columns of any name: names with dots are numbered on the way."""
+    names, out = df.columns, [f.name for f in schema]
+    numbered = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+
+    def mapped(batches):
+        for got in run(b.set_axis(names, axis=1) for b in batches):
+            yield got[out].set_axis(numbered.names, axis=1)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInPandas(mapped, numbered).toDF(*out)
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, although ``use`` looks at it several times, or for each element of an array."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

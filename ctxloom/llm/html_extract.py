@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ctxloom.llm._common import map_in_pandas
+
 # HTML vocabulary.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html"
@@ -35,7 +37,10 @@ BOILER_NAMES = frozenset(
     " comment comments commentlist respond reply replies disqus widget toolbar copyright legal pagination pager skip hidden complementary contentinfo form dialog".split()
 )
 MAIN_NAMES = frozenset("article post entry content story main body text".split())
-COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus".split())
+COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies responses disqus discussion discussions feedback".split())
+HEAD_NAMES = frozenset("header head heading masthead".split())
+#: A name that begins so tells of the page's layout, not of what the tag holds.
+LAYOUT_NAMES = frozenset("with without has have no is show hide js".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -49,19 +54,30 @@ class Block:
     text: str
     words: int
     linked: int
-    boiler: float  # 1 for a tag or a whole name of boilerplate, 0.5 for a part of a name
+    boiler: float  # 1 for a tag or a name of boilerplate, 0.5 for a name that only mentions it, and for the head of an article
     main: bool
     heading: bool
 
 
 def _hints(attributes: str) -> tuple[float, bool]:
-    """What the class, id and role names of a tag hint at: boilerplate, and main text."""
-    names = {w for v in _NAMES.findall(attributes) for w in v.strip("\"'").lower().split()}
-    parts = {w for n in names for w in _PART.findall(n)}
-    comment = bool(parts & COMMENT_NAMES)
-    about = bool(parts & MAIN_NAMES) and not comment
-    boiler = 0.0 if about else 1.0 if comment or names & BOILER_NAMES else 0.5 if parts & BOILER_NAMES else 0.0
-    return boiler, about
+    """What the class, id and role names of a tag hint at: boilerplate, and main text.
+
+    A compound name is what its last part says, or boilerplate if it also names main text (``main-menu``, ``sidebar-content``);
+    the head of an article (``entry-header``) is neither.
+    """
+    boiler, about = 0.0, False
+    for name in (w for v in _NAMES.findall(attributes) for w in v.strip("\"'").lower().split()):
+        parts = _PART.findall(name)
+        if not parts or len(parts) > 1 and parts[0] in LAYOUT_NAMES:
+            continue
+        some, main = set(parts) & BOILER_NAMES, bool(set(parts) & MAIN_NAMES)
+        if set(parts) & COMMENT_NAMES or some and (name in BOILER_NAMES or parts[-1] in BOILER_NAMES or main) and not (main and some <= HEAD_NAMES):
+            boiler = 1.0
+        elif some and not main:
+            boiler = max(boiler, 0.5)
+        elif main and not some:
+            about = True
+    return boiler, about and boiler < 1.0
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -123,7 +139,8 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
             hint, about = _hints(attributes) if attributes else (0.0, False)
             boiler, main = stack[-1][1:] if stack else (0.0, False)
-            stack.append((tag, max(boiler, 1.0 if tag in BOILER_TAGS else hint), main or tag in MAIN_TAGS or about))
+            own = max(hint, 0.5 if tag == "header" and main else 1.0 if tag in BOILER_TAGS else 0.0)
+            stack.append((tag, max(boiler, own), (main or tag in MAIN_TAGS or about) and own < 1.0))
     close()
     return out
 
@@ -131,8 +148,8 @@ def blocks(page: str | None) -> list[Block]:
 FEATURES = ("words", "link density", "previous words", "previous link density", "next words", "next link density", "boiler", "main", "page has main", "heading", "cue")
 #: Names of boilerplate and of main text in made-up pages, and some that mislead.
 _SAID = {
-    "menu": ("nav", "menu", "navbar", "site-nav", "breadcrumb", "main-menu"), "foot": ("footer", "site-footer", "foot", "copyright"), "side": ("sidebar", "related", "widget", "right-rail", "side"),
-    "ad": ("ad", "advert", "sponsored", "promo", "ad-slot"), "notice": ("cookie-banner", "notice", "consent", "newsletter", "signup-box"), "talk": ("comments", "comment-list", "replies", "comment"),
+    "menu": ("nav", "menu", "navbar", "site-nav", "breadcrumb", "main-menu", "post-navigation", "nav-main"), "foot": ("footer", "site-footer", "foot", "copyright"), "side": ("sidebar", "related", "widget", "right-rail", "side", "main-sidebar", "sidebar-content"),
+    "ad": ("ad", "advert", "sponsored", "promo", "ad-slot", "content-ads"), "notice": ("cookie-banner", "notice", "consent", "newsletter", "signup-box"), "talk": ("comments", "comment-list", "replies", "comment", "discussion", "user-feedback"),
     "text": ("content", "post", "entry-content", "article-body", "main", "story"), "plain": ("wrap", "box", "c1", "inner", "sharing-economy", "search-results-2019", "footnotes"),
 }
 
@@ -156,7 +173,22 @@ def made_up_page(seed: int) -> tuple[str, set[str]]:
         name = r.choice(_SAID[kind]) if style != "bare" or kind == "plain" and r.random() < 0.5 else None
         return f'<div class="{name}">{body}</div>' if name else f"<div>{body}</div>"
 
+    def linked(most: int) -> str:
+        """A paragraph or an item with many links: only its place in an article tells it from a menu."""
+        spans = [(words(1, most), r.random() < 0.6) for _ in range(r.randint(2, 7))] + [(words(1, 3), True)]
+        return keep(r.choice(("p", "p", "li")), " ".join(t for t, _ in spans) + ".", " ".join(f'<a href="#">{t}</a>' if on else t for t, on in spans) + ".")
+
+    def title() -> str:
+        """A headline, of a word or two at times, and in some articles in a head with a line on the author."""
+        head = keep("h1", words(1, r.choice((2, 4, 10))))
+        if unnamed or r.random() < 0.6:
+            return head
+        line = f"<p>{words(2, 6)}</p>" if r.random() < 0.4 else ""
+        return f"<header>{head}{line}</header>" if style == "tags" else f'<div class="{r.choice(("entry-header", "post-header", "article-head"))}">{head}</div>'
+
     def paragraph() -> str:
+        if not unnamed and r.random() < 0.2:
+            return linked(r.choice((1, 4, 9)))
         first, last = words(4, r.choice((20, 60, 150))), words(3, r.choice((20, 60)))
         if r.random() < 0.3:
             anchor = words(1, 3)
@@ -166,6 +198,7 @@ def made_up_page(seed: int) -> tuple[str, set[str]]:
     def passage() -> str:
         return f'<div class="{r.choice(_SAID["plain"])}">{paragraph()}</div>' if said and r.random() < 0.15 else paragraph()
 
+    unnamed = style == "bare" or r.random() < 0.3
     said = style != "bare"  # texts that only their markup can tell from content are for pages with markup
     if seed % 10 == 9:  # nothing but a few words
         return "<html><body>" + "".join(keep("p", words(2, 9) + ".") for _ in range(r.randint(1, 2))) + "</body></html>", content
@@ -176,14 +209,13 @@ def made_up_page(seed: int) -> tuple[str, set[str]]:
         top += around("ad", "aside", f"<p>{link(3, 9)}</p>" + (f"<p>{words(3, r.choice((25, 90)))}</p>" if said else ""))
     if said and r.random() < 0.5:
         top += around("notice", "aside", f"<p>{words(10, r.choice((30, 120)))} {link(1, 2)}</p><button>{words(1, 2)}</button>")
-    body = (keep("h1", words(2, 10)) if r.random() < 0.6 else "") + "".join(
-        keep("h2", words(1, 7)) if r.random() < 0.2 else "<ul>" + "".join(keep("li", words(2, 14)) for _ in range(3)) + "</ul>" if r.random() < 0.1 else passage() for _ in range(r.randint(1, 12))
+    body = (title() if r.random() < 0.75 else "") + "".join(
+        keep(r.choice(("h2", "h3")), words(1, r.choice((2, 7)))) if r.random() < 0.2 else "<ul>" + "".join(keep("li", words(2, 14)) for _ in range(3)) + "</ul>" if r.random() < 0.1 else passage() for _ in range(r.randint(1, 12))
     )
     if said and r.random() < 0.4:
         body += around("ad", "aside", f"<p>{words(3, r.choice((20, 90)))}</p>")
     if said and r.random() < 0.5:
         body += around("side", "aside", f"<h3>{words(1, 2)}</h3>" + "".join(f"<p>{link(3, 9)}</p>" for _ in range(3)))
-    unnamed = style == "bare" or r.random() < 0.3
     main = around("plain", "div", body) if unnamed else f"<article>{body}</article>" if style == "tags" else around("text", "div", body)
     after = ""
     if r.random() < 0.5:
@@ -197,7 +229,7 @@ def made_up_page(seed: int) -> tuple[str, set[str]]:
     return f"<html><head><title>{words(2, 6)}</title></head><body>{top}{main}{after}{foot}</body></html>", content
 
 
-def labelled(pages: range = range(600)) -> list[tuple]:
+def labelled(pages: range = range(900)) -> list[tuple]:
     """The labelled table: the features of each block of made-up pages, and 1 for content."""
     out = []
     for seed in pages:
@@ -242,7 +274,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
 
 
 @functools.cache
-def train(pages: range = range(600)) -> Node:
+def train(pages: range = range(900)) -> Node:
     """The tree of the labelled table of made-up pages."""
     table = np.array(labelled(pages), float)
     return grow(table[:, :-1], table[:, -1], depth=9, least=6)
@@ -274,7 +306,8 @@ def extract(pages: DataFrame, tree: Node | None = None, source: str = "html", te
     """``pages`` with the page source replaced by columns ``text`` (the main text; empty if there is none) and ``n_chars``.
 
     Null and empty pages give an empty text; broken and cut-off markup is read as far as it goes; whole pages of any
-    length are taken; repeated rows stay; columns called text or n_chars are replaced.
+    length are taken; repeated rows stay; of an empty table there are no rows; columns called text or n_chars are replaced, and all
+    others, whatever their names, pass through.
     """
     tree = tree or train()
     keep = [f for f in pages.schema.fields if f.name not in (source, text, "n_chars")]
@@ -287,7 +320,7 @@ def extract(pages: DataFrame, tree: Node | None = None, source: str = "html", te
             out["n_chars"] = [len(x) for x in got]
             yield out
 
-    return pages.select(*(f.name for f in keep), source).mapInPandas(run, T.StructType([*keep, T.StructField(text, T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return map_in_pandas(pages.select(*(f"`{f.name}`" for f in keep), source), run, T.StructType([*keep, T.StructField(text, T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def query(spark, sf_dir):
