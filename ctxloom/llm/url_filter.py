@@ -1,12 +1,15 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features where no rule fits.
 
-The trees are fitted on the driver from a small labelled list of URLs (a parameter; by default the one below). Only the
-URL column is read, in one map over the pages without a shuffle.
+The trees are fitted on the driver from a bounded labelled list of URLs (a parameter; by default those below, typed by hand, and
+some hundred made up by rule in the shapes that either kind has). Only the URL column is read, in one map over the pages without a
+shuffle.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ctxloom.llm._common import map_in_pandas
+
 #: Fixed values: (action, rule). A rule is a host, with all its subdomains, and the beginning of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -90,6 +95,40 @@ https://adult-x.example.com/fr/19.html
 http://cheap-pills.example.org/de/44/
 """.split()
 
+#: Words of hosts and paths in made-up URLs of either kind; hyphens, digits and further domains stand in both.
+_FINE = """library garden harbor school college university council museum river valley north south saint san new york times daily post herald gazette market
+farmers orchestra theatre kitchen recipes travel health clinic physics history science weather sports football transit county city state national public open source
+code docs wiki archive film music radio books press journal review institute research project community center family church coffee bakery bike trail mountain lake""".split()
+_FOUL = """casino poker bets bet jackpot slots spin bonus free win prize cheap pills pharma viagra loan cash payday replica rolex fake adult xxx sexy cams dating hot spam
+farm seo backlinks followers likes traffic ads adserv track click clicks redirect popup crack keygen warez torrent serial hack cheats miracle weightloss crypto doubler giveaway""".split()
+_TOPS = {0: "com com com org org net net edu gov de fr es info".split(), 1: "com com com org net net biz top click xyz shop info ru bet".split()}
+MADE_UP, SEEN = 800, 4
+
+
+@functools.cache
+def labelled_urls(n: int = MADE_UP, seed: int = 11) -> tuple[list[str], list[str]]:
+    """(allowed, blocked): ``n`` URLs made up by rule, half of each kind."""
+    r = random.Random(seed)
+    out: tuple[list[str], list[str]] = ([], [])
+    for k in range(n):
+        foul = k % 2
+        words = [r.choice(_FOUL if foul else _FINE) for _ in range(r.choice((1, 2, 2, 3) if foul else (1, 1, 2, 2, 3)))]
+        name = r.choice(("-", "-", "") if foul else ("-", "", "")).join(words)
+        if foul and r.random() < 0.2:  # a name without sense
+            name = "".join(r.choice("bcdfghjkqvwxz0123456789") for _ in range(r.randint(9, 22)))
+        elif not foul and r.random() < 0.25:  # an unknown name
+            name = "".join(r.choice("aeiou") if j % 2 else r.choice("bdlmnprst") for j in range(r.randint(4, 9)))
+        elif not foul and r.random() < 0.15:
+            name += r.choice(("24", "2", "1", "365"))
+        host = r.choice(("", "www.", "blog.", "m.", "news." if not foul else "go.")) + name + r.choice(("", ".example", ".site", "")) + "." + r.choice(_TOPS[foul])
+        path = "/" + "/".join(r.choice((r.choice(("en", "de", "fr", "es")), r.choice(_FOUL if foul and r.random() < 0.4 else _FINE), str(r.randint(1, 9999)))) for _ in range(r.randint(0, 4)))
+        tail = r.choice(("", "", ".html", "/", "#top", "?page=2&ref=x", "?utm_source=feed"))
+        if foul and r.random() < 0.3:
+            tail = "?" + "&".join(f"{r.choice(('aff', 'id', 'sub', 'clickid', 'u', 'cid'))}={r.randint(100, 99999)}" for _ in range(r.randint(2, 5)))
+        out[foul].append(f"{r.choice(('http', 'https'))}://{host}{path}{tail}")
+    return out
+
+
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -119,8 +158,17 @@ class Rules:
         return best
 
 
-def lexical(url: str | None, suffix_odds: dict[str, float]) -> list[float]:
-    """The features of a URL: lengths, depth, digit ratio, entropy, parameters, host shape and the odds of its suffix."""
+def host_words(host: str) -> list[str]:
+    """What dots, hyphens and digits leave of a host, but for its suffix."""
+    return [w for w in re.split(r"[^a-z]+", host.rpartition(".")[0]) if len(w) > 1]
+
+
+def _vowels(word: str) -> float:
+    return sum(c in "aeiouy" for c in word) / max(len(word), 1)
+
+
+def lexical(url: str | None, odds: dict[str, float]) -> list[float]:
+    """The features of a URL: lengths, depth, digit ratio, entropy, parameters, host shape, and the odds of its suffix and its words."""
     url = url or ""
     host, path = split_url(url)
     query = url.partition("?")[2].partition("#")[0]
@@ -130,7 +178,8 @@ def lexical(url: str | None, suffix_odds: dict[str, float]) -> list[float]:
     return [
         len(url), len(host), len(path), sum(1 for p in path.split("/") if p), sum(c for ch, c in counts.items() if ch.isdigit()) / max(len(url), 1), entropy,
         sum(1 for p in query.split("&") if p), len(query), len(labels), host.count("-"), max((len(x) for x in labels), default=0),
-        sum(ch.isdigit() for ch in host) / max(len(host), 1), suffix_odds.get(labels[-1], 0.0), float("#" in url), float(url[:5].lower() == "https"),
+        sum(ch.isdigit() for ch in host) / max(len(host), 1), odds.get(f".{labels[-1]}", 0.0), float("#" in url), float(url[:5].lower() == "https"),
+        sum(odds.get(w, 0.0) for w in host_words(host)), min(map(_vowels, host_words(host)), default=0.5),
     ]
 
 
@@ -180,10 +229,11 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: int, l
 
 
 def train(allowed=ALLOWED, blocked=BLOCKED, rounds: int = 40, rate: float = 0.3, depth: int = 3, least: int = 2, l2: float = 1.0) -> Boosted:
-    """Fit on labelled URLs. The suffix statistic is the smoothed log odds of a top-level domain in the two lists."""
-    last = lambda us: Counter(split_url(u)[0].rpartition(".")[2] for u in us)
-    a, b = last(allowed), last(blocked)
-    odds = {s: math.log((b[s] + 1) / (a[s] + 1)) for s in sorted({*a, *b})}
+    """Fit on labelled URLs. The statistic of a suffix (with its dot), or of a word of hosts, is the smoothed log odds of the two lists;
+    what stands in fewer than SEEN hosts has none, as it would say what the URL's own label is."""
+    hosts = lambda us: Counter(x for h in (split_url(u)[0] for u in us) for x in {f".{h.rpartition('.')[2]}", *host_words(h)})
+    a, b = hosts(allowed), hosts(blocked)
+    odds = {s: math.log((b[s] + 1) / (a[s] + 1)) for s in sorted({*a, *b}) if a[s] + b[s] >= SEEN}
     urls, y = [*allowed, *blocked], np.array([0.0] * len(allowed) + [1.0] * len(blocked))
     if not urls:
         return Boosted()
@@ -199,6 +249,12 @@ def train(allowed=ALLOWED, blocked=BLOCKED, rounds: int = 40, rate: float = 0.3,
     return model
 
 
+@functools.cache
+def default_model() -> Boosted:
+    allowed, blocked = labelled_urls()
+    return train([*ALLOWED, *allowed], [*BLOCKED, *blocked], rounds=60)
+
+
 def _scaled(tree, rate: float):
     return (tree[0], tree[1], _scaled(tree[2], rate), _scaled(tree[3], rate)) if isinstance(tree, tuple) else tree * rate
 
@@ -207,9 +263,11 @@ def judge(pages: DataFrame, rules=RULES, model: Boosted | None = None, threshold
     """``pages`` without its url: host, path, rule (null if none fits), verdict (the rule's, else the trees') and score.
 
     Null URLs and those without ``://`` have an empty host and path, fit no rule, and are judged by the trees; URLs of any
-    length are read whole; repeated rows stay; columns called host, path, rule, verdict or score are replaced.
+    length are read whole; of two rules of one length the first given counts; repeated rows stay; of an empty table there are no
+    rows; all other columns, whatever their names, pass through, but columns called host, path, rule, verdict or score
+    are replaced.
     """
-    model, found = model or train(), Rules(rules)
+    model, found = model or default_model(), Rules(rules)
     added = ("host", "path", "rule", "verdict", "score")
     keep = [f for f in pages.schema.fields if f.name not in (url, *added)]
 
@@ -226,7 +284,7 @@ def judge(pages: DataFrame, rules=RULES, model: Boosted | None = None, threshold
             yield out
 
     fields = [T.StructField(n, T.StringType()) for n in added[:4]] + [T.StructField("score", T.DoubleType())]
-    return pages.select(*(f.name for f in keep), url).mapInPandas(run, T.StructType([*keep, *fields]))
+    return map_in_pandas(pages.select(*(f"`{f.name}`" for f in keep), url), run, T.StructType([*keep, *fields]))
 
 
 def query(spark, sf_dir):
