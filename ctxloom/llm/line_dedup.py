@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ctxloom.llm._common import discard, materialize, once, put_back, set_aside, table
 
 MIN_LINES = 2
-MIN_WORDS = 50
+MIN_WORDS = 5
+#: What parts words: all Unicode white space.
+_SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def _selected(lines: Column, h1: Column, h2: Column, min_lines: int, min_words: int) -> Column:
@@ -25,13 +27,13 @@ def _selected(lines: Column, h1: Column, h2: Column, min_lines: int, min_words:
     n = F.size(h1)
     key = lambda k, width: F.array(F.xxhash64(F.slice(h1, k + 1, width)), F.xxhash64(F.slice(h2, k + 1, width)))
     least = lambda k: k + F.array_position(F.slice(h1, k + 1, min_lines), F.array_min(F.slice(h1, k + 1, min_lines))) - 1
-    spaces = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    worded = f"^[{_SPACE}]*+[^{_SPACE}]++(?:[{_SPACE}]++[^{_SPACE}]++){{{max(min_words - 1, 0)}}}"
 
     def select(line: Column, k: Column) -> Column:
         lo, hi = F.greatest(k - (min_lines - 1), F.lit(0)), F.least(k, n - min_lines)
         around = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
         mine = F.filter(around, lambda w: least(w) == k)  # they follow each other
-        long = spaces(line) >= min_words - 1
+        long = line.rlike(worded)
         return F.struct(F.get(h1, k).alias("fp"), k.alias("n"), F.get(mine, F.lit(0)).alias("start"), F.flatten(F.transform(mine, lambda w: key(w, min_lines))).alias("keys"), F.when(long, key(k, 1)).alias("own"))
 
     return F.filter(F.transform(lines, select), lambda x: (F.size(x["keys"]) > 0) | x["own"].isNotNull())
@@ -86,7 +88,7 @@ def _cut(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated runs deleted from ``text``; adds ``_lines`` and ``_removed``, the numbers of lines before and deleted.
 
-    A line is deleted if it lies in a run of at least ``min_lines`` lines, or is a line of ``min_words`` words or more, that
+    A line is deleted if it lies in a run of at least ``min_lines`` lines, or is a line of ``min_words`` words or more (by any white space), that
     stands earlier: in a document of smaller id, or further up. Blank lines (empty or of spaces) are no part of runs and always
     stay. Null text stays null with 0 lines; an empty text is one blank line; very long texts are taken whole; rows that share
     id and text count as one document; rows with null ids come first; an empty table stays empty. Other columns, whatever their
@@ -121,9 +123,9 @@ ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, pos, line, lead(pos) OVER o AS pos2, lead(line) OVER o AS line2 FROM l WHERE trim(line, ' ') <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 w AS (SELECT doc_id, pos, line || chr(10) || line2 AS k, [pos, pos2] AS covers FROM s WHERE pos2 IS NOT NULL
-UNION ALL SELECT doc_id, pos, line, [pos] FROM s WHERE length(line) - length(replace(line, ' ', '')) >= 49),
+UNION ALL SELECT doc_id, pos, line, [pos] FROM s WHERE regexp_matches(line, '^[SPACE]*[^SPACE]+([SPACE]+[^SPACE]+){4}')),
 f AS (SELECT k, min((doc_id, pos)) AS first FROM w GROUP BY k HAVING count(*) > 1),
 r AS (SELECT DISTINCT doc_id, unnest(covers) AS pos FROM w JOIN f USING (k) WHERE (doc_id, pos) <> first),
 g AS (SELECT doc_id, count(*) AS n_lines, count(r.pos) AS n_removed, string_agg(CASE WHEN r.pos IS NULL THEN line END, chr(10) ORDER BY pos) AS kept FROM l LEFT JOIN r USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)
-"""
+""".replace("SPACE", _SPACE)

@@ -110,7 +110,7 @@ def _brute_lines(texts):
             continue
         lines = t.split("\n")
         at = [n for n, x in enumerate(lines) if x.strip(" ")]
-        windows = [tuple(at[n : n + 2]) for n in range(len(at) - 1)] + [(n,) for n in at if lines[n].count(" ") >= 49]
+        windows = [tuple(at[n : n + 2]) for n in range(len(at) - 1)] + [(n,) for n in at if len(lines[n].split()) >= 5]
         gone = set()
         for w in sorted(windows):
             key = tuple(lines[n] for n in w)
@@ -123,7 +123,7 @@ def _brute_lines(texts):
 
 def test_line_dedup(spark):
     long = _prose(20, 60)
-    texts = [(1, "a\nb\nc"), (2, "x\na\nb\ny"), (3, "a\n\nb"), (4, "b\na"), (5, f"{long}\nz"), (6, f"q\n{long}"), (7, None), (8, ""), (9, "r\nr\nr\nr"), (None, "y\nq q"), (10, "y\nq q\nlast"), (11, "\n\n")]
+    texts = [(1, "a\nb\nc"), (2, "x\na\nb\ny"), (3, "a\n\nb"), (4, "b\na"), (5, f"{long}\nz"), (6, f"q\n{long}"), (7, None), (8, ""), (9, "r\nr\nr\nr"), (None, "y\nq q"), (10, "y\nq q\nlast"), (11, "\n\n"), (12, "own\none two three four five\nown too"), (13, "mine\none two three four five\nmine too\none two three four"), (14, "a1\none\ttwo\u00a0three \u3000four\x0bfive\na2"), (15, "b1\none\ttwo\u00a0three \u3000four\x0bfive\nb2\none two three four")]
     docs = _docs(spark, texts)
     out = line_dedup.dedup_lines(docs)
     want = _brute_lines(texts)
