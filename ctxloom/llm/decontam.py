@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxloom.llm._common import materialize, utf8
+from ctxloom.llm._common import map_in_pandas, materialize, utf8
 
 WINDOW = 10
 #: Words of a shard, beyond which it is searched; a document is never split.
@@ -331,7 +331,7 @@ def _clean(docs: DataFrame, sent: Broadcast) -> DataFrame:
             keep += [x[0] == 0 for x in _found(shard, tests)] if shard else []
             yield b[np.array(keep, bool)]
 
-    return docs.mapInPandas(run, docs.schema)
+    return map_in_pandas(docs, run, docs.schema)
 
 
 def query(spark, sf_dir):

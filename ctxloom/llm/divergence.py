@@ -27,7 +27,7 @@ SCALE = 1_000_000_000
 #: Words that a task counts at once, and rows that it hands on at once.
 COUNTED, HANDED = 1_000_000, 50_000
 #: Numbers of the dense vectors of a chunk, over all sources of the language.
-DENSE = 1_000_000
+DENSE = 250_000
 
 #: Letters and all bytes beyond ASCII stay, A-Z in lower case; all others become spaces.
 _FOLD = bytearray(b" " * 256)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxloom.llm._common import utf8
+from ctxloom.llm._common import map_in_pandas, utf8
 
 WORD_BITS = 15
 BINS = 12
@@ -161,7 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000) -> Fac
             got = [features(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "hash": b["hash"], "label": b["label"], "idx": [x[0] for x in got], "val": [x[1] for x in got]})
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), _n_chars(docs)).join(F.broadcast(picked), "doc_id").mapInPandas(featurise, schema).toPandas()
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), _n_chars(docs)).join(F.broadcast(picked), "doc_id")
+    # Of rows that share an id one text counts, so what comes to the driver is bounded by the labels.
+    found = found.groupBy("doc_id").agg(F.min("hash").alias("hash"), F.min_by(F.struct("text", "n_chars", "label"), "hash").alias("r")).select("doc_id", "r.text", "hash", "r.n_chars", "r.label")
+    rows = found.mapInPandas(featurise, schema).toPandas()
     rows = rows.sort_values(["doc_id", "hash"], kind="stable").drop_duplicates("doc_id")
     return fit([(np.asarray(i, np.int32), np.asarray(v, np.float32)) for i, v in zip(rows["idx"], rows["val"], strict=True)], (rows["label"].to_numpy(float) >= 0.5).astype(np.float32))
 
@@ -205,7 +208,7 @@ def score_documents(docs: DataFrame, model: FactorisationMachine, name: str = "s
             b[name] = _scores(fm, b)
             yield b
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_in_pandas(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train_rows: int = 6000) -> DataFrame:
@@ -218,7 +221,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
         for b in batches:
             yield b[_scores(fm, b) >= threshold]
 
-    return docs.mapInPandas(run, docs.schema)
+    return map_in_pandas(docs, run, docs.schema)
 
 
 def query(spark, sf_dir):

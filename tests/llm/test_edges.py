@@ -26,7 +26,7 @@ def _clash(df, taken=()):
     for name in CLASHING:
         if name not in df.columns and name not in taken:
             df = df.withColumn(name, F.lit(f"own {name}"))
-    return df
+    return df.withColumn("a.dot", F.lit(1))
 
 
 def _sorted(df, columns):
@@ -172,7 +172,7 @@ def test_hosts_paths_and_rules_against_sql(spark):
     assert set(got) == set(want) and sum(w[2] is not None for w in want.values()) > 100
     for k, (host, path, rule, action) in want.items():
         assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule) and got[k].verdict == (action or got[k].verdict)
-    model = url_filter.train()
+    model = url_filter.default_model()
     for r in (r for r in got.values() if r.rule is None):
         assert r.verdict == ("block" if r.score >= 0.5 else "allow")
-    assert len(model.trees) == 40
+    assert len(model.trees) == 60
