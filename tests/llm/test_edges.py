@@ -30,7 +30,7 @@ def _clash(df, taken=()):
 
 
 def _sorted(df, columns):
-    return sorted((repr([(c, r[c]) for c in columns]) for r in df.select(*columns).collect()))
+    return sorted((repr([(c, r[c]) for c in columns]) for r in df.select(*(f"`{c}`" for c in columns)).collect()))
 
 
 OPERATORS = {
