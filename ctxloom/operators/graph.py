@@ -3,13 +3,15 @@ target, relation, weight). All pair joins have the graph as their equi key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
-from ctxloom.operators.retrieval import pairs_of
+from ctxloom.operators.retrieval import pairs_of, top_similar
 
 
 def node_pairs(nodes: DataFrame, block: str = "graph_id") -> DataFrame:
@@ -30,24 +32,30 @@ def shared_entity_part(a: Column, b: Column, idf: Column | None = None) -> Colum
     return F.least(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / top, F.lit(1.0))
 
 
-def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: float = V.EDGE_LEAST, idf: DataFrame | None = None) -> DataFrame:
-    """Weighted edges between the nodes of each graph.
-
-    A weight sums cross-reference (pairs (a, b) of ids in ``references``, in either direction), shared entities, same base
-    document, similarity above a threshold, and adjacency of chunks, half of it where both sections are known and differ.
-    Edges under ``least`` are dropped, weights are cut at 1. Of ``idf`` (term, idf) each node gets its own terms.
-    """
+def _with_terms(nodes: DataFrame, idf: DataFrame | None) -> DataFrame:
+    """Nodes with their entities; with ``idf`` (term, idf) only those that are rare enough, and a map of them."""
     known = nodes.withColumn("entities", T.entities(F.col("text")))
-    if idf is not None:
-        used = known.select(F.explode("entities").alias("term")).distinct().join(idf.select("term", "idf"), "term").where(F.col("idf") >= V.ENTITY_IDF)
-        own = known.select("graph_id", "id", F.explode("entities").alias("term")).join(used, "term").groupBy("graph_id", "id")
-        own = own.agg(F.collect_list("term").alias("rare"), F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
-        known = known.join(own, ["graph_id", "id"], "left").withColumn("entities", F.coalesce("rare", F.array().cast("array<string>"))).drop("rare")
-    pairs = node_pairs(known)
+    if idf is None:
+        return known
+    used = known.select(F.explode("entities").alias("term")).distinct().join(idf.select("term", "idf"), "term").where(F.col("idf") >= V.ENTITY_IDF)
+    own = known.select("graph_id", "id", F.explode("entities").alias("term")).join(used, "term").groupBy("graph_id", "id")
+    own = own.agg(F.collect_list("term").alias("rare"), F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
+    return known.join(own, ["graph_id", "id"], "left").withColumn("entities", F.coalesce("rare", F.array().cast("array<string>"))).drop("rare")
+
+
+def canonical(references: DataFrame) -> DataFrame:
+    """(_a, _b): the pairs (a, b) of ``references`` in one direction, each once. A stored index has these columns already."""
+    if {"_a", "_b"} <= set(references.columns):
+        return references.select("_a", "_b")
+    return references.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
+
+
+def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, weighed: bool) -> DataFrame:
+    """The edges of pairs (graph_id, a, b) of nodes with their entities."""
     a, b = F.col("a"), F.col("b")
     if references is not None:
-        marked = references.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct().withColumn("xref", F.lit(True))
-        pairs = pairs.join(marked, (F.least("a.id", "b.id") == F.col("_a")) & (F.greatest("a.id", "b.id") == F.col("_b")), "left").drop("_a", "_b")
+        marked = canonical(references).withColumn("xref", F.lit(True))
+        pairs = pairs.withColumns({"_a": F.least("a.id", "b.id"), "_b": F.greatest("a.id", "b.id")}).join(marked, ["_a", "_b"], "left").drop("_a", "_b")
         xref = F.coalesce("xref", F.lit(False))
     else:
         xref = F.lit(False)
@@ -55,7 +63,7 @@ def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: fl
     near = same & (F.abs(a["chunk"] - b["chunk"]) == 1)
     sim = X.cosine(X.double(a["embedding"]), X.double(b["embedding"]))
     sections = F.coalesce(F.nullif(a["section"], F.lit("")) == F.nullif(b["section"], F.lit("")), F.lit(True))
-    overlap = shared_entity_part(a["entities"], b["entities"], a["idf"] if idf is not None else None)
+    overlap = shared_entity_part(a["entities"], b["entities"], a["idf"] if weighed else None)
     parts = {
         "cross_ref": F.when(xref, V.EDGE_WEIGHTS["cross_ref"]),
         "entity_overlap": F.when(overlap > 0, overlap * V.EDGE_WEIGHTS["entity_overlap"]),
@@ -69,33 +77,110 @@ def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: fl
     return out.where(F.col("raw") >= least).select("graph_id", "source", "target", "relation", F.least("raw", F.lit(1.0)).alias("weight"))
 
 
-def add_node(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges with ``new`` nodes added: ids that the graph has already change nothing; only new pairs are scored."""
-    fresh = new.join(nodes.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
-    everything = nodes.unionByName(fresh)
-    touched = fresh.select("graph_id", F.col("id").alias("_n"))
-    added = build_edges(everything).join(touched, ["graph_id"]).where("source = _n OR target = _n").drop("_n").distinct()
-    return everything, edges.unionByName(added)
+def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: float = V.EDGE_LEAST, idf: DataFrame | None = None) -> DataFrame:
+    """Weighted edges between the nodes of each graph.
+
+    A weight sums cross-reference (pairs (a, b) of ids in ``references``, in either direction, or a stored index of them), shared
+    entities, same base document, similarity above a threshold, and adjacency of chunks, half of it where both sections are known
+    and differ. Edges under ``least`` are dropped, weights are cut at 1. Of ``idf`` (term, idf) each node gets its own terms.
+    """
+    return score_pairs(node_pairs(_with_terms(nodes, idf)), references, least, idf is not None)
+
+
+def new_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new`` whose ids their graphs do not have yet, each id once (the first by place)."""
+    first = new.withColumn("_r", F.row_number().over(Window.partitionBy("graph_id", "id").orderBy("pos"))).where("_r = 1").drop("_r")
+    return first.join(nodes.select("graph_id", "id"), ["graph_id", "id"], "left_anti").select(*new.columns)
+
 
+def delta_pairs(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The pairs (graph_id, a, b) that ``fresh`` nodes make with the known ones and with each other; two known nodes never meet."""
+    columns = [c for c in known.columns if c != "graph_id"]
+    old, new = (df.select("graph_id", F.struct(*columns).alias(n)) for df, n in ((known, "old"), (fresh, "new")))
+    ahead = F.col("old.pos") < F.col("new.pos")
+    across = old.join(new, "graph_id").select("graph_id", F.when(ahead, F.col("old")).otherwise(F.col("new")).alias("a"), F.when(ahead, F.col("new")).otherwise(F.col("old")).alias("b"))
+    return across.unionByName(node_pairs(fresh.select("graph_id", *columns)))
 
-def cross_references(chunks: DataFrame) -> DataFrame:
+
+def delta_edges(nodes: DataFrame, new: DataFrame, references: DataFrame | None = None, least: float = V.EDGE_LEAST, idf: DataFrame | None = None) -> DataFrame:
+    """The edges that ``new`` nodes add to the graphs of ``nodes``: new by existing and new by new. Ids that are there add nothing.
+
+    Only the graphs that get nodes are read beyond their keys.
+    """
+    fresh = new_nodes(nodes, new)
+    touched = nodes.join(fresh.select("graph_id").distinct(), "graph_id", "left_semi")
+    return score_pairs(delta_pairs(_with_terms(touched, idf), _with_terms(fresh, idf)), references, least, idf is not None)
+
+
+def add_node(nodes: DataFrame, edges: DataFrame, new: DataFrame, references: DataFrame | None = None, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with ``new`` nodes added: ids that the graph has already change nothing; only pairs with new nodes are scored."""
+    return nodes.unionByName(new_nodes(nodes, new).select(*nodes.columns)), edges.unionByName(delta_edges(nodes, new, references, idf=idf))
+
+
+class EdgeTable:
+    """Graphs that grow: nodes and edges in one folder, a part for each batch, and its commit. A batch that comes again changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.batch = -1
+        if self._exists("commits"):
+            self.batch = self.spark.read.schema("batch int").parquet(f"{self.path}/commits").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+    def _exists(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def _parts(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{name}/{k}" for k in range(self.batch + 1)))
+
+    def nodes(self) -> DataFrame:
+        return self._parts("nodes")
+
+    def edges(self) -> DataFrame:
+        return self._parts("edges")
+
+    def add(self, new: DataFrame, batch: int, references: DataFrame | None = None, idf: DataFrame | None = None, least: float = V.EDGE_LEAST) -> None:
+        """Append the nodes of a batch, and the edges that they bring."""
+        if batch <= self.batch:
+            return
+        if batch != self.batch + 1:
+            raise ValueError(f"batch {self.batch + 1} comes next, not {batch}")
+        known = self.nodes() if self.batch >= 0 else new.limit(0)
+        new_nodes(known, new).write.mode("overwrite").parquet(f"{self.path}/nodes/{batch}")
+        fresh = self.spark.read.schema(new.schema).parquet(f"{self.path}/nodes/{batch}")
+        delta_edges(known, fresh, references, least, idf).write.mode("overwrite").parquet(f"{self.path}/edges/{batch}")
+        self.spark.createDataFrame([(batch,)], "batch int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.batch = batch
+
+
+def cross_references(chunks: DataFrame, within: str | None = None) -> DataFrame:
     """(a, b, type) of chunks (id, text, section): a refers to b's section by its whole number, or uses a term that b defines.
 
-    A number is compared as a whole, so that section 1 is not found in section 12.
+    A number is compared as a whole, so that section 1 is not found in section 12. With ``within`` (a column, such as the source)
+    only chunks that share its value refer to each other; the joins have it in their keys.
     """
+    key = [] if within is None else [within]
     kind = F.regexp_extract(F.col("ref"), r"((?:\d+(?:\.\d+)*)|[ivxlc]+)$", 1)
-    refs = chunks.select("id", F.explode(T.section_references(F.col("text"))).alias("ref")).select("id", kind.alias("section")).where("section != ''").distinct()
-    named = chunks.where("section IS NOT NULL").select(F.col("id").alias("b"), F.lower("section").alias("section"))
-    by_section = refs.join(named, "section").where("id != b").select(F.col("id").alias("a"), "b", F.lit("section_ref").alias("type"))
-    defined = chunks.select(F.col("id").alias("b"), F.explode(T.defined_terms(F.col("text"))).alias("term"))
+    refs = chunks.select(*key, "id", F.explode(T.section_references(F.col("text"))).alias("ref")).select(*key, "id", kind.alias("section")).where("section != ''").distinct()
+    named = chunks.where("section IS NOT NULL").select(*key, F.col("id").alias("b"), F.lower("section").alias("section"))
+    by_section = refs.join(named, [*key, "section"]).where("id != b").select(F.col("id").alias("a"), "b", F.lit("section_ref").alias("type"))
+    defined = chunks.select(*key, F.col("id").alias("b"), F.explode(T.defined_terms(F.col("text"))).alias("term"))
     # A use is found through its first word, so the join has an equi key; texts come back only for those that have it.
-    uses = chunks.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word"))
+    uses = chunks.select(*key, "id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word"))
     first = F.element_at(F.split("term", r"[^\p{L}\p{N}]+"), 1)
-    likely = uses.join(defined.withColumn("word", first), "word").where("id != b").select("id", "b", "term").distinct()
+    likely = uses.join(defined.withColumn("word", first), [*key, "word"]).where("id != b").select("id", "b", "term").distinct()
     by_term = likely.join(chunks.select("id", F.lower("text").alias("low")), "id").where("contains(low, term)").select(F.col("id").alias("a"), "b", F.lit("defined_term").alias("type"))
     return by_section.unionByName(by_term).distinct()
 
 
+def write_reference_index(references: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store references as a table bucketed and sorted by their canonical pair (_a, _b), with the types of each: a lookup by pairs then
+    moves the pairs, not the index."""
+    pairs = references.groupBy(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).agg(F.array_sort(F.collect_set("type")).alias("types"))
+    pairs.write.bucketBy(buckets, "_a", "_b").sortBy("_a", "_b").option("path", path).mode("overwrite").saveAsTable(table)
+    return references.sparkSession.table(table)
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, id and degree: incident edges, parallel ones each."""
     ends = edges.select("graph_id", F.explode(F.array("source", "target")).alias("id")).groupBy("graph_id", "id").agg(F.count(F.lit(1)).alias("degree"))
@@ -219,15 +304,29 @@ def compress(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return nodes.select("graph_id", "id", "text").groupBy("graph_id").applyInPandas(fold, schema)
 
 
-def initial_graph(queries: DataFrame, term_hits: DataFrame, query_hits: DataFrame, k: int = 10) -> DataFrame:
-    """graph_id, id, pos, confidence and route: hits of the query, then of its terms at 0.9, each id once, at most k.
+def initial_graph(queries: DataFrame, corpus: DataFrame, embed: Callable[[Column], Column], k: int = 10, terms: Column | None = None, most_terms: int = 6) -> DataFrame:
+    """graph_id, pos, id, confidence and route: the first graph of each query (graph_id, text), found by search in ``corpus`` (id, vector).
 
-    ``query_hits`` are (graph_id, id, score, rank), ``term_hits`` (graph_id, term_rank, id, score, rank), over-fetched, so
-    that ids seen before leave enough.
+    The query and then each of its first ``most_terms`` terms bring their nearest rows that are not there yet, at most
+    max(2, k // (terms + 1)) each, until there are k; what terms bring has 0.9 of its similarity as confidence. A list of k and a
+    quota more holds enough, whatever was there before. The lists of a query, at most ``most_terms`` + 1 of them, are folded in order.
     """
-    direct = query_hits.select("graph_id", F.lit(0).alias("term_rank"), "rank", "id", F.col("score").alias("confidence"), F.lit("query_match").alias("route"))
-    by_term = term_hits.select("graph_id", "term_rank", "rank", "id", (F.col("score") * 0.9).alias("confidence"), F.lit("entity_match").alias("route"))
-    rows = direct.unionByName(by_term).join(queries.select("graph_id"), "graph_id", "left_semi")
-    once = rows.withColumn("o", F.row_number().over(Window.partitionBy("graph_id", "id").orderBy("term_rank", "rank"))).where("o = 1")
-    placed = once.withColumn("pos", F.row_number().over(Window.partitionBy("graph_id").orderBy("term_rank", "rank", "id")) - 1)
-    return placed.where(F.col("pos") < k).select("graph_id", "id", "pos", T.clamp(F.col("confidence")).alias("confidence"), "route")
+    found = F.coalesce(terms if terms is not None else T.query_entities(F.col("text")), F.array().cast("array<string>"))
+    asked = queries.select("graph_id", "text", F.array_distinct(found).alias("all_terms"))
+    quota = F.greatest(F.lit(2), F.floor(F.lit(k) / (F.size("all_terms") + 1)).cast("int"))
+    asked = asked.select("graph_id", F.when(F.size("all_terms") == 0, k).otherwise(quota).alias("quota"), F.posexplode(F.concat(F.array("text"), F.slice("all_terms", 1, most_terms))).alias("step", "term"))
+    steps = asked.select("graph_id", "quota", "step", "term", F.concat_ws("#", "step", "graph_id").alias("query_id"))
+    hits = top_similar(steps.select("query_id", embed(F.col("term")).alias("query")), corpus, 2 * k)
+    lists = hits.join(steps, "query_id").groupBy("graph_id", "quota", "step", "term").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("hits"))
+    whole = lists.groupBy("graph_id", "quota").agg(F.array_sort(F.collect_list(F.struct("step", "term", "hits"))).alias("lists"))
+    kind = corpus.schema["id"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<id:{kind},confidence:double,route:string>>")
+
+    def step(taken: Column, x: Column) -> Column:
+        fresh = F.filter(x["hits"], lambda h: ~F.exists(taken, lambda t: t["id"] == h["id"]))
+        room = F.when(x["step"] == 0, F.col("quota")).otherwise(F.least(F.col("quota"), F.greatest(k - F.size(taken), F.lit(0))))
+        share, route = F.when(x["step"] == 0, 1.0).otherwise(0.9), F.when(x["step"] == 0, F.lit("query_match")).otherwise(F.concat(F.lit("entity:"), x["term"]))
+        return F.concat(taken, F.transform(F.slice(fresh, 1, room), lambda h: F.struct(h["id"].alias("id"), (h["score"] * share).alias("confidence"), route.alias("route"))))
+
+    nodes = whole.select("graph_id", F.posexplode(F.aggregate("lists", none, step)).alias("pos", "node"))
+    return nodes.select("graph_id", "pos", "node.id", "node.confidence", "node.route")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.operators import graph as G
 from ctxloom.operators import sufficiency as S
+from ctxloom.sources.tables import written
 
 ACTIONS = ("expand", "prune", "compress", "stop")
 
@@ -70,7 +71,7 @@ def optimise(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries
     when its best action is stop, or when a step after the first ``steps_before_least_gain`` gains less than ``least_gain``; it
     keeps what that step made. ``write`` cuts the lineage of a step (a table in the shared folder)."""
     policy = policy or Policy()
-    write = write or (lambda df: df.checkpoint())
+    write = write or written
     own = lambda df: df.withColumn("graph_id", F.col("graph_id").cast("string"))
     nodes, queries, subqueries, trace, ended = own(nodes), own(queries), None if subqueries is None else own(subqueries), None, None
     for k in range(policy.steps):

@@ -3,17 +3,16 @@ table; texts are the documents of the same numbers, empty where there is none.""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ctxloom.operators import graph as G
 from ctxloom.operators import policy as P
 from ctxloom.operators import sufficiency as S
+from ctxloom.functions import text as T
 from ctxloom.functions import vocabulary as V
 from ctxloom.plans.registry import query, read
 from ctxloom.plans.retrieval import ENTITIES_SQL
+from ctxloom.sources.tables import new_folder, written
 
 #: Nodes of a graph.
 GRAPH = 10
@@ -304,28 +303,39 @@ def compress_groups(spark, d):
 @query()
 def greedy_policy(spark, d):
     """The whole search over whole graphs: what each graph does in each step."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ctxloom-")
+    n = written(nodes(spark, d))
+    return P.optimise(n, n.drop("graph_id", "pos"), references(n), asked(n), P.Policy(), written, subqueries(n))[1]
+
+
+def arrivals(spark, d):
+    """Nodes with the batch that they come in: a third of each graph comes late, and some of these again."""
+    n = nodes(spark, d)
+    return n.withColumn("batch", F.when(F.col("pos") % 3 != 2, 0).when(F.col("pos") < 6, 1).otherwise(2))
+
 
-    def write(df):
-        df.write.parquet(path := f"{shared.rstrip('/')}/{uuid.uuid4().hex}")
-        return spark.read.schema(df.schema).parquet(path)
+@query(f"WITH {_NODES}, {_PAIRS}, {_FULL} SELECT graph_id, source, target, relation, round(weight, 6) AS weight FROM edges")
+def incremental_edges(spark, d):
+    """The edges of ``edge_weights_full``, from graphs that grow in three batches: a stored table of edges gets those of new nodes only."""
+    from ctxloom.operators.retrieval import document_frequency
 
-    n = write(nodes(spark, d))
-    return P.optimise(n, n.drop("graph_id", "pos"), references(n), asked(n), P.Policy(), write, subqueries(n))[1]
+    n = arrivals(spark, d)
+    idf = written(document_frequency(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+    refs, table = written(references(n)), G.EdgeTable(spark, new_folder(spark, "edges"))
+    for k in range(3):
+        came = n.where(F.col("batch") == k) if k < 2 else n.where("batch = 2 OR pos = 2")  # one node comes twice
+        table.add(came.drop("batch"), k, refs, idf)
+    return rounded(table.edges(), "weight")
 
 
-@query("SELECT * FROM (VALUES ('a', 'b', 'section_ref'), ('b', 'a', 'section_ref'), ('c', 'a', 'section_ref'), ('c', 'a', 'defined_term')) t(a, b, type)")
-def cross_references(spark, d):
-    rows = [
-        ("a", 'The cap is set out in Section 12. "Service Fee" means the yearly price.', "1"), ("b", "Either side may end this subject to Section 1.", "12"), ("c", "The service fee is due as described in Section 1.", "2"), ("d", "Nothing here.", None),
-    ]
-    return G.cross_references(spark.createDataFrame(rows, "id string, text string, section string"))
+def benchmark_queries(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("graph_id"), "text")
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 0, 0.9, 'query_match'), (1, 'b', 1, 0.8, 'query_match'), (1, 'd', 2, 0.54, 'entity_match'), (2, 'c', 0, 0.7, 'query_match'), (2, 'e', 1, 1.0, 'entity_match')) t(graph_id, id, pos, confidence, route)")
+@query()
 def initial_graph(spark, d):
-    q = spark.createDataFrame([(1,), (2,)], "graph_id long")
-    hits = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.8, 2), (2, "c", 0.7, 1)], "graph_id long, id string, score double, rank int")
-    terms = spark.createDataFrame([(1, 1, "a", 0.95, 1), (1, 1, "d", 0.6, 2), (2, 1, "e", 1.4, 1)], "graph_id long, term_rank int, id string, score double, rank int")
-    out = G.initial_graph(q, terms, hits)
-    return out.select(F.col("graph_id").cast("int").alias("graph_id"), "id", F.col("pos").cast("int").alias("pos"), F.round("confidence", 9).alias("confidence"), "route")
+    """The first graph of each item of the benchmark, searched for in all documents."""
+    from ctxloom.functions import vector as X
+
+    corpus = read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.hashed_embedding(F.coalesce("text", F.lit(""))).alias("vector"))
+    out = G.initial_graph(benchmark_queries(spark, d), written(corpus), X.hashed_embedding, terms=T.terms(F.col("text")))
+    return out.select("graph_id", "pos", "id", F.round("confidence", 6).alias("confidence"), "route")
