@@ -194,17 +194,55 @@ def subqueries(query: Column) -> Column:
     return F.concat(named, linked, F.when(strip(query) != "", F.array(strip(query))).otherwise(F.array().cast("array<string>")))
 
 
-def contradiction_flags(text: Column) -> Column:
-    """Array of (indicator, snippet): qualifying phrases with up to 30 characters before and 50 after them.
+#: Matches whose places are summed at once: a growing array is copied at each step of a fold.
+_AT_ONCE = 64
+
 
-    A snippet never reaches into the match before it of the same phrase, where the reference's may.
+def places(text: Column, pattern: str) -> Column:
+    """Array of (start, end, match) of all matches of a pattern, leftmost and not overlapping; in code points, ends exclusive.
+
+    Between the pieces that a split leaves stand the matches, so places are sums of lengths: within groups of matches first, then
+    over the groups.
     """
-    parts = []
-    for p in V.QUALIFIERS:
-        pattern = rf"(?isU)(.{{0,30}}?)({p})(?=(.{{0,50}}))"
-        before, hit, after = (_all(text, pattern, g) for g in (1, 2, 3))
-        parts.append(F.transform(F.arrays_zip(before.alias("b"), hit.alias("h"), after.alias("a")), lambda x: F.struct(x["h"].alias("indicator"), strip(F.concat(x["b"], x["h"], x["a"])).alias("snippet"))))
-    return F.flatten(F.array(*parts))
+    kind = "array<struct<start:int,end:int,match:string>>"
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that is looked at often is made once
+    moved = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["match"].alias("match"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["piece"])
+        one = F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("match"))
+        return F.struct(one["end"].alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def join(acc: Column, group: Column) -> Column:
+        return F.struct((acc["at"] + group["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(group["out"], lambda m: moved(m, acc["at"])))).alias("out"))
+
+    def placed(pairs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _AT_ONCE).cast("int")), lambda k: F.aggregate(F.slice(pairs, k * _AT_ONCE + 1, _AT_ONCE), zero, add))
+        every = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), join)
+        return F.when(F.size(pairs) > 0, F.flatten(every["out"])).otherwise(F.array().cast(kind))
+
+    def paired(found: Column) -> Column:
+        pieces = F.slice(F.split(text, F.lit(pattern), -1), 1, F.size(found))
+        return once(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), placed)
+
+    return once(_all(text, pattern), paired)
+
+
+def contexts(text: Column, pattern: str, before: int, after: int) -> Column:
+    """Array of (match, context): all matches, with so many code points before and after each, whatever else stands there."""
+
+    def around(m: Column) -> Column:
+        start = F.greatest(m["start"] - before, F.lit(0))
+        return F.struct(m["match"].alias("match"), F.substring(text, start + 1, m["end"] + after - start).alias("context"))
+
+    return F.transform(places(text, pattern), around)
+
+
+def contradiction_flags(text: Column) -> Column:
+    """Array of (indicator, snippet): qualifying phrases with up to 30 characters before and 50 after them."""
+    found = F.flatten(F.array(*[contexts(text, f"(?iU){p}", 30, 50) for p in V.QUALIFIERS]))
+    return F.transform(found, lambda x: F.struct(x["match"].alias("indicator"), strip(x["context"]).alias("snippet")))
 
 
 def trap_scores(text: Column) -> dict[str, Column]:

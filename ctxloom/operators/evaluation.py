@@ -242,23 +242,26 @@ def cost_comparison(ledger: DataFrame, queries: int = 10) -> DataFrame:
     return out.join(F.broadcast(least), F.lit(True)).withColumn("times_least", F.col("projected_tokens") / F.col("least")).drop("least").orderBy("projected_tokens", "system")  # least is one row
 
 
-def search_weights(features: DataFrame, ranges: dict[str, tuple[float, float]], trials: int = 20, seed: int = 7) -> DataFrame:
-    """trial, its weights and the mean reward over rows of (reward target, features): one row for each random trial.
+def reward_weights(features: DataFrame, drawn: DataFrame, names: list[str]) -> DataFrame:
+    """trial, its weights (w_ and each name) and the mean reward over rows of (target, features), for trials ``drawn``: one job.
 
-    ``features`` has a column target and one for each range. A trial's reward is 1 less the mean squared error of its score,
-    so the weights do bear on it. Trials are a bounded table, broadcast.
+    A trial's reward is 1 less the mean squared error of its score, so the weights do bear on it; rows without a target are left out.
     """
-    spark = features.sparkSession
-    drawn = spark.range(trials).select(F.col("id").alias("trial"), *[(F.lit(lo) + F.rand(seed + k) * (hi - lo)).alias(f"w_{n}") for k, (n, (lo, hi)) in enumerate(sorted(ranges.items()))])
-    drawn = spark.createDataFrame(drawn.collect(), drawn.schema)
-    scored = features.join(F.broadcast(drawn), F.lit(True))
-    total = reduce(lambda a, b: a + b, [F.col(f"w_{n}") * F.col(n) for n in ranges])
-    top = reduce(lambda a, b: a + b, [F.abs(f"w_{n}") for n in ranges])
+    scored = features.where("target IS NOT NULL").join(F.broadcast(drawn), F.lit(True))  # a bounded number of trials
+    total = reduce(lambda a, b: a + b, [F.col(f"w_{n}") * F.col(n) for n in names])
+    top = reduce(lambda a, b: a + b, [F.abs(f"w_{n}") for n in names])
     score = 1 / (1 + F.exp(-3 * (total / F.greatest(top, F.lit(1e-9)) * 2 - 1)))
-    keys = ["trial", *[f"w_{n}" for n in sorted(ranges)]]
+    keys = ["trial", *[f"w_{n}" for n in sorted(names)]]
     return scored.groupBy(*keys).agg((1 - F.avg((score - F.col("target")) ** 2)).alias("reward"))
 
 
+def search_weights(features: DataFrame, ranges: dict[str, tuple[float, float]], trials: int = 20, seed: int = 7) -> DataFrame:
+    """``reward_weights`` of random trials. ``features`` has a column target and one for each range. Trials are a bounded table."""
+    spark = features.sparkSession
+    drawn = spark.range(trials).select(F.col("id").alias("trial"), *[(F.lit(lo) + F.rand(seed + k) * (hi - lo)).alias(f"w_{n}") for k, (n, (lo, hi)) in enumerate(sorted(ranges.items()))])
+    return reward_weights(features, spark.createDataFrame(drawn.collect(), drawn.schema), list(ranges))
+
+
 def forward_selection(features: DataFrame, names: list[str], epsilon: float = 0.005) -> list[str]:
     """Features added one at a time while the best addition raises the reward by ``epsilon``. All candidates of a round are
     rewarded in one job, and only their figures come to the driver."""

@@ -14,6 +14,7 @@ from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
 from ctxloom.operators import evaluation as E
 from ctxloom.operators import graph as G
+from ctxloom.operators.search import search
 from ctxloom.operators.sufficiency import connectivity
 
 TRIAL = "phase string, trial int, parameters map<string,double>, mean_reward double"
@@ -91,3 +92,17 @@ def learn(features: DataFrame, names: list[str], nodes: DataFrame, targets: Data
     trials = spark.createDataFrame(rows, TRIAL)
     best = {r["phase"]: r["parameters"] for r in best_trials(trials).collect()}
     return trials, {"features": chosen, "weights": best.get("weights", {}), "edges": best.get("edges", {})}
+
+
+def parzen_weights(features: DataFrame, ranges: dict[str, tuple[float, float]], rounds: int = 5, per_round: int = 8, seed: int = 7, method: str = "parzen") -> DataFrame:
+    """trial, its weights and reward: batches of trials, each drawn from what the ones before have shown, and rewarded by one job over all rows."""
+    spark, names = features.sparkSession, sorted(ranges)
+    kind = "trial long, " + ", ".join(f"w_{n} double" for n in names)
+
+    def rewards(batch: list[dict[str, float]]) -> list[float | None]:
+        drawn = spark.createDataFrame([(k, *(t[n] for n in names)) for k, t in enumerate(batch)], kind)
+        got = {r["trial"]: r["reward"] for r in E.reward_weights(features, drawn, names).collect()}
+        return [got.get(k) for k in range(len(batch))]
+
+    done = search(rewards, ranges, rounds, per_round, seed, method)
+    return spark.createDataFrame([(k, *(t[n] for n in names), r) for k, (t, r) in enumerate(done)], f"{kind}, reward double")

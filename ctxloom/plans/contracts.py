@@ -83,3 +83,16 @@ def contract_edges(spark, d):
     """Edges with real sections, which halve the adjacency across articles, and with references from the stored index."""
     e = G.build_edges(contract_nodes(spark, d), index(spark, d))
     return e.withColumn("weight", F.round("weight", 6))
+
+
+_PHRASES = ("subject to", "notwithstanding anything", "notwithstanding")
+_TEXT = "'Section ' || n || '. These goods are shipped subject to Section ' || (1 + supp % 7) || '. \"Lot ' || lpad(CAST(part % 40 AS VARCHAR), 2, '0') || '\" means part ' || part || ' of supplier ' || supp || '. Returns of lot ' || lpad(CAST((part * 3 + supp) % 40 AS VARCHAR), 2, '0') || ' are excluded, notwithstanding anything said before.'"
+
+
+@query(
+    f"WITH {_LINES}, t AS (SELECT o, n, {_TEXT} AS text, unnest([{', '.join(map(repr, _PHRASES))}]) AS indicator FROM c), p AS (SELECT *, strpos(text, indicator) AS place FROM t) "
+    f"SELECT {_ID.format('p', 'n')} AS id, indicator, trim(substring(text, greatest(place - 30, 1), length(indicator) + 50 + least(30, place - 1))) AS snippet FROM p"
+)
+def flag_contexts(spark, d):
+    """Qualifying phrases of all sections with what stands around them; two of the contexts overlap."""
+    return sections(spark, d).select("id", F.inline(T.contradiction_flags(F.col("text"))))

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ctxloom.operators import evaluation as E
+from ctxloom.operators import learning as L
+from ctxloom.sources.tables import written
 from ctxloom.plans.registry import query, read, values
 
 _PAIRS_SQL = "p AS (SELECT o_orderpriority AS trap, o_totalprice / 1000 AS a, o_totalprice / 1000 - (o_orderkey % 7 - 3) AS b FROM orders)"
@@ -77,10 +79,21 @@ def information_units(spark, d):
     return E.unit_coverage(_UNITS.frame(spark)).select("id", "covered", "total")
 
 
+def labelled_features(spark, d):
+    """Two features of every labelled document, and its label."""
+    f = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    return f.select(F.col("quality").cast("double").alias("target"), F.least(F.lit(1.0), F.col("n_chars") / 5000).alias("length"), (F.regexp_count("text", F.lit("[a-z]")) / F.greatest(F.length("text"), F.lit(1))).alias("lower"))
+
+
 @query()
 def weight_search(spark, d):
-    f = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select(F.col("quality").cast("double").alias("target"), F.least(F.lit(1.0), F.col("n_chars") / 5000).alias("length"), (F.regexp_count("text", F.lit("[a-z]")) / F.greatest(F.length("text"), F.lit(1))).alias("lower"))
-    return E.search_weights(f, {"length": (0.0, 2.0), "lower": (0.0, 4.0)}, trials=8)
+    return E.search_weights(labelled_features(spark, d), {"length": (0.0, 2.0), "lower": (0.0, 4.0)}, trials=8)
+
+
+@query()
+def parzen_search(spark, d):
+    """Forty trials in five batches: the later ones are drawn where the earlier ones did well."""
+    return L.parzen_weights(written(labelled_features(spark, d)), {"length": (0.0, 2.0), "lower": (0.0, 4.0)})
 
 
 _TOKENS = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda x: lower(x)))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +28,50 @@ def _first(columns: list[str], names: tuple[str, ...]) -> Column | None:
     return F.coalesce(*use) if use else None
 
 
-def read_csv_corpus(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+#: Characters of a file that tell whether it has a header.
+SNIFFED = 4096
+
+
+def has_header(spark: SparkSession, path: str) -> bool:
+    """Whether the first row names columns, by the standard sniffer over the file's beginning; a file that it cannot read has none."""
+    head = "\n".join(r[0] for r in spark.read.text(path).head(200))[:SNIFFED].removeprefix("\ufeff")
+    try:
+        return csv.Sniffer().has_header(head)
+    except csv.Error:
+        return False
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, as read from files, with a column of consecutive numbers from 1 in the order of files and of their splits.
+
+    Within a split rows are numbered where they are read; a split begins after the counts of those before it, of which there is one row each.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
+    splits = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_least"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_file", "_block", (before - F.col("_least") + 1).alias("_shift"))
+    return placed.join(splits, ["_file", "_block"]).withColumn(name, F.col("_seq") + F.col("_shift")).drop("_file", "_block", "_seq", "_shift")
+
+
+def read_csv_corpus(spark: SparkSession, path: str, header: bool | None = None, multi_line: bool = True) -> DataFrame:
     """Documents of a CSV file, columns by their names; without a text column, all values that are not blank, joined by " | ".
 
-    Blank rows are dropped; missing ids are row numbers, repeated ones get a suffix _1, _2 ... in the order of the file.
+    Without ``header`` the file's beginning decides. Blank rows are dropped; missing ids are row numbers, repeated ones get a suffix
+    _1, _2 ... in the order of the file. Raises ValueError if no row is usable. Quoted line breaks need ``multi_line``; a large file
+    without them is read in splits.
     """
-    rows = spark.read.csv(path, header=header, multiLine=True, encoding="UTF-8")
+    rows = spark.read.csv(path, header=has_header(spark, path) if header is None else header, multiLine=multi_line, encoding="UTF-8")
     names = rows.columns
-    rows = rows.withColumn("_n", F.monotonically_increasing_id())
+    rows = numbered(rows, "_n")
     every = F.concat_ws(" | ", *[F.nullif(strip(F.col(f"`{c}`")), F.lit("")) for c in names])
     text, key, title = _first(names, ("text", "content", "body")), _first(names, ("id", "doc_id", "document_id")), _first(names, ("title", "name", "header"))
-    number = (F.col("_n") + 1).cast("string")
-    out = rows.select(
+    number = F.col("_n").cast("string")
+    out = rows.where(every != "").select(
         F.coalesce(*([key] if key is not None else []), F.concat(F.lit("row_"), number)).alias("base"), F.coalesce(*([title] if title is not None else []), F.concat(F.lit("Row "), number)).alias("title"),
         F.coalesce(*([text] if text is not None else []), every).alias("text"), "_n",
-    ).where("text != ''")
+    )
+    if out.isEmpty():
+        raise ValueError(f"{path} holds no usable row")
     again = F.row_number().over(Window.partitionBy("base").orderBy("_n")) - 1
     return out.select(F.when(again == 0, F.col("base")).otherwise(F.concat_ws("_", "base", again.cast("string"))).alias("id"), "title", "text", F.lit(path).alias("source"))
 
