@@ -21,14 +21,14 @@ def node_pairs(nodes: DataFrame, block: str = "graph_id") -> DataFrame:
     return a.join(b, block).where("a.pos < b.pos")
 
 
-def shared_entity_part(a: Column, b: Column, idf: Column | None = None) -> Column:
-    """The shared entities' share of the greatest expected overlap: by idf sums where an idf map is given (EDGE_SHARED_ENTITIES
-    times the greatest idf of a shared one is a full overlap), else by count."""
+def shared_entity_part(a: Column, b: Column, idf: Column | None = None, full: Column | float = V.EDGE_SHARED_ENTITIES) -> Column:
+    """The shared entities' share of the greatest expected overlap: by idf sums where an idf map is given (``full`` times the
+    greatest idf of a shared one is a full overlap), else by count."""
     shared = F.array_intersect(a, b)
     if idf is None:
-        return F.least(F.size(shared) / V.EDGE_SHARED_ENTITIES, F.lit(1.0))
+        return F.least(F.size(shared) / full, F.lit(1.0))
     values = F.transform(shared, lambda e: F.coalesce(F.try_element_at(idf, e), F.lit(0.0)))
-    top = F.greatest(F.coalesce(F.array_max(values), F.lit(0.0)) * V.EDGE_SHARED_ENTITIES, F.lit(1.0))
+    top = F.greatest(F.coalesce(F.array_max(values), F.lit(0.0)) * full, F.lit(1.0))
     return F.least(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / top, F.lit(1.0))
 
 
@@ -50,9 +50,17 @@ def canonical(references: DataFrame) -> DataFrame:
     return references.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
 
 
+#: The parameters of edges that trials may set, with what holds otherwise.
+EDGE_PARAMETERS = {**V.EDGE_WEIGHTS, "shared_entities": float(V.EDGE_SHARED_ENTITIES), "semantic_from": V.SEMANTIC_FROM, "least": V.EDGE_LEAST}
+
+
 def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, weighed: bool) -> DataFrame:
-    """The edges of pairs (graph_id, a, b) of nodes with their entities."""
+    """The edges of pairs (graph_id, a, b) of nodes with their entities. Nodes with a column ``parameters`` (a map of EDGE_PARAMETERS)
+    are scored by it."""
     a, b = F.col("a"), F.col("b")
+    own = "parameters" in pairs.schema["a"].dataType.names
+    usual = EDGE_PARAMETERS | {"least": least}
+    p = {n: F.coalesce(F.try_element_at(a["parameters"], F.lit(n)), F.lit(float(v))) if own else F.lit(float(v)) for n, v in usual.items()}
     if references is not None:
         marked = canonical(references).withColumn("xref", F.lit(True))
         pairs = pairs.withColumns({"_a": F.least("a.id", "b.id"), "_b": F.greatest("a.id", "b.id")}).join(marked, ["_a", "_b"], "left").drop("_a", "_b")
@@ -63,18 +71,19 @@ def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, we
     near = same & (F.abs(a["chunk"] - b["chunk"]) == 1)
     sim = X.cosine(X.double(a["embedding"]), X.double(b["embedding"]))
     sections = F.coalesce(F.nullif(a["section"], F.lit("")) == F.nullif(b["section"], F.lit("")), F.lit(True))
-    overlap = shared_entity_part(a["entities"], b["entities"], a["idf"] if weighed else None)
+    overlap = shared_entity_part(a["entities"], b["entities"], a["idf"] if weighed else None, p["shared_entities"])
     parts = {
-        "cross_ref": F.when(xref, V.EDGE_WEIGHTS["cross_ref"]),
-        "entity_overlap": F.when(overlap > 0, overlap * V.EDGE_WEIGHTS["entity_overlap"]),
-        "same_source": F.when(same, V.EDGE_WEIGHTS["same_source"]),
-        "semantic": F.when(sim > V.SEMANTIC_FROM, (sim - V.SEMANTIC_FROM) / (1 - V.SEMANTIC_FROM) * V.EDGE_WEIGHTS["semantic"]),
-        "adjacency": F.when(near, F.when(sections, V.EDGE_WEIGHTS["adjacency"]).otherwise(V.EDGE_WEIGHTS["adjacency"] / 2)),
+        "cross_ref": F.when(xref, p["cross_ref"]),
+        "entity_overlap": F.when(overlap > 0, overlap * p["entity_overlap"]),
+        "same_source": F.when(same, p["same_source"]),
+        "semantic": F.when(sim > p["semantic_from"], (sim - p["semantic_from"]) / F.greatest(1 - p["semantic_from"], F.lit(1e-9)) * p["semantic"]),
+        "adjacency": F.when(near, F.when(sections, p["adjacency"]).otherwise(p["adjacency"] / 2)),
     }
-    weight = sum((F.coalesce(p, F.lit(0.0)) for p in parts.values()), F.lit(0.0))
-    label = F.concat_ws("|", *[F.when(p.isNotNull(), n) for n, p in parts.items()])
-    out = pairs.select("graph_id", a["id"].alias("source"), b["id"].alias("target"), label.alias("relation"), weight.alias("raw"))
-    return out.where(F.col("raw") >= least).select("graph_id", "source", "target", "relation", F.least("raw", F.lit(1.0)).alias("weight"))
+    weight = sum((F.coalesce(x, F.lit(0.0)) for x in parts.values()), F.lit(0.0))
+    label = F.concat_ws("|", *[F.when(x.isNotNull(), n) for n, x in parts.items()])
+    pairs = pairs.withColumn("_least", p["least"])
+    out = pairs.select("graph_id", a["id"].alias("source"), b["id"].alias("target"), label.alias("relation"), weight.alias("raw"), "_least")
+    return out.where("raw >= _least").select("graph_id", "source", "target", "relation", F.least("raw", F.lit(1.0)).alias("weight"))
 
 
 def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: float = V.EDGE_LEAST, idf: DataFrame | None = None) -> DataFrame:

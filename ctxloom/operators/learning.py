@@ -14,8 +14,11 @@ from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
 from ctxloom.operators import evaluation as E
 from ctxloom.operators import graph as G
+from ctxloom.operators import policy as P
+from ctxloom.operators import sufficiency as S
 from ctxloom.operators.search import search
 from ctxloom.operators.sufficiency import connectivity
+from ctxloom.sources.tables import written
 
 TRIAL = "phase string, trial int, parameters map<string,double>, mean_reward double"
 
@@ -106,3 +109,44 @@ def parzen_weights(features: DataFrame, ranges: dict[str, tuple[float, float]],
 
     done = search(rewards, ranges, rounds, per_round, seed, method)
     return spark.createDataFrame([(k, *(t[n] for n in names), r) for k, (t, r) in enumerate(done)], f"{kind}, reward double")
+
+
+def policy_trials(
+    trials: list[dict[str, float]], nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: P.Policy | None = None, subqueries: DataFrame | None = None, write=written
+) -> tuple[DataFrame, DataFrame]:
+    """(trials, trace): the greedy policy over all graphs under each trial's parameters, all of them in the jobs of one run.
+
+    A trial sets weights of the score (by the features' names) and parameters of edges (EDGE_PARAMETERS); what it leaves out is as
+    usual. Its reward is the mean, over graphs, of how relevant the final graph is to the query and how far it covers its words; a graph
+    without a query vector or nodes is an error row, counted and left out. trials are (trial, parameters, mean_reward, graphs,
+    errors), trace is (trial, graph_id, step, action, css, gain).
+    """
+    spark = nodes.sparkSession
+    drawn = spark.createDataFrame([(k, {n: float(v) for n, v in t.items()}) for k, t in enumerate(trials)], "trial int, parameters map<string,double>")
+    trial_of = lambda c: F.substring_index(c, "~", 1).cast("int")
+    graph_of = lambda c: F.expr(f"substring({c}, instr({c}, '~') + 1)")
+
+    def each(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(drawn.select("trial")), F.lit(True)).withColumn("graph_id", F.concat_ws("~", "trial", F.col("graph_id").cast("string"))).drop("trial")
+
+    def known(df: DataFrame) -> DataFrame:
+        """With the parameters of each row's trial; there is a bounded number of them."""
+        return df.withColumn("trial", trial_of(F.col("graph_id"))).join(F.broadcast(drawn), "trial").drop("trial")
+
+    def edges(n: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+        return G.build_edges(known(n), refs)
+
+    def scored(features: DataFrame) -> DataFrame:
+        weights = {n: F.coalesce(F.try_element_at("parameters", F.lit(n)), F.lit(float(v))) for n, v in V.CSS_WEIGHTS.items()}
+        return known(features).withColumn("css", S.score(weights)).drop("parameters")
+
+    whole = queries.where("vector IS NOT NULL").join(nodes.select("graph_id").distinct(), "graph_id", "left_semi")
+    failed = queries.join(whole.select("graph_id"), "graph_id", "left_anti").count()
+    asked = write(each(whole))
+    started = each(nodes.join(whole.select("graph_id"), "graph_id", "left_semi"))
+    final, trace = P.optimise(write(started), corpus, references, asked, policy, write, None if subqueries is None else each(subqueries), P.Rules(edges, scored))
+    reached = S.features(final, edges(final, references), asked)
+    rewards = reached.select(trial_of(F.col("graph_id")).alias("trial"), ((F.col("query_relevance") + F.col("coverage")) / 2).alias("reward"))
+    means = rewards.groupBy("trial").agg(F.avg("reward").alias("mean_reward"), F.count(F.lit(1)).alias("graphs"))
+    out = drawn.join(means, "trial", "left").select("trial", "parameters", "mean_reward", F.coalesce("graphs", F.lit(0)).alias("graphs"), F.lit(failed).cast("long").alias("errors"))
+    return out, trace.select(trial_of(F.col("graph_id")).alias("trial"), graph_of("graph_id").alias("graph_id"), "step", "action", "css", "gain")

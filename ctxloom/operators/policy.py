@@ -6,6 +6,7 @@ most), the graphs of a step are written to the shared folder, so lineage stays s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -29,10 +30,18 @@ class Policy:
     low_confidence: float = 0.30
 
 
-def candidates(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy, subqueries: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """How graphs get their edges (from nodes and references), and features their ``css``: by graph where trials differ."""
+
+    edges: Callable[[DataFrame, DataFrame | None], DataFrame] = G.build_edges
+    score: Callable[[DataFrame], DataFrame] = lambda features: features.withColumn("css", S.score())
+
+
+def candidates(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy, subqueries: DataFrame | None = None, rules: Rules | None = None) -> DataFrame:
     """Nodes with a column action: each graph as each action would leave it. Large graphs are not expanded; what a subquery needs counts for pruning."""
     vectors = queries.select("graph_id", F.col("vector").alias("query"))
-    edges = G.build_edges(nodes, references)
+    edges = (rules or Rules()).edges(nodes, references)
     size = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < policy.expand_below)
     small = nodes.join(size, "graph_id", "left_semi")
     merged = G.compress(nodes, policy.compress_at).withColumnRenamed("text", "_text")
@@ -49,15 +58,16 @@ def candidates(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queri
     return out
 
 
-def step(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy, subqueries: DataFrame | None = None, write=lambda df: df) -> tuple[DataFrame, DataFrame]:
+def step(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy, subqueries: DataFrame | None = None, write=lambda df: df, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """The nodes after each graph's best action, and (graph_id, action, css, gain over the graph as it was). Of equal scores the
     first action wins. ``subqueries`` are (graph_id, subquery_id, vector)."""
-    options = write(candidates(nodes, corpus, references, queries, policy, subqueries))
+    rules = rules or Rules()
+    options = write(candidates(nodes, corpus, references, queries, policy, subqueries, rules))
     keyed = options.withColumn("graph_id", F.concat_ws("#", "graph_id", "order"))
     each = lambda df: df.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(len(ACTIONS) - 1)))).withColumn("graph_id", F.concat_ws("#", "graph_id", "order")).drop("order")
     asked, parts = each(queries), None if subqueries is None else each(subqueries)
     plain = keyed.drop("action", "order")
-    scored = S.features(plain, G.build_edges(plain, references), asked, parts).withColumn("css", S.score())
+    scored = rules.score(S.features(plain, rules.edges(plain, references), asked, parts))
     present = options.select("graph_id", "order", "action").distinct()
     scored = scored.select(F.element_at(F.split("graph_id", "#"), -1).cast("int").alias("order"), F.regexp_replace("graph_id", "#[0-9]+$", "").alias("graph_id"), "css").join(present, ["graph_id", "order"])
     scored = scored.withColumn("gain", F.col("css") - F.max(F.when(F.col("action") == "stop", F.col("css"))).over(Window.partitionBy("graph_id")))
@@ -66,7 +76,7 @@ def step(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: Da
     return options.join(best.select("graph_id", "order"), ["graph_id", "order"], "left_semi").select(*nodes.columns), best.select("graph_id", "action", "css", "gain")
 
 
-def optimise(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy | None = None, write=None, subqueries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def optimise(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries: DataFrame, policy: Policy | None = None, write=None, subqueries: DataFrame | None = None, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, trace) after at most ``steps`` steps: trace is (graph_id, action, css, gain, step, low_confidence). A graph ends
     when its best action is stop, or when a step after the first ``steps_before_least_gain`` gains less than ``least_gain``; it
     keeps what that step made. ``write`` cuts the lineage of a step (a table in the shared folder)."""
@@ -75,7 +85,7 @@ def optimise(nodes: DataFrame, corpus: DataFrame, references: DataFrame, queries
     own = lambda df: df.withColumn("graph_id", F.col("graph_id").cast("string"))
     nodes, queries, subqueries, trace, ended = own(nodes), own(queries), None if subqueries is None else own(subqueries), None, None
     for k in range(policy.steps):
-        moved, chosen = step(nodes, corpus, references, queries, policy, subqueries, write)
+        moved, chosen = step(nodes, corpus, references, queries, policy, subqueries, write, rules)
         chosen = chosen.withColumns({"step": F.lit(k), "low_confidence": F.col("css") < policy.low_confidence})
         trace = chosen if trace is None else trace.unionByName(chosen)
         over = F.col("action") == "stop"

@@ -66,13 +66,14 @@ def features(nodes: DataFrame, edges: DataFrame, queries: DataFrame, subqueries:
     return out.join(subquery_coverage(nodes, subqueries), "graph_id", "left")
 
 
-def score(weights: dict[str, float] | None = None) -> Column:
-    """The sufficiency score of a row of features. Where subquery coverage is known, plain coverage does not count."""
+def score(weights: dict[str, float | Column] | None = None) -> Column:
+    """The sufficiency score of a row of features, with other weights where given, which may be columns. Where subquery coverage is
+    known, plain coverage does not count."""
     w = V.CSS_WEIGHTS | (weights or {})
     known = F.col("subquery_coverage").isNotNull()
     use = {n: F.when(known, v).otherwise(0.0) if n == "subquery_coverage" else F.when(known, 0.0).otherwise(v) if n == "coverage" else F.lit(v) for n, v in w.items()}
     total = reduce(lambda a, b: a + b, [use[n] * F.coalesce(F.col(n), F.lit(0.0)) for n in w])
-    top = F.greatest(reduce(lambda a, b: a + b, [use[n] for n, v in w.items() if v > 0]), F.lit(1.0))
+    top = F.greatest(reduce(lambda a, b: a + b, [F.greatest(use[n], F.lit(0.0)) for n in w]), F.lit(1.0))
     return sigmoid(3 * (total / top * 2 - 1))
 
 

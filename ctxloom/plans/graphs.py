@@ -339,3 +339,14 @@ def initial_graph(spark, d):
     corpus = read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.hashed_embedding(F.coalesce("text", F.lit(""))).alias("vector"))
     out = G.initial_graph(benchmark_queries(spark, d), written(corpus), X.hashed_embedding, terms=T.terms(F.col("text")))
     return out.select("graph_id", "pos", "id", F.round("confidence", 6).alias("confidence"), "route")
+
+
+@query()
+def policy_trials(spark, d):
+    """Two steps of the policy over all graphs under three settings of the score and of the edges."""
+    from ctxloom.operators import learning as L
+
+    n = written(nodes(spark, d))
+    trials = [{}, {"redundancy": -6.0, "token_efficiency": 4.0}, {"cross_ref": 0.1, "entity_overlap": 0.6, "same_source": 0.05, "semantic": 0.6, "adjacency": 0.05, "shared_entities": 1.0, "semantic_from": 0.3, "least": 0.05}]
+    out = L.policy_trials(trials, n, n.drop("graph_id", "pos"), references(n), asked(n), P.Policy(steps=2), subqueries(n))[0]
+    return out.select("trial", F.to_json("parameters").alias("parameters"), F.round("mean_reward", 6).alias("mean_reward"), "graphs", "errors")
