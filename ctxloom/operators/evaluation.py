@@ -179,15 +179,16 @@ def wilcoxon(pairs: DataFrame, *by: str) -> DataFrame:
     part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("size"))) if cuts else F.lit(0)
     d = d.select(F.lit(0).alias("_g"), *map(F.col, by), "d", "size", part.alias("_part"))
     names = ["_g", *by]
-    # Ranks within ranges of sizes, on top of how many lie in the ranges below: no group is ranked by one task.
-    below = d.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("n")).withColumn("below", F.sum("n").over(Window.partitionBy(*names).orderBy("_part")) - F.col("n"))
-    rank = F.rank().over(Window.partitionBy(*names, "_part").orderBy("size")) + (F.count(F.lit(1)).over(Window.partitionBy(*names, "_part", "size")) - 1) / 2
+    # Equal sizes share a rank, so sizes are counted first. Ranks are running sums of these counts within ranges of sizes, on top of
+    # how many lie in the ranges below: no group is ranked by one task, and ties are one row.
+    positive = F.sum((F.col("d") > 0).cast("long"))
+    sizes = d.groupBy(*names, "_part", "size").agg(F.count(F.lit(1)).alias("n"), positive.alias("plus"))
+    below = sizes.groupBy(*names, "_part").agg(F.sum("n").alias("n")).withColumn("below", F.sum("n").over(Window.partitionBy(*names).orderBy("_part")) - F.col("n"))
+    within = F.sum("n").over(Window.partitionBy(*names, "_part").orderBy("size")) - F.col("n")
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in (*names, "_part")])
-    ranked = d.withColumn("rank", rank).join(below.select(*[F.col(c).alias(f"_own_{c}") for c in (*names, "_part")], "below"), same)
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("below"))
-    out = ranked.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus")
-    )
+    ranked = sizes.withColumn("within", within).join(below.select(*[F.col(c).alias(f"_own_{c}") for c in (*names, "_part")], "below"), same)
+    ranked = ranked.withColumn("rank", F.col("below") + F.col("within") + (F.col("n") + 1) / 2)
+    out = ranked.groupBy(*names).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("plus"))).alias("w_minus"))
     n = F.col("n")
     out = out.withColumn("w", F.least("w_plus", "w_minus"))
     return out.withColumn("z", (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).drop("_g")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import session
 from ctxloom.functions import vocabulary as V
+from ctxloom.operators.blocks import BlockIndex
 from ctxloom.plans.registry import query, read
 from ctxloom.sources.tables import new_folder
 from ctxloom.sources.vectors import VectorTable
@@ -39,3 +40,14 @@ def session_functions(spark, d):
     return spark.sql(f"""
         SELECT doc_id, ctx_entails(text, {_LEAD}) AS entails, ctx_contradicts(text, {_LEAD}) AS contradicts, round(coalesce(ctx_cosine(v, v), 0.0D), 6) AS itself
         FROM (SELECT doc_id, text, ctx_embed(text) AS v FROM ctx_documents)""")
+
+
+@query(
+    "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT query_id, vec_id AS id, list_distance(q, CAST(embedding AS DOUBLE[])) AS distance FROM q, embeddings) "
+    "SELECT query_id, id, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS INT) AS rank FROM d QUALIFY rank <= 10"
+)
+def topk_blocks(spark, d):
+    """The ten nearest rows of every twentieth vector among all, exactly, without reading the blocks that the triangle inequality rules out."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = BlockIndex.build(e, 64).search(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10)
+    return found.withColumn("distance", F.round("distance", 6))
