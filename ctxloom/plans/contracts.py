@@ -9,8 +9,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ctxloom.functions import chunk as C
 from ctxloom.functions import text as T
 from ctxloom.functions import vocabulary as V
+from ctxloom.operators import answering as A
 from ctxloom.operators import graph as G
 from ctxloom.plans.registry import query, read
 from ctxloom.sources.tables import new_folder
@@ -96,3 +98,29 @@ _TEXT = "'Section ' || n || '. These goods are shipped subject to Section ' || (
 def flag_contexts(spark, d):
     """Qualifying phrases of all sections with what stands around them; two of the contexts overlap."""
     return sections(spark, d).select("id", F.inline(T.contradiction_flags(F.col("text"))))
+
+
+@query(f"WITH {_LINES} SELECT {_ID.format('c', 'n')} AS id, 'Lot ' || lpad(CAST(part % 40 AS VARCHAR), 2, '0') AS term, 'part ' || part || ' of supplier ' || supp || '.' AS definition FROM c")
+def trap_definitions(spark, d):
+    """What each section defines, and how."""
+    c = A.definition_clause(F.col("text"))
+    return sections(spark, d).select("id", c["term"].alias("term"), c["definition"].alias("definition"))
+
+
+def contracts(spark, d):
+    """Whole contracts: their sections in order, each with a heading."""
+    s = sections(spark, d).select("contract", F.struct("n", F.concat(F.lit("\n"), F.col("text"), F.lit("\n"), F.repeat(F.lit("Further terms apply as agreed. "), 6)).alias("text")).alias("s"))
+    return s.groupBy("contract").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]), "\n").alias("text"))
+
+
+@query()
+def section_split(spark, d):
+    """Chunks of all contracts, cut where sections begin."""
+    rows = contracts(spark, d).select(F.col("contract").cast("string").alias("id"), F.lit("Contract").alias("title"), "text")
+    return C.chunk_documents(rows)
+
+
+@query()
+def contract_chunks(spark, d):
+    """Chunks of all contracts by headings and paragraphs."""
+    return contracts(spark, d).select(F.col("contract").alias("name"), F.posexplode(C.contract_chunks(F.col("text"))).alias("k", "chunk"))

@@ -60,12 +60,6 @@ def last_turns(spark, d):
     return c.where("r <= 2").select("conv_id", "turn", "text")
 
 
-_CONTRACT = (
-    "MASTER AGREEMENT between the parties named below\n"
-    "ARTICLE I. Definitions of the terms in this agreement\n\"Service\" means the hosted software. Fees are due as described in Section 3.2 within 30 days.\n"
-    "ARTICLE II. Term and how the agreement may be ended early\nNotwithstanding the foregoing, either side may end this agreement subject to Section 1.1 after 12 months.\n"
-    "ARTICLE III. Limits of what each side may owe the other\nIn no event shall damages exceed $10,000.50 except as provided in Exhibit A, unless otherwise agreed on 01/02/2024.\n"
-)
 _TEXTS = values("lit", ("id", "text"), [
     (1, 'Subject to Section 4.1, the Supplier shall pay $5,000.00 within 45 days. "Net Revenue" means gross sales less returns, excluding taxes.'),
     (2, "The lease runs 3 years from 12/31/2020, unless otherwise agreed. See Exhibit B and Article IV; the Tenant Company pays 4.5% more each year."),
@@ -143,49 +137,33 @@ def trap_content(spark, d):
     return _texts(spark, d).select("id", c["snippet"].alias("snippet"), c["section"].alias("section"), A.scattered_sections(F.col("text")).isNotNull().alias("scattered"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Net Revenue', 'gross sales less returns, excluding taxes.'), (2, NULL, NULL), (3, NULL, NULL), (4, NULL, NULL)) t(id, term, definition)")
-def trap_definitions(spark, d):
-    from ctxloom.operators import answering as A
-
-    c = A.definition_clause(F.col("text"))
-    return _TEXTS.frame(spark).select(F.col("id").cast("int").alias("id"), c["term"].alias("term"), c["definition"].alias("definition"))
-
-
-@query()
-def section_split(spark, d):
-    docs = spark.createDataFrame([("doc", "Contract", _CONTRACT), ("plain", "Note", "Short text without any sections. " * 40)], ["id", "title", "text"])
-    return C.chunk_documents(docs)
-
-
-@query()
-def contract_chunks(spark, d):
-    text = "".join(f"\n{k}. SECTION HEADING {'X' * k}\n" + "Some contract words that fill the section well enough. " * 4 for k in range(1, 9))
-    return spark.createDataFrame([("c", text)], ["name", "text"]).select("name", F.posexplode(C.contract_chunks(F.col("text"))).alias("k", "chunk"))
-
-
 @query()
 def document_chunks(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), "text")
     return C.chunk_documents(docs).select("id", "source_doc_id", "chunk_index", F.length("text").alias("n_chars"))
 
 
-_QUESTIONS = values("t", ("id", "query"), [
-    (1, "What is the liability cap and the termination fee?"), (2, "Does Section 3.2 survive termination?"), (3, "Compare warranty terms"), (4, "How is royalty payment linked with the license?"), (5, "define force majeure"),
-])
+_ASKED = "t AS (SELECT conv_id * 1000 + turn AS id, text AS query FROM conversations WHERE role = 'user')"
+
+
+def _questions(spark, d):
+    """What users ask: their turns in all conversations."""
+    c = read(spark, d, "conversations").where("role = 'user'")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("query"))
 
 
 @query(
-    f"WITH {_QUESTIONS.sql} SELECT id, CASE WHEN regexp_matches(lower(query), '^(does|is|are|can|will) ') THEN 'yes_no' WHEN lower(query) LIKE '% and %' OR lower(query) LIKE '% or %' THEN 'multi_hop_factual' "
+    f"WITH {_ASKED} SELECT id, CASE WHEN regexp_matches(lower(query), '^(does|is|are|can|will) ') THEN 'yes_no' WHEN lower(query) LIKE '% and %' OR lower(query) LIKE '% or %' THEN 'multi_hop_factual' "
     "WHEN contains(lower(query), 'what is') OR contains(lower(query), 'define') THEN 'definition' WHEN contains(lower(query), 'compare') OR contains(lower(query), 'difference') THEN 'comparison' ELSE 'factual' END AS intent FROM t"
 )
 def query_intent(spark, d):
-    return _QUESTIONS.frame(spark).select("id", T.intent(F.col("query")).alias("intent"))
+    return _questions(spark, d).select("id", T.intent(F.col("query")).alias("intent"))
 
 
 @query()
 def query_parse(spark, d):
     q = F.col("query")
-    return _QUESTIONS.frame(spark).select("id", T.query_entities(q).alias("entities"), T.subqueries(q).alias("subqueries"), T.clause_types(q).alias("clause_types"))
+    return _questions(spark, d).select("id", T.query_entities(q).alias("entities"), T.subqueries(q).alias("subqueries"), T.clause_types(q).alias("clause_types"))
 
 
 @query("WITH a AS (SELECT doc_id, substring(sha256(text), 1, 16) AS h, doc_id % 5 AS m FROM documents) SELECT CASE WHEN m = 0 THEN 'added' WHEN m = 1 THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS n FROM a GROUP BY ALL")
@@ -220,14 +198,17 @@ def hashed_embeddings(spark, d):
 def query_preprocess(spark, d):
     from ctxloom.operators.answering import preprocess
 
-    return preprocess(_QUESTIONS.frame(spark)).select("id", "parsed.*")
+    return preprocess(_questions(spark, d)).select("id", "parsed.*")
 
 
 @query()
 def query_graph(spark, d):
     from ctxloom.operators.answering import query_graph as build
 
-    nodes, edges = build(_QUESTIONS.frame(spark).withColumnRenamed("id", "query_id"))
+    # Users' turns link nothing; what links nations to regions is asked besides.
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    linked = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select((-1 - F.col("n_nationkey").cast("long")).alias("id"), F.concat(F.lit("How is "), "n_name", F.lit(" linked with "), "r_name", F.lit("?")).alias("query"))
+    nodes, edges = build(_questions(spark, d).unionByName(linked).withColumnRenamed("id", "query_id"))
     return nodes.join(edges.withColumnRenamed("source", "id"), ["query_id", "id"], "left")
 
 

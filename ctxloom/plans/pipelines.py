@@ -13,7 +13,7 @@ from ctxloom.operators import evaluation as E
 from ctxloom.operators import graph as G
 from ctxloom.operators import learning as L
 from ctxloom.plans.graphs import _EDGES, _NODES, _PAIRS, nodes
-from ctxloom.plans.registry import query, read
+from ctxloom.plans.registry import ORACLE_SQL, QUERIES, query, read
 from ctxloom.plans.retrieval import TERMS_SQL
 from ctxloom.sources import corpus as C
 
@@ -254,9 +254,8 @@ def query_categories(spark, d):
     return C.categories(_notes(spark, d))
 
 
-@query("SELECT query_id, id FROM (SELECT item_id AS query_id, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark, documents WHERE item_id % 20 = 0 QUALIFY rank <= 50) JOIN (SELECT doc_id AS id FROM documents WHERE lang = 'de') USING (id)")
+@query(f"SELECT query_id, id FROM ({ORACLE_SQL['bm25_topk']}) JOIN (SELECT doc_id AS id FROM documents WHERE lang = 'de') USING (id)")
 def hits_by_area(spark, d):
-    """Of each query's hits, here the first 50 documents, those of one area."""
+    """Of each query's lexical hits in all documents, those of one area."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("area"))
-    first = docs.orderBy("id").limit(50)  # the feature is a top 50
-    return B.by_area(_asked(spark, d).select("query_id").join(F.broadcast(first.select("id")), F.lit(True)), docs, "de")
+    return B.by_area(QUERIES["bm25_topk"](spark, d).select("query_id", "id"), docs, "de")
