@@ -53,10 +53,10 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return placed.join(splits, ["_file", "_block"]).withColumn(name, F.col("_seq") + F.col("_shift")).drop("_file", "_block", "_seq", "_shift")
 
 
-def read_csv_corpus(spark: SparkSession, path: str, header: bool | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv_corpus(spark: SparkSession, path: str, header: bool | None = True, multi_line: bool = True) -> DataFrame:
     """Documents of a CSV file, columns by their names; without a text column, all values that are not blank, joined by " | ".
 
-    Without ``header`` the file's beginning decides. Blank rows are dropped; missing ids are row numbers, repeated ones get a suffix
+    With ``header`` None the file's beginning decides whether it has one. Blank rows are dropped; missing ids are row numbers, repeated ones get a suffix
     _1, _2 ... in the order of the file. Raises ValueError if no row is usable. Quoted line breaks need ``multi_line``; a large file
     without them is read in splits.
     """

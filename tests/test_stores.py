@@ -90,8 +90,8 @@ def test_csv_headers(spark, tmp_path):
     bare.write_text("11,12,13\n21,22,23\n31,32,33\n")
     empty.write_text("id,text\n,\n , \n")
     assert corpus.has_header(spark, str(named)) and not corpus.has_header(spark, str(bare))
-    assert [(r.id, r.title) for r in corpus.read_csv_corpus(spark, str(named)).orderBy("id").collect()] == [("x1", "First"), ("x2", "Second"), ("x3", "Third")]
-    assert [(r.id, r.text) for r in corpus.read_csv_corpus(spark, str(bare)).orderBy("id").collect()] == [("row_1", "11 | 12 | 13"), ("row_2", "21 | 22 | 23"), ("row_3", "31 | 32 | 33")]
+    assert [(r.id, r.title) for r in corpus.read_csv_corpus(spark, str(named), None).orderBy("id").collect()] == [("x1", "First"), ("x2", "Second"), ("x3", "Third")]
+    assert [(r.id, r.text) for r in corpus.read_csv_corpus(spark, str(bare), None).orderBy("id").collect()] == [("row_1", "11 | 12 | 13"), ("row_2", "21 | 22 | 23"), ("row_3", "31 | 32 | 33")]
     with pytest.raises(ValueError):
         corpus.read_csv_corpus(spark, str(empty), header=True)
 
