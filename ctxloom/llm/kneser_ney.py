@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from ctxloom.llm._common import discard, input_parts, materialize, shared_dir, table
 
 #: Training tokens of a shard; words of a block; tokens that a task counts, or scores, at once.
-SHARD_TOKENS, BLOCK, COUNTED, SCORED = 3_000_000, 250_000, 2_000_000, 1_000_000
+SHARD_TOKENS, BLOCK, COUNTED, SCORED = 2_000_000, 250_000, 1_500_000, 500_000
 #: Packed parts that are added up at once; bits of a shard's hashes that name a bucket; orders of magnitude of counts.
 FAN, BUCKET, MAGNITUDES = 256, 16, 48
+#: Texts that are split at once.
+ROWS_AT_ONCE = 128
 #: A token of its own: no word holds white space.
 END = b"\n"
 #: Discounts for counts of 1, 2 and more, where the counts of counts give none.
@@ -42,14 +45,6 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BLOBS = "shard long, kind string, blob binary, counts array<long>"
 
 
-class Numbers(dict):
-    """Numbers from 0, in the order of first sight."""
-
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def tokens(text: bytes) -> list[bytes]:
     """Words between white space, A-Z lower-cased, and one end."""
     return [*text.lower().split(), END]
@@ -223,24 +218,37 @@ def magnitude(n: np.ndarray) -> np.ndarray:
     return MAGNITUDES - np.maximum(np.minimum(np.frexp(n)[1], MAGNITUDES), 1)
 
 
-def _slices(texts: Iterator[bytes], size: int) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
-    """(distinct tokens, of each document the numbers of its tokens), for about ``size`` tokens at a time."""
-    words, docs, held = Numbers(), [], 0
-    for text in texts:
-        found = tokens(text)
-        docs.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
-        held += len(found)
-        if held >= size:
-            yield list(words), docs
-            words, docs, held = Numbers(), [], 0
-    if docs:
-        yield list(words), docs
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+def _numbers(parts: list[pa.ListArray]) -> tuple[list[bytes], list[np.ndarray]]:
+    """(distinct tokens, of each document the numbers of its tokens) of the split texts of documents."""
+    lengths = np.concatenate([pa.compute.list_value_length(p).to_numpy(zero_copy_only=False) for p in parts])
+    coded = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
+    ids, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary()).to_pylist()
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    if b"" in words:  # what stands before and after white space at the ends of a text
+        blank = words.index(b"")
+        words.pop(blank)
+        doc, ids = doc[ids != blank], ids[ids != blank]
+        ids -= ids > blank
+    counts = np.bincount(doc, minlength=len(lengths))
+    ids = np.insert(ids, np.cumsum(counts), len(words))
+    return [*words, END], np.split(ids, np.cumsum(counts + 1)[:-1])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], list[np.ndarray], pa.Table]]:
+    """(distinct tokens, of each document the numbers of its tokens, their rows without texts), for about ``size`` tokens at a time.
+    As ``tokens`` has them: texts are split, and their tokens numbered, by Arrow."""
+    parts, rows, held = [], [], 0
     for batch in batches:
-        for text in batch.column("text").cast(pa.binary()):
-            yield text.as_py() or b""
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            some = batch.slice(k, ROWS_AT_ONCE)
+            parts.append(pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(some.column("text"))))
+            rows.append(some.drop_columns(["text"]))
+            held += len(parts[-1].flatten())
+            if held >= size:
+                yield *_numbers(parts), pa.Table.from_batches(rows)
+                parts, rows, held = [], [], 0
+    if parts:
+        yield *_numbers(parts), pa.Table.from_batches(rows)
 
 
 def _blob_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -257,7 +265,7 @@ def _dealt(kind: str, shard: np.ndarray, *columns: np.ndarray) -> list[tuple]:
 
 def _count_words(shards: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, docs in _slices(_texts(batches), COUNTED):
+        for words, docs, _ in _slices(batches, COUNTED):
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             order = np.argsort(h)
             n = np.bincount(np.concatenate(docs), minlength=len(words))
@@ -305,7 +313,7 @@ def _grams(x: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
 def _count_grams(folder: str, shards: int, begin: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder)
-        for words, docs in _slices(_texts(batches), COUNTED):
+        for words, docs, _ in _slices(batches, COUNTED):
             ids = vocabulary.find(words)[0]
             order = np.argsort(ids)
             place = np.empty(len(ids), np.int64)
@@ -519,27 +527,18 @@ def _score(folder: str):
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, heads = Model(folder), []
-
-        def texts() -> Iterator[bytes]:
-            for batch in batches:
-                column = batch.column("text").cast(pa.binary())
-                for k in range(batch.num_rows):
-                    heads.append((batch.column("doc_id")[k].as_py(), batch.column("held_out")[k].as_py()))
-                    yield column[k].as_py() or b""
-
-        for words, docs in _slices(texts(), SCORED):
+        model = Model(folder)
+        for words, docs, rows in _slices(batches, SCORED):
             ids, counts = model.vocabulary.find(words)
             lengths = np.array([len(d) for d in docs], np.int64)
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             flat = np.concatenate(docs)
             base = np.log10((counts + 1) / (model.tokens + model.words + 1))[flat]
             logs = model.log10(docs, ids)
-            done, heads[:] = heads[: len(docs)], heads[len(docs) :]
             total = np.add.reduceat(logs, begins)
-            columns = ([d for d, _ in done], [h for _, h in done], lengths, np.add.reduceat((counts > 0)[flat].astype(np.int64), begins), np.full(len(docs), model.tokens), np.add.reduceat(base, begins), total, 10.0 ** np.minimum(-total / lengths, 300.0))
+            columns = (rows["doc_id"].combine_chunks(), rows["held_out"].combine_chunks(), lengths, np.add.reduceat((counts > 0)[flat].astype(np.int64), begins), np.full(len(docs), model.tokens), np.add.reduceat(base, begins), total, 10.0 ** np.minimum(-total / lengths, 300.0))
             kinds = (pa.int64(), pa.bool_(), *(pa.int64(),) * 3, *(pa.float64(),) * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return score
 
