@@ -17,6 +17,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often it is looked at: a lambda's other expressions are made anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -67,8 +72,17 @@ def entities(text: Column) -> Column:
 
 
 def section_references(text: Column) -> Column:
-    found = [_all(text, "(?iU)" + p) for p in V.REFERENCE_PATTERNS]
-    return F.array_distinct(F.transform(F.flatten(F.array(*found)), F.lower))
+    """References of all kinds, lower-cased, each once. A pattern is tried only where a word stands that it cannot do without."""
+    none = F.array().cast("array<string>")
+
+    def found(x: Column) -> Column:
+        may = [reduce(lambda a, b: a | b, [F.contains(x["low"], F.lit(w)) for w in ws]) for ws in V.REFERENCE_WORDS]
+        every = [F.when(m, _all(x["text"], "(?iU)" + p)).otherwise(none) for m, p in zip(may, V.REFERENCE_PATTERNS, strict=True)]
+        return F.array_distinct(F.transform(F.flatten(F.array(*every)), F.lower))
+
+    # The letters that match i and s in any case are folded.
+    both = F.struct(text.alias("text"), F.lower(F.translate(text, "\u017f\u0131\u0130", "sii")).alias("low"))
+    return F.when(text.isNotNull(), once(both, found))
 
 
 def defined_terms(text: Column) -> Column:
@@ -129,23 +143,22 @@ def length_band(text: Column) -> Column:
 
 def keyword_share(text: Column, keywords: Column) -> Column:
     """The share of keywords that the text contains, in any case; 1 without keywords."""
-    low = F.lower(text)
-    found = F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k))))
+    found = once(F.lower(text), lambda low: F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k)))))
     return F.when(F.size(keywords) == 0, 1.0).otherwise(found / F.size(keywords))
 
 
 def unit_covered(answer: Column, unit: Column) -> Column:
     """True if at least 60% of the unit's words of over three characters stand in the answer; also if it has none."""
-    low = F.lower(answer)
     needed = F.filter(words(F.lower(unit)), lambda w: F.length(w) > 3)
-    return (F.size(needed) == 0) | (F.size(F.filter(needed, lambda w: F.contains(low, w))) >= 0.6 * F.size(needed))
+    both = F.struct(F.lower(answer).alias("low"), needed.alias("needed"))
+    return once(both, lambda x: (F.size(x["needed"]) == 0) | (F.size(F.filter(x["needed"], lambda w: F.contains(x["low"], w))) >= 0.6 * F.size(x["needed"])))
 
 
 def query_coverage(text: Column, query: Column) -> Column:
     """The share of the query's words of over three characters, punctuation and all, that stand in the text; 1 without any."""
-    low = F.lower(text)
     needed = F.array_distinct(F.filter(words(F.lower(query)), lambda w: F.length(w) > 3))
-    return F.when(F.size(needed) == 0, 1.0).otherwise(F.size(F.filter(needed, lambda w: F.contains(low, w))) / F.size(needed))
+    both = F.struct(F.lower(text).alias("low"), needed.alias("needed"))
+    return once(both, lambda x: F.when(F.size(x["needed"]) == 0, 1.0).otherwise(F.size(F.filter(x["needed"], lambda w: F.contains(x["low"], w))) / F.size(x["needed"])))
 
 
 def clause_types(text: Column, vocabulary: dict[str, tuple[str, ...]] | None = None) -> Column:
@@ -205,7 +218,6 @@ def places(text: Column, pattern: str) -> Column:
     over the groups.
     """
     kind = "array<struct<start:int,end:int,match:string>>"
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that is looked at often is made once
     moved = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["match"].alias("match"))
 
     def add(acc: Column, x: Column) -> Column:

@@ -23,6 +23,8 @@ REFERENCE_PATTERNS = (
     r"Appendix\s+[A-Z]",
     r"\bherein\b|\bhereinafter\b|\bhereunder\b",
 )
+#: For each of them words of which a match has one.
+REFERENCE_WORDS = (("section", "article", "exhibit", "schedule", "appendix"), ("section",), ("article",), ("exhibit",), ("schedule",), ("appendix",), ("herein", "hereunder"))
 QUERY_REFERENCE_PATTERNS = (r"Section\s+\d+(?:\.\d+)*", r"Article\s+[IVXLC]+", r"Exhibit\s+[A-Z]", r"Schedule\s+\d+", r"Appendix\s+[A-Z]")
 DEFINITION_PATTERN = r'"([^"]{3,50})"\s+(?:means|shall mean|refers to|is defined as)'
 LOOSE_DEFINITION_PATTERN = r'"([^"]+)"\s+(?:means|shall\s+mean)'

@@ -12,6 +12,11 @@ from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
 from ctxloom.operators.retrieval import pairs_of, top_similar
+from ctxloom.sources.tables import written
+
+#: Terms of a corpus that may be sent to all executors, and defined terms that every text is searched for.
+SENT_TERMS, SENT_DEFINED = 100_000, 200
+_BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 
 def node_pairs(nodes: DataFrame, block: str = "graph_id") -> DataFrame:
@@ -27,17 +32,22 @@ def shared_entity_part(a: Column, b: Column, idf: Column | None = None, full: Co
     shared = F.array_intersect(a, b)
     if idf is None:
         return F.least(F.size(shared) / full, F.lit(1.0))
-    values = F.transform(shared, lambda e: F.coalesce(F.try_element_at(idf, e), F.lit(0.0)))
-    top = F.greatest(F.coalesce(F.array_max(values), F.lit(0.0)) * full, F.lit(1.0))
-    return F.least(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / top, F.lit(1.0))
+
+    def part(values: Column) -> Column:
+        top = F.greatest(F.coalesce(F.array_max(values), F.lit(0.0)) * full, F.lit(1.0))
+        return F.least(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / top, F.lit(1.0))
+
+    return T.once(F.transform(shared, lambda e: F.coalesce(F.try_element_at(idf, e), F.lit(0.0))), part)
 
 
 def _with_terms(nodes: DataFrame, idf: DataFrame | None) -> DataFrame:
-    """Nodes with their entities; with ``idf`` (term, idf) only those that are rare enough, and a map of them."""
-    known = nodes.withColumn("entities", T.entities(F.col("text")))
+    """Nodes with their entities in place of their texts; with ``idf`` (term, idf) only those that are rare enough, and a map of them."""
+    known = nodes.withColumn("entities", T.entities(F.col("text"))).drop("text")
     if idf is None:
         return known
-    used = known.select(F.explode("entities").alias("term")).distinct().join(idf.select("term", "idf"), "term").where(F.col("idf") >= V.ENTITY_IDF)
+    known = written(known)  # texts are searched once
+    used = written(idf.select("term", "idf").where(F.col("idf") >= V.ENTITY_IDF))
+    used = F.broadcast(used) if used.limit(SENT_TERMS + 1).count() <= SENT_TERMS else used
     own = known.select("graph_id", "id", F.explode("entities").alias("term")).join(used, "term").groupBy("graph_id", "id")
     own = own.agg(F.collect_list("term").alias("rare"), F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
     return known.join(own, ["graph_id", "id"], "left").withColumn("entities", F.coalesce("rare", F.array().cast("array<string>"))).drop("rare")
@@ -61,28 +71,35 @@ def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, we
     own = "parameters" in pairs.schema["a"].dataType.names
     usual = EDGE_PARAMETERS | {"least": least}
     p = {n: F.coalesce(F.try_element_at(a["parameters"], F.lit(n)), F.lit(float(v))) if own else F.lit(float(v)) for n, v in usual.items()}
-    if references is not None:
-        marked = canonical(references).withColumn("xref", F.lit(True))
-        pairs = pairs.withColumns({"_a": F.least("a.id", "b.id"), "_b": F.greatest("a.id", "b.id")}).join(marked, ["_a", "_b"], "left").drop("_a", "_b")
-        xref = F.coalesce("xref", F.lit(False))
-    else:
-        xref = F.lit(False)
     same = a["base"] == b["base"]
     near = same & (F.abs(a["chunk"] - b["chunk"]) == 1)
     sim = X.cosine(X.double(a["embedding"]), X.double(b["embedding"]))
     sections = F.coalesce(F.nullif(a["section"], F.lit("")) == F.nullif(b["section"], F.lit("")), F.lit(True))
     overlap = shared_entity_part(a["entities"], b["entities"], a["idf"] if weighed else None, p["shared_entities"])
-    parts = {
-        "cross_ref": F.when(xref, p["cross_ref"]),
-        "entity_overlap": F.when(overlap > 0, overlap * p["entity_overlap"]),
-        "same_source": F.when(same, p["same_source"]),
-        "semantic": F.when(sim > p["semantic_from"], (sim - p["semantic_from"]) / F.greatest(1 - p["semantic_from"], F.lit(1e-9)) * p["semantic"]),
-        "adjacency": F.when(near, F.when(sections, p["adjacency"]).otherwise(p["adjacency"] / 2)),
-    }
-    weight = sum((F.coalesce(x, F.lit(0.0)) for x in parts.values()), F.lit(0.0))
-    label = F.concat_ws("|", *[F.when(x.isNotNull(), n) for n, x in parts.items()])
-    pairs = pairs.withColumn("_least", p["least"])
-    out = pairs.select("graph_id", a["id"].alias("source"), b["id"].alias("target"), label.alias("relation"), weight.alias("raw"), "_least")
+    made = F.struct(overlap.alias("overlap"), sim.alias("sim"), same.alias("same"), near.alias("near"), sections.alias("sections"))
+
+    def scored(x: Column) -> Column:
+        parts = {
+            "entity_overlap": F.when(x["overlap"] > 0, x["overlap"] * p["entity_overlap"]),
+            "same_source": F.when(x["same"], p["same_source"]),
+            "semantic": F.when(x["sim"] > p["semantic_from"], (x["sim"] - p["semantic_from"]) / F.greatest(1 - p["semantic_from"], F.lit(1e-9)) * p["semantic"]),
+            "adjacency": F.when(x["near"], F.when(x["sections"], p["adjacency"]).otherwise(p["adjacency"] / 2)),
+        }
+        label = F.concat_ws("|", *[F.when(c.isNotNull(), n) for n, c in parts.items()])
+        return F.struct(label.alias("relation"), sum((F.coalesce(c, F.lit(0.0)) for c in parts.values()), F.lit(0.0)).alias("raw"))
+
+    # A row of one: filters on what comes out of it do not make it anew.
+    # What two nodes hold is looked at before references are: only names and weights of pairs that can be edges are moved to these.
+    out = pairs.select("graph_id", a["id"].alias("source"), b["id"].alias("target"), p["least"].alias("_least"), p["cross_ref"].alias("_cross"), F.inline(F.array(T.once(made, scored))))
+    if references is not None:
+        raw, turned = F.col("raw"), F.col("_turned")
+        out = out.where(F.greatest(raw, raw + F.col("_cross")) >= F.col("_least")).select("graph_id", F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b"), (F.col("source") > F.col("target")).alias("_turned"), "relation", "raw", *(["_least", "_cross"] if own else []))
+        out = out.join(canonical(references).withColumn("xref", F.lit(True)), ["_a", "_b"], "left")
+        x = F.coalesce("xref", F.lit(False))
+        out = out.select(
+            "graph_id", F.when(turned, F.col("_b")).otherwise(F.col("_a")).alias("source"), F.when(turned, F.col("_a")).otherwise(F.col("_b")).alias("target"),
+            F.concat_ws("|", F.when(x, F.lit("cross_ref")), F.nullif("relation", F.lit(""))).alias("relation"), F.when(x, raw + (F.col("_cross") if own else p["cross_ref"])).otherwise(raw).alias("raw"), (F.col("_least") if own else p["least"]).alias("_least"),
+        )
     return out.where("raw >= _least").select("graph_id", "source", "target", "relation", F.least("raw", F.lit(1.0)).alias("weight"))
 
 
@@ -169,23 +186,38 @@ def cross_references(chunks: DataFrame, within: str | None = None) -> DataFrame:
     only chunks that share its value refer to each other; the joins have it in their keys.
     """
     key = [] if within is None else [within]
-    kind = F.regexp_extract(F.col("ref"), r"((?:\d+(?:\.\d+)*)|[ivxlc]+)$", 1)
-    refs = chunks.select(*key, "id", F.explode(T.section_references(F.col("text"))).alias("ref")).select(*key, "id", kind.alias("section")).where("section != ''").distinct()
-    named = chunks.where("section IS NOT NULL").select(*key, F.col("id").alias("b"), F.lower("section").alias("section"))
-    by_section = refs.join(named, [*key, "section"]).where("id != b").select(F.col("id").alias("a"), "b", F.lit("section_ref").alias("type"))
-    defined = chunks.select(*key, F.col("id").alias("b"), F.explode(T.defined_terms(F.col("text"))).alias("term"))
+    text, low = F.col("text"), F.lower("text")
+    kind = lambda ref: F.regexp_extract(ref, r"((?:\d+(?:\.\d+)*)|[ivxlc]+)$", 1)
+    typed = lambda values, name: F.transform(values, lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")))
+    first = lambda term: F.element_at(F.split(term, _BETWEEN_WORDS), 1)
+    numbers = F.filter(F.array_distinct(F.transform(T.section_references(text), kind)), lambda n: n != "")
+    terms = T.defined_terms(text)
+    refs, targets = typed(numbers, "section_ref"), typed(F.filter(F.array(F.lower("section")), lambda n: n.isNotNull()), "section_ref")
+    found = [r[0] for r in chunks.select(F.explode(terms).alias("term")).distinct().limit(SENT_DEFINED + 1).collect()]
+    few = len(found) <= SENT_DEFINED
+    if few and found:  # few terms: each text is searched for them where it is read, and only names are moved
+        known = F.array(*map(F.lit, sorted(found)))
+        both = F.struct(low.alias("low"), F.split(low, _BETWEEN_WORDS).alias("words"))
+        used = T.once(both, lambda x: F.filter(known, lambda t: F.contains(x["low"], t) & F.array_contains(x["words"], first(t))))
+        refs, targets = F.concat(refs, typed(used, "defined_term")), F.concat(targets, typed(F.coalesce(terms, F.array().cast("array<string>")), "defined_term"))
+    said = chunks.select(*key, F.col("id").alias("a"), F.inline(refs))
+    named = chunks.select(*key, F.col("id").alias("b"), F.inline(targets))
+    out = said.join(named, [*key, "type", "value"]).where("a != b").select("a", "b", "type")
+    if few:
+        return out.distinct()
     # A use is found through its first word, so the join has an equi key; texts come back only for those that have it.
-    uses = chunks.select(*key, "id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word"))
-    first = F.element_at(F.split("term", r"[^\p{L}\p{N}]+"), 1)
-    likely = uses.join(defined.withColumn("word", first), [*key, "word"]).where("id != b").select("id", "b", "term").distinct()
-    by_term = likely.join(chunks.select("id", F.lower("text").alias("low")), "id").where("contains(low, term)").select(F.col("id").alias("a"), "b", F.lit("defined_term").alias("type"))
-    return by_section.unionByName(by_term).distinct()
+    defined = chunks.select(*key, F.col("id").alias("b"), F.explode(terms).alias("term"))
+    uses = chunks.select(*key, "id", F.explode(F.array_distinct(F.split(low, _BETWEEN_WORDS))).alias("word"))
+    likely = uses.join(defined.withColumn("word", first(F.col("term"))), [*key, "word"]).where("id != b").select("id", "b", "term").distinct()
+    by_term = likely.join(chunks.select("id", low.alias("low")), "id").where("contains(low, term)").select(F.col("id").alias("a"), "b", F.lit("defined_term").alias("type"))
+    return out.unionByName(by_term).distinct()
 
 
 def write_reference_index(references: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Store references as a table bucketed and sorted by their canonical pair (_a, _b), with the types of each: a lookup by pairs then
-    moves the pairs, not the index."""
-    pairs = references.groupBy(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).agg(F.array_sort(F.collect_set("type")).alias("types"))
+    moves the pairs, not the index. Pairs are dealt out by bucket, so that each bucket is one file."""
+    pairs = references.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), "type").repartition(buckets, "_a", "_b")
+    pairs = pairs.groupBy("_a", "_b").agg(F.array_sort(F.collect_set("type")).alias("types"))
     pairs.write.bucketBy(buckets, "_a", "_b").sortBy("_a", "_b").option("path", path).mode("overwrite").saveAsTable(table)
     return references.sparkSession.table(table)
 
