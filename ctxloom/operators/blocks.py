@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.functions import vector as X
+from ctxloom.operators.retrieval import QUERY_BLOCK, ROW_BLOCK, blocks_compared
 from ctxloom.sources.tables import written
 
 #: Rows that centres are drawn from, and their greatest number: what is sent to tasks is bounded by it.
@@ -80,8 +81,15 @@ class BlockIndex:
         return looked, near.where("begin").select("query_id", "block"), left.select("query_id", "block")
 
     def _compared(self, asked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-        rows = pairs.select("query_id", "block").join(asked, "query_id").join(self.rows.select("block", "id", "vector"), "block")
-        scored = rows.select("query_id", "id", _distance(F.col("query"), F.col("vector")).alias("distance"))
+        # A block is cut into parts, and so are its queries; each part of both is one matrix product.
+        sizes = self.heads.select("block", F.ceil(F.col("rows") / ROW_BLOCK).cast("int").alias("parts"))
+        met = pairs.select("query_id", "block").join(asked, "query_id")
+        busy = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("cuts")).join(sizes, "block")
+        busy = F.broadcast(written(busy))  # at most MOST_BLOCKS
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = met.join(busy, "block").select("block", "query_id", "query", F.pmod(F.xxhash64("query_id"), F.col("cuts")).cast("int").alias("cut"), each("parts").alias("part"))
+        two = self.rows.join(busy, "block").select("block", "id", "vector", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), each("cuts").alias("cut"))
+        scored = blocks_compared(one, two, k, ("block", "cut", "part"), distance=True).withColumnRenamed("score", "distance")
         w = Window.partitionBy("query_id").orderBy("distance", "id")
         return written(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 

@@ -38,9 +38,9 @@ def topk_similar(spark, d):
 )
 def topk_excluding(spark, d):
     e = read(spark, d, "embeddings")
-    q, c = _vectors(spark, d)
-    same = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-    return R.top_similar(q, c, k=5, exclude=same).withColumn("score", F.round("score", 6))
+    c = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("group"))
+    q = c.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "group")
+    return R.top_similar(q, c, k=5, apart=True).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT q.vec_id AS query_id, round(greatest(0, max({_SIM})), 6) AS max_similarity FROM ({_QUERIES}) q, embeddings d WHERE q.vec_id <> d.vec_id GROUP BY q.vec_id")
@@ -64,11 +64,10 @@ def vector_norms(spark, d):
 def retrieval_precision_recall(spark, d):
     e = read(spark, d, "embeddings")
     q, c = _vectors(spark, d)
-    own = q.select("query_id", F.col("query_id").alias("id"))
-    found = R.top_similar(q, c, k=10, exclude=own).select("query_id", "id")
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = asked.join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("id != query_id").select("query_id", "id")
-    return R.retrieval_quality(found, relevant).select("query_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    found = R.top_similar(q, c, k=10, own=False).select("query_id", "id")
+    labels = e.select(F.col("vec_id").alias("id"), F.col("label").alias("group"))
+    asked = labels.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return R.group_quality(found, asked, labels).select("query_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"WITH t AS (SELECT unnest({ENTITIES_SQL}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(min(n) / count(*)), 6) AS idf FROM t, n GROUP BY term")

@@ -50,3 +50,43 @@ def test_pairs_meet_references_without_what_the_nodes_hold(spark):
 def test_a_value_is_made_once(spark):
     row = spark.sql("SELECT 'Ab ab' AS t").select(T.once(F.lower("t"), lambda x: F.concat(x, x)).alias("x"), T.query_coverage(F.col("t"), F.lit("word")).alias("c")).first()
     assert row.x == "ab abab ab" and row.c == 0.0
+
+
+def test_search_in_blocks_and_apart(spark, monkeypatch):
+    import numpy as np
+
+    from ctxloom.operators import retrieval as R
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(90, 5))
+    x[10] = x[11] = x[31]  # ties go to the smaller id
+    groups = [k % 3 if k != 7 else None for k in range(90)]
+    corpus = spark.createDataFrame([(k, v.tolist(), g) for k, (v, g) in enumerate(zip(x, groups, strict=True))], "id long, vector array<double>, group int").repartition(3)
+    queries = corpus.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "group")
+    want = {}
+    for q in range(0, 90, 5):
+        can = [k for k in range(90) if groups[k] is not None and groups[k] != groups[q]]
+        want[q] = sorted(can, key=lambda k: (-float(x[q] @ x[k]), k))[:4]
+
+    def check():
+        got = {}
+        for row in R.top_similar(queries, corpus, 4, apart=True).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append(row.id)
+        assert got == want
+
+    check()
+    for name, value in (("SENT_ROWS", 2), ("QUERY_BLOCK", 5), ("ROW_BLOCK", 20)):
+        monkeypatch.setattr(R, name, value)
+    check()
+    plan = R.top_similar(queries, corpus, 4, apart=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "zip_with" not in plan
+
+
+def test_quality_by_group_is_that_of_listed_pairs(spark):
+    from ctxloom.operators import retrieval as R
+
+    corpus = spark.createDataFrame([(k, k % 3) for k in range(12)] + [(50, 9)], "id long, group int")
+    asked = corpus.where("id IN (0, 4, 50)").withColumnRenamed("id", "query_id")
+    found = spark.createDataFrame([(0, 3), (0, 4), (4, 7)], "query_id long, id long")
+    relevant = asked.join(corpus, "group").where("id != query_id").select("query_id", "id")
+    assert sorted(map(tuple, R.group_quality(found, asked, corpus).collect())) == sorted(map(tuple, R.retrieval_quality(found, relevant).collect()))
