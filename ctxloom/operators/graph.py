@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
-from ctxloom.operators.retrieval import pairs_of, top_similar
+from ctxloom.operators.retrieval import cosine_candidates, top_similar
 from ctxloom.sources.tables import written
 
 #: Terms of a corpus that may be sent to all executors, and defined terms that every text is searched for.
@@ -259,7 +259,10 @@ def expand(nodes: DataFrame, edges: DataFrame, corpus: DataFrame, references: Da
     # Only graphs that references do not fill are compared with the corpus.
     full = referred.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     lacking = queries.select("graph_id", "query").join(full, "graph_id", "left_anti")
-    scored = pairs_of(lacking, corpus.select("id", "embedding")).select("graph_id", "id", F.lit(1).alias("priority"), (X.cosine(X.double(F.col("embedding")), X.double(F.col("query"))) * 0.9).alias("score"))
+    # As many rows are found for a graph as its own nodes and referred ones may take away, and k more.
+    size = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = lacking.join(size, "graph_id", "left").select(F.col("graph_id").alias("query_id"), "query", (F.coalesce("n", F.lit(0)) + 2 * k).alias("most"))
+    scored = cosine_candidates(asked, corpus.select("id", F.col("embedding").alias("vector"))).select(F.col("query_id").alias("graph_id"), "id", F.lit(1).alias("priority"), (F.col("score") * 0.9).alias("score"))
     found = referred.unionByName(scored.join(there, ["graph_id", "id"], "left_anti"))
     best = found.groupBy("graph_id", "id").agg(F.min(F.struct("priority", (-F.col("score")).alias("minus"))).alias("s"))
     w = Window.partitionBy("graph_id").orderBy("s", "id")

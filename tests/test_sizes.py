@@ -90,3 +90,16 @@ def test_quality_by_group_is_that_of_listed_pairs(spark):
     found = spark.createDataFrame([(0, 3), (0, 4), (4, 7)], "query_id long, id long")
     relevant = asked.join(corpus, "group").where("id != query_id").select("query_id", "id")
     assert sorted(map(tuple, R.group_quality(found, asked, corpus).collect())) == sorted(map(tuple, R.retrieval_quality(found, relevant).collect()))
+
+
+def test_cosine_candidates_by_matrix_products(spark, monkeypatch):
+    from ctxloom.operators import retrieval as R
+
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [-1.0, 0.1]), (5, [5.0, 5.0]), (6, [1.0]), (7, [1.0, None])]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0], 7), (2, [0.0, 3.0], 2)], "query_id long, query array<double>, most int")
+    for _ in range(2):
+        got = {(r.query_id, r.id): round(r.score, 6) for r in R.cosine_candidates(queries, corpus).collect()}
+        assert {i: got[1, i] for i in range(1, 8)} == {1: 1.0, 2: 0.0, 3: 0.0, 4: -0.995037, 5: 0.707107, 6: 0.0, 7: 0.0}
+        assert (2, 5) in got and got[2, 5] == 0.707107
+        monkeypatch.setattr(R, "SENT_ROWS", 1)
