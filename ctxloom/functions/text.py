@@ -22,9 +22,36 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: White space of any kind; Python's strip takes four control signs for it besides.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A sign that hardly any text holds.
+_MARK = "\u0001"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACES))
+
+
+def python_strip(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACES + "\x1c\x1d\x1e\x1f"))
+
+
+def split(text: Column, pattern: str) -> Column:
+    """What stands between the matches of a pattern, of a sign at least. A split compiles its pattern for each row, a replacement but once: so
+    matches become a mark first, where the text has none."""
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, F.lit(pattern), -1)).otherwise(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(_MARK)), F.lit(_MARK), -1))
+
+
+def may_hold(text: Column, low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text, in lower case ``low``, may match a pattern for which it needs one of some ASCII words: by ``contains``, and true where it
+    holds a letter that only matches i or s without regard to case."""
+    return reduce(lambda a, b: a | b, [*[F.contains(low, F.lit(w)) for w in words], *[F.contains(text, F.lit(c)) for c in "\u017f\u0131\u0130"]])
+
+
+def padded(n: Column, width: int) -> Column:
+    """A whole number with zeros before it, whole where it is longer."""
+    return F.when(n.between(0, 10 ** (width - 1) - 1), F.lpad(n.cast("string"), width, "0")).otherwise(F.format_string(f"%0{width}d", n))
 
 
 def clamp(value: Column) -> Column:
@@ -235,8 +262,16 @@ def places(text: Column, pattern: str) -> Column:
         return F.when(F.size(pairs) > 0, F.flatten(every["out"])).otherwise(F.array().cast(kind))
 
     def paired(found: Column) -> Column:
-        pieces = F.slice(F.split(text, F.lit(pattern), -1), 1, F.size(found))
-        return once(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), placed)
+        def one(start: Column) -> Column:
+            match = F.get(found, F.lit(0))
+            return F.array(F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match")))
+
+        # Most texts have one match, if any. It begins where its like stands, if nothing else is like it, or where the first piece ends.
+        like = lambda at: F.when(F.position(F.get(found, F.lit(0)), text, at + 1) == 0, at - 1).otherwise(F.length(F.get(split(text, pattern), F.lit(0))))
+        single = once(once(F.position(F.get(found, F.lit(0)), text, F.lit(1)), like), one)
+        pieces = F.slice(split(text, pattern), 1, F.size(found))
+        many = once(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), placed)
+        return F.when(F.size(found) == 0, F.array().cast(kind)).when(F.size(found) == 1, single).otherwise(many)
 
     return once(_all(text, pattern), paired)
 
@@ -253,8 +288,14 @@ def contexts(text: Column, pattern: str, before: int, after: int) -> Column:
 
 def contradiction_flags(text: Column) -> Column:
     """Array of (indicator, snippet): qualifying phrases with up to 30 characters before and 50 after them."""
-    found = F.flatten(F.array(*[contexts(text, f"(?iU){p}", 30, 50) for p in V.QUALIFIERS]))
-    return F.transform(found, lambda x: F.struct(x["match"].alias("indicator"), strip(x["context"]).alias("snippet")))
+    none = F.array().cast("array<struct<match:string,context:string>>")
+
+    def found(x: Column) -> Column:
+        # A pattern is tried only where a word stands that it cannot do without.
+        every = [F.when(x["odd"] | F.contains(x["low"], F.lit(w)), contexts(x["text"], f"(?iU){p}", 30, 50)).otherwise(none) for p, w in V.QUALIFIERS.items()]
+        return F.transform(F.flatten(F.array(*every)), lambda f: F.struct(f["match"].alias("indicator"), strip(f["context"]).alias("snippet")))
+
+    return F.when(text.isNotNull(), once(F.struct(text.alias("text"), F.lower(text).alias("low"), may_hold(text, F.lower(text), ()).alias("odd")), found))
 
 
 def trap_scores(text: Column) -> dict[str, Column]:

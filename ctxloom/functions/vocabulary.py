@@ -36,16 +36,18 @@ SECTION_BREAKS = (
 )
 CONTRACT_BREAKS = (r"\n(?=ARTICLE\s+[IVXLC]+\.?)", r"\n(?=Section\s+\d+\.)", r"\n(?=\d+\.\s+[A-Z][A-Z\s]+)", r"\n(?=[A-Z][A-Z\s]{10,}(?:\n|\.))")
 
-# Phrases that qualify or override.
-QUALIFIERS = (
-    r"\bnotwithstanding\s+(?:the\s+)?(?:foregoing|above|anything)", r"\bsubject\s+to\b", r"\bexcept\s+as\s+(?:provided|set forth|described|otherwise)",
-    r"\bunless\s+otherwise\s+(?:specified|agreed|provided|stated)", r"\bprovided,?\s+however\b", r"\bnotwithstanding\b", r"\bexcluding\b", r"\bin\s+no\s+event\s+shall\b",
-    r"\bto\s+the\s+extent\s+(?:that|permitted)\b",
-)
+# Phrases that qualify or override, each with a word that it has.
+QUALIFIERS = {
+    r"\bnotwithstanding\s+(?:the\s+)?(?:foregoing|above|anything)": "notwithstanding", r"\bsubject\s+to\b": "subject", r"\bexcept\s+as\s+(?:provided|set forth|described|otherwise)": "except",
+    r"\bunless\s+otherwise\s+(?:specified|agreed|provided|stated)": "unless", r"\bprovided,?\s+however\b": "however", r"\bnotwithstanding\b": "notwithstanding", r"\bexcluding\b": "excluding",
+    r"\bin\s+no\s+event\s+shall\b": "event", r"\bto\s+the\s+extent\s+(?:that|permitted)\b": "extent",
+}
 OVERRIDE_PATTERNS = (r"\bnotwithstanding\b", r"\bexcept\s+as\b", r"\bsubject\s+to\b", r"\bprovided\s+however\b", r"\bunless\s+otherwise\b")
 
 # What a contract says on each trap.
 OVERRIDE_SENTENCE = r"(?is)([^.]{0,80}(?:notwithstanding|except as|subject to)[^.]{0,200}\.)"
+#: The phrases of such a sentence, and how many of the signs before its end it can hold at most: 80, a phrase and 200.
+OVERRIDE_PHRASES, OVERRIDE_REACH = ("notwithstanding", "except as", "subject to"), 300
 CLAUSE_SECTION = r"[Ss]ection\s+\d+(?:\.\d+)*(?:\([a-z]\))?"
 PLACEHOLDER_TERMS = ("[***]", "including", "1", "to the extent")
 DEFINITION_SENTENCES = (('"', r'"\s+(?:means|shall\s+mean)\s+([^.]{0,300}\.)'), (r"(?iU)\b", r"\b\s+(?:means|shall\s+mean)\s+([^.]{0,300}\.)"))
