@@ -4,6 +4,7 @@ of annotated questions. Models are functions of columns; the default one is a te
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,11 +130,23 @@ def choose_by_quota(ranked: DataFrame, used: DataFrame, quota: int = 16, first:
 
 
 def override_clause(text: Column) -> Column:
-    """The first sentence with an override phrase: a struct of snippet and section; null without one."""
-    found = F.regexp_replace(F.regexp_extract(text, V.OVERRIDE_SENTENCE, 1), "\n", " ")
-    snippet = F.substring(T.strip(found), 1, 400)
-    section = F.regexp_extract(snippet, V.CLAUSE_SECTION, 0)
-    return F.when(found != "", F.struct(snippet.alias("snippet"), F.when(section == "", "relevant section").otherwise(section).alias("section")))
+    """The first sentence with an override phrase: a struct of snippet and section; null without one.
+
+    A match stands before a full stop and reaches back so far at most: only the ends of sentences that hold a phrase are searched.
+    """
+    holds = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in V.OVERRIDE_PHRASES])
+
+    def first(sentences: Column) -> Column:
+        ends = F.transform(F.slice(sentences, 1, F.size(sentences) - 1), lambda s: F.concat(F.right(s, F.lit(V.OVERRIDE_REACH)), F.lit(".")))
+        found = F.transform(F.filter(ends, lambda s: holds(F.lower(s))), lambda s: F.regexp_extract(s, V.OVERRIDE_SENTENCE, 1))
+        return F.get(F.filter(found, lambda s: s != ""), F.lit(0))
+
+    def clause(found: Column) -> Column:
+        snippet = F.substring(T.strip(F.regexp_replace(found, "\n", " ")), 1, 400)
+        section = F.regexp_extract(snippet, V.CLAUSE_SECTION, 0)
+        return F.when(found.isNotNull(), F.struct(snippet.alias("snippet"), F.when(section == "", "relevant section").otherwise(section).alias("section")))
+
+    return F.when(holds(F.lower(text)), T.once(T.once(F.split(text, r"\.", -1), first), clause))
 
 
 def definition_clause(text: Column) -> Column:
@@ -150,7 +163,7 @@ def definition_clause(text: Column) -> Column:
 def scattered_sections(text: Column) -> Column:
     """The first five section numbers, each once; null for fewer than three."""
     found = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(V.SCATTERED_SECTION), 1)), 1, 5)
-    return F.when(F.size(found) >= 3, found)
+    return F.when(T.may_hold(text, F.lower(text), ("section", "article")), T.once(found, lambda f: F.when(F.size(f) >= 3, f)))
 
 
 def _evidence(text: Column, trap: Column) -> Column:

@@ -133,8 +133,8 @@ def trap_content(spark, d):
     """What each text says that overrides something, and whether it refers to three sections or more."""
     from ctxloom.operators import answering as A
 
-    c = A.override_clause(F.col("text"))
-    return _texts(spark, d).select("id", c["snippet"].alias("snippet"), c["section"].alias("section"), A.scattered_sections(F.col("text")).isNotNull().alias("scattered"))
+    rows = _texts(spark, d).select("id", A.override_clause(F.col("text")).alias("c"), A.scattered_sections(F.col("text")).isNotNull().alias("scattered"))
+    return rows.select("id", F.col("c.snippet").alias("snippet"), F.col("c.section").alias("section"), "scattered")
 
 
 @query()
