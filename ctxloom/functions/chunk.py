@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.functions import vocabulary as V
-from ctxloom.functions.text import section_id, strip
+from ctxloom.functions.text import once, padded, python_strip, section_id, split, strip
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
 def sections(text: Column) -> Column:
     """The stripped parts over 50 characters, by the first pattern that gives three at least; null if none does."""
-    split = [F.filter(F.transform(F.split(text, p, -1), strip), lambda s: F.length(s) > 50) for p in V.SECTION_BREAKS]
-    return reduce(lambda a, b: F.coalesce(a, b), [F.when(F.size(s) >= 3, s) for s in split])
+    three = lambda parts: F.when(F.size(parts) >= 3, parts)
+    found = [once(F.filter(F.transform(split(text, p), strip), lambda s: F.length(s) > 50), three) for p in V.SECTION_BREAKS]
+    # Only a text that holds two breaks at least is cut into three parts.
+    return F.coalesce(*[F.when(F.regexp_count(text, F.lit(p)) >= 2, f) for p, f in zip(V.SECTION_BREAKS, found, strict=True)])
 
 
 def recursive_split(text: str, size: int = 500, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -56,10 +58,10 @@ def splitter(size: int, overlap: int, largest: int):
     functions do not express well. Texts of at most ``largest`` characters stay whole."""
 
     @F.pandas_udf("array<array<string>>")
-    def split(bodies: pd.Series) -> pd.Series:
+    def again(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda parts: None if parts is None else [[t] if len(t) <= largest else recursive_split(t, size, overlap) for t in parts])
 
-    return split
+    return again
 
 
 def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 100, largest: int = 1000) -> DataFrame:
@@ -69,18 +71,28 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 100, l
     heading; texts without sections are split by size. One map over the rows: a repeated row gives its chunks again.
     """
     full = documents.select("id", "title", F.concat_ws("\n", "title", "text").alias("full")).withColumn("parts", sections(F.col("full")))
-    cut = full.select("id", "title", "parts", splitter(size, overlap, largest)("parts").alias("cut"), splitter(size, overlap, 0)(F.when(F.col("parts").isNull(), F.array("full"))).alias("plain"))
-    heading = lambda body: strip(F.substring(F.element_at(F.split(body, "\n"), 1), 1, 100))
+    # Python gets only what has to be split again.
+    long, short = F.exists("parts", lambda p: F.length(p) > largest), F.length("full") <= size
+    cut = full.select(
+        "id", "title", "parts", F.when(F.col("parts").isNull() & short, python_strip(F.col("full"))).alias("whole"),
+        splitter(size, overlap, largest)(F.when(long, F.col("parts"))).alias("cut"), splitter(size, overlap, 0)(F.when(F.col("parts").isNull() & ~short, F.array("full"))).alias("plain"),
+    )
+    one = lambda t: F.filter(F.array(t), lambda x: x != "")
+    cut = cut.select("id", "title", "parts", F.coalesce("cut", F.transform("parts", lambda p: F.array(p))).alias("cut"), F.coalesce("plain", F.array(one(F.col("whole")))).alias("plain"))
+    heading = lambda body: strip(F.substring(F.substring_index(body, "\n", 1), 1, 100))
 
     def section(body: Column, pieces: Column) -> Column:
-        named = F.when(F.length(body) <= largest, pieces).otherwise(F.transform(pieces, lambda p: F.concat(F.lit("["), heading(body), F.lit("]\n"), p)))
-        return F.transform(named, lambda p: F.struct(p.alias("text"), section_id(heading(body)).alias("section_id"), heading(body).alias("section_heading")))
+        def placed(h: Column) -> Column:
+            named = F.when(F.length(body) <= largest, pieces).otherwise(F.transform(pieces, lambda p: F.concat(F.lit("["), h["heading"], F.lit("]\n"), p)))
+            return F.transform(named, lambda p: F.struct(p.alias("text"), h["id"].alias("section_id"), h["heading"].alias("section_heading")))
+
+        return once(once(heading(body), lambda h: F.struct(h.alias("heading"), section_id(h).alias("id"))), placed)
 
     sectioned = F.flatten(F.zip_with("parts", "cut", section))
     plain = F.transform(F.flatten("plain"), lambda p: F.struct(p.alias("text"), F.lit(None).cast("string").alias("section_id"), F.lit(None).cast("string").alias("section_heading")))
     out = cut.select("id", "title", F.posexplode(F.coalesce(sectioned, plain)).alias("chunk_index", "c"))
     return out.select(
-        F.format_string("%s_chunk_%03d", "id", "chunk_index").alias("id"), "c.text", F.col("id").alias("source_doc_id"), F.col("title").alias("source_title"), "chunk_index", "c.section_id", "c.section_heading"
+        F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("_chunk_"), padded(F.col("chunk_index"), 3)).alias("id"), "c.text", F.col("id").alias("source_doc_id"), F.col("title").alias("source_title"), "chunk_index", "c.section_id", "c.section_heading"
     )
 
 

@@ -1,12 +1,17 @@
 """What is moved and made anew does not grow faster than the tables."""
 
 import os
+import random
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ctxloom.functions import chunk as C
 from ctxloom.functions import text as T
+from ctxloom.functions import vocabulary as V
+from ctxloom.operators import answering as A
 from ctxloom.operators import graph as G
 
 
@@ -103,3 +108,42 @@ def test_cosine_candidates_by_matrix_products(spark, monkeypatch):
         assert {i: got[1, i] for i in range(1, 8)} == {1: 1.0, 2: 0.0, 3: 0.0, 4: -0.995037, 5: 0.707107, 6: 0.0, 7: 0.0}
         assert (2, 5) in got and got[2, 5] == 0.707107
         monkeypatch.setattr(R, "SENT_ROWS", 1)
+
+
+def test_a_qualifier_is_tried_only_where_its_word_stands(spark, monkeypatch):
+    monkeypatch.setattr(V, "QUALIFIERS", {r"\bfees\b": "due", r"\bdue\b": "due"})
+    rows = spark.createDataFrame([(1, "No fees."), (2, "Fees are due."), (3, "feeſ, if ıt be"), (4, None)], "id int, t string")
+    got = [(r[0], r[1]) for r in rows.select("id", F.inline(T.contradiction_flags(F.col("t")))).collect()]
+    assert got == [(2, "Fees"), (2, "due"), (3, "feeſ")]
+
+
+def test_places_of_single_matches_among_their_like(spark):
+    texts = ["resubject to x subject to y", "\U0001d400ä subject to \U0001d400", "a\u0001subject to", "subject to and Subject to", "none", "subject tot subject to subject tot", ""]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r[0]: [tuple(p) for p in r[1]] for r in rows.select("k", T.places(F.col("t"), r"(?iU)\bsubject\s+to\b")).collect()}
+    assert got == {k: [(*m.span(), m.group()) for m in re.finditer(r"(?i)\bsubject\s+to\b", t)] for k, t in enumerate(texts)}
+
+
+def test_sentences_without_an_override_phrase_are_not_searched(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["subject to", "Notwithstanding", "except as", "a", ".", " ", "\n", "x" * 40, "ä\U0001d400" * 30, "y" * 150, "Section 4.2(b)"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    wanted = F.nullif(F.substring(F.regexp_replace(F.regexp_replace(F.regexp_extract("t", V.OVERRIDE_SENTENCE, 1), "\n", " "), r"(?U)^\s+|\s+$", ""), 1, 400), F.lit(""))
+    got = rows.select(wanted.alias("a"), A.override_clause(F.col("t"))["snippet"].alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and sum(r["a"] is not None for r in got) > 50
+    monkeypatch.setattr(V, "OVERRIDE_SENTENCE", r"(.*\.)")
+    assert spark.createDataFrame([("Nothing. At all.",)], "t string").select(A.override_clause(F.col("t"))["snippet"]).first()[0] is None
+
+
+def test_only_texts_that_are_split_again_reach_python(spark, monkeypatch):
+    def marked(*_):
+        return F.pandas_udf(lambda bodies: bodies.map(lambda b: None if b is None else [["seen"] for _ in b]), "array<array<string>>")
+
+    text = "".join(f"\nSection {k}. Goods are delivered where the buyer has a warehouse of their own. \n" for k in range(3))
+    rows = spark.createDataFrame([("1", "T", text), ("2", "T", "short \n"), ("3", "T", "long " * 200), ("4", "T", text.replace("own.", "own. " + "more " * 250))], "id string, title string, text string")
+    before = {r["id"]: r["text"] for r in C.chunk_documents(rows).collect()}
+    assert before["2_chunk_000"] == "T\nshort" and before["1_chunk_002"].endswith("their own.") and len(before) > 12
+    monkeypatch.setattr(C, "splitter", marked)
+    got = C.chunk_documents(rows).groupBy("source_doc_id").agg(F.max(F.contains("text", F.lit("seen"))).alias("seen")).collect()
+    assert {r[0]: r[1] for r in got} == {"1": False, "2": False, "3": True, "4": True}
