@@ -12,6 +12,7 @@ from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 from ctxloom.operators import retrieval as R
 from ctxloom.operators.answering import Generator, template_generator
+from ctxloom.sources.tables import written
 
 #: From a text to its vector; another model is another function of a column.
 Embedder = Callable[[Column], Column]
@@ -88,27 +89,45 @@ def graph_documents(documents: DataFrame, query_entities: DataFrame, k: int = 5)
     return documents.select("id", F.explode(F.array_distinct("entities")).alias("entity")).join(wanted, "entity").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tfidf(documents: DataFrame) -> DataFrame:
-    """id, term and weight of TF-IDF vectors of length 1, as rows: words of two signs or more, in lower case, idf ln((1 + N) / (1 + df)) + 1."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
-    tf = documents.select("id", F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
+
+
+#: Terms that may be sent to all executors.
+SENT_TERMS = 1_000_000
+
+
+def _raw(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, term, raw) of all documents, and (term, idf). Texts are dealt by document once; counts are made where a document is, and the idf of
+    terms is sent there, or joined where there are too many of them."""
+    dealt = documents.select("id", "text").repartition("id")
+    tf = dealt.select("id", F.explode(_words(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = documents.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), F.lit(True))  # n is one row
-    raw = tf.join(df, "term").withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    idf = written(df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    sent = F.broadcast(idf) if idf.limit(SENT_TERMS + 1).count() <= SENT_TERMS else idf
+    return tf.join(sent, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("raw")), idf
+
+
+def tfidf(documents: DataFrame) -> DataFrame:
+    """id, term and weight of TF-IDF vectors of length 1, as rows: words of two signs or more, in lower case, idf ln((1 + N) / (1 + df)) + 1."""
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("raw") / length).alias("weight"))
+    return _raw(documents)[0].select("id", "term", (F.col("raw") / length).alias("weight"))
 
 
 def tfidf_similar(documents: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, id, score and rank: the k documents nearest to each query (query_id, text) by the cosine of their TF-IDF vectors,
-    among those that share a word with it. A query's words are weighted by the documents' idf; words that no document has do not count."""
-    n = documents.agg(F.count(F.lit(1)).alias("n"))
-    words = lambda text: F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    df = documents.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = asked.join(df.join(F.broadcast(n), F.lit(True)), "term").withColumn("q", F.col("qf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    known = known.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id"))))
-    scored = tfidf(documents).join(known.select("query_id", "term", "q"), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    among those that share a word with it. A query's words are weighted by the documents' idf; words that no document has do not count.
+    Of a document only its length and the queries' words are kept."""
+    raw, idf = _raw(documents)
+    asked = queries.select("query_id", F.explode(_words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    known = asked.join(idf, "term").withColumn("q", F.col("qf") * F.col("idf"))
+    known = written(known.select("query_id", "term", (F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id")))).alias("q")))
+    terms = known.select("term").distinct().withColumn("asked", F.lit(True))
+    terms = F.broadcast(terms) if terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS else terms
+    kept = raw.join(terms, "term", "left").groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("kept"))
+    weights = kept.select("id", "length", F.inline("kept")).select("id", "term", (F.col("raw") / F.col("length")).alias("weight"))
+    scored = weights.join(known, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

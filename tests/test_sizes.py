@@ -1,5 +1,6 @@
 """What is moved and made anew does not grow faster than the tables."""
 
+import math
 import os
 import random
 import re
@@ -12,6 +13,7 @@ from ctxloom.functions import chunk as C
 from ctxloom.functions import text as T
 from ctxloom.functions import vocabulary as V
 from ctxloom.operators import answering as A
+from ctxloom.operators import baselines as B
 from ctxloom.operators import graph as G
 
 
@@ -147,3 +149,23 @@ def test_only_texts_that_are_split_again_reach_python(spark, monkeypatch):
     monkeypatch.setattr(C, "splitter", marked)
     got = C.chunk_documents(rows).groupBy("source_doc_id").agg(F.max(F.contains("text", F.lit("seen"))).alias("seen")).collect()
     assert {r[0]: r[1] for r in got} == {"1": False, "2": False, "3": True, "4": True}
+
+
+def test_weights_of_terms_move_texts_but_once(spark, monkeypatch):
+    rows = [(1, "The cat, the dog_2 a"), (1, "cats é x"), (2, "Über über ΣΑΣ the"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    found = B.tfidf(docs)
+    assert "hashpartitioning(term" not in found._jdf.queryExecution().executedPlan().toString()
+    tf = {1: {"the": 2, "cat": 1, "dog_2": 1, "cats": 1}, 2: {"über": 2, "σας": 1, "the": 1}}
+    df = {t: sum(t in d for d in tf.values()) for d in tf.values() for t in d}
+    raw = {(k, t): c * (math.log(6 / (1 + df[t])) + 1) for k, d in tf.items() for t, c in d.items()}
+    want = {(k, t): v / math.sqrt(sum(w * w for (j, _), w in raw.items() if j == k)) for (k, t), v in raw.items()}
+    asked = spark.createDataFrame([(7, "the cat cat unseen"), (8, "unseen")], "query_id int, text string")
+    q = {"the": math.log(6 / 3) + 1, "cat": 2 * (math.log(6 / 2) + 1)}
+    score = {k: sum(want.get((k, t), 0) * v for t, v in q.items()) / math.hypot(*q.values()) for k in (1, 2)}
+    for most in (B.SENT_TERMS, 0):  # with terms sent, and joined
+        monkeypatch.setattr(B, "SENT_TERMS", most)
+        got = {(r["id"], r["term"]): r["weight"] for r in B.tfidf(docs).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        top = {(r["query_id"], r["id"]): r["score"] for r in B.tfidf_similar(docs, asked).collect()}
+        assert top.keys() == {(7, 1), (7, 2)} and all(abs(top[7, k] - score[k]) < 1e-12 for k in score)
