@@ -169,3 +169,12 @@ def test_weights_of_terms_move_texts_but_once(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
         top = {(r["query_id"], r["id"]): r["score"] for r in B.tfidf_similar(docs, asked).collect()}
         assert top.keys() == {(7, 1), (7, 2)} and all(abs(top[7, k] - score[k]) < 1e-12 for k in score)
+
+
+def test_shared_terms_are_weighed_without_maps(spark):
+    rows = [("g", k, f"n{k}", t, f"b{k}", 0, None, [1.0, 0.0] if k else [0.0, 1.0]) for k, t in enumerate(("alpha beta gamma common", "gamma beta delta common"))]
+    nodes = spark.createDataFrame(rows, "graph_id string, pos int, id string, text string, base string, chunk int, section string, embedding array<double>")
+    idf = spark.createDataFrame([("alpha", 9.0), ("beta", 1.25), ("gamma", 1.0 / 3 + 1), ("delta", 2.0), ("common", 0.5)], "term string, idf double")
+    assert "map<" not in G._with_terms(nodes, idf).schema.simpleString()
+    weight = G.build_edges(nodes, idf=idf).first()["weight"]
+    assert abs(weight - 0.35 * (1.25 + 4 / 3) / (4 / 3 * 3)) < 1e-15
