@@ -181,10 +181,15 @@ def unit_covered(answer: Column, unit: Column) -> Column:
     return once(both, lambda x: (F.size(x["needed"]) == 0) | (F.size(F.filter(x["needed"], lambda w: F.contains(x["low"], w))) >= 0.6 * F.size(x["needed"])))
 
 
+def needed_words(query: Column) -> Column:
+    """The query's words of over three characters, punctuation and all, each once. They hold no white space, so what stands in texts that a
+    space joins stands in one of these."""
+    return F.array_distinct(F.filter(words(F.lower(query)), lambda w: F.length(w) > 3))
+
+
 def query_coverage(text: Column, query: Column) -> Column:
     """The share of the query's words of over three characters, punctuation and all, that stand in the text; 1 without any."""
-    needed = F.array_distinct(F.filter(words(F.lower(query)), lambda w: F.length(w) > 3))
-    both = F.struct(F.lower(text).alias("low"), needed.alias("needed"))
+    both = F.struct(F.lower(text).alias("low"), needed_words(query).alias("needed"))
     return once(both, lambda x: F.when(F.size(x["needed"]) == 0, 1.0).otherwise(F.size(F.filter(x["needed"], lambda w: F.contains(x["low"], w))) / F.size(x["needed"])))
 
 

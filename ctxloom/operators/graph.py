@@ -28,6 +28,11 @@ def node_pairs(nodes: DataFrame, block: str = "graph_id") -> DataFrame:
     return a.join(b, block).where("a.pos < b.pos")
 
 
+def beside(a: Column, b: Column) -> Column:
+    """What is known of two light nodes of a graph: n entities in common, and their similarity sim. It stands with one of them."""
+    return F.coalesce(F.try_element_at(a["beside"], b["own"]), F.try_element_at(b["beside"], a["own"]))
+
+
 def shared_entity_part(a: Column, b: Column, weighed: bool = False, full: Column | float = V.EDGE_SHARED_ENTITIES) -> Column:
     """The shared entities' share of the greatest expected overlap: by idf sums where entities are ``weighed`` (``full`` times the
     greatest idf of a shared one is a full overlap), else by count."""
@@ -45,6 +50,8 @@ def shared_entity_part(a: Column, b: Column, weighed: bool = False, full: Column
 def _with_terms(nodes: DataFrame, idf: DataFrame | None) -> DataFrame:
     """Nodes with their entities in place of their texts, and the length of their vectors; with ``idf`` (term, idf) only entities that are
     rare enough, each with its idf behind it, so that what two nodes share is found and weighed without a look into a map."""
+    if "beside" in nodes.columns:  # light nodes of the policy: what stands between them is known
+        return nodes.drop("parts", "tokens", "found", "alike", "relevance", "near")
     vector = X.double(F.col("embedding"))
     known = nodes.withColumns({"entities": T.entities(F.col("text")), "embedding": vector, "length": X.norm(vector)}).drop("text")
     if idf is None:
@@ -77,9 +84,13 @@ def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, we
     p = {n: F.coalesce(F.try_element_at(a["parameters"], F.lit(n)), F.lit(float(v))) if own else F.lit(float(v)) for n, v in usual.items()}
     same = a["base"] == b["base"]
     near = same & (F.abs(a["chunk"] - b["chunk"]) == 1)
-    sim = X.cosine(a["embedding"], b["embedding"], a["length"], b["length"])
     sections = F.coalesce(F.nullif(a["section"], F.lit("")) == F.nullif(b["section"], F.lit("")), F.lit(True))
-    overlap = shared_entity_part(a["entities"], b["entities"], weighed, p["shared_entities"])
+    if "beside" in pairs.schema["a"].dataType.names:
+        known = beside(a, b)
+        overlap, sim = F.least(known["n"] / p["shared_entities"], F.lit(1.0)), known["sim"]
+    else:
+        sim = X.cosine(a["embedding"], b["embedding"], a["length"], b["length"])
+        overlap = shared_entity_part(a["entities"], b["entities"], weighed, p["shared_entities"])
     made = F.struct(overlap.alias("overlap"), sim.alias("sim"), same.alias("same"), near.alias("near"), sections.alias("sections"))
 
     def scored(x: Column) -> Column:
@@ -286,7 +297,7 @@ def prune(nodes: DataFrame, edges: DataFrame, queries: DataFrame, critical: Data
     rows = rows.join(needed, ["graph_id", "id"], "left")
     x = F.coalesce("x", F.lit(False))
     worth = (
-        X.cosine(X.double(F.col("embedding")), X.double(F.col("query"))) + F.when(x, 0.5).otherwise(0.0)
+        (F.col("relevance") if "relevance" in nodes.columns else X.cosine(X.double(F.col("embedding")), X.double(F.col("query")))) + F.when(x, 0.5).otherwise(0.0)
         + F.when(x & (F.col("degree") >= 3), 0.3).otherwise(0.0) + F.when(F.coalesce("needed", F.lit(False)), 0.4).otherwise(0.0)
     )
     ranked = rows.select("graph_id", "id", F.row_number().over(Window.partitionBy("graph_id").orderBy(worth, "pos")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("graph_id")).alias("n"))
@@ -316,16 +327,24 @@ def semantic_score(nodes: DataFrame, queries: DataFrame, scorer=X.entailment) ->
     return rows.select("graph_id", F.when(known, scorer(F.col("premise"), F.col("query"))).otherwise(0.5).alias("semantic"))
 
 
+def near_subqueries(nodes: DataFrame, subqueries: DataFrame, name: str) -> DataFrame:
+    """graph_id, subquery_id, id, pos and the similarity of each node to each subquery; light nodes of the policy know it."""
+    if "near" in nodes.columns:
+        return nodes.select("graph_id", "id", "pos", F.explode("near").alias("x")).select("graph_id", "x.subquery_id", "id", "pos", F.col("x.s").alias(name))
+    return nodes.join(subqueries, "graph_id").select("graph_id", "subquery_id", "id", "pos", X.cosine(X.double(F.col("embedding")), X.double(F.col("vector"))).alias(name))
+
+
 def critical_nodes(nodes: DataFrame, subqueries: DataFrame, least: float = 0.35) -> DataFrame:
     """graph_id and id of the best node of each subquery (graph_id, subquery_id, vector) from ``least`` on, and of its second best if that reaches 0.8 of the best."""
-    scored = nodes.join(subqueries, "graph_id").select("graph_id", "subquery_id", "id", "pos", X.cosine(X.double(F.col("embedding")), X.double(F.col("vector"))).alias("score"))
+    scored = near_subqueries(nodes, subqueries, "score")
     w = Window.partitionBy("graph_id", "subquery_id").orderBy(F.desc("score"), "pos")
     ranked = scored.withColumns({"r": F.row_number().over(w), "best": F.first("score").over(w)})
     return ranked.where((F.col("r") <= 2) & (F.col("score") >= least) & ((F.col("r") == 1) | (F.col("score") >= 0.8 * F.col("best")))).select("graph_id", "id").distinct()
 
 
-def compress(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(graph_id, id, text) after merging, in order of ids, each node into the first kept one of token similarity ``threshold`` or more.
+def compress(nodes: DataFrame, threshold: float = 0.5, members: bool = False) -> DataFrame:
+    """(graph_id, id, text) after merging, in order of ids, each node into the first kept one of token similarity ``threshold`` or more;
+    with ``members`` also the ids that went into a node, in their order.
 
     The text that a node has grown to counts for the next comparison, so the nodes of a graph are folded one by one; graphs
     hold some ten nodes, and run apart from each other.
@@ -342,13 +361,15 @@ def compress(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
                 union = own | k[2]
                 if not union or len(own & k[2]) / len(union) >= threshold:
                     k[1], k[2] = f"{k[1]} {text}", union
+                    k[3].append(name)
                     break
             else:
-                kept.append([name, text, own])
-        return group.iloc[: len(kept)].assign(id=[k[0] for k in kept], text=[k[1] for k in kept])[["graph_id", "id", "text"]]
+                kept.append([name, text, own, [name]])
+        out = group.iloc[: len(kept)].assign(id=[k[0] for k in kept], text=[k[1] for k in kept], members=[k[3] for k in kept])
+        return out[["graph_id", "id", "text", *(["members"] if members else [])]]
 
     kind = nodes.schema
-    schema = f"graph_id {kind['graph_id'].dataType.simpleString()}, id {kind['id'].dataType.simpleString()}, text string"
+    schema = f"graph_id {kind['graph_id'].dataType.simpleString()}, id {kind['id'].dataType.simpleString()}, text string" + (f", members array<{kind['id'].dataType.simpleString()}>" if members else "")
     return nodes.select("graph_id", "id", "text").groupBy("graph_id").applyInPandas(fold, schema)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
-from ctxloom.operators.graph import connectivity, node_pairs
+from ctxloom.operators.graph import beside, connectivity, near_subqueries, node_pairs
 
 
 def sigmoid(x: Column) -> Column:
@@ -21,10 +21,13 @@ def capped_pairs(nodes: DataFrame) -> DataFrame:
     """graph_id and sim of the first 50 pairs, in order, of nodes less than ten places apart."""
     placed = nodes.withColumn("i", F.row_number().over(Window.partitionBy("graph_id").orderBy("pos")) - 1)
     # Only neighbours can be among them: bounded by the window, not by the square of a graph.
+    light = "beside" in nodes.columns
+    placed = placed.select("graph_id", "i", (F.struct("own", "beside") if light else F.col("embedding")).alias("embedding"))
     a = placed.where(F.col("i") < V.PAIR_CAP).select("graph_id", F.col("i").alias("ai"), F.col("embedding").alias("ae"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + V.PAIR_WINDOW - 1)).alias("i"))
-    pairs = a.join(placed.select("graph_id", "i", "embedding"), ["graph_id", "i"])
+    pairs = a.join(placed, ["graph_id", "i"])
     ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("graph_id").orderBy("ai", "i"))).where(F.col("r") <= V.PAIR_CAP)
-    return ranked.select("graph_id", X.cosine(X.double(F.col("ae")), X.double(F.col("embedding"))).alias("sim"))
+    sim = beside(F.col("ae"), F.col("embedding"))["sim"] if light else X.cosine(X.double(F.col("ae")), X.double(F.col("embedding")))
+    return ranked.select("graph_id", sim.alias("sim"))
 
 
 def subquery_coverage(nodes: DataFrame, subqueries: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -33,7 +36,7 @@ def subquery_coverage(nodes: DataFrame, subqueries: DataFrame, entities: DataFra
     ``subqueries`` are (graph_id, subquery_id, vector); ``entities`` (graph_id, entities array), 0.5 where there are none. A subquery
     to which no node is similar has no best node.
     """
-    scored = nodes.join(subqueries, "graph_id").select("graph_id", "subquery_id", "id", "pos", X.cosine(X.double(F.col("embedding")), X.double(F.col("vector"))).alias("s"))
+    scored = near_subqueries(nodes, subqueries, "s")
     best = scored.groupBy("graph_id", "subquery_id").agg(F.greatest(F.lit(0.0), F.max("s")).alias("top"), F.when(F.max("s") > 0, F.max_by("id", F.struct("s", -F.col("pos")))).alias("best"))
     mean = best.groupBy("graph_id").agg((0.6 * F.avg("top") + 0.4 * F.count_distinct("best") / F.count(F.lit(1))).alias("part"))
     if entities is None:
@@ -45,19 +48,23 @@ def subquery_coverage(nodes: DataFrame, subqueries: DataFrame, entities: DataFra
 
 def features(nodes: DataFrame, edges: DataFrame, queries: DataFrame, subqueries: DataFrame | None = None, budget: int = V.TOKEN_BUDGET) -> DataFrame:
     """One row for each graph of ``queries`` (graph_id, query text, vector) with the features of the score; subquery_coverage is
-    null where no subqueries are given. Graphs without nodes have relevance 0 and cohesion 1."""
-    rows = nodes.join(queries.select("graph_id", "query", "vector"), "graph_id")
-    sim = X.cosine(X.double(F.col("embedding")), X.double(F.col("vector")))
+    null where no subqueries are given. Graphs without nodes have relevance 0 and cohesion 1. Light nodes of the policy hold counts in place
+    of texts, and their queries the number of words that they need."""
+    light = "found" in nodes.columns
+    rows = nodes.join(queries.select("graph_id", *(["needed"] if light else ["query", "vector"])), "graph_id")
+    sim = F.col("relevance") if light else X.cosine(X.double(F.col("embedding")), X.double(F.col("vector")))
     one = rows.groupBy("graph_id").agg(
-        F.avg(sim).alias("query_relevance"), F.avg((sim > 0.5).cast("double")).alias("answer_density"), F.sum(T.token_count(F.col("text"))).alias("tokens"),
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("all_text"), F.first("query").alias("q"),
+        F.avg(sim).alias("query_relevance"), F.avg((sim > 0.5).cast("double")).alias("answer_density"), F.sum("tokens" if light else T.token_count(F.col("text"))).alias("tokens"),
+        *([F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_found"), F.first("needed").alias("needed")] if light else
+          [F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("all_text"), F.first("query").alias("q")]),
     )
+    coverage = F.when(F.col("needed") == 0, 1.0).otherwise(F.col("n_found") / F.col("needed")) if light else T.query_coverage(F.col("all_text"), F.col("q"))
     pairs = capped_pairs(nodes).groupBy("graph_id").agg(F.avg("sim").alias("context_cohesion"), F.avg((F.col("sim") > V.NEAR_DUPLICATE).cast("double")).alias("redundancy"))
     out = queries.select("graph_id").join(one, "graph_id", "left").join(pairs, "graph_id", "left").join(connectivity(nodes, edges), "graph_id", "left")
     out = out.select(
         "graph_id", F.coalesce("query_relevance", F.lit(0.0)).alias("query_relevance"), F.coalesce("context_cohesion", F.lit(1.0)).alias("context_cohesion"),
         F.coalesce("redundancy", F.lit(0.0)).alias("redundancy"), F.coalesce("connectivity", F.lit(1.0)).alias("graph_connectivity"),
-        F.coalesce(T.query_coverage(F.col("all_text"), F.col("q")), F.lit(0.0)).alias("coverage"),
+        F.coalesce(coverage, F.lit(0.0)).alias("coverage"),
         F.when(F.coalesce("tokens", F.lit(0)) == 0, 1.0).otherwise(F.least(F.lit(1.0), budget / F.col("tokens"))).alias("token_efficiency"),
         F.coalesce("answer_density", F.lit(0.0)).alias("answer_density"),
     )
