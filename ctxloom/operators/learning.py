@@ -145,7 +145,8 @@ def policy_trials(
     asked = write(each(whole))
     started = each(nodes.join(whole.select("graph_id"), "graph_id", "left_semi"))
     final, trace = P.optimise(write(started), corpus, references, asked, policy, write, None if subqueries is None else each(subqueries), P.Rules(edges, scored))
-    reached = S.features(final, edges(final, references), asked)
+    # Neither relevance nor coverage looks at edges.
+    reached = S.features(final, spark.createDataFrame([], "graph_id string, weight double"), asked)
     rewards = reached.select(trial_of(F.col("graph_id")).alias("trial"), ((F.col("query_relevance") + F.col("coverage")) / 2).alias("reward"))
     means = rewards.groupBy("trial").agg(F.avg("reward").alias("mean_reward"), F.count(F.lit(1)).alias("graphs"))
     out = drawn.join(means, "trial", "left").select("trial", "parameters", "mean_reward", F.coalesce("graphs", F.lit(0)).alias("graphs"), F.lit(failed).cast("long").alias("errors"))
