@@ -12,8 +12,8 @@ import hashlib
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "seq long, op string, doc_id string, text string, ts timestamp, accept boolean"
@@ -54,29 +54,24 @@ class DocumentLog(StatefulProcessor):
         self.versions = handle.getListState("versions", VERSION)
         self.waiting = handle.getListState("waiting", _WAITING)
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: Any) -> None:
         """A document of a table that the stream goes on from."""
-        r = initialState.iloc[0]
+        r = initialState
         self.row.update((int(r["version"]), r["text_hash"], bool(r["active"]), r["text"], int(r["seq"])))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        came = []
-        for part in rows:
-            at = (part["ts"].astype("int64") // {"ns": 1_000_000, "us": 1000, "ms": 1}[part["ts"].dt.unit]).tolist()
-            texts = [None if pd.isna(t) else t for t in part["text"]]
-            accepts = [None if pd.isna(a) else bool(a) for a in part["accept"]]
-            came += [(int(s), o, t, a, c) for s, o, t, a, c in zip(part["seq"], part["op"], texts, at, accepts, strict=True) if o != TICK]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        came = [(r["seq"], r["op"], r["text"], r["at"], r["accept"]) for r in rows if r["op"] != TICK]
         if came:
             self.waiting.appendList(came)
             self.handle.registerTimer(min(e[3] for e in came))
-        yield pd.DataFrame()
+        return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         """Events whose time the watermark has passed are applied; for the rest the next time is set."""
         now = timerValues.getCurrentWatermarkInMs()
         events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[0])
         ready, later = [e for e in events if e[3] <= now], [e for e in events if e[3] > now]
-        row = tuple(self.row.get()) if self.row.exists() else (0, None, False, None, None)
+        row = tuple(self.row.get() or (0, None, False, None, None)) if ready else (0, None, False, None, None)
         out = []
         for e in ready:
             row, action = folded(row, e)
@@ -94,7 +89,7 @@ class DocumentLog(StatefulProcessor):
                 self.waiting.clear()
         if later:
             self.handle.registerTimer(min(e[3] for e in later))
-        yield pd.DataFrame(out, columns=["doc_id", "seq", "action", "version", "text_hash", "text"]).astype({"version": "Int32"})
+        return (Row(doc_id=d, seq=s, action=a, version=v, text_hash=m, text=t) for d, s, a, v, m, t in out)
 
     def close(self) -> None:
         pass
@@ -106,9 +101,9 @@ def document_log(events: DataFrame, delay: str = "1 hour", start: DataFrame | No
     ``delay`` is how much later than the latest event an event may come. ``start`` (doc_id and ROW) is a table to go on from.
     """
     use_store(events.sparkSession)
-    timed = events.withWatermark("ts", delay).groupBy("doc_id")
+    timed = events.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts")).groupBy("doc_id")
     initial = None if start is None else start.groupBy("doc_id")
-    return timed.transformWithStateInPandas(statefulProcessor=DocumentLog(), outputStructType=RESULT, outputMode="Append", timeMode="EventTime", initialState=initial)
+    return timed.transformWithState(statefulProcessor=DocumentLog(), outputStructType=RESULT, outputMode="Append", timeMode="EventTime", initialState=initial)
 
 
 def use_store(spark: SparkSession) -> None:

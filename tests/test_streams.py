@@ -91,3 +91,17 @@ def test_late_slices_are_really_dropped(spark, name):
     events, _ = streams.slices(spark, SF)
     by = {r.arrives: r.n for r in events.groupBy("arrives").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert set(by) == {0, 1, 2, 3, 4} and by[4] >= 5 and by[3] >= 5
+
+
+def test_documents_are_folded_without_data_frames(spark):
+    """A document's few events come as rows: a data frame for each document of each batch costs more than its events. A row is read only for events to apply."""
+    from types import SimpleNamespace as N
+
+    log, calls = K.DocumentLog(), []
+    log.handle = N(registerTimer=calls.append)
+    log.waiting = N(appendList=calls.append, get=lambda: iter([(3, "update", "x", 90, None)]))
+    log.row = N(get=lambda: pytest.fail("no event is ready"), exists=lambda: pytest.fail("no event is ready"))
+    rows = [{"seq": 3, "op": "update", "text": "x", "at": 90, "accept": None}, {"seq": -1, "op": K.TICK, "text": None, "at": 95, "accept": None}]
+    assert list(log.handleInputRows(("a",), iter(rows), None)) == []
+    assert calls == [[(3, "update", "x", 90, None)], 90]
+    assert list(log.handleExpiredTimer(("a",), N(getCurrentWatermarkInMs=lambda: 50), None)) == [] and calls[-1] == 90
