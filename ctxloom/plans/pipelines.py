@@ -38,12 +38,14 @@ def tfidf_weights(spark, d):
 
 
 @query(
-    f"WITH {_TFIDF}, qt AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY ALL), qr AS (SELECT query_id, term, qf * (ln((1 + n) / (1 + df)) + 1) AS q FROM qt JOIN df USING (term)), "
+    f"WITH {_TFIDF}, qt AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL), qr AS (SELECT query_id, term, qf * (ln((1 + n) / (1 + df)) + 1) AS q FROM qt JOIN df USING (term)), "
     "qw AS (SELECT query_id, term, q / sqrt(sum(q * q) OVER (PARTITION BY query_id)) AS q FROM qr), s AS (SELECT query_id, id, sum(weight * q) AS score FROM wt JOIN qw USING (term) GROUP BY ALL) "
     "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 5"
 )
 def tfidf_topk(spark, d):
-    return B.tfidf_similar(_documents(spark, d), _asked(spark, d)).withColumn("score", F.round("score", 6))
+    """Every item of the benchmark is a query."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return B.tfidf_similar(_documents(spark, d), asked).withColumn("score", F.round("score", 6))
 
 
 _RARE = (

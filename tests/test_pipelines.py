@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ctxloom import plans
 from ctxloom.functions import chunk as C
 from ctxloom.functions import text as T
 from ctxloom.operators import answering as A
@@ -222,3 +223,31 @@ def test_greedy_policy_never_lowers_the_score(spark):
     for r in sorted(rows, key=lambda r: r.step):
         assert r.css >= last.get(r.graph_id, 0) - 1e-9
         last[r.graph_id] = r.css
+
+
+def test_every_item_of_the_benchmark_is_searched_for(spark):
+    items = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert {r.query_id for r in plans.QUERIES["tfidf_topk"](spark, SF).collect()} == items and any(i % 20 for i in items)
+
+
+@pytest.mark.parametrize("sent, held", [(10_000, 4_000_000), (10_000, 1), (0, 50)])
+def test_nearest_of_many_queries_by_blocks(spark, monkeypatch, sent, held):
+    """Queries sent and dealt out, documents taken a few at a time, copies that tie, and rows without an id."""
+    for name, n in (("SENT_QUERIES", sent), ("HELD", held), ("QUERY_BLOCK", 2), ("ROW_BLOCK", 8)):
+        monkeypatch.setattr(B, name, n)
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(30)]
+    said = lambda n: " ".join(rng.choice(words, n))
+    docs = [(k, said(rng.integers(1, 12))) for k in range(40)] + [(k, "w1 w2 w3") for k in range(100, 108)] + [(None, "w4 w4 w9"), (900, None), (901, "")]
+    asked = [(k, said(4)) for k in range(7)] + [(50, "w1 w2"), (None, "w4"), (51, "unseen"), (52, None)]
+    tf = {i: Counter((t or "").split()) for i, t in docs}
+    df = Counter(w for d in tf.values() for w in d)
+    vector = lambda c: {w: n * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w, n in c.items() if w in df}
+    unit = lambda v: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    want = {}
+    for q, t in asked:
+        v = unit(vector(Counter((t or "").split())))
+        scores = [(round(sum(x * v.get(w, 0) for w, x in unit(vector(d)).items()), 9), i) for i, d in tf.items() if v.keys() & d.keys()]
+        want |= {(q, r + 1): (i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], -1 if x[1] is None else x[1]))[:5])}
+    got = B.tfidf_similar(spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string"))
+    assert {(r.query_id, r["rank"]): (r.id, round(r.score, 9)) for r in got.collect()} == want
