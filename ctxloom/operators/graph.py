@@ -12,7 +12,7 @@ from ctxloom.functions import text as T
 from ctxloom.functions import vector as X
 from ctxloom.functions import vocabulary as V
 from ctxloom.operators.retrieval import cosine_candidates, top_similar
-from ctxloom.sources.tables import written
+from ctxloom.sources.tables import cleaned_up, written
 
 #: Terms of a corpus that may be sent to all executors, and defined terms that every text is searched for.
 SENT_TERMS, SENT_DEFINED = 100_000, 200
@@ -64,6 +64,15 @@ def _with_terms(nodes: DataFrame, idf: DataFrame | None) -> DataFrame:
     return known.drop("entities").join(own, ["graph_id", "id"], "left").withColumn("entities", F.coalesce("rare", F.array().cast("array<string>"))).drop("rare")
 
 
+def linked(nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """Nodes with ``linked``: the ids that references within their graph, from a stored index with graph_id, lead to and come from. Nodes and
+    index meet by graph, so that neither is moved where both are dealt by it; a graph's references are one row on the way."""
+    known = index.groupBy("graph_id").agg(F.collect_list(F.struct("_a", "_b")).alias("refs"))
+    met = F.filter("refs", lambda r: (r["_a"] == F.col("id")) | (r["_b"] == F.col("id")))
+    others = F.transform(met, lambda r: F.when(r["_a"] == F.col("id"), r["_b"]).otherwise(r["_a"]))
+    return nodes.join(known, "graph_id", "left").select(*nodes.columns, F.coalesce(others, F.array().cast("array<string>")).alias("linked"))
+
+
 def canonical(references: DataFrame) -> DataFrame:
     """(_a, _b): the pairs (a, b) of ``references`` in one direction, each once. A stored index has these columns already."""
     if {"_a", "_b"} <= set(references.columns):
@@ -77,7 +86,7 @@ EDGE_PARAMETERS = {**V.EDGE_WEIGHTS, "shared_entities": float(V.EDGE_SHARED_ENTI
 
 def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, weighed: bool) -> DataFrame:
     """The edges of pairs (graph_id, a, b) of nodes with their entities. Nodes with a column ``parameters`` (a map of EDGE_PARAMETERS)
-    are scored by it."""
+    are scored by it. Nodes that are ``linked`` need no references beside them."""
     a, b = F.col("a"), F.col("b")
     own = "parameters" in pairs.schema["a"].dataType.names
     usual = EDGE_PARAMETERS | {"least": least}
@@ -91,7 +100,8 @@ def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, we
     else:
         sim = X.cosine(a["embedding"], b["embedding"], a["length"], b["length"])
         overlap = shared_entity_part(a["entities"], b["entities"], weighed, p["shared_entities"])
-    made = F.struct(overlap.alias("overlap"), sim.alias("sim"), same.alias("same"), near.alias("near"), sections.alias("sections"))
+    xref = F.array_contains(a["linked"], b["id"]) if "linked" in pairs.schema["a"].dataType.names else F.lit(False)
+    made = F.struct(overlap.alias("overlap"), sim.alias("sim"), same.alias("same"), near.alias("near"), sections.alias("sections"), xref.alias("xref"))
 
     def scored(x: Column) -> Column:
         parts = {
@@ -100,8 +110,9 @@ def score_pairs(pairs: DataFrame, references: DataFrame | None, least: float, we
             "semantic": F.when(x["sim"] > p["semantic_from"], (x["sim"] - p["semantic_from"]) / F.greatest(1 - p["semantic_from"], F.lit(1e-9)) * p["semantic"]),
             "adjacency": F.when(x["near"], F.when(x["sections"], p["adjacency"]).otherwise(p["adjacency"] / 2)),
         }
-        label = F.concat_ws("|", *[F.when(c.isNotNull(), n) for n, c in parts.items()])
-        return F.struct(label.alias("relation"), sum((F.coalesce(c, F.lit(0.0)) for c in parts.values()), F.lit(0.0)).alias("raw"))
+        label = F.concat_ws("|", F.when(x["xref"], F.lit("cross_ref")), *[F.when(c.isNotNull(), n) for n, c in parts.items()])
+        raw = sum((F.coalesce(c, F.lit(0.0)) for c in parts.values()), F.lit(0.0))
+        return F.struct(label.alias("relation"), F.when(x["xref"], raw + p["cross_ref"]).otherwise(raw).alias("raw"))
 
     # A row of one: filters on what comes out of it do not make it anew.
     # What two nodes hold is looked at before references are: only names and weights of pairs that can be edges are moved to these.
@@ -125,7 +136,10 @@ def build_edges(nodes: DataFrame, references: DataFrame | None = None, least: fl
     entities, same base document, similarity above a threshold, and adjacency of chunks, half of it where both sections are known
     and differ. Edges under ``least`` are dropped, weights are cut at 1. Of ``idf`` (term, idf) each node gets its own terms.
     """
-    return score_pairs(node_pairs(_with_terms(nodes, idf)), references, least, idf is not None)
+    rows = _with_terms(nodes, idf)
+    if references is not None and {"graph_id", "_a", "_b"} <= set(references.columns):
+        rows, references = linked(rows, references), None
+    return score_pairs(node_pairs(rows), references, least, idf is not None)
 
 
 def new_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -194,13 +208,16 @@ class EdgeTable:
         self.batch = batch
 
 
-def cross_references(chunks: DataFrame, within: str | None = None) -> DataFrame:
+def cross_references(chunks: DataFrame, within: str | None = None, keep: bool = False) -> DataFrame:
     """(a, b, type) of chunks (id, text, section): a refers to b's section by its whole number, or uses a term that b defines.
 
     A number is compared as a whole, so that section 1 is not found in section 12. With ``within`` (a column, such as the source)
-    only chunks that share its value refer to each other; the joins have it in their keys.
+    only chunks that share its value refer to each other; the joins have it in their keys. With ``keep`` it stays with the
+    references, and where few terms are defined they are found in its groups: chunks that are dealt by it are not moved again. What a
+    group's texts name is one row then, so groups must be small, as the sections of a contract are.
     """
     key = [] if within is None else [within]
+    own = key if keep else []
     text, low = F.col("text"), F.lower("text")
     kind = lambda ref: F.regexp_extract(ref, r"((?:\d+(?:\.\d+)*)|[ivxlc]+)$", 1)
     typed = lambda values, name: F.transform(values, lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")))
@@ -215,25 +232,35 @@ def cross_references(chunks: DataFrame, within: str | None = None) -> DataFrame:
         both = F.struct(low.alias("low"), F.split(low, _BETWEEN_WORDS).alias("words"))
         used = T.once(both, lambda x: F.filter(known, lambda t: F.contains(x["low"], t) & F.array_contains(x["words"], first(t))))
         refs, targets = F.concat(refs, typed(used, "defined_term")), F.concat(targets, typed(F.coalesce(terms, F.array().cast("array<string>")), "defined_term"))
+    if own and few:
+        each = F.struct("id", refs.alias("refs"), F.transform(targets, lambda t: F.struct(t["type"].alias("type"), t["value"].alias("value"), F.col("id").alias("b"))).alias("targets"))
+        groups = chunks.where(F.col(within).isNotNull()).groupBy(within).agg(F.collect_list(each).alias("g"))
+        rows = groups.select(within, F.flatten(F.transform("g", lambda c: c["targets"])).alias("t"), F.explode("g").alias("c"))
+        met = F.filter("t", lambda t: (t["b"] != F.col("c.id")) & F.array_contains("c.refs", F.struct(t["type"].alias("type"), t["value"].alias("value"))))
+        return rows.select(within, F.col("c.id").alias("a"), F.inline(F.transform(met, lambda t: F.struct(t["b"].alias("b"), t["type"].alias("type"))))).distinct()
     said = chunks.select(*key, F.col("id").alias("a"), F.inline(refs))
     named = chunks.select(*key, F.col("id").alias("b"), F.inline(targets))
-    out = said.join(named, [*key, "type", "value"]).where("a != b").select("a", "b", "type")
+    out = said.join(named, [*key, "type", "value"]).where("a != b").select(*own, "a", "b", "type")
     if few:
         return out.distinct()
     # A use is found through its first word, so the join has an equi key; texts come back only for those that have it.
     defined = chunks.select(*key, F.col("id").alias("b"), F.explode(terms).alias("term"))
     uses = chunks.select(*key, "id", F.explode(F.array_distinct(F.split(low, _BETWEEN_WORDS))).alias("word"))
-    likely = uses.join(defined.withColumn("word", first(F.col("term"))), [*key, "word"]).where("id != b").select("id", "b", "term").distinct()
-    by_term = likely.join(chunks.select("id", low.alias("low")), "id").where("contains(low, term)").select(F.col("id").alias("a"), "b", F.lit("defined_term").alias("type"))
+    likely = uses.join(defined.withColumn("word", first(F.col("term"))), [*key, "word"]).where("id != b").select(*own, "id", "b", "term").distinct()
+    by_term = likely.join(chunks.select(*own, "id", low.alias("low")), [*own, "id"]).where("contains(low, term)").select(*own, F.col("id").alias("a"), "b", F.lit("defined_term").alias("type"))
     return out.unionByName(by_term).distinct()
 
 
 def write_reference_index(references: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Store references as a table bucketed and sorted by their canonical pair (_a, _b), with the types of each: a lookup by pairs then
-    moves the pairs, not the index. Pairs are dealt out by bucket, so that each bucket is one file."""
-    pairs = references.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), "type").repartition(buckets, "_a", "_b")
-    pairs = pairs.groupBy("_a", "_b").agg(F.array_sort(F.collect_set("type")).alias("types"))
-    pairs.write.bucketBy(buckets, "_a", "_b").sortBy("_a", "_b").option("path", path).mode("overwrite").saveAsTable(table)
+    moves the pairs, not the index. Pairs are dealt out by bucket, so that each bucket is one file. References with a graph_id, which stay
+    within their graph, are bucketed by it: pairs of nodes that are dealt by graph are not moved either."""
+    own = ["graph_id"] if "graph_id" in references.columns else []
+    by = own or ["_a", "_b"]
+    pairs = references.select(*own, F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), "type").repartition(buckets, *by)
+    pairs = pairs.groupBy(*own, "_a", "_b").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    with cleaned_up(references.sparkSession):
+        pairs.write.bucketBy(buckets, *by).sortBy(*own, "_a", "_b").option("path", path).mode("overwrite").saveAsTable(table)
     return references.sparkSession.table(table)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """What is run in it deletes its shuffle files at its end, by Spark's own setting for that."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder once and read back: lineage ends there."""
-    df.write.parquet(path := new_folder(df.sparkSession, "table"))
+    """``df``, written to the shared folder once and read back: lineage ends there, and what was shuffled on the way is deleted."""
+    path = new_folder(df.sparkSession, "table")
+    with cleaned_up(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

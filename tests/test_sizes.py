@@ -15,6 +15,9 @@ from ctxloom.functions import vocabulary as V
 from ctxloom.operators import answering as A
 from ctxloom.operators import baselines as B
 from ctxloom.operators import graph as G
+from ctxloom.plans import contracts
+from ctxloom.sources import tables
+from tests.conftest import SF
 
 
 def _chunks(spark):
@@ -178,3 +181,39 @@ def test_shared_terms_are_weighed_without_maps(spark):
     assert "map<" not in G._with_terms(nodes, idf).schema.simpleString()
     weight = G.build_edges(nodes, idf=idf).first()["weight"]
     assert abs(weight - 0.35 * (1.25 + 4 / 3) / (4 / 3 * 3)) < 1e-15
+
+
+def test_lines_of_contracts_are_moved_once(spark):
+    """For references, and for edges: what is made of the lines meets by contract, where the lines were dealt to."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n, index = contracts.contract_nodes(spark, SF), contracts.index(spark, SF)
+        for df, sides in ((contracts.referred(spark, SF), 1), (G.build_edges(n, index), 2)):
+            moved = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in x]
+            assert len(moved) == sides and all("hashpartitioning(l_orderkey" in x for x in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_references_in_groups_are_those_of_the_join(spark, monkeypatch):
+    rows = _chunks(spark).unionByName(spark.createDataFrame([(None, "z1", "See Section 1.", "1"), (None, "z2", "Lot 1", "2"), ("c", "x1", 'Section 2, "Lot 12" means Lot 1.', "1"), ("c", None, "Section 1", "2")], "within string, id string, text string, section string"))
+    want = sorted(tuple(r) for r in G.cross_references(rows, "within").collect())
+    got = G.cross_references(rows, "within", keep=True)
+    assert sorted(tuple(r) for r in got.select("a", "b", "type").collect()) == want and {r[0] for r in got.select("within").collect()} == {"c"}
+    monkeypatch.setattr(G, "SENT_DEFINED", 0)
+    many = G.cross_references(rows, "within", keep=True)
+    assert sorted(tuple(r) for r in many.select("a", "b", "type").collect()) == want and {r[0] for r in many.select("within").collect()} == {"c"}
+
+
+def test_linked_nodes_have_the_edges_of_references(spark):
+    n, index = contracts.contract_nodes(spark, SF), contracts.index(spark, SF)
+    rows = lambda e: sorted(tuple(r) for r in e.collect())
+    assert rows(G.build_edges(n, index)) == rows(G.build_edges(n, index.select("_a", "_b"))) != rows(G.build_edges(n))
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    held = lambda: sum(len(names) for d, _, names in os.walk(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].getPath()) if "blockmgr" in d)
+    before = held()
+    assert tables.written(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()).count() == 10
+    assert held() <= before + 3  # of the count
