@@ -124,3 +124,23 @@ def test_first_graph_of_a_query(spark):
         assert [c for _, _, c, _ in have] == pytest.approx([s for _, s, _ in want], abs=2e-6)
     plain = G.initial_graph(spark.createDataFrame([(1, "zzz")], "graph_id long, text string"), spark.createDataFrame([(i, v.tolist()) for i, v in list(corpus.items())[:30]], "id long, vector array<double>"), X.hashed_embedding, k=7, terms=F.array().cast("array<string>"))
     assert plain.count() == 7 and {r.route for r in plain.collect()} == {"query_match"}
+
+
+def test_a_growing_table_searches_a_text_once_and_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    nodes, path, seen = _nodes(spark), str(tmp_path), []
+    search = G._searched
+    monkeypatch.setattr(G, "_searched", lambda df: seen.append(df.count()) or search(df))
+    idf = spark.createDataFrame([("northern harbor", 2.0), ("rent", 1.5), ("lease", 0.5)], "term string, idf double")
+    table = G.EdgeTable(spark, path)
+    for k in range(3):
+        table.add(nodes.where(f"pos % 3 = {k}"), k, idf=idf)
+    assert sum(seen) == nodes.count() and not (tmp_path / "scratch").exists()
+    monkeypatch.setattr(G, "_searched", search)
+    assert _edges(table.edges()) == _edges(G.build_edges(nodes, idf=idf))
+
+
+def test_terms_of_one_node_alone_do_not_meet_the_idf(spark):
+    rows = [("g", k, f"n{k}", t, "b", k, None, [1.0]) for k, t in enumerate(("alpha beta once", "beta gamma", "gamma delta beta", None))] + [("h", 0, "n0", "alpha gamma", "b", 0, None, [1.0])]
+    idf = spark.createDataFrame([(t, 2.0) for t in ("alpha", "beta", "gamma", "delta", "once")], "term string, idf double")
+    got = {(r.graph_id, r.id): {t.split("\u0001")[0] for t in r.entities} for r in G._with_terms(spark.createDataFrame(rows, NODE), idf).collect()}
+    assert got == {("g", "n0"): {"beta"}, ("g", "n1"): {"beta", "gamma"}, ("g", "n2"): {"beta", "gamma"}, ("g", "n3"): set(), ("h", "n0"): set()}
