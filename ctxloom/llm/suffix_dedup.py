@@ -18,6 +18,7 @@ suffixes that start at anchors are enough, one in about eighteen, and each 50-by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,11 @@ PACK = 8 << 20
 #: Documents sampled for the splitters and the frequent anchors, about; an anchor is frequent in FREQUENT of them, and MANY at least.
 SAMPLE_DOCS, FREQUENT, MANY = 2_000, 0.004, 8
 
+#: Whole copies that may be sent to all executors, to be left out where texts are read.
+SENT_COPIES = 500_000
+#: Bytes of text whose suffixes are on disk at once: beyond it the buckets are settled in rounds.
+ROUND_BYTES = 6 << 30
+
 _TOP = np.uint64(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -156,7 +162,7 @@ def _shared_anchors(rows: DataFrame, parts: int, frequent: np.ndarray) -> DataFr
         doc, h, bucket = doc[fresh], h[fresh], bucket[fresh]
         cut = _edges(bucket)
         found = []
-        for lo, hi in zip(cut, [*cut[1:], len(h)], strict=True):
+        for lo, hi in zip(cut, [*cut[1:], len(h)][: len(cut)], strict=True):
             used, counts = np.unique(doc[lo:hi], return_counts=True)
             found.append((int(bucket[lo]), chunk, ids[used].tobytes(), copies[used].tobytes(), counts.astype(np.uint32).tobytes(), h[lo:hi].tobytes()))
         return pd.DataFrame(found, columns=["bucket", "chunk", "ids", "copies", "counts", "hashes"])
@@ -233,8 +239,9 @@ def _sample(rows: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(cuts or [], np.int64).view(np.uint64) ^ _TOP, often
 
 
-def _suffixes(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """(bucket, back, doc, copy, start, bytes): the runs of windows of shared anchors, with their bytes, and where in these the anchor is."""
+def _suffixes(joined: DataFrame, splitters: np.ndarray, nth: int = 0, rounds: int = 1) -> DataFrame:
+    """(bucket, back, doc, copy, start, bytes): the runs of windows of shared anchors, with their bytes, and where in these the anchor is;
+    those of every ``rounds``-th bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, raw in _chunked(batches):
@@ -250,6 +257,9 @@ def _suffixes(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
             lead = _lead(data, place)
             low, high = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
             bucket = np.where(high > low, low + 1 + (h % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64), high)
+            if rounds > 1:
+                now = bucket % rounds == nth
+                doc, start, n, place, bucket = doc[now], start[now], n[now], place[now], bucket[now]
             whole, begins = data.tobytes(), np.cumsum(sizes) - sizes
             yield pd.DataFrame({
                 "bucket": bucket.astype(np.int32), "back": (place - start).astype(np.int16),
@@ -439,13 +449,20 @@ def covered(rows: DataFrame) -> DataFrame:
     parts = input_parts(rows, 6)  # buckets follow the input, so that one stays within a task's memory
     splitters, frequent = _sample(rows, parts)
     copies = materialize(_whole_copies(rows))
-    # Copies of whole documents are covered from end to end; what the others share with them stands in the first one too.
-    shared = materialize(_shared_anchors(rows, input_parts(rows), frequent))
-    suffixes = _suffixes(rows.join(shared.join(copies, ["doc", "copy"], "left_anti"), ["doc", "copy"]), splitters)
-    resolved = materialize(suffixes.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_resolve, _SPANS))
+    # Copies of whole documents are covered from end to end; what the others share with them stands in the first one too, so they
+    # are left out: where texts are read, if they can be sent there, or of what is joined.
+    few = copies.limit(SENT_COPIES + 1).count() <= SENT_COPIES
+    left = rows.join(F.broadcast(copies.select("doc", "copy")), ["doc", "copy"], "left_anti") if few else rows
+    shared = materialize(_shared_anchors(left, input_parts(rows), frequent))
+    joined = left.join(shared if few else shared.join(copies, ["doc", "copy"], "left_anti"), ["doc", "copy"])
+    # A round moves the texts, and the suffixes of its buckets only; what it moved is deleted at its end.
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rounds = min(parts, max(1, -(-size // ROUND_BYTES)))
+    settled = [materialize(_suffixes(joined, splitters, k, rounds).repartition(parts, "bucket").groupBy("bucket").applyInPandas(_resolve, _SPANS)) for k in range(rounds)]
     discard(shared)
+    resolved = reduce(DataFrame.unionByName, settled)
     if len(frequent):
-        resolved = resolved.unionByName(_frequent(rows, frequent))
+        resolved = resolved.unionByName(_frequent(left, frequent))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -176,3 +176,20 @@ def test_hosts_paths_and_rules_against_sql(spark):
     for r in (r for r in got.values() if r.rule is None):
         assert r.verdict == ("block" if r.score >= 0.5 else "allow")
     assert len(model.trees) == 60
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_copies_are_left_out_and_buckets_go_in_rounds(spark, monkeypatch, sent):
+    """Whole copies do not reach the anchors where they can be sent; two rounds settle all buckets; and a chunk may have no anchors."""
+    passage = _prose(95, 40)
+    own = [f"{_prose(1000 + k, 20)} {passage if k % 3 else ''} {_prose(2000 + k % 5, 30)}" for k in range(30)]
+    texts = [(100 * n + k, t) for n in range(4) for k, t in enumerate(own)] + [(900, "short"), (901, "short"), (902, None)]
+    monkeypatch.setattr(suffix_dedup, "SENT_COPIES", sent)
+    monkeypatch.setattr(suffix_dedup, "ROUND_BYTES", sum(len((t or "").encode()) for _, t in texts) // 2 + 1)
+    seen, rounds = [], []
+    shared, suffixes = suffix_dedup._shared_anchors, suffix_dedup._suffixes
+    monkeypatch.setattr(suffix_dedup, "_shared_anchors", lambda df, *a: seen.append(df.count()) or shared(df, *a))
+    monkeypatch.setattr(suffix_dedup, "_suffixes", lambda df, cuts, *a: rounds.append(a) or suffixes(df, cuts, *a))
+    docs = _docs(spark, texts).repartitionByRange(4, "doc_id")  # the last part holds short texts only
+    got = {r.doc_id: (r.n_bytes, sum(x["end"] - x["start"] for x in r.removed), bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == _brute_spans(texts) and seen == [33 if sent else len(texts)] and rounds == [(0, 2), (1, 2)]
